@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +72,23 @@ def unseal(df: DataFrame, columns: list[str], **extra: F.Column) -> DataFrame:
         taken.add(name)
         out.append(value.alias(name))
     return df.select(*out)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package (once per application), for clusters where it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_dayloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="dayloom-code-")) / "dayloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._dayloom_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with the package shipped to the executors first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

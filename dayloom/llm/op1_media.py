@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from dayloom.llm.common import table
+from dayloom.llm.common import map_arrow, table
 
 SOURCE_HZ, TARGET_HZ = 24_000, 16_000
 UP, DOWN, TAPS = 2, 3, 16  # taps of each phase
@@ -221,7 +221,7 @@ def audio_features(df: DataFrame, key: str, media: str, of_text: bool = False, k
 
     picked = df.select(df[key], df[media])
     kind = picked.schema[0].dataType.simpleString()
-    return picked.mapInArrow(run, f"`{key}` {kind}, n_bytes long, " + ", ".join(f"{k} {s}" for k, (s, _) in KINDS.items()))
+    return map_arrow(picked, run, f"`{key}` {kind}, n_bytes long, " + ", ".join(f"{k} {s}" for k, (s, _) in KINDS.items()))
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
