@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_media", "op3_packing", "op4_language", "op5_simhash", "op6_mixing")
+MODULES = ("op1_media", "op3_packing", "op4_language", "op5_simhash", "op6_mixing", "op10_substrings")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
