@@ -45,9 +45,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def word_count(text: str) -> F.Column:
     """Number of ``WORD`` matches in a text column; null counts as 0. Built-in functions only."""
-    plain = F.trim(F.translate(F.col(text), "\t\n\x0b\x0c\r", "     "))
-    words = F.size(F.split(plain, " +"))
-    return F.when(F.col(text).isNull() | (plain == ""), F.lit(0)).otherwise(words).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def seal(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import seal, table, unseal, word_count
+from dayloom.llm.common import materialize, seal, table, unseal, word_count
 
-CELL_ROWS = 20_000
+CELL_ROWS = 4_000
 SEED = 42
 MAX_RATE = 3.0
 
@@ -51,8 +51,8 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
 
 
 def size_class(size: Column) -> Column:
-    """Classes about 6 % wide: sizes up to 16 alone, above that 12 to each doubling."""
-    return F.when(size <= 16, size).otherwise(F.floor(F.log2(size.cast("double")) * 12)).cast("int")
+    """Classes of sizes, 12 to each doubling: about 6 % wide, and single sizes below 17."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 12).cast("int")
 
 
 def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float, seed: int) -> DataFrame:
@@ -61,7 +61,7 @@ def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float,
     held, at = seal(docs)
     sized = held.withColumns({"source": F.col(at[source]), "size": word_count(at[text]), "hash": F.xxhash64(F.lit(seed), F.col(at[key]), F.col(at[text]))})
     sized = sized.withColumns({"class": size_class(F.col("size")), "block": F.pmod(F.col("hash"), F.lit(cells)).cast("int")})
-    counts = sized.groupBy("source", "class", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    counts = materialize(sized.groupBy("source", "class", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
 
     def before(n: str, over: list[str], order: str) -> Column:
         w = Window.partitionBy(*over).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
