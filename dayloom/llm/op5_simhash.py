@@ -94,9 +94,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     keepers = found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("k"))
     keepers = materialize(keepers.select(F.col("k.key").alias("keep_key"), F.col("k.text_hash").alias("keep_hash")))
     held, at = seal(docs)
-    id_, hash_ = F.col(at[key]), F.xxhash64(F.col(at[text]))
-    kept = held.join(keepers, id_.eqNullSafe(F.col("keep_key")) & (hash_ == F.col("keep_hash")), "left_semi")
-    one = Window.partitionBy(id_, hash_).orderBy(F.lit(0))
+    known = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    keepers = keepers.select(known(F.col("keep_key")).alias("row_key"), F.col("keep_hash").alias("row_hash"))
+    kept = held.withColumns({"row_key": known(F.col(at[key])), "row_hash": F.xxhash64(F.col(at[text]))}).join(keepers, ["row_key", "row_hash"], "left_semi")
+    one = Window.partitionBy("row_key", "row_hash").orderBy(F.lit(0))  # dealt as the join is, so no further shuffle
     return unseal(kept.withColumn("copy", F.row_number().over(one)).where("copy = 1"), docs.columns)
 
 
