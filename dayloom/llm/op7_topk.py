@@ -24,8 +24,9 @@ from dayloom.llm.common import seal, ship, table
 
 TOP = 10
 SCALE = 1024.0
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
-STRETCHES = 8  # that a list is read in
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+CHUNK = 128  # queries that are searched together in a task
+STRETCHES = 4  # that a list is read in
 LARGEST = 1 << 15  # magnitude of a component; scores of 4096 dimensions then fit 64 bits
 
 
@@ -47,54 +48,64 @@ class SortedLists:
         order = np.argsort(ids, kind="stable")
         self.ids, self.exact = ids[order], vectors[order]
         self.vectors = self.exact.astype(np.float64)
-        self.rising = np.argsort(self.vectors, axis=0, kind="stable").T  # of each dimension: rows by component
-        self.values = np.take_along_axis(self.vectors.T, self.rising, axis=1)
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, entries read) of the best k rows, without the query's own id."""
-        n, d = self.vectors.shape
-        lower, upper = np.zeros(n), np.zeros(n)
-        down = query >= 0  # where large components contribute most, the list is read from its end
-        rest_low = np.where(down, self.values[:, 0], self.values[:, -1]) * query
-        rest_high = np.where(down, self.values[:, -1], self.values[:, 0]) * query
-        lower += rest_low.sum()
-        upper += rest_high.sum()
-        lower[self.ids == own] = upper[self.ids == own] = -np.inf
-        step, read = -(-n // STRETCHES), 0
-        slack = 1e-12 * (np.abs(query) @ np.abs(self.vectors).max(axis=0))  # of sums in doubles; 0.1 and less below 2^36
-        alive = np.flatnonzero(self.ids != own)
-        k = min(k, len(alive))
-        if not k:
-            return self.ids[:0], np.empty(0, np.int64), 0
-        unread = np.ones((d, n), bool)
-        for at in range(0, n, step):
-            stop = min(n, at + step)
-            read += d * (stop - at)
-            for j in range(d):
-                part = slice(n - stop, n - at) if down[j] else slice(at, stop)
-                rows = self.rising[j, part]
-                gain = self.values[j, part] * query[j]
-                lower[rows] += gain - rest_low[j]
-                upper[rows] += gain - rest_high[j]
-                unread[j, rows] = False
-            if stop < n:  # the next entry of each list bounds what is unread from above
-                nxt = np.where(down, self.values[:, n - stop - 1], self.values[:, stop]) * query
-                upper += (nxt - rest_high) @ unread
-                rest_high = nxt
-            floor = np.partition(lower[alive], len(alive) - k)[len(alive) - k]
-            alive = alive[upper[alive] >= floor - slack]
-            if len(alive) <= max(4 * k, n // 64):
+        rising = np.argsort(self.vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.vectors, rising, axis=0)  # the lists, a column for each dimension
+        self.place = np.empty_like(rising)  # of each vector in each list
+        np.put_along_axis(self.place, rising, np.arange(len(ids))[:, None], axis=0)
+
+    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all scores once ``depth`` entries of each list are read: (vectors, queries).
+
+        Lists are read from their end where the query's component is positive, so that large contributions come
+        first, and from their start where it is negative.
+        """
+        n = len(self.ids)
+        up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+        late, early = self.place >= n - depth, self.place < depth  # entries read from the end and from the start
+        read = (self.vectors * late) @ up + (self.vectors * early) @ down
+        if depth == n:
+            return read, read
+        first, last = self.values[0][:, None], self.values[-1][:, None]
+        lower = read + ~late @ (first * up) + ~early @ (last * down)
+        upper = read + ~late @ (self.values[n - depth - 1][:, None] * up) + ~early @ (self.values[depth][:, None] * down)
+        return lower, upper
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(ids, scores, entries read of a list) of the best k rows for each query, without the row of its own id."""
+        n = len(self.ids)
+        found: list = [None] * len(queries)
+        slack = 1e-12 * (np.abs(queries).astype(np.float64) @ np.abs(self.vectors).max(axis=0))  # of sums in doubles
+        open_ = np.arange(len(queries))
+        for depth in sorted({max(1, n * s // STRETCHES) for s in range(1, STRETCHES + 1)}):
+            if not len(open_):
                 break
-        scores = self.exact[alive] @ query.astype(np.int64)
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][best], scores[best], read
+            lower, upper = self.bounds(queries[open_].astype(np.float64), depth)
+            same = self.ids[:, None] == own[open_]
+            lower[same] = upper[same] = -np.inf
+            others = n - same.sum(axis=0)
+            floor = np.sort(np.partition(lower, max(0, n - k), axis=0)[max(0, n - k) :], axis=0)
+            left = []
+            for c, q in enumerate(open_):
+                size = min(k, int(others[c]))
+                alive = np.flatnonzero(upper[:, c] >= floor[len(floor) - size, c] - slack[q]) if size else np.empty(0, int)
+                if len(alive) > max(4 * k, n // 64) and depth < n:
+                    left.append(q)
+                    continue
+                alive = alive[self.ids[alive] != own[q]]
+                scores = self.exact[alive] @ queries[q]
+                best = np.lexsort((self.ids[alive], -scores))[:size]
+                found[q] = (self.ids[alive][best], scores[best], depth)
+            open_ = np.array(left, int)
+        return found
 
 
 def search_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     lists = SortedLists(vectors["id"].to_numpy(np.int64), np.stack(vectors["v"].to_numpy()).astype(np.int64))
-    for own, v in zip(queries["id"], queries["v"]):
-        ids, scores, _ = lists.search(np.asarray(v, np.float64), own, k)
-        yield own, ids, scores
+    for at in range(0, len(queries), CHUNK):
+        part = queries.iloc[at : at + CHUNK]
+        own = part["id"].to_numpy(np.int64)
+        for q, (ids, scores, _) in zip(own, lists.search(np.stack(part["v"].to_numpy()).astype(np.int64), own, k), strict=True):
+            yield q, ids, scores
 
 
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = TOP, scale: float = SCALE) -> DataFrame:
