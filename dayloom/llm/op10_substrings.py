@@ -7,8 +7,8 @@ are extended to all windows around them, and these are compared whole (128 bits
 
 Exact copies are folded first: only the smallest doc_id of equal texts is anchored, since a longer copy of it goes
 entirely. Groups are never gathered: within an anchor or a window rows are sorted and read in a stream against the
-row before, the row after or the first one, so memory does not grow with a group. An anchor belongs to one
-document once, so a passage that a third of all documents hold is a small part of the rows. Documents' texts are
+row before, the row after or the first one, so memory does not grow with a group. A document sends an anchor or a window
+once, however often it repeats it, so what a third of all documents hold is a small part of the rows. Documents' texts are
 shuffled by doc_id once and that exchange serves all three passes over them.
 """
 
@@ -83,14 +83,23 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def candidate_windows(words: list[bytes], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, first hash, second hash) of the windows that hold an anchor in ``shared``."""
+    """(positions, first hash, second hash) of the windows that hold an anchor in ``shared``; equal ones once, at the first."""
     at, own, hashes = anchors(words)
     hit = at[np.isin(own, shared)]
     change = np.zeros(len(words) + 2, np.int64)
     np.add.at(change, np.maximum(0, hit + ANCHOR - WINDOW), 1)
     np.add.at(change, hit + 1, -1)
     starts = np.flatnonzero(np.cumsum(change)[: len(words) - WINDOW + 1] > 0)
-    return starts, run_hashes(hashes, WINDOW, 0)[starts], run_hashes(hashes, WINDOW, 1)[starts]
+    w1, w2 = run_hashes(hashes, WINDOW, 0)[starts], run_hashes(hashes, WINDOW, 1)[starts]
+    _, once = np.unique(np.stack([w1, w2]), axis=1, return_index=True) if len(np.unique(w1)) < len(w1) else (None, slice(None))
+    return starts[once], w1[once], w2[once]
+
+
+def everywhere(words: list[bytes], starts: np.ndarray) -> np.ndarray:
+    """Positions of all windows equal to one of those at ``starts``."""
+    hashes = word_hashes(words)
+    w1, w2 = run_hashes(hashes, WINDOW, 0), run_hashes(hashes, WINDOW, 1)
+    return np.flatnonzero(np.isin(w1, w1[starts]) & np.isin(w2, w2[starts]))
 
 
 def removed_words(n: int, starts: np.ndarray) -> np.ndarray:
@@ -153,7 +162,8 @@ def _cut(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
             gone = np.ones(n, bool)  # a copy of a text with a smaller doc_id
         else:
             places = np.array(covered[i].values, np.int64) if covered[i].is_valid else np.empty(0, np.int64)
-            gone = removed_words(n, places[places >> np.int64(31) == tag] & np.int64((1 << 31) - 1))
+            starts = places[places >> np.int64(31) == tag] & np.int64((1 << 31) - 1)
+            gone = removed_words(n, everywhere(words, starts)) if len(starts) else np.zeros(n, bool)
         n_words.append(n)
         n_removed.append(int(gone.sum()))
         kept.append(b" ".join(words) if not n_removed[-1] else b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
