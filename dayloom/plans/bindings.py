@@ -1,13 +1,28 @@
-"""Catalogue queries bound to the driver tables, with the SQL that must give the same rows."""
+"""Catalogue queries and operators bound to the driver tables, with the SQL that must give the same rows.
+
+The driver tables stand in for the datasets: events for plays and page views, orders and lineitem for pull requests
+and commits, customer for repositories, lineitem with part and supplier for watch events and their masters.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayloom.functions import urls, values
+from dayloom.functions.ids import sha_key, uuid5
+from dayloom.functions.times import iso_duration, month_columns, period
+from dayloom.operators import cursors, dedup, visits, watching
+from dayloom.plans import adhoc, code, music, video, web
+from dayloom.sources.catalog import empty
+from dayloom.sources.schemas import CHANNELS, VIDEOS
 from dayloom.sources.tables import table
+from dayloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,18 +41,566 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+FORMATS = {"day": "%Y-%m-%d", "week": "%G-W%V", "month": "%Y-%m"}
+START, END = "2024-01-05", "2024-01-20"
+ORDER_START, ORDER_END = "1995-12-01", "1999-02-15"
+
+
+# ---- stand-ins -------------------------------------------------------------------------------------------------
+
+
+def plays(spark: SparkSession, folder: str) -> DataFrame:
+    """events as plays: the type is the track, the user the artist, the value the milliseconds."""
+    e = table(spark, folder, "events")
+    return e.select(
+        F.col("event_id").cast("string").alias("play_id"), F.col("ts").alias("played_at_utc"), F.col("user_id").cast("string").alias("track_id"), F.col("event_type").alias("track_name"),
+        F.array(F.col("user_id").cast("string")).alias("artist_ids"), F.array(F.col("user_id").cast("string")).alias("artist_names"), F.lit(None).cast("string").alias("album_id"),
+        F.lit(None).cast("string").alias("album_name"), F.floor("value").cast("long").alias("ms_played"), F.lit(None).cast("string").alias("context_type"), F.lit(None).cast("long").alias("popularity"),
+    )
+
+
+def order_plays(spark: SparkSession, folder: str) -> DataFrame:
+    """orders as plays, for ISO weeks at the turn of years."""
+    o = table(spark, folder, "orders")
+    return o.select(F.col("o_orderdate").alias("played_at_utc"), F.col("o_custkey").cast("string").alias("track_id"), F.floor("o_totalprice").cast("long").alias("ms_played"))
+
+
+def part_plays(spark: SparkSession, folder: str) -> DataFrame:
+    """part as plays: the words of the name are the artists; parts of size 1 to 5 have none."""
+    p = table(spark, folder, "part")
+    names = F.when(F.col("p_size") <= 5, F.array().cast("array<string>")).otherwise(F.split("p_name", " "))
+    return p.select(F.col("p_type").alias("track_name"), names.alias("artist_names"), F.timestamp_add("DAY", F.col("p_size"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("played_at_utc"))
+
+
+def page_views(spark: SparkSession, folder: str) -> DataFrame:
+    """events as page views: the type is the browser, the user (modulo 3) the profile."""
+    e = table(spark, folder, "events")
+    return e.select(
+        F.col("event_id").cast("string").alias("page_view_id"), F.col("ts").alias("started_at_utc"), F.col("ts").alias("ended_at_utc"), F.col("props").alias("url"), F.col("props").alias("title"),
+        F.col("event_type").alias("browser"), (F.col("user_id") % 3).cast("string").alias("profile"), F.lit(None).cast("string").alias("transition"), F.lit(1).cast("long").alias("visit_span_count"),
+    )
+
+
+def pulls(spark: SparkSession, folder: str) -> DataFrame:
+    """orders as pull request events: ten orders make one, status F is opened, O merged, P updated."""
+    o = table(spark, folder, "orders")
+    action = F.when(F.col("o_orderstatus") == "F", "opened").when(F.col("o_orderstatus") == "O", "merged").otherwise("updated")
+    null = lambda kind: F.lit(None).cast(kind)
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("pr_event_id"), F.floor(F.col("o_orderkey") / 10).cast("string").alias("pr_key"), F.col("o_orderpriority").alias("owner"),
+        (F.col("o_custkey") % 7).cast("string").alias("repo"), F.concat_ws("/", "o_orderpriority", (F.col("o_custkey") % 7).cast("string")).alias("repo_full_name"), F.col("o_orderkey").alias("pr_number"),
+        action.alias("action"), F.col("o_orderstatus").alias("state"), (action == "merged").alias("is_merged"), F.col("o_orderpriority").alias("title"), F.split("o_orderpriority", "-").alias("labels"),
+        F.col("o_orderdate").alias("created_at_utc"), F.col("o_orderdate").alias("updated_at_utc"), F.when(action == "merged", F.col("o_orderdate")).alias("merged_at_utc"),
+        null("long").alias("comments_count"), null("long").alias("review_comments_count"), null("long").alias("reviews_count"),
+        (F.col("o_custkey") % 100).alias("additions"), (F.col("o_custkey") % 30).alias("deletions"), F.lit(1).cast("long").alias("changed_files_count"),
+    )
+
+
+def commit_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """lineitem as commits."""
+    x = table(spark, folder, "lineitem")
+    key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    return x.select(
+        key.alias("commit_event_id"), F.col("l_returnflag").alias("owner"), (F.col("l_suppkey") % 7).cast("string").alias("repo"), F.concat_ws("/", "l_returnflag", (F.col("l_suppkey") % 7).cast("string")).alias("repo_full_name"),
+        F.col("l_partkey").cast("string").alias("sha"), F.col("l_linestatus").alias("message"), F.col("l_shipdate").alias("committed_at_utc"), F.col("l_linenumber").cast("long").alias("changed_files_count"),
+        F.floor("l_quantity").cast("long").alias("additions"), (F.col("l_suppkey") % 20).alias("deletions"),
+    )
+
+
+WATCH_SQL = """
+    e AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS watch_event_id, l_shipdate AS watched_at_utc, CAST(l_partkey AS VARCHAR) AS video_id,
+                 'u' || l_partkey AS video_url, l_returnflag AS video_title, CAST(l_suppkey AS VARCHAR) AS channel_id, l_linestatus AS channel_name,
+                 CASE WHEN l_linenumber = 1 THEN 'short' ELSE 'video' END AS content_type
+          FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'),
+    v AS (SELECT CAST(p_partkey AS VARCHAR) AS video_id, p_name AS title, CASE WHEN p_size > 25 THEN CAST(p_size * 4 AS VARCHAR) END AS channel_id, CASE WHEN p_size > 40 THEN p_brand END AS channel_name FROM part),
+    c AS (SELECT CAST(s_suppkey AS VARCHAR) AS channel_id, s_name AS channel_name FROM supplier WHERE s_suppkey % 2 = 0),
+    w AS (SELECT e.watch_event_id, e.watched_at_utc, e.video_id, e.video_url, coalesce(v.title, e.video_title) AS video_title, coalesce(v.channel_id, e.channel_id) AS channel_id,
+                 coalesce(c.channel_name, v.channel_name, e.channel_name) AS channel_name, e.content_type
+          FROM e LEFT JOIN v ON e.video_id = v.video_id LEFT JOIN c ON coalesce(v.channel_id, e.channel_id) = c.channel_id)
+"""
+
+
+def watched(spark: SparkSession, folder: str, masters: bool = True) -> DataFrame:
+    """lineitem as watch events, part as videos, half of supplier as channels; or no masters."""
+    x, s = table(spark, folder, "lineitem"), lambda c: F.col(c).cast("string")
+    events = x.select(
+        F.concat_ws(":", s("l_orderkey"), s("l_linenumber"), s("l_partkey"), s("l_suppkey")).alias("watch_event_id"), F.col("l_shipdate").alias("watched_at_utc"), s("l_partkey").alias("video_id"),
+        F.concat(F.lit("u"), s("l_partkey")).alias("video_url"), F.col("l_returnflag").alias("video_title"), s("l_suppkey").alias("channel_id"), F.col("l_linestatus").alias("channel_name"),
+        F.when(F.col("l_linenumber") == 1, "short").otherwise("video").alias("content_type"),
+    )
+    if masters:
+        p = table(spark, folder, "part")
+        v = p.select(s("p_partkey").alias("video_id"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 25, (F.col("p_size") * 4).cast("string")).alias("channel_id"), F.when(F.col("p_size") > 40, F.col("p_brand")).alias("channel_name"))
+        c = table(spark, folder, "supplier").where("s_suppkey % 2 = 0").select(s("s_suppkey").alias("channel_id"), F.col("s_name").alias("channel_name"))
+    else:
+        v, c = empty(spark, VIDEOS), empty(spark, CHANNELS)
+    return video.enriched(events, v, c, "1996-01-01", "1996-12-31")
+
+
+# ---- music -----------------------------------------------------------------------------------------------------
+
+
 @query(
     "top_tracks",
-    """SELECT event_type AS track_name, CAST(user_id AS VARCHAR) AS artist, CAST(count(*) AS BIGINT) AS play_count,
-              round(sum(value) / 60000.0, 9) AS total_minutes
-       FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
-       GROUP BY ALL ORDER BY play_count DESC, track_name, artist LIMIT 10""",
+    f"""SELECT event_type AS track_name, CAST(user_id AS VARCHAR) AS artist, count(*) AS play_count, round(sum(floor(value)) / 60000.0, 9) AS total_minutes
+        FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY ALL ORDER BY play_count DESC, track_name, artist LIMIT 10""",
 )
 def top_tracks(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").where(F.to_date("ts").between("2024-01-05", "2024-01-20"))
-    return (
-        events.groupBy(F.col("event_type").alias("track_name"), F.col("user_id").cast("string").alias("artist"))
-        .agg(F.count(F.lit(1)).alias("play_count"), F.round(F.sum("value") / F.lit(60000.0), 9).alias("total_minutes"))
-        .orderBy(F.desc("play_count"), F.asc_nulls_last("track_name"), F.asc_nulls_last("artist"))
-        .limit(10)
+    return music.top_tracks(plays(spark, folder), START, END, 10).withColumn("total_minutes", F.round("total_minutes", 9))
+
+
+def _listening(granularity: str) -> None:
+    @query(
+        f"listening_stats_{granularity}",
+        f"""SELECT strftime(CAST(o_orderdate AS DATE), '{FORMATS[granularity]}') AS period, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS total_ms, count(*) AS track_count, count(DISTINCT o_custkey) AS unique_tracks
+            FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}' GROUP BY ALL""",
+    )
+    def listening(spark: SparkSession, folder: str) -> DataFrame:
+        return music.listening_stats(order_plays(spark, folder), ORDER_START, ORDER_END, granularity)
+
+
+for _g in FORMATS:
+    _listening(_g)
+
+PART_PLAYS_SQL = "SELECT p_type AS track_name, CASE WHEN p_size <= 5 THEN NULL ELSE string_split(p_name, ' ')[1] END AS artist, TIMESTAMP '2024-01-01' + to_days(CAST(p_size AS INTEGER)) AS t FROM part"
+
+
+def _search(name: str, text: str) -> None:
+    @query(
+        name,
+        f"""WITH p AS ({PART_PLAYS_SQL}) SELECT track_name, artist, count(*) AS play_count, CAST(max(t) AS VARCHAR) AS last_played FROM p
+            WHERE lower(track_name) LIKE lower('%{text}%') OR lower(artist) LIKE lower('%{text}%') GROUP BY ALL ORDER BY play_count DESC, track_name, artist NULLS LAST LIMIT 20""",
+    )
+    def search(spark: SparkSession, folder: str) -> DataFrame:
+        return music.search_tracks(part_plays(spark, folder), text)
+
+
+_search("search_tracks", "mALl")
+_search("search_tracks_wildcards", "s_a%")
+
+
+@query(
+    "plays_enriched",
+    """WITH d AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS name FROM part), a AS (SELECT name, name || '!' AS full_name FROM d WHERE ascii(name) % 2 = 0),
+            t AS (SELECT p_partkey AS k, p_size FROM part WHERE p_size > 10)
+       SELECT CAST(p_partkey AS VARCHAR) AS play_id, CAST(t.p_size AS BIGINT) AS duration_ms, a.name AS primary_artist_id, a.full_name AS primary_artist_name
+       FROM part p LEFT JOIN t ON p.p_partkey = t.k LEFT JOIN a ON string_split(p.p_name, ' ')[1] = a.name""",
+)
+def plays_enriched(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "part")
+    null = lambda kind: F.lit(None).cast(kind)
+    key, words = F.col("p_partkey").cast("string"), F.split("p_name", " ")
+    played = p.select(
+        key.alias("play_id"), null("timestamp_ntz").alias("played_at_utc"), key.alias("track_id"), F.col("p_name").alias("track_name"), words.alias("artist_ids"), words.alias("artist_names"),
+        *[null("string").alias(c) for c in ("album_id", "album_name")], null("long").alias("ms_played"), null("string").alias("context_type"), null("long").alias("popularity"),
+    )
+    tracks = p.where("p_size > 10").select(key.alias("track_id"), F.col("p_size").cast("long").alias("duration_ms"), null("long").alias("popularity"), null("boolean").alias("explicit"), null("string").alias("preview_url"))
+    first = values.first_element(words)
+    artists = p.select(first.alias("artist_id")).distinct().where(F.ascii("artist_id") % 2 == 0)
+    artists = artists.select("artist_id", F.concat("artist_id", F.lit("!")).alias("name"), null("array<string>").alias("genres"), null("long").alias("popularity"), null("long").alias("followers_total"))
+    return music.plays_enriched(played, tracks, artists).select("play_id", "duration_ms", "primary_artist_id", "primary_artist_name")
+
+
+@query("loader_stats", "SELECT (SELECT count(*) FROM events) AS total_plays, (SELECT count(*) FROM part) AS total_tracks, (SELECT CAST(max(ts) AS VARCHAR) FROM events) AS latest_play")
+def loader_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return music.loader_stats(plays(spark, folder), table(spark, folder, "part")).withColumn("latest_play", F.col("latest_play").cast("string"))
+
+
+# ---- web -------------------------------------------------------------------------------------------------------
+
+
+def _views(name: str, browser: str | None, profile: str | None) -> None:
+    where = (f" AND event_type = '{browser}'" if browser else "") + (f" AND CAST(user_id % 3 AS VARCHAR) = '{profile}'" if profile else "")
+
+    @query(
+        name,
+        f"""SELECT CAST(event_id AS VARCHAR) AS page_view_id, ts AS started_at_utc, props AS url, event_type AS browser, CAST(user_id % 3 AS VARCHAR) AS profile FROM events
+            WHERE CAST(ts AS DATE) BETWEEN DATE '{START}' AND DATE '{END}'{where} ORDER BY ts DESC, page_view_id LIMIT 50""",
     )
+    def views(spark: SparkSession, folder: str) -> DataFrame:
+        return web.page_views(page_views(spark, folder), START, END, browser, profile).select("page_view_id", "started_at_utc", "url", "browser", "profile")
+
+
+_views("page_views", None, None)
+_views("page_views_filtered", "click", "1")
+
+
+@query(
+    "top_domains",
+    """WITH d AS (SELECT nullif(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1), '') AS domain, url FROM pages)
+       SELECT domain, count(*) AS page_view_count, count(DISTINCT url) AS unique_urls FROM d WHERE domain IS NOT NULL GROUP BY domain ORDER BY page_view_count DESC, unique_urls DESC, domain LIMIT 20""",
+)
+def top_domains(spark: SparkSession, folder: str) -> DataFrame:
+    views = table(spark, folder, "pages").select("url", F.lit(START).cast("timestamp_ntz").alias("started_at_utc"))
+    return web.top_domains(views, START, END)
+
+
+# ---- code ------------------------------------------------------------------------------------------------------
+
+PULLS_SQL = """o AS (SELECT CAST(o_orderkey AS VARCHAR) AS pr_event_id, CAST(CAST(floor(o_orderkey / 10) AS BIGINT) AS VARCHAR) AS pr_key, o_orderpriority AS owner, CAST(o_custkey % 7 AS VARCHAR) AS repo,
+    o_orderpriority || '/' || (o_custkey % 7) AS repo_full_name, CASE o_orderstatus WHEN 'F' THEN 'opened' WHEN 'O' THEN 'merged' ELSE 'updated' END AS action, o_orderstatus AS state,
+    o_orderdate AS updated_at_utc, o_custkey % 100 AS additions, o_custkey % 30 AS deletions FROM orders)"""
+COMMITS_SQL = """x AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey) AS commit_event_id, l_returnflag AS owner, CAST(l_suppkey % 7 AS VARCHAR) AS repo, l_returnflag || '/' || (l_suppkey % 7) AS repo_full_name,
+    l_shipdate AS committed_at_utc, CAST(floor(l_quantity) AS BIGINT) AS additions, l_suppkey % 20 AS deletions FROM lineitem)"""
+
+
+@query(
+    "pull_requests",
+    f"""WITH {PULLS_SQL} SELECT pr_event_id, pr_key, owner, repo, action, state, array_to_string(string_split(owner, '-'), ',') AS labels, updated_at_utc FROM o
+        WHERE CAST(updated_at_utc AS DATE) BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}' AND owner = '1-URGENT' AND repo = '3' AND state = 'O' ORDER BY updated_at_utc DESC, pr_event_id LIMIT 100""",
+)
+def pull_requests(spark: SparkSession, folder: str) -> DataFrame:
+    found = code.pull_requests(pulls(spark, folder), ORDER_START, ORDER_END, "1-URGENT", "3", "O", 100)
+    return found.select("pr_event_id", "pr_key", "owner", "repo", "action", "state", F.array_join("labels", ",").alias("labels"), "updated_at_utc")
+
+
+@query(
+    "commits",
+    f"""WITH {COMMITS_SQL} SELECT commit_event_id, owner, repo, repo_full_name, committed_at_utc, additions, deletions FROM x
+        WHERE CAST(committed_at_utc AS DATE) BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}' AND owner = 'R' ORDER BY committed_at_utc DESC, commit_event_id LIMIT 100""",
+)
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    found = code.commits(commit_rows(spark, folder), ORDER_START, ORDER_END, owner="R", limit=100)
+    return found.select("commit_event_id", "owner", "repo", "repo_full_name", "committed_at_utc", "additions", "deletions")
+
+
+@query(
+    "repositories",
+    """SELECT c_custkey AS repo_id, c_mktsegment AS owner, c_name AS repo, round(c_acctbal, 2) AS stars FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 100""",
+)
+def repositories(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer")
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = c.select(F.col("c_custkey").alias("repo_id"), F.col("c_mktsegment").alias("owner"), F.col("c_name").alias("repo"), F.col("c_acctbal").alias("updated_at_utc"), *[null("string").alias(x) for x in code.REPOSITORY_COLUMNS if x not in ("repo_id", "owner", "repo", "updated_at_utc")])
+    return code.repositories(rows, owner="BUILDING", limit=100).select("repo_id", "owner", "repo", F.round("updated_at_utc", 2).alias("stars"))
+
+
+def _pull_level_sql(keys: str) -> str:
+    return f"""SELECT {keys}, pr_key, max(CASE WHEN action = 'opened' THEN 1 ELSE 0 END) AS opened, max(CASE WHEN action = 'merged' THEN 1 ELSE 0 END) AS merged,
+        coalesce(max(additions) FILTER (WHERE action = 'merged'), 0) AS additions, coalesce(max(deletions) FILTER (WHERE action = 'merged'), 0) AS deletions
+        FROM o WHERE CAST(updated_at_utc AS DATE) BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}' GROUP BY ALL"""
+
+
+def _activity(granularity: str) -> None:
+    f = FORMATS[granularity]
+
+    @query(
+        f"activity_stats_{granularity}",
+        f"""WITH {PULLS_SQL}, {COMMITS_SQL}, k AS ({_pull_level_sql(f"strftime(CAST(updated_at_utc AS DATE), '{f}') AS period")}),
+            p AS (SELECT period, sum(opened) AS created, sum(merged) AS merged, sum(additions) AS a, sum(deletions) AS d FROM k GROUP BY period),
+            c AS (SELECT strftime(CAST(committed_at_utc AS DATE), '{f}') AS period, count(*) AS n, sum(additions) AS a, sum(deletions) AS d FROM x
+                  WHERE CAST(committed_at_utc AS DATE) BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}' GROUP BY 1)
+            SELECT coalesce(p.period, c.period) AS period, CAST(coalesce(created, 0) AS BIGINT) AS prs_created, CAST(coalesce(merged, 0) AS BIGINT) AS prs_merged, CAST(coalesce(n, 0) AS BIGINT) AS commits_count,
+                   CAST(coalesce(p.a, 0) + coalesce(c.a, 0) AS BIGINT) AS additions, CAST(coalesce(p.d, 0) + coalesce(c.d, 0) AS BIGINT) AS deletions
+            FROM p FULL OUTER JOIN c ON p.period = c.period""",
+    )
+    def activity(spark: SparkSession, folder: str) -> DataFrame:
+        return code.activity_stats(pulls(spark, folder), commit_rows(spark, folder), ORDER_START, ORDER_END, granularity)
+
+
+for _g in FORMATS:
+    _activity(_g)
+
+
+@query(
+    "repo_summary",
+    f"""WITH {PULLS_SQL}, {COMMITS_SQL}, k AS ({_pull_level_sql("owner, repo, repo_full_name")}),
+        p AS (SELECT owner, repo, repo_full_name, count(*) AS n, sum(merged) AS m, sum(additions) AS a, sum(deletions) AS d FROM k GROUP BY ALL),
+        c AS (SELECT CASE owner WHEN 'A' THEN '1-URGENT' ELSE owner END AS owner, repo, repo_full_name, count(*) AS n, sum(additions) AS a, sum(deletions) AS d, max(committed_at_utc) AS t FROM x
+              WHERE CAST(committed_at_utc AS DATE) BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}' GROUP BY ALL)
+        SELECT coalesce(p.owner, c.owner) AS owner, coalesce(p.repo, c.repo) AS repo, coalesce(p.repo_full_name, c.repo_full_name) AS repo_full_name, CAST(coalesce(p.n, 0) AS BIGINT) AS prs_total,
+               CAST(coalesce(m, 0) AS BIGINT) AS prs_merged, CAST(coalesce(c.n, 0) AS BIGINT) AS commits_total, CAST(coalesce(p.a, 0) + coalesce(c.a, 0) AS BIGINT) AS total_additions,
+               CAST(coalesce(p.d, 0) + coalesce(c.d, 0) AS BIGINT) AS total_deletions, CAST(NULL AS TIMESTAMP) AS last_pr_updated_at, c.t AS last_commit_at
+        FROM p FULL OUTER JOIN c ON p.owner = c.owner AND p.repo = c.repo""",
+)
+def repo_summary(spark: SparkSession, folder: str) -> DataFrame:
+    c = commit_rows(spark, folder).withColumn("owner", F.when(F.col("owner") == "A", "1-URGENT").otherwise(F.col("owner")))
+    return code.repo_summary(pulls(spark, folder), c, ORDER_START, ORDER_END)
+
+
+# ---- video -----------------------------------------------------------------------------------------------------
+
+_WATCH_COLUMNS = "watch_event_id, watched_at_utc, video_id, video_url, video_title, channel_id, channel_name, content_type"
+
+
+@query("watch_events_enriched", f"WITH {WATCH_SQL} SELECT {_WATCH_COLUMNS} FROM w ORDER BY watched_at_utc DESC, watch_event_id LIMIT 100000")
+def watch_events_enriched(spark: SparkSession, folder: str) -> DataFrame:
+    return video.watch_events(watched(spark, folder))
+
+
+@query("watch_events_limited", f"WITH {WATCH_SQL} SELECT {_WATCH_COLUMNS} FROM w ORDER BY watched_at_utc DESC, watch_event_id LIMIT 25")
+def watch_events_limited(spark: SparkSession, folder: str) -> DataFrame:
+    return video.watch_events(watched(spark, folder), 25)
+
+
+@query("watch_events_without_masters", f"WITH {WATCH_SQL} SELECT {_WATCH_COLUMNS} FROM e ORDER BY watched_at_utc DESC, watch_event_id LIMIT 100000")
+def watch_events_without_masters(spark: SparkSession, folder: str) -> DataFrame:
+    return video.watch_events(watched(spark, folder, masters=False))
+
+
+def _watching(granularity: str) -> None:
+    @query(
+        f"watching_stats_{granularity}",
+        f"""WITH {WATCH_SQL} SELECT strftime(CAST(watched_at_utc AS DATE), '{FORMATS[granularity]}') AS period, count(*) AS watch_event_count, count(DISTINCT video_id) AS unique_video_count, count(DISTINCT channel_id) AS unique_channel_count
+            FROM w GROUP BY 1""",
+    )
+    def watching_stats(spark: SparkSession, folder: str) -> DataFrame:
+        return video.watching_stats(watched(spark, folder), granularity)
+
+
+for _g in FORMATS:
+    _watching(_g)
+
+
+@query("top_videos", f"WITH {WATCH_SQL} SELECT video_id, max(video_title) AS video_title, max(channel_id) AS channel_id, max(channel_name) AS channel_name, count(*) AS watch_event_count FROM w GROUP BY video_id ORDER BY watch_event_count DESC, video_id LIMIT 10")
+def top_videos(spark: SparkSession, folder: str) -> DataFrame:
+    return video.top_videos(watched(spark, folder))
+
+
+@query("top_channels", f"WITH {WATCH_SQL} SELECT channel_id, max(channel_name) AS channel_name, count(*) AS watch_event_count, count(DISTINCT video_id) AS unique_video_count FROM w WHERE channel_id IS NOT NULL GROUP BY channel_id ORDER BY watch_event_count DESC, channel_id LIMIT 10")
+def top_channels(spark: SparkSession, folder: str) -> DataFrame:
+    return video.top_channels(watched(spark, folder))
+
+
+# ---- ad-hoc and probes -----------------------------------------------------------------------------------------
+
+
+@query("adhoc_sql", "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE user_id < 50 AND event_type <> 'error' GROUP BY event_type")
+def adhoc_sql(spark: SparkSession, folder: str) -> DataFrame:
+    table(spark, folder, "events").createOrReplaceTempView("adhoc_events")
+    return adhoc.data_query(spark, "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM adhoc_events WHERE user_id < ? AND event_type <> ? GROUP BY event_type", [50, "error"])
+
+
+@query("data_available", "SELECT count(*) > 0 AS available FROM (SELECT 1 FROM events LIMIT 1)")
+def data_available(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").limit(1).agg((F.count(F.lit(1)) > 0).alias("available"))
+
+
+@query("popular_parts", "SELECT count(*) OVER () AS total, p_partkey, p_name, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 10")
+def popular_parts(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "part")
+    top = p.select("p_partkey", "p_name", "p_size").orderBy(F.desc("p_size"), "p_partkey").limit(10)
+    return top.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("total")))).select("total", "p_partkey", "p_name", "p_size")  # one row
+
+
+@query("describe_columns", "SELECT column_name, ordinal_position AS place FROM (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS column_name, unnest([1, 2, 3, 4, 5, 6]) AS ordinal_position)")
+def describe_columns(spark: SparkSession, folder: str) -> DataFrame:
+    fields = table(spark, folder, "events").schema.fieldNames()
+    return spark.createDataFrame([(n, i) for i, n in enumerate(fields, 1)], "column_name string, place int")
+
+
+@query("value_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, CAST(min(ts) AS VARCHAR) AS first, CAST(max(ts) AS VARCHAR) AS last, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM events")
+def value_summary(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    return e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.min("ts").cast("string").alias("first"), F.max("ts").cast("string").alias("last"), F.count_if(F.col("value").isNull()).alias("missing"))
+
+
+# ---- dataflow --------------------------------------------------------------------------------------------------
+
+CLUSTER_SQL = """s AS (SELECT *, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+    n AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 2 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS cluster_no FROM s)"""
+
+
+def _clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return visits.cluster(table(spark, folder, "events"), ["user_id", "event_type"], "ts", "INTERVAL 2 HOURS")
+
+
+@query("page_view_clusters", f"WITH {CLUSTER_SQL} SELECT user_id, event_type, CAST(cluster_no AS BIGINT) AS cluster_no, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS visit_span_count FROM n GROUP BY ALL")
+def page_view_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found = _clusters(spark, folder).groupBy("user_id", "event_type", "cluster_no")
+    return found.agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("visit_span_count"))
+
+
+_TRANSITION_SQL = "['typed', 'link', 'auto_bookmark', 'form_submit', 'reload', 'keyword', 'keyword_generated', 'manual_subframe', 'auto_subframe', 'other_b', 'other_a']"
+
+
+@query(
+    "transition_pick",
+    f"""WITH v AS (SELECT user_id, event_type, list_extract({_TRANSITION_SQL}, CAST(event_id % 12 AS INTEGER) + 1) AS t, CASE WHEN event_id % 12 > 8 THEN 999 ELSE event_id % 12 END AS r FROM events)
+        SELECT user_id, event_type, min(struct_pack(r := r, t := t)).t AS transition FROM v WHERE t IS NOT NULL GROUP BY ALL""",
+)
+def transition_pick(spark: SparkSession, folder: str) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in (*visits.TRANSITION_RANKS, "other_b", "other_a")])
+    e = table(spark, folder, "events").withColumn("t", F.get(names, (F.col("event_id") % 12).cast("int")))
+    return e.groupBy("user_id", "event_type").agg(visits.pick_transition(F.col("t")).alias("transition"))
+
+
+@query(
+    "last_title",
+    """WITH v AS (SELECT user_id, ts, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 7 = 0 THEN NULL ELSE props END AS title FROM events),
+            u AS (SELECT DISTINCT user_id FROM events), m AS (SELECT user_id, max(struct_pack(ts := ts, title := title)).title AS title FROM v WHERE title <> '' GROUP BY user_id)
+       SELECT u.user_id, m.title FROM u LEFT JOIN m ON u.user_id = m.user_id""",
+)
+def last_title(spark: SparkSession, folder: str) -> DataFrame:
+    title = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("props"))
+    e = table(spark, folder, "events").withColumn("title", title)
+    return e.groupBy("user_id").agg(visits.pick_title(F.col("title"), F.col("ts")).alias("title"))
+
+
+def _changed_customers(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer").select("c_custkey", "c_name", F.lit(1).alias("version"))
+    return c.unionByName(c.where("c_custkey % 3 = 0").withColumns({"c_name": F.concat("c_name", F.lit("+")), "version": F.lit(2)}))
+
+
+_CHANGED_SQL = "u AS (SELECT c_custkey, c_name, 1 AS version FROM customer UNION ALL SELECT c_custkey, c_name || '+', 2 FROM customer WHERE c_custkey % 3 = 0)"
+
+
+@query("compact_keep_last", f"WITH {_CHANGED_SQL} SELECT c_custkey, c_name, version FROM u QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY version DESC) = 1")
+def compact_keep_last(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.keep_last(_changed_customers(spark, folder), ["c_custkey"], "version")
+
+
+@query("first_seen", f"WITH {_CHANGED_SQL} SELECT c_custkey, c_name, version FROM u QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY version) = 1")
+def first_seen(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.first_seen(_changed_customers(spark, folder), ["c_custkey"], "version")
+
+
+@query("new_ids_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def new_ids_anti(spark: SparkSession, folder: str) -> DataFrame:
+    stored = table(spark, folder, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return dedup.only_new(table(spark, folder, "customer").select("c_custkey"), stored, "c_custkey")
+
+
+@query("existing_ids", "SELECT DISTINCT CASE WHEN o_custkey % 5 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS id FROM orders WHERE o_custkey % 5 <> 0")
+def existing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    ids = F.when(F.col("o_custkey") % 5 == 0, "").otherwise(F.col("o_custkey").cast("string"))
+    return dedup.existing_ids(table(spark, folder, "orders").select(ids.alias("id")), "id")
+
+
+@query("ingest_counts", "SELECT count(*) AS fetched, count(*) FILTER (WHERE NOT known) AS new, count(*) FILTER (WHERE known) AS duplicates FROM (SELECT c_custkey IN (SELECT o_custkey FROM orders) AS known FROM customer)")
+def ingest_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.ingest_counts(table(spark, folder, "customer"), table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query(
+    "snapshot_upsert",
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_name || '*' ELSE c_name END AS c_name FROM customer
+       UNION ALL SELECT c_custkey + 10000000, c_name || '*' FROM customer WHERE c_custkey % 10 = 0""",
+)
+def snapshot_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer").select("c_custkey", "c_name")
+    star = F.concat("c_name", F.lit("*")).alias("c_name")
+    incoming = c.where("c_custkey % 4 = 0").select("c_custkey", star).unionByName(c.where("c_custkey % 10 = 0").select((F.col("c_custkey") + 10_000_000).alias("c_custkey"), star))
+    return dedup.upsert(c, incoming, "c_custkey")
+
+
+@query("months_available", "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders")
+def months_available(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select(*[c.alias(n) for n, c in month_columns(F.col("o_orderdate")).items()]).distinct()
+
+
+@query("target_months", "SELECT * FROM (VALUES (2023, 12), (2024, 1)) AS t(year, month)")
+def target_months(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame(cursors.target_months(today=date(2024, 1, 15)), "year int, month int")
+
+
+@query("cursor_increment", "SELECT count(*) AS n, CAST(max(ts) AS VARCHAR) AS cursor FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00' AND ts <= TIMESTAMP '2024-01-25 00:00:00'")
+def cursor_increment(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cursors.since(table(spark, folder, "events"), "ts", "2024-01-15 12:00:00", "2024-01-25 00:00:00")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.max("ts").cast("string").alias("cursor"))
+
+
+# ---- scalar functions ------------------------------------------------------------------------------------------
+
+
+@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query(
+    "url_parts",
+    """SELECT page_id, lower(nullif(regexp_extract(url, '^[a-zA-Z]+://([^/?#:@]+)', 1), '')) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS path,
+              nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, CASE WHEN url LIKE '%/shorts/%' THEN 'short' ELSE 'video' END AS content_type FROM pages""",
+)
+def url_parts(spark: SparkSession, folder: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, folder, "pages").select("page_id", urls.host(url).alias("host"), urls.path(url).alias("path"), urls.query_value(url, "page").alias("page"), urls.content_type(url).alias("content_type"))
+
+
+_VIDEO_URL_SQL = "CASE page_id % 4 WHEN 0 THEN 'https://www.youtube.com/watch?v=id' || page_id || '&t=1' WHEN 1 THEN 'https://m.youtube.com/shorts/id' || page_id || '/x' WHEN 2 THEN 'https://youtu.be/id' || page_id || '?si=a' ELSE url END"
+
+
+@query("video_ids", f"SELECT page_id, CASE WHEN page_id % 4 < 3 THEN 'id' || page_id END AS video_id, CASE WHEN page_id % 4 = 1 THEN 'short' ELSE 'video' END AS content_type FROM pages WHERE {_VIDEO_URL_SQL} IS NOT NULL")
+def video_ids(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "pages").withColumn("u", F.expr(_VIDEO_URL_SQL))
+    return p.select("page_id", urls.video_id(F.col("u")).alias("video_id"), urls.content_type(F.col("u")).alias("content_type"))
+
+
+@query("html_links", "SELECT page_id, nullif(trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)), '') AS title, CAST(len(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)) AS INTEGER) AS links FROM pages")
+def html_links(spark: SparkSession, folder: str) -> DataFrame:
+    title = F.nullif(F.trim(F.regexp_extract("html", "<title[^>]*>([^<]*)</title>", 1)), F.lit(""))
+    return table(spark, folder, "pages").select("page_id", title.alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'))).alias("links"))
+
+
+@query("sha_keys", "SELECT o_orderkey, sha256(concat(o_orderkey, ':', o_custkey, ':', o_orderstatus)) AS id FROM orders")
+def sha_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select("o_orderkey", sha_key(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")).alias("id"))
+
+
+@query(
+    "uuid5_keys",
+    """WITH h AS (SELECT c_custkey, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(c_name)) AS x FROM customer)
+       SELECT c_custkey, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || translate(x[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || x[18:20] || '-' || x[21:32] AS id FROM h""",
+)
+def uuid5_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select("c_custkey", uuid5(F.col("c_name")).alias("id"))
+
+
+@query("iso_durations", "SELECT p_partkey, CAST(p_size * 60 + p_partkey % 60 + (p_size % 5) * 3600 AS BIGINT) AS seconds FROM part")
+def iso_durations(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.format_string("PT%dH%dM%dS", F.col("p_size") % 5, F.col("p_size"), F.col("p_partkey") % 60)
+    return table(spark, folder, "part").select("p_partkey", iso_duration(text).alias("seconds"))
+
+
+@query("safe_casts", "SELECT c_custkey, try_cast(CASE WHEN c_custkey % 3 = 0 THEN 'n/a' ELSE c_name[10:] END AS BIGINT) AS n FROM customer")
+def safe_casts(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.when(F.col("c_custkey") % 3 == 0, "n/a").otherwise(F.substr("c_name", F.lit(10)))
+    return table(spark, folder, "customer").select("c_custkey", values.safe_long(text).alias("n"))
+
+
+@query("events_by_period", "SELECT strftime(CAST(ts AS DATE), '%G-W%V') AS week, strftime(CAST(ts AS DATE), '%Y-%m') AS month, count(*) AS n FROM events GROUP BY ALL")
+def events_by_period(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").groupBy(period(F.col("ts"), "week").alias("week"), period(F.col("ts"), "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "watch_event_derivation",
+    f"SELECT CAST(page_id AS VARCHAR) AS source_event_id, 'id' || page_id AS video_id, CASE WHEN page_id % 4 = 1 THEN 'short' ELSE 'video' END AS content_type FROM pages WHERE page_id % 4 < 3 AND page_id % 5 <> 0 AND {_VIDEO_URL_SQL} IS NOT NULL",
+)
+def watch_event_derivation(spark: SparkSession, folder: str) -> DataFrame:
+    title = F.when(F.col("page_id") % 5 == 0, "").otherwise(F.lit("t"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    views = table(spark, folder, "pages").select(F.expr(_VIDEO_URL_SQL).alias("url"), title.alias("title"), F.col("page_id").cast("string").alias("page_view_id"), now.alias("started_at_utc"), F.lit("d").alias("source_device"), now.alias("ingested_at_utc"), F.lit("s").alias("sync_id"))
+    return watching.watch_events(views).select("source_event_id", "video_id", "content_type")
+
+
+# ---- streaming -------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, folder: str) -> DataFrame:
+    """The events file as a stream; the brackets make the path a pattern, which a single file needs."""
+    return streams.file_stream(spark, f"{folder}/event[s].parquet", table(spark, folder, "events").schema)
+
+
+def _stream_result(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """The whole result of a stream that ends: batches written with a ledger and a checkpoint in the shared folder, the last one read back."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="dayloom-")
+    base = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    write = streams.once_per_batch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}"), f"{base}/ledger")
+    streams.run_available(stream, f"{base}/checkpoint", write, "complete")
+    rows = spark.read.parquet(f"{base}/rows")
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row is broadcast
+
+
+@query("stream_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS bucket, count(*) AS n FROM events GROUP BY 1")
+def stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _stream_result(spark, streams.bucket_counts(_streamed(spark, folder), "ts"), "daily")
+    return rows.select(F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "n")
+
+
+@query("stream_sessions", f"WITH {CLUSTER_SQL} SELECT user_id, event_type, CAST(min(ts) AS VARCHAR) AS started_at, CAST(max(ts) AS VARCHAR) AS ended_at, count(*) AS n FROM n GROUP BY user_id, event_type, cluster_no")
+def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    found = streams.sessions(_streamed(spark, folder), ["user_id", "event_type"], "ts", "2 hours", [F.count(F.lit(1)).alias("n")], "40 days")
+    rows = _stream_result(spark, found, "sessions")
+    return rows.select("user_id", "event_type", F.col("started_at").cast("string").alias("started_at"), F.col("ended_at").cast("string").alias("ended_at"), "n")
