@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
+KINDS: dict[str, DataType] = {
+    "string": StringType(),
+    "bigint": LongType(),
+    "boolean": BooleanType(),
+    "timestamp": TimestampType(),
+    "timestamp_ntz": TimestampNTZType(),
+    "array<string>": ArrayType(StringType()),
+}
 
-def _struct(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _struct(columns: str) -> StructType:
+    """A schema from ``name kind`` pairs; built without a session, so that modules can be imported before there is one."""
+    pairs = (c.split() for c in columns.split(","))
+    return StructType([StructField(name, KINDS[kind]) for name, kind in pairs])
 
 
 PLAYS = _struct(
@@ -54,8 +65,10 @@ WATCH_HISTORY = _struct(
     "watch_id string, account_id string, watched_at_utc timestamp, video_id string, video_title string, channel_id string, channel_name string, video_url string, context string"
 )
 #: A push of raw visits by a browser.
-VISIT_PAYLOAD = _struct(
-    "sync_id string, source_device string, browser string, profile string, synced_at string, "
-    "items array<struct<url:string,visit_time:string,title:string,visit_id:string,referring_visit_id:string,transition:string>>"
+VISIT_PAYLOAD = StructType(
+    [
+        *_struct("sync_id string, source_device string, browser string, profile string, synced_at string").fields,
+        StructField("items", ArrayType(_struct("url string, visit_time string, title string, visit_id string, referring_visit_id string, transition string"))),
+    ]
 )
 BROWSERS = ["edge", "brave", "chrome"]  # fixed values: browsers that may push visits
