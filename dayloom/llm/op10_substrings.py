@@ -220,3 +220,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
+ORACLE_SQL = {
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+        g AS (SELECT doc_id, word, i, CASE WHEN i <= n - 49 THEN array_to_string(ws[i:i + 49], ' ') END AS gram FROM p),
+        f AS (SELECT gram, min(doc_id) AS first FROM g WHERE gram IS NOT NULL GROUP BY gram),
+        c AS (SELECT g.doc_id, g.word, g.i, max(CASE WHEN f.first < g.doc_id THEN g.i END) OVER (PARTITION BY g.doc_id ORDER BY g.i ROWS UNBOUNDED PRECEDING) AS cover
+              FROM g LEFT JOIN f ON g.gram = f.gram),
+        r AS (SELECT doc_id, count(*) FILTER (WHERE cover >= i - 49) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (WHERE cover IS NULL OR cover < i - 49) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(r.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+    """
+}

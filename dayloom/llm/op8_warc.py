@@ -199,3 +199,15 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_warc_revisits": op8_warc_revisits}
+ORACLE_SQL = {
+    "op8_warc_revisits": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best, CAST(CAST(from_hex(sha1(html)) AS BIT) AS VARCHAR) AS bits FROM p)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 160, 5), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+                   16 * CAST(bits[k + 1] = '1' AS INTEGER) + 8 * CAST(bits[k + 2] = '1' AS INTEGER) + 4 * CAST(bits[k + 3] = '1' AS INTEGER)
+                   + 2 * CAST(bits[k + 4] = '1' AS INTEGER) + CAST(bits[k + 5] = '1' AS INTEGER) + 1 AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to, url AS target_uri
+        FROM m
+    """
+}
