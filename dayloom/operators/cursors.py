@@ -20,6 +20,11 @@ def since(df: DataFrame, time: str, last: str | None, until: str | None = None)
     return df
 
 
+def window_page(df: DataFrame, time: str, last: str | None, until: str, cap: int) -> DataFrame:
+    """The newest ``cap`` rows of the window, the latest first: one page of an initial load."""
+    return since(df, time, last, until).orderBy(F.desc(time)).limit(cap)
+
+
 def latest(df: DataFrame, time: str) -> DataFrame:
     """One row with the greatest time, the next cursor."""
     return df.agg(F.max(time).alias("cursor"))

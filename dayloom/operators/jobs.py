@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.operators import dedup, listening, visits, watching, worklog
-from dayloom.operators.cursors import CursorFile, run_all
+from dayloom.operators.cursors import CursorFile, run_all, since
 from dayloom.sources import files, sinks
 from dayloom.sources.catalog import Lake, conform
 
@@ -56,3 +56,38 @@ def ingest_worklog(pulls: DataFrame, commits: DataFrame, repos: DataFrame, lake:
 def compact_all(lake: Lake, names: list[str], months: list[tuple[int, int]] | None = None) -> dict[str, object]:
     """Compact datasets one by one; errors are gathered and raised at the end. ``months`` None means all there are."""
     return run_all({name: (lambda name=name: sinks.compact(lake, name, months)) for name in names})
+
+
+def enrich_watch_events(lake: Lake, videos: DataFrame, channels: DataFrame) -> DataFrame:
+    """Merge video and channel answers into the masters and return the stored events with what those know.
+
+    A video gets the content type of its events, ``video`` if none says otherwise.
+    """
+    events = lake.scan("youtube/watch_events", layer="raw")
+    kinds = watching.video_ids(events).select("video_id", F.col("content_type").alias("_kind"))
+    typed = videos.join(kinds, "video_id", "left").withColumn("content_type", F.coalesce("_kind", F.lit("video"))).drop("_kind")
+    sinks.upsert_master(typed, lake, "youtube/videos")
+    sinks.upsert_master(channels, lake, "youtube/channels")
+    return watching.enrich(events, lake.scan("youtube/videos"))
+
+
+def ingest_watch_history(items: DataFrame, account: str, lake: Lake, cursor: CursorFile, not_before: str | None = None) -> int:
+    """Land an account's watch history after its cursor (and not before a given time); the cursor moves last. Returns the number of rows."""
+    last = max(filter(None, (cursor.read(), not_before)), default=None)
+    fresh = since(watching.watch_history(items, account), "watched_at_utc", last)
+    found = fresh.agg(F.max("watched_at_utc").cast("string").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    if found["n"]:
+        sinks.append_events(fresh, lake, "youtube/watch_history")
+        cursor.advance(found["m"])
+    return found["n"]
+
+
+def import_export(pages: DataFrame, lake: Lake, ingested_at: Column, after: str | None = None, before: str | None = None) -> DataFrame:
+    """Land the watch events of an export, from ``after`` on and before ``before``; one row of counts comes back."""
+    events = watching.exported_events(pages, ingested_at)
+    if after:
+        events = events.where(F.col("watched_at_utc") >= F.lit(after).cast("timestamp"))
+    if before:
+        events = events.where(F.col("watched_at_utc") < F.lit(before).cast("timestamp"))
+    sinks.append_events(events, lake, "youtube/watch_events")
+    return events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("video_id").alias("videos"), F.min("watched_at_utc").alias("first"), F.max("watched_at_utc").alias("last"), F.count_if(F.col("channel_id").isNull()).alias("without_channel"))

@@ -6,8 +6,6 @@ and commits, customer for repositories, lineitem with part and supplier for watc
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -16,10 +14,12 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import urls, values
 from dayloom.functions.ids import sha_key, uuid5
-from dayloom.functions.times import iso_duration, month_columns, period
-from dayloom.operators import cursors, dedup, visits, watching
+from dayloom.functions.times import iso_duration, month_columns, period, unix_ms
+from dayloom.operators import cursors, dedup, visits, watching, worklog
 from dayloom.plans import adhoc, code, music, video, web
-from dayloom.sources.catalog import empty
+from dayloom.sources import sinks
+from dayloom.sources.catalog import Lake, empty
+from dayloom.sources.scratch import shared_dir
 from dayloom.sources.schemas import CHANNELS, VIDEOS
 from dayloom.sources.tables import table
 from dayloom.streaming import streams
@@ -575,6 +575,46 @@ def watch_event_derivation(spark: SparkSession, folder: str) -> DataFrame:
     return watching.watch_events(views).select("source_event_id", "video_id", "content_type")
 
 
+@query(
+    "pull_actions",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'merged' WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_orderkey % 5 = 0 THEN 'reopened' WHEN o_custkey % 2 = 0 THEN 'updated' ELSE 'opened' END AS action FROM orders""",
+)
+def pull_actions(spark: SparkSession, folder: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("string")
+    given = lambda test: F.when(test, day)
+    state = F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "O", "open")
+    updated = F.when(F.col("o_custkey") % 2 == 0, F.concat(day, F.lit("+"))).otherwise(day)
+    action = worklog.pull_action(state, day, updated, given(F.col("o_orderkey") % 5 == 0), given(F.col("o_orderkey") % 7 == 0))
+    return table(spark, folder, "orders").select("o_orderkey", action.alias("action"))
+
+
+@query("repo_summaries", "SELECT p_partkey, concat_ws(' | ', nullif(CASE WHEN p_size > 10 THEN p_type ELSE '' END, ''), CASE WHEN p_size > 3 THEN 'Topics: ' || array_to_string(list_slice(string_split(p_name, ' '), 1, 5), ', ') END) AS summary FROM part")
+def repo_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    topics = F.when(F.col("p_size") > 3, F.split("p_name", " ")).otherwise(F.array().cast("array<string>"))
+    return table(spark, folder, "part").select("p_partkey", worklog.repo_summary(F.when(F.col("p_size") > 10, F.col("p_type")).otherwise(""), topics).alias("summary"))
+
+
+@query("instants", "SELECT o_orderkey, CAST(epoch_ms(o_orderdate) AS BIGINT) AS utc_ms, CAST(epoch_ms(o_orderdate) + 5 * 3600000 AS BIGINT) AS zoned_ms FROM orders")
+def instants(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    return table(spark, folder, "orders").select("o_orderkey", unix_ms(F.concat(text, F.lit("Z"))).alias("utc_ms"), unix_ms(F.concat(text, F.lit("-05:00"))).alias("zoned_ms"))
+
+
+@query(
+    "landed_and_compacted",
+    """SELECT strftime(ts, '%Y-%m') AS month, count(*) AS plays, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total_ms FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-25' GROUP BY 1""",
+)
+def landed_and_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Plays landed twice by month, compacted to one row each, and scanned back for some days."""
+    lake = Lake(spark, shared_dir(spark))
+    rows = plays(spark, folder)
+    for _ in range(2):
+        sinks.append_events(rows, lake, "spotify/plays")
+    sinks.compact(lake, "spotify/plays")
+    found = lake.scan("spotify/plays", "2024-01-10", "2024-01-25").groupBy(period(F.col("played_at_utc"), "month").alias("month"))
+    return found.agg(F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("total_ms"))
+
+
 # ---- streaming -------------------------------------------------------------------------------------------------
 
 
@@ -583,10 +623,9 @@ def _streamed(spark: SparkSession, folder: str) -> DataFrame:
     return streams.file_stream(spark, f"{folder}/event[s].parquet", table(spark, folder, "events").schema)
 
 
-def _stream_result(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+def _stream_result(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """The whole result of a stream that ends: batches written with a ledger and a checkpoint in the shared folder, the last one read back."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="dayloom-")
-    base = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = shared_dir(spark)
     write = streams.once_per_batch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}"), f"{base}/ledger")
     streams.run_available(stream, f"{base}/checkpoint", write, "complete")
     rows = spark.read.parquet(f"{base}/rows")
@@ -595,12 +634,12 @@ def _stream_result(spark: SparkSession, stream: DataFrame, name: str) -> DataFra
 
 @query("stream_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS bucket, count(*) AS n FROM events GROUP BY 1")
 def stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _stream_result(spark, streams.bucket_counts(_streamed(spark, folder), "ts"), "daily")
+    rows = _stream_result(spark, streams.bucket_counts(_streamed(spark, folder), "ts"))
     return rows.select(F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "n")
 
 
 @query("stream_sessions", f"WITH {CLUSTER_SQL} SELECT user_id, event_type, CAST(min(ts) AS VARCHAR) AS started_at, CAST(max(ts) AS VARCHAR) AS ended_at, count(*) AS n FROM n GROUP BY user_id, event_type, cluster_no")
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     found = streams.sessions(_streamed(spark, folder), ["user_id", "event_type"], "ts", "2 hours", [F.count(F.lit(1)).alias("n")], "40 days")
-    rows = _stream_result(spark, found, "sessions")
+    rows = _stream_result(spark, found)
     return rows.select("user_id", "event_type", F.col("started_at").cast("string").alias("started_at"), F.col("ended_at").cast("string").alias("ended_at"), "n")

@@ -269,3 +269,34 @@ def test_batches_run_once(spark, tmp_path):
     for n in (0, 0, 1):
         run(spark.range(1), n)
     assert done == [0, 1]
+
+
+def test_masters_enrich_stored_events(spark, lake):
+    events = conform(spark.createDataFrame([("e1", T("2024-01-01"), "v", "old", "short"), ("e2", T("2024-02-01"), "w", "W", "video")], "watch_event_id string, watched_at_utc timestamp, video_id string, video_title string, content_type string"), DATASETS["youtube/watch_events"].schema)
+    sinks.append_events(events, lake, "youtube/watch_events")
+    videos = spark.createDataFrame([("v", "New", "c")], "video_id string, title string, channel_id string")
+    channels = spark.createDataFrame([("c", "C")], "channel_id string, channel_name string")
+    for _ in range(2):  # the second run replaces masters that it also reads
+        got = {r["video_id"]: r["video_title"] for r in jobs.enrich_watch_events(lake, videos, channels).collect()}
+        assert got == {"v": "New", "w": "W"}
+    assert [r["content_type"] for r in lake.scan("youtube/videos").collect()] == ["short"] and lake.available("youtube/channels")
+
+
+def test_watch_history_cursor(spark, lake, tmp_path):
+    items = spark.createDataFrame([("v", "T", "C", "2024-01-01T00:00:00Z", "u"), ("w", "T", "C", "2024-01-03T00:00:00Z", "u")], "video_id string, title string, channel_name string, watched_at string, video_url string")
+    c = cursors.CursorFile(tmp_path / "c.json")
+    assert jobs.ingest_watch_history(items, "a", lake, c, "2024-01-02") == 1
+    assert jobs.ingest_watch_history(items, "a", lake, c) == 0 and c.read() == "2024-01-03 00:00:00"
+    assert lake.scan("youtube/watch_history", layer="raw").count() == 1
+
+
+def test_export_import(spark, lake):
+    cell = '<div class="outer-cell"><p class="mdl-typography--title">YouTube</p><div class="mdl-typography--body-1"><a href="https://youtu.be/abcdefghijk">F</a>{}<br></div></div>'
+    pages = spark.createDataFrame([(cell.format("2024/05/06 07:08:09 JST") + cell.format("2025/05/06 07:08:09 JST"),)], "html string")
+    row = jobs.import_export(pages, lake, NOW(), after="2024-01-01", before="2025-01-01").first()
+    assert (row["events"], row["videos"], row["without_channel"]) == (1, 1, 1) and lake.scan("youtube/watch_events", layer="raw").count() == 1
+
+
+def test_window_pages(spark):
+    rows = spark.range(10).select(F.timestamp_seconds("id").alias("t"))
+    assert [r["t"].second for r in cursors.window_page(rows, "t", "1970-01-01 00:00:02", "1970-01-01 00:00:08", 3).collect()] == [8, 7, 6]
