@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -114,12 +115,12 @@ def _raw(column: pa.Array) -> Iterator[bytes]:
     return (x.as_py() or b"" for x in pc.cast(column, pa.binary()))
 
 
-def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_anchors(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text) to (anchor, doc), each anchor once for a document."""
     for batch in batches:
         docs = batch.column("doc").to_numpy()
         found, owner = [], []
-        for doc, raw in zip(docs, _raw(batch.column("text"))):
+        for doc, raw in zip(docs, _raw(batch.column(text))):
             words = raw.split()
             if len(words) >= WINDOW:
                 own = np.unique(anchors(words)[1])
@@ -129,13 +130,13 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(owner))], names=["anchor", "doc"])
 
 
-def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_windows(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, shared) to (w1, w2, doc, place); place is the text's crc32 and the window's position."""
     for batch in batches:
         parts: list[list[np.ndarray]] = []
         held = 0
         shared = batch.column("shared")
-        for i, (doc, raw) in enumerate(zip(batch.column("doc").to_numpy(), _raw(batch.column("text")))):
+        for i, (doc, raw) in enumerate(zip(batch.column("doc").to_numpy(), _raw(batch.column(text)))):
             words = raw.split()
             if len(words) < WINDOW:
                 continue
@@ -149,11 +150,11 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["w1", "w2", "doc", "place"])
 
 
-def _cut(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
+def _cut(text: str, batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
     """(words, removed words, kept text) of each row of (text, firsts, covered)."""
     n_words, n_removed, kept = [], [], []
     firsts, covered = batch.column("firsts"), batch.column("covered")
-    for i, raw in enumerate(_raw(batch.column("text"))):
+    for i, raw in enumerate(_raw(batch.column(text))):
         words = raw.split()
         n, tag = len(words), zlib.crc32(raw)
         if n < WINDOW:
@@ -179,30 +180,28 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     underscore; an empty table gives none. Keys are integers.
     """
     held, at = seal(docs)
+    names, body = held.columns, at[text]
     doc = F.coalesce(F.col(at[key]).cast("long"), F.lit(LAST)).alias("doc")
-    plain = F.col(at[text])
-    base = held.select(doc, plain.alias("text"))
+    plain = F.col(body)
+    whole = held.select(doc, *names)  # dealt by doc once: all three passes join this very relation, so that the exchange is reused
     # the smallest key of each text, and which of a key's texts those are
     tag = F.crc32(plain.cast("binary")).alias("tag")
     firsts = held.where(plain.isNotNull()).select(doc, F.md5(plain).alias("digest"), tag).groupBy("digest").agg(F.min("doc").alias("doc"), F.first("tag").alias("tag"))
     firsts = firsts.groupBy("doc").agg(F.collect_set("tag").alias("firsts"))
 
-    found = map_arrow(base.join(firsts.select("doc"), "doc"), _emit_anchors, "anchor long, doc long")
+    found = map_arrow(whole.join(firsts.select("doc"), "doc"), partial(_emit_anchors, body), "anchor long, doc long")
     meet = Window.partitionBy("anchor").orderBy("doc")
     shared = found.select("anchor", "doc", F.lag("doc").over(meet).alias("before"), F.lead("doc").over(meet).alias("after"))
     shared = shared.where("before IS NOT NULL OR after IS NOT NULL").groupBy("doc").agg(F.collect_list("anchor").alias("shared"))
 
-    windows = map_arrow(base.join(shared, "doc"), _emit_windows, "w1 long, w2 long, doc long, place long")
+    windows = map_arrow(whole.join(shared, "doc"), partial(_emit_windows, body), "w1 long, w2 long, doc long, place long")
     equal = Window.partitionBy("w1", "w2").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     covered = windows.withColumn("first", F.first("doc").over(equal)).where("first < doc").groupBy("doc").agg(F.collect_list("place").alias("covered"))
-
-    names = held.columns
-    whole = held.select(doc, *names)
-    joined = whole.join(firsts, "doc", "left").join(covered, "doc", "left").select(*names, F.col(at[text]).alias("text"), "firsts", "covered")
+    joined = whole.join(firsts, "doc", "left").join(covered, "doc", "left").select(*names, "firsts", "covered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept = _cut(batch)
+            n_words, n_removed, kept = _cut(body, batch)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pc.cast(pa.array(kept, pa.binary()), pa.string())],
                 names=[*names, "n_words", "n_removed", "kept_text"],
