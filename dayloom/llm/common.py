@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayloom.sources.scratch import shared_dir
+
 #: Words in the corpus contracts: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+FILE_ROWS = 50_000  # of an intermediate table whose size is known
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,27 +21,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset, under a local one (tests)."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        found = context._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="dayloom-")
-        context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/dayloom-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage with files that every executor can reach, so a lost executor costs only its own tasks.
+    Cuts the lineage with files that every executor can reach, so a lost executor costs only its own tasks. With a bound on
+    its ``rows`` a small table goes to few files, rather than one for each shuffle partition.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rows"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
