@@ -28,19 +28,20 @@ def _edges(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """(node, root) for every node in ``edges`` (a, b: bigint, none null), root the least node it reaches.
 
-    Loops and repeated edges do no harm; an empty table gives none. Rounds grow with the logarithm of the longest chain.
+    Loops and repeated edges do no harm; an empty table gives none. ``nodes``, if known, sizes the files of the rounds.
+    Rounds grow with the logarithm of the longest chain.
     """
     u, v, m = F.col("u"), F.col("v"), F.col("m")
-    now = materialize(_edges(edges, F.col("a"), F.col("b")))
+    now = materialize(_edges(edges, F.col("a"), F.col("b")), nodes)
     seen = None
     for _ in range(MAX_ROUNDS):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _edges(_with_minimum(both).where(v > u), v, m)
         small = _with_minimum(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        now = materialize(_edges(small.select(F.explode(F.array(F.struct(u.alias("x"), m), F.struct(v.alias("x"), m))).alias("e")), F.col("e.x"), F.col("e.m")))
+        now = materialize(_edges(small.select(F.explode(F.array(F.struct(u.alias("x"), m), F.struct(v.alias("x"), m))).alias("e")), F.col("e.x"), F.col("e.m")), nodes)
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -77,14 +77,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gives none.
     """
     prints = materialize(fingerprints(docs, key, text))
-    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    linked = components(ball_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    total = prints.count()
+    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")), total)
+    linked = components(ball_links(nodes.select("fp")), total).withColumnRenamed("node", "fp")
     rooted = nodes.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # a component can be large, but a minimum is aggregated before the shuffle; rows that are their own root need no join
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     moved = linked.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
     alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
-    classes = materialize(moved.unionByName(alone))
+    classes = materialize(moved.unionByName(alone), total)
     return prints.join(classes, "fp").select("key", "fp", "text_hash", "component_id", "root")
 
 

@@ -57,11 +57,12 @@ def size_class(size: Column) -> Column:
 
 def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float, seed: int) -> DataFrame:
     """The sealed rows of ``docs`` with size, source_size, target, rank (in the source, from 1) and copies."""
-    cells = docs.count() // CELL_ROWS + 1
+    total = docs.count()
+    cells = total // CELL_ROWS + 1
     held, at = seal(docs)
     sized = held.withColumns({"source": F.col(at[source]), "size": word_count(at[text]), "hash": F.xxhash64(F.lit(seed), F.col(at[key]), F.col(at[text]))})
     sized = sized.withColumns({"class": size_class(F.col("size")), "block": F.pmod(F.col("hash"), F.lit(cells)).cast("int")})
-    counts = materialize(sized.groupBy("source", "class", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
+    counts = materialize(sized.groupBy("source", "class", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), total)
 
     def before(n: str, over: list[str], order: str) -> Column:
         w = Window.partitionBy(*over).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
