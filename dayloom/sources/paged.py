@@ -77,7 +77,8 @@ def read_resources(resources: DataFrame, read: Callable[[dict[str, Any]], Iterat
         for batch in batches:
             for row in batch.to_dict("records"):
                 found = [json.dumps(x) for x in read(row)]
-                yield pd.DataFrame({**{n: [row[n]] * len(found) for n in names}, "json": found})
+                if found:
+                    yield pd.DataFrame({**{n: [row[n]] * len(found) for n in names}, "json": found})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in resources.schema)
     return resources.mapInPandas(run, f"{schema}, json string")
