@@ -1,7 +1,8 @@
 """Connected components over an edge table, by alternating star contractions.
 
 Every round runs on whole tables: minima are aggregated partially before the shuffle, and the join that hands a node's
-minimum to its neighbours is salted, so a hub with a third of all edges is spread over ``SALTS`` keys. Each round
+minimum to its neighbours is salted, so a hub with a third of all edges is spread over ``SALTS`` keys; minima, which grow
+with the input, are never broadcast. Each round
 is written to the shared checkpoint folder; only one row (a count and a checksum) comes to the driver.
 """
 
@@ -21,7 +22,7 @@ def _with_minimum(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
     least = least.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, (F.col("u") == F.col("w")) & (F.col("salt") == F.col("slot"))).select("u", "v", "m")
+    return salted.join(least.hint("merge"), (F.col("u") == F.col("w")) & (F.col("salt") == F.col("slot"))).select("u", "v", "m")
 
 
 def _edges(df: DataFrame, a: Column, b: Column) -> DataFrame:

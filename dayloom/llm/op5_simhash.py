@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     moved = linked.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
     alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     classes = materialize(moved.unionByName(alone), total)
-    return prints.join(classes, "fp").select("key", "fp", "text_hash", "component_id", "root")
+    return prints.join(classes.hint("merge"), "fp").select("key", "fp", "text_hash", "component_id", "root")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
