@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from dayloom.llm.common import map_arrow, materialize, seal, shared_dir, table
 
-ARCHIVE_BYTES = 16 << 20  # payload bytes of one archive, about
+ARCHIVE_BYTES = 8 << 20  # payload bytes of one archive, about
 MIN_BYTES = 0  # smaller payloads are never revisits
 SALTS = 16
 DATE = "2024-01-01T00:00:00Z"  # a parameter, so that reruns write equal archives
@@ -146,7 +146,7 @@ def decisions(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     best = rows.groupBy(*same).agg(F.max("r").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     best = best.select(*(F.col(c).alias(f"b_{c}") for c in same), "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("slot"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("archive", "place"), F.lit(SALTS)).cast("int"))
-    met = salted.join(best, (F.col("payload_digest") == F.col("b_payload_digest")) & (F.col("payload_bytes") == F.col("b_payload_bytes")) & (F.col("salt") == F.col("slot")))
+    met = salted.join(best.hint("merge"), (F.col("payload_digest") == F.col("b_payload_digest")) & (F.col("payload_bytes") == F.col("b_payload_bytes")) & (F.col("salt") == F.col("slot")))
     met = met.where((F.col("archive") != F.col("best.archive")) | (F.col("place") != F.col("best.place")))
     return met.select("archive", "place", F.col("best.key").alias("refers_key"), F.col("best.uri").alias("refers_uri"))
 
