@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,8 @@ class Lake:
         sub = f"{'compacted/' if layer == 'compacted' else ''}{DATASETS[name].domain}/{name}"
         return files.local_first(self.spark, f"{self.local}/{sub}" if self.local else None, f"{self.root}/{sub}")
 
-    def _read(self, name: str, layer: str) -> DataFrame | None:
+    def read(self, name: str, layer: str) -> DataFrame | None:
+        """All files of a dataset with their partition columns, missing columns null; None if there are none."""
         folder = self.folder(name, layer)
         if not files.matches(self.spark, folder):
             return None
@@ -78,15 +80,30 @@ class Lake:
             reader = reader.option("recursiveFileLookup", "true")
         try:
             return reader.parquet(folder)
-        except Exception as e:  # a folder without any Parquet file is an empty dataset
-            if "UNABLE_TO_INFER_SCHEMA" in str(e):
+        except Exception as e:
+            if "UNABLE_TO_INFER_SCHEMA" in str(e):  # a folder without any Parquet file is an empty dataset
                 return None
+            if "CANNOT_MERGE_SCHEMAS" in str(e):
+                return self._read_apart(name, folder)
             raise
 
+    def _read_apart(self, name: str, folder: str) -> DataFrame:
+        """A dataset whose files disagree on types (such as whole numbers written as doubles): each kind of file is read alone and cast."""
+        leaves = files.matches(self.spark, f"{folder}/*.parquet") + files.matches(self.spark, f"{folder}/*/*.parquet") + files.matches(self.spark, f"{folder}/*/*/*.parquet")
+        kinds: dict[str, list[str]] = {}
+        for f in leaves:
+            kinds.setdefault(self.spark.read.parquet(f).schema.json(), []).append(f)
+        parts = []
+        for paths in kinds.values():
+            df = self.spark.read.option("basePath", folder).parquet(*paths)
+            place = [c for c in ("year", "month") if c in df.columns]
+            parts.append(conform(df, StructType([*DATASETS[name].schema.fields, *(df.schema[c] for c in place)])))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
     def scan(self, name: str, start: str | None = None, end: str | None = None, layer: str = "compacted") -> DataFrame:
         """Rows of a dataset, of the days from ``start`` to ``end`` if given; partition columns do not show."""
         dataset = DATASETS[name]
-        df = self._read(name, layer)
+        df = self.read(name, layer)
         if df is None:
             return empty(self.spark, dataset.schema)
         if start and end:
@@ -105,7 +122,7 @@ class Lake:
 
     def available(self, name: str, layer: str = "compacted") -> bool:
         """Whether a dataset holds any row."""
-        df = self._read(name, layer)
+        df = self.read(name, layer)
         return df is not None and not df.limit(1).isEmpty()
 
     def register_views(self, layer: str = "compacted") -> list[str]:

@@ -49,7 +49,10 @@ def upsert_master(incoming: DataFrame, lake: Lake, name: str) -> None:
 
 
 def compact(lake: Lake, name: str, months: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    """Rewrite months of a dataset without repeats, one file each; returns the months that had rows.
+    """Rewrite months of a dataset without repeats; returns the months that had rows.
+
+    A month goes to one file, or to more of the advisory partition size if it is larger: rows are rebalanced, so no task
+    has to write a large month alone.
 
     All months go through one job: rows are dealt by key, the last of each key stays, and dynamic overwrite replaces
     the months that are there. Months without rows are left as they are.
@@ -57,7 +60,9 @@ def compact(lake: Lake, name: str, months: list[tuple[int, int]] | None = None)
     dataset = DATASETS[name]
     if not files.matches(lake.spark, lake.folder(name, "raw")):
         return []
-    raw = lake.spark.read.option("mergeSchema", "true").parquet(lake.folder(name, "raw"))
+    raw = lake.read(name, "raw")
+    if raw is None:
+        return []
     place = ["year", "month"]
     if months is not None:
         raw = raw.where(F.array_contains(F.lit([y * 12 + m for y, m in months]), F.col("year") * 12 + F.col("month")))
@@ -67,5 +72,5 @@ def compact(lake: Lake, name: str, months: list[tuple[int, int]] | None = None)
     done = [(r["year"], r["month"]) for r in rows.select(*place).distinct().orderBy(*place).collect()]
     if done:
         target = lake.folder(name, "compacted")
-        kept.repartition(*place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(target)
+        kept.hint("rebalance", *[F.col(c) for c in place]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(target)
     return done

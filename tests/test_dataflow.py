@@ -131,6 +131,14 @@ def test_mixed_schemas(spark, lake):
     assert got == {"p1": None, "p2": 1}
 
 
+def test_whole_numbers_written_as_doubles(spark, lake):
+    rows = plays_frame(spark, [("p1", "2024-01-05T00:00:00Z", "t", 1)])
+    sinks.append_events(rows, lake, "spotify/plays")
+    sinks.append_events(rows.withColumns({"play_id": F.lit("p2"), "ms_played": F.lit(2.0)}), lake, "spotify/plays")
+    assert sorted((r["play_id"], r["ms_played"]) for r in lake.scan("spotify/plays", "2024-01-01", "2024-01-31", "raw").collect()) == [("p1", 1), ("p2", 2)]
+    assert sinks.compact(lake, "spotify/plays") == [(2024, 1)] and lake.scan("spotify/plays").count() == 2
+
+
 def test_compaction(spark, lake):
     rows = [("p1", "2024-01-05T00:00:00Z", "old", 1), ("p1", "2024-01-06T00:00:00Z", "new", 1), ("p2", "2024-02-06T00:00:00Z", "t", 1)]
     sinks.append_events(plays_frame(spark, rows), lake, "spotify/plays")
