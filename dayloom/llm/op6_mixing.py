@@ -51,8 +51,8 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
 
 
 def size_class(size: Column) -> Column:
-    """Classes of sizes, 12 to each doubling: about 6 % wide, and single sizes below 17."""
-    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 12).cast("int")
+    """Classes of sizes, 12 to each doubling: about 6 % wide, and single sizes below 17. Never null, so joins add no filter."""
+    return F.coalesce(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 12).cast("int"), F.lit(0))
 
 
 def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float, seed: int) -> DataFrame:
@@ -60,8 +60,10 @@ def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float,
     total = docs.count()
     cells = total // CELL_ROWS + 1
     held, at = seal(docs)
-    sized = held.withColumns({"source": F.col(at[source]), "size": word_count(at[text]), "hash": F.xxhash64(F.lit(seed), F.col(at[key]), F.col(at[text]))})
-    sized = sized.withColumns({"class": size_class(F.col("size")), "block": F.pmod(F.col("hash"), F.lit(cells)).cast("int")})
+    # never null and in the sources' order, null last, so that ranking and joining deal rows alike and they are shuffled once
+    known = F.coalesce(F.concat(F.lit("0"), F.col(at[source]).cast("string")), F.lit("1"))
+    sized = held.withColumns({"source": known, "size": word_count(at[text]), "hash": F.xxhash64(F.lit(seed), F.col(at[key]), F.col(at[text]))})
+    sized = sized.withColumns({"class": size_class(F.col("size")), "block": F.coalesce(F.pmod(F.col("hash"), F.lit(cells)).cast("int"), F.lit(0))})
     counts = materialize(sized.groupBy("source", "class", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), total)
 
     def before(n: str, over: list[str], order: str) -> Column:
@@ -72,13 +74,13 @@ def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float,
     per_class = per_class.select("s1", "k1", before("n1", ["s1"], "k1").alias("class_first"))
     targets = source_targets(counts, "source", "words", max_rate).withColumnRenamed("source", "s2")
     first = counts.select(F.col("source").alias("s"), F.col("class").alias("k"), F.col("block").alias("b"), before("n", ["source", "class"], "block").alias("block_first"))
-    first = first.join(per_class, F.col("s").eqNullSafe(F.col("s1")) & (F.col("k") == F.col("k1")))
-    first = first.join(targets, F.col("s").eqNullSafe(F.col("s2")))
+    first = first.join(per_class, (F.col("s") == F.col("s1")) & (F.col("k") == F.col("k1")))
+    first = first.join(targets, F.col("s") == F.col("s2"))
     first = first.select("s", "k", "b", (F.col("class_first") + F.col("block_first")).alias("first"), "source_size", "target")
 
     within = Window.partitionBy("source", "class", "block").orderBy("size", "hash", F.asc_nulls_last(at[key]))
     ranked = sized.withColumn("in_cell", F.row_number().over(within))
-    out = ranked.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k")) & (F.col("block") == F.col("b")))
+    out = ranked.join(first, (F.col("source") == F.col("s")) & (F.col("class") == F.col("k")) & (F.col("block") == F.col("b")))
     out = out.withColumn("rank", F.col("first") + F.col("in_cell"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 20)) / F.lit(float(1 << 20))
