@@ -93,7 +93,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """One row of each group: the one with the smallest key (null last), then text hash; of rows equal in both, one."""
     found = near_duplicates(docs, key, text)
     keepers = found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("k"))
-    keepers = materialize(keepers.select(F.col("k.key").alias("keep_key"), F.col("k.text_hash").alias("keep_hash")))
+    keepers = materialize(keepers.select(F.col("k.key").alias("keep_key"), F.col("k.text_hash").alias("keep_hash")), docs.count())
     held, at = seal(docs)
     known = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     keepers = keepers.select(known(F.col("keep_key")).alias("row_key"), F.col("keep_hash").alias("row_hash"))
