@@ -14,7 +14,6 @@ Documents are read once and scored where they lie; the sample is bounded by ``SA
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import seal, ship, table
+from dayloom.llm.common import ship, table
 
 TOP = 10
 SCALE = 1024.0
