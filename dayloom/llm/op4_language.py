@@ -16,7 +16,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dayloom.llm.common import map_arrow, seal, table, unseal
 
 SAMPLE_DOCS = 2000  # labelled documents of each language that the model is fitted on, in expectation
-VOCABULARY = 200_000  # (word, language) counts that the model keeps
+VOCABULARY = 100_000  # (word, language) counts that the model keeps
 LANGUAGES = 256
 PRIOR = 2.0  # weight of the letter model, in words
 CLIP = 6.0  # a word speaks for one language against another by this many nats at most
@@ -109,7 +109,7 @@ def narrowed(scores: np.ndarray, candidates: list[bool] | None) -> np.ndarray:
     return np.where(mask, np.maximum(scores - scores[mask].max(), -CLIP), -CLIP).astype(np.float32)
 
 
-def fit_model(counts: list[tuple[str, str, int]], docs: dict[str, int]) -> Model:
+def fit_model(counts: Iterable[tuple[str, str, int]], docs: dict[str, int]) -> Model:
     """The model from (word, language, count) and the number of documents of each language."""
     langs = sorted(docs)
     at = {x: i for i, x in enumerate(langs)}
@@ -154,8 +154,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     some = rows.where(draw < F.element_at(share, F.col("l")))
     word = F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")
     counts = some.select("l", word).where("w <> ''").groupBy("w", "l").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "w", "l").limit(vocabulary).collect()
-    return fit_model([(r["w"], r["l"], r["n"]) for r in top], sizes)
+    top = counts.orderBy(F.desc("n"), "w", "l").limit(vocabulary).toArrow()
+    return fit_model(zip(*(top[c].to_pylist() for c in ("w", "l", "n"))), sizes)
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
