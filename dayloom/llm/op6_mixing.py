@@ -51,8 +51,15 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
 
 
 def size_class(size: Column) -> Column:
-    """Classes of sizes, 12 to each doubling: about 6 % wide, and single sizes below 17. Never null, so joins add no filter."""
-    return F.coalesce(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 12).cast("int"), F.lit(0))
+    """Classes of sizes, 8 to each doubling: 6 to 12 % wide, and single sizes below 16. Never null, so joins add no filter."""
+    bits = F.length(F.bin(size))
+    leading = F.call_function("shiftright", size, bits - 4).bitwiseAND(F.lit(7))
+    return F.coalesce(F.when(size < 16, size).otherwise(bits * 8 + leading).cast("int"), F.lit(0))
+
+
+def hashed(text: Column) -> Column:
+    """60 bits of a text's MD5 as bigint; other engines can repeat it. Never null for texts that are not."""
+    return F.coalesce(F.conv(F.substr(F.md5(text), F.lit(1), F.lit(15)), 16, 10).cast("long"), F.lit(0))
 
 
 def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float, seed: int) -> DataFrame:
@@ -62,7 +69,7 @@ def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float,
     held, at = seal(docs)
     # never null and in the sources' order, null last, so that ranking and joining deal rows alike and they are shuffled once
     known = F.coalesce(F.concat(F.lit("0"), F.col(at[source]).cast("string")), F.lit("1"))
-    sized = held.withColumns({"source": known, "size": word_count(at[text]), "hash": F.xxhash64(F.lit(seed), F.col(at[key]), F.col(at[text]))})
+    sized = held.withColumns({"source": known, "size": word_count(at[text]), "hash": hashed(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(at[key]).cast("string"), F.lit("")), F.coalesce(F.col(at[text]), F.lit(""))))})
     sized = sized.withColumns({"class": size_class(F.col("size")), "block": F.coalesce(F.pmod(F.col("hash"), F.lit(cells)).cast("int"), F.lit(0))})
     counts = materialize(sized.groupBy("source", "class", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), total)
 
@@ -83,7 +90,7 @@ def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float,
     out = ranked.join(first, (F.col("source") == F.col("s")) & (F.col("class") == F.col("k")) & (F.col("block") == F.col("b")))
     out = out.withColumn("rank", F.col("first") + F.col("in_cell"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    offset = F.pmod(hashed(F.concat_ws(":", F.lit(seed), F.lit("offset"), F.col("source"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(F.col("rank") * rate + offset) - F.floor((F.col("rank") - 1) * rate + offset)
     return out.withColumn("copies", copies.cast("long"))
 
@@ -113,3 +120,22 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_mix_sources": op6_mix_sources}
+ORACLE_SQL = {
+    "op6_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+        k AS (SELECT d.*, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END AS class,
+                     h % ((SELECT count(*) FROM d) // 4000 + 1) AS block FROM d),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, block, size, h, doc_id NULLS LAST) AS rank FROM k),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * CAST(3 AS DOUBLE) AS cap FROM s),
+        l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level FROM w
+              WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT source, source_size, coalesce(least(cap, (SELECT min(struct_pack(a := cap / weight, b := level)).b FROM l WHERE level * weight <= cap) * weight), cap) AS target FROM l),
+        c AS (SELECT r.doc_id, r.size, t.source_size, t.target, r.rank, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+                     CAST(CAST('0x' || substr(md5('42:offset:' || coalesce('0' || r.source, '1')), 1, 15) AS BIGINT) % 1048576 AS DOUBLE) / 1048576 AS u
+              FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+        e AS (SELECT *, CAST(floor(rank * rate + u) - floor((rank - 1) * rate + u) AS BIGINT) AS copies FROM c)
+        SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM e
+    """
+}
