@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import map_arrow, materialize, seal, table, unseal
+from dayloom.llm import near_copies
+from dayloom.llm.common import map_arrow, materialize, table, unseal
 from dayloom.llm.components import components
 
 SHINGLE = 3
@@ -89,17 +90,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(classes.hint("merge"), "fp").select("key", "fp", "text_hash", "component_id", "root")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: the one with the smallest key (null last), then text hash; of rows equal in both, one."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """Rows in order of key (null last), then text hash, without those like one of their component kept before: of at least
+    this Jaccard similarity of their distinct ``shingle``-word shingles. Members of a component that are like none stay.
+    """
     found = near_duplicates(docs, key, text)
-    keepers = found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("k"))
-    keepers = materialize(keepers.select(F.col("k.key").alias("keep_key"), F.col("k.text_hash").alias("keep_hash")), docs.count())
-    held, at = seal(docs)
-    known = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
-    keepers = keepers.select(known(F.col("keep_key")).alias("row_key"), F.col("keep_hash").alias("row_hash"))
-    kept = held.withColumns({"row_key": known(F.col(at[key])), "row_hash": F.xxhash64(F.col(at[text]))}).join(keepers, ["row_key", "row_hash"], "left_semi")
-    one = Window.partitionBy("row_key", "row_hash").orderBy(F.lit(0))  # dealt as the join is, so no further shuffle
-    return unseal(kept.withColumn("copy", F.row_number().over(one)).where("copy = 1"), docs.columns)
+    total = docs.count()
+    nodes = materialize(found.select(F.col("root").alias("bucket"), near_copies.place(F.col("key"), F.col("text_hash")).alias("p")).distinct(), total)
+    gone = near_copies.dropped(docs, key, text, nodes, shingle, similarity, total)
+    kept, _ = near_copies.pick(docs, key, text, nodes.select("p").join(gone.hint("merge"), "p", "left_anti"))
+    return unseal(kept, docs.columns)
 
 
 def op5_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

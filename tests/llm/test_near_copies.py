@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from dayloom.llm import near_copies
+from dayloom.llm import near_copies, op5_simhash
 from tests.conftest import DATA
 from tests.llm.helpers import DOCS, awkward, clashing, empty, prose
 
@@ -60,3 +60,12 @@ def test_awkward_rows(spark):
     ids = [r["doc_id"] for r in got.collect()]
     assert sorted(i for i in ids if i) == [1, 4, 5, 6, 7, 10, 11, 13, 14] and ids.count(None) == 1
     assert near_copies.dedup(empty(spark)).count() == 0
+
+
+def test_one_repeated_line_does_not_make_copies(spark):
+    line = " ".join(f"same{i}" for i in range(9)) + "\n"
+    own = [prose(2000 + i, 150) for i in range(12)]
+    docs = spark.createDataFrame([(i % 12, line * 40 + own[i % 12], "en", "a", 1) for i in range(18)], DOCS)
+    assert op5_simhash.near_duplicates(docs).select("component_id").distinct().count() == 1
+    for dedup in (op5_simhash.dedup, near_copies.dedup):
+        assert sorted(r["doc_id"] for r in dedup(docs).collect()) == list(range(12))
