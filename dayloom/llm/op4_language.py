@@ -33,6 +33,10 @@ PRIOR = 2.0  # weight of the letter model, in words
 CLIP = 6.0  # a word speaks for one language against another by this many nats at most
 SWITCH = 12.0  # cost of a change of language, in nats
 SCRIPT_SHARE = 0.01  # a language uses a script that this share of its words is in
+KNOWN_SCRIPT = 0.5  # share of a text's words that must be in a script some language uses
+ODD, ODD_FEW = 1.0, 4.0  # a text of n words is foreign if spelt worse than usual by ODD + ODD_FEW / sqrt(n) deviations of a word
+LEAST_DEVIATION = 0.3  # of a language's words, in nats a letter: some learned languages are spelt more evenly than any real one
+ODDEST = 4.0  # deviations that one word counts for at most, so that a key or a number in a short text does not outweigh the rest
 CACHE_WORDS = 400_000  # words whose scores a task keeps
 UNKNOWN = "und"
 
@@ -65,7 +69,9 @@ class Model:
     unseen: list[float]
     scripts: dict[str, list[bool]]
     prior: list[float]
+    usual: list[tuple[float, float]] = field(default_factory=list)  # median and deviation of the spelling of a language's words
     known: int = field(init=False)
+    spelt: np.ndarray | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
         self.known = len(self.words)
@@ -84,6 +90,8 @@ class Model:
         if len(self.words) - self.known > CACHE_WORDS // 2:
             for w in list(self.words)[self.known :]:
                 del self.words[w]
+            if self.spelt is not None:
+                self.spelt[self.known :] = np.nan
         get = self.words.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         out = self.table[ids]
@@ -101,6 +109,37 @@ class Model:
         return out
 
 
+    def oddity(self, word: str, i: int) -> float:
+        """Log-likelihood of a letter of the word, in deviations from what is usual in language ``i``; infinite in a script that none uses."""
+        if not any(self.scripts.get(script(word), ())):
+            return -math.inf
+        padded = f"^{word}$"
+        middle, deviation = self.usual[i]
+        spelt = sum(self.trigrams.get(padded[k : k + 3], self.unseen)[i] for k in range(len(word)))
+        return max((spelt / len(word) - middle) / deviation, -ODDEST)
+
+    def fits(self, words: list[str], path: np.ndarray) -> bool:
+        """Whether words read as languages ``path`` look like words of these, by script and spelling. Repeated words count once."""
+        if self.spelt is None:
+            self.spelt = np.full(self.table.shape, np.nan, np.float32)
+        read = dict(zip(words, path.tolist()))
+        langs = np.fromiter(read.values(), np.int64, len(read))
+        ids = np.fromiter((self.words.get(w, -1) for w in read), np.int64, len(read))
+        odd = np.where(ids < 0, np.nan, self.spelt[ids, langs])
+        new = np.flatnonzero(np.isnan(odd))
+        if len(new):
+            names = list(read)
+            for j in new.tolist():
+                odd[j] = self.oddity(names[j], langs[j])
+                if ids[j] >= 0:
+                    self.spelt[ids[j], langs[j]] = odd[j]
+        letters = np.fromiter(map(len, read), np.float64, len(read))
+        known = odd > -np.inf
+        if known.mean() < KNOWN_SCRIPT:
+            return False
+        return float(np.average(odd[known], weights=letters[known])) >= -ODD - ODD_FEW / math.sqrt(known.sum())
+
+
 def narrowed(scores: np.ndarray, candidates: list[bool] | None) -> np.ndarray:
     """Scores relative to the best, clipped; languages that do not use the script get the least. No candidate: all alike."""
     if candidates is None or not any(candidates):
@@ -109,6 +148,22 @@ def narrowed(scores: np.ndarray, candidates: list[bool] | None) -> np.ndarray:
     return np.where(mask, np.maximum(scores - scores[mask].max(), -CLIP), -CLIP).astype(np.float32)
 
 
+def usual_spelling(i: int, words: dict[str, list[int]], grams: dict[str, list[float]], starts: dict[str, list[float]]) -> tuple[float, float]:
+    """Median and deviation (by the median, so that labelled junk hardly counts) of words' log-likelihood of a letter in language ``i``, each word
+    judged by the others.
+    """
+    values = []
+    for word, row in words.items():
+        if row[i]:
+            padded, own = f"^{word}$", 1 + math.log(row[i])
+            left = [(max(0.0, grams[padded[k : k + 3]][i] - own), max(0.0, starts[padded[k : k + 2]][i] - own)) for k in range(len(word))]
+            values.append(sum(math.log((c + 0.05) / (b + 0.05 * 60)) for c, b in left) / len(word))
+    if len(values) < 2:
+        return 0.0, math.inf  # nothing to tell by
+    middle = float(np.median(values))
+    return middle, max(1.4826 * float(np.median(np.abs(np.array(values) - middle))), LEAST_DEVIATION)
+
+
 def fit_model(counts: Iterable[tuple[str, str, int]], docs: dict[str, int]) -> Model:
     """The model from (word, language, count) and the number of documents of each language."""
     langs = sorted(docs)
@@ -132,7 +187,8 @@ def fit_model(counts: Iterable[tuple[str, str, int]], docs: dict[str, int]) -> M
     unseen = [math.log(1 / 200)] * n
     scripts = {s: [used[i][s] >= SCRIPT_SHARE * max(1, total[i]) for i in range(n)] for s in sorted(set().union(*used))} if n else {}
     everything = max(1, sum(docs.values()))
-    model = Model(langs, {}, np.zeros((len(words), max(1, n)), np.float32), trigrams, unseen, scripts, [docs[x] / everything for x in langs])
+    usual = [usual_spelling(i, words, grams, starts) for i in range(n)]
+    model = Model(langs, {}, np.zeros((len(words), max(1, n)), np.float32), trigrams, unseen, scripts, [docs[x] / everything for x in langs], usual)
     for k, (word, row) in enumerate(words.items()):
         padded = f"^{word}$"
         spelt = np.sum([trigrams[padded[j : j + 3]] for j in range(len(padded) - 2)], axis=0)
@@ -193,9 +249,14 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 def label(text: str | None, model: Model) -> tuple[str, float, list[dict]]:
     """(language, score, spans) of a text; spans are character ranges of one language each."""
+    return judge(text, model, False)[:3]
+
+
+def judge(text: str | None, model: Model, fits: bool = True) -> tuple[str, float, list[dict], bool]:
+    """``label`` and, if asked for, whether the text looks like its languages; any text with letters does if none was learned."""
     found = [m.span() for m in LETTERS.finditer(text)] if text else []
     if not found or not model.langs or not any(c.isalpha() for c in text):
-        return UNKNOWN, 0.0, []
+        return UNKNOWN, 0.0, [], bool(found) and not model.langs and any(c.isalpha() for c in text)
     words = [text[a:b].lower() for a, b in found]
     scores = model.rows(words)
     path = viterbi(scores, SWITCH)
@@ -205,17 +266,19 @@ def label(text: str | None, model: Model) -> tuple[str, float, list[dict]]:
     sure = 1 / np.exp(np.maximum(own - own[best], -50)).sum()
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
     spans = [{"lang": model.langs[path[a]], "start": found[a][0], "end": found[b - 1][1]} for a, b in zip(cuts, cuts[1:])]
-    return model.langs[best], float(min(1.0, sure * held[best] / len(path))), spans
+    return model.langs[best], float(min(1.0, sure * held[best] / len(path))), spans, fits and model.fits(words, path)
 
 
+NEW = ("lang_pred", "lang_score", "lang_spans", "lang_fits")
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", fits: bool = False) -> DataFrame:
     """``docs`` with lang_pred, lang_score (0 to 1) and lang_spans (characters from start to end, exclusive).
 
     lang_pred is ``und`` with score 0 for null texts, texts without letters and a model without languages. Letters
-    of a script that no language uses speak for none, so such a text gets the commonest language at a low score.
+    of a script that no language uses speak for none, so such a text gets the first language, at its share of the labelled rows.
+    With ``fits`` comes lang_fits: whether script and spelling are those of a learned language, whatever the score.
     All columns and rows pass through, repeated ones too; a new name that is taken gets an underscore; an empty
     table gives none.
     """
@@ -226,15 +289,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            got = [label(x.as_py(), own) for x in batch.column(at[text])]
+            got = [judge(x.as_py(), own, fits) for x in batch.column(at[text])]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], SPANS)],
-                names=[*names, "lang_pred", "lang_score", "lang_spans"],
+                [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], SPANS), pa.array([g[3] for g in got], pa.bool_())],
+                names=[*names, *NEW],
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
-    out = map_arrow(held, run, f"{schema}, lang_pred string, lang_score double, lang_spans array<struct<lang:string,start:long,end:long>>")
-    return unseal(out, docs.columns, **{c: F.col(c) for c in ("lang_pred", "lang_score", "lang_spans")})
+    out = map_arrow(held, run, f"{schema}, lang_pred string, lang_score double, lang_spans array<struct<lang:string,start:long,end:long>>, lang_fits boolean")
+    return unseal(out, docs.columns, **{c: F.col(c) for c in (NEW if fits else NEW[:3])})
 
 
 def held_out(key: str, modulus: int, remainder: int) -> F.Column:
