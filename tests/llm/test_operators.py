@@ -368,11 +368,11 @@ def test_mixing_takes_anything_and_agrees(spark):
 
 
 def plain_top(vectors, k=10):
-    fine = {i: [int(np.floor(float(x) * 1024)) for x in v] for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    fine = [(i, [int(np.floor(float(x) * 1024)) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in fine.items():
+    for at, (q, v) in enumerate(fine):
         if q % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine.items() if i != q and len(w) == len(v))
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for n, (i, w) in enumerate(fine) if n != at and len(w) == len(v))
             out += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)]
     return out
 
@@ -384,23 +384,65 @@ def test_top_k(spark):
     vectors += [(1200, None), (1300, [None] * 8), (1400, [float("nan")] * 8), (1500, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (1600, [0.0] * 8), (1700, [0.5, -0.5]), (1701, [1.0, 1.0]), (1800, [])]
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
     got = op7_topk.top_k(df, F.col("vec_id") % 100 == 0)
-    assert rows(got) == sorted(map(repr, plain_top(vectors)))
-    again = op7_topk.top_k(df.union(df).withColumn("score", F.lit(1)), F.col("vec_id") % 100 == 0)  # repeated rows, a clashing column
-    assert rows(again) == rows(got)
+    assert rows(got.drop("entries_read")) == sorted(map(repr, plain_top(vectors)))
     assert op7_topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 5), st.integers(1, 12))
+def test_repeated_rows_and_keys_are_candidates_and_queries_each(spark):
+    r = np.random.default_rng(1)
+    vectors = [(i % 120, r.normal(0, 1, 4).tolist()) for i in range(300)] + [(100, [1.0, 2.0, 3.0, 4.0])] * 30 + [(7, [9.0, 9.0, 9.0, 9.0])] * 3
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").withColumn("score", F.lit(1))  # a clashing column
+    assert rows(op7_topk.top_k(df, F.col("vec_id") % 100 == 0).drop("entries_read")) == sorted(map(repr, plain_top(vectors)))
+
+
+@pytest.mark.parametrize("large", [4e4, 1e6, 1e12])
+def test_large_components_take_part(spark, large):
+    vectors = [(100, [1.0, 0.001]), (1, [large, 1.0]), (2, [1.0, 2.0]), (3, [2.0, -large / 1e6]), (200, [large / 1e12, -3.0])]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    assert rows(op7_topk.top_k(df, F.col("vec_id") % 100 == 0).drop("entries_read")) == sorted(map(repr, plain_top(vectors)))
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(100, [1e12, 1.0]), (1, [1e12, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="OverflowError"):
+        op7_topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
+
+
+def test_blocks_hand_a_floor_on(spark, monkeypatch):
+    monkeypatch.setattr(op7_topk, "VECTOR_BLOCK", 64)
+    r = np.random.default_rng(2)
+    vectors = [(i, (r.normal(0, 1, 6) / np.arange(1, 7) ** 2).tolist()) for i in range(700)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = op7_topk.top_k(df, F.col("vec_id") % 100 == 0)
+    assert rows(got.drop("entries_read")) == sorted(map(repr, plain_top(vectors)))
+    assert all(x["entries_read"] < 700 * 6 for x in got.collect())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 200), st.integers(1, 5), st.integers(1, 12))
 def test_lists_stop_only_when_sure(seed, n, d, k):
     r = np.random.default_rng(seed)
-    v = r.integers(-5, 6, (n, d))
+    v, times = r.integers(-5, 6, (n, d)), r.integers(1, 4, n)
     ids = r.permutation(3 * n)[:n]
-    queries = r.integers(-5, 6, (4, d))
-    own = np.array([ids[0], -1, ids[-1], -1])
-    for q, w, (got, scores, _) in zip(queries, own, op7_topk.SortedLists(ids, v).search(queries, own, k), strict=True):
-        wanted = sorted((-int(x @ q), int(i)) for x, i in zip(v, ids) if i != w)[:k]
+    lists = op7_topk.SortedLists(ids, v, times)
+    for own in (int(ids[0]), -1):
+        q = v[0] if own >= 0 else r.integers(-5, 6, d)
+        wanted = sorted((-int(x @ q), int(i)) for x, i, t in zip(v, ids, times) for _ in range(t - (i == own)))[:k]
+        for floor in (-np.inf, -wanted[-1][0] if len(wanted) == k else -np.inf):
+            got, scores, _ = lists.search(q, own, k, floor)
+            assert [(-int(s), int(i)) for s, i in zip(scores, got)] == wanted
+
+
+def test_reading_stops_early_where_components_decay_and_goes_on_where_they_do_not():
+    r = np.random.default_rng(3)
+    n, d, k = 4096, 32, 10
+    read = {}
+    for name, scale in (("decaying", 1000 * 0.5 ** np.arange(d)), ("alike", np.full(d, 100.0))):
+        v, q = np.floor(r.normal(0, 1, (n, d)) * scale), np.floor(r.normal(0, 1, d) * scale)
+        got, scores, read[name] = op7_topk.SortedLists(np.arange(n), v).search(q, -1, k)
+        wanted = sorted((-int(x @ q), i) for i, x in enumerate(v))[:k]
         assert [(-int(s), int(i)) for s, i in zip(scores, got)] == wanted
+    assert read["decaying"] <= 0.3 * n * d and read["alike"] > 0.6 * n * d
 
 
 # ---- 8 ---------------------------------------------------------------------------------------------------------
