@@ -5,9 +5,9 @@ probability of its letters under a trigram model, so unseen words are scored too
 script are candidates. Viterbi over a text's words with a penalty for each switch gives spans of one language; the
 text's language is that of most words.
 
-The model is fitted on about ``SAMPLE_DOCS`` labelled documents of each language, chosen by hash, and on their
-``VOCABULARY`` commonest words: both bounds are parameters, so what the driver holds and sends out is bounded. Everything
-else is a map over whole texts, with no shuffle.
+The model is fitted on a bounded sample of labelled documents, ``SAMPLE_DOCS`` in all, shared evenly by the languages and chosen by hash; the
+bound is a parameter, so what the driver holds and sends out is bounded. All words of the sample and all languages are
+learned. Everything else is a map over whole texts, with no shuffle.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from dayloom.llm.common import map_arrow, seal, table, unseal
 
-SAMPLE_DOCS = 2000  # labelled documents of each language that the model is fitted on, in expectation
-VOCABULARY = 100_000  # (word, language) counts that the model keeps
-LANGUAGES = 256
+SAMPLE_DOCS = 4000  # labelled documents that the model is fitted on, in expectation: as many of each language, ``LEAST_DOCS`` at least
+LEAST_DOCS = 20
 PRIOR = 2.0  # weight of the letter model, in words
 CLIP = 6.0  # a word speaks for one language against another by this many nats at most
 SWITCH = 12.0  # cost of a change of language, in nats
@@ -37,7 +36,7 @@ KNOWN_SCRIPT = 0.5  # share of a text's words that must be in a script some lang
 ODD, ODD_FEW = 1.0, 4.0  # a text of n words is foreign if spelt worse than usual by ODD + ODD_FEW / sqrt(n) deviations of a word
 LEAST_DEVIATION = 0.3  # of a language's words, in nats a letter: some learned languages are spelt more evenly than any real one
 ODDEST = 4.0  # deviations that one word counts for at most, so that a key or a number in a short text does not outweigh the rest
-CACHE_WORDS = 400_000  # words whose scores a task keeps
+CACHE_WORDS, CACHE_BYTES = 400_000, 32 << 20  # words whose scores a task keeps, and the bytes that these take at most
 UNKNOWN = "und"
 
 #: First code points of letter ranges and the scripts they begin (Unicode blocks, in order).
@@ -70,12 +69,15 @@ class Model:
     scripts: dict[str, list[bool]]
     prior: list[float]
     usual: list[tuple[float, float]] = field(default_factory=list)  # median and deviation of the spelling of a language's words
-    known: int = field(init=False)
+    known: int = field(init=False, default=-1)  # words learned; the rest of ``words`` is cache
     spelt: np.ndarray | None = field(init=False, default=None)
 
-    def __post_init__(self) -> None:
-        self.known = len(self.words)
-        self.table = np.concatenate([self.table, np.zeros((CACHE_WORDS, max(1, len(self.langs))), np.float32)])
+    def make_room(self) -> None:
+        """Room for cached words; made where words are scored, so that the driver neither holds nor sends it."""
+        if self.known < 0:
+            self.known = len(self.words)
+            width = max(1, len(self.langs))
+            self.table = np.concatenate([self.table, np.zeros((min(CACHE_WORDS, CACHE_BYTES // (4 * width)), width), np.float32)])
 
     def score(self, word: str) -> np.ndarray:
         """Scores of a word outside the vocabulary, by its letters and its script."""
@@ -87,7 +89,8 @@ class Model:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The words' scores, one row each."""
-        if len(self.words) - self.known > CACHE_WORDS // 2:
+        self.make_room()
+        if len(self.words) - self.known > (len(self.table) - self.known) // 2:
             for w in list(self.words)[self.known :]:
                 del self.words[w]
             if self.spelt is not None:
@@ -195,23 +198,27 @@ def fit_model(counts: Iterable[tuple[str, str, int]], docs: dict[str, int]) -> M
         scores = np.log(np.array(row) + PRIOR * np.exp(spelt) + 1e-12) - np.log(np.array(total) + PRIOR)
         model.words[word] = k
         model.table[k] = narrowed(scores, scripts.get(script(word)))
-    model.known = len(model.words)
     return model
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
-    """Fit on labelled rows: of each language, documents whose hash falls under sample_docs / its documents."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Fit on labelled rows: of each language, documents whose hash falls under its share of ``sample_docs`` / its documents.
+
+    Every language that labels a row with letters is learned, from ``LEAST_DOCS`` documents at least (all it has, if fewer). Null texts and labels teach
+    nothing, null keys are drawn alike, rows that repeat count each; no labelled rows give a model without languages.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language that is learned
     if not sizes:
         return fit_model([], {})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))])
+    each = max(LEAST_DOCS, sample_docs // len(sizes))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, 1.0 if n <= each else each / n)])
     draw = F.pmod(F.xxhash64(F.lit(7), "k"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     some = rows.where(draw < F.element_at(share, F.col("l")))
     word = F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")
     counts = some.select("l", word).where("w <> ''").groupBy("w", "l").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "w", "l").limit(vocabulary).toArrow()
-    return fit_model(zip(*(top[c].to_pylist() for c in ("w", "l", "n"))), sizes)
+    found = counts.toArrow().sort_by([("w", "ascending"), ("l", "ascending")])
+    return fit_model(zip(*(found[c].to_pylist() for c in ("w", "l", "n"))), sizes)
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -284,7 +291,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", fits: bool = Fal
     """
     held, at = seal(docs)
     names = held.columns
-    sent = held.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words and their trigrams
+    sent = held.sparkSession.sparkContext.broadcast(model)  # the words of a bounded sample and their trigrams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

@@ -229,6 +229,66 @@ def test_viterbi_is_optimal(seed, n, k, penalty):
     assert value == pytest.approx(plain_viterbi(s.astype(float), penalty), abs=1e-3)
 
 
+def plain_model(data):
+    """Word scores of a labelled sample by the definition, as a function of a word."""
+    langs = sorted({x for _, x in data})
+    count = {x: collections.Counter(w for t, lang in data if lang == x for w in re.findall(r"[^\W\d_]+", t.lower())) for x in langs}
+    weight = {x: collections.Counter() for x in langs}
+    start = {x: collections.Counter() for x in langs}
+    for x in langs:
+        for w, n in count[x].items():
+            for i in range(len(w)):
+                weight[x][f"^{w}$"[i : i + 3]] += 1 + np.log(n)
+                start[x][f"^{w}$"[i : i + 2]] += 1 + np.log(n)
+    met = set().union(*weight.values())
+
+    def gram(x, g):
+        return np.log((weight[x][g] + 0.05) / (start[x][g[:2]] + 3)) if g in met else np.log(1 / 200)
+
+    def scores(w):
+        spelt = {x: sum(gram(x, f"^{w}$"[i : i + 3]) for i in range(len(w))) for x in langs}
+        in_script = [x for x in langs if sum(n for v, n in count[x].items() if op4_language.script(v) == op4_language.script(w)) >= 0.01 * sum(count[x].values())]
+        if not in_script:
+            return [0.0] * len(langs)
+        if any(count[x][w] for x in langs):
+            raw = {x: np.log(count[x][w] + 2 * np.exp(spelt[x]) + 1e-12) - np.log(sum(count[x].values()) + 2) for x in langs}
+        else:
+            raw = spelt
+        top = max(raw[x] for x in in_script)
+        return [max(raw[x] - top, -6.0) if x in in_script else -6.0 for x in langs]
+
+    return langs, scores
+
+
+def test_word_scores_spans_and_score_by_the_definition(spark):
+    r = random.Random(4)
+    data = [(" ".join(r.choices(SENTENCES[x].split(), k=12)), x) for x in SENTENCES for _ in range(8)]
+    model = op4_language.train(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(data)], "doc_id bigint, text string, lang string"))
+    langs, scores = plain_model(data)
+    assert model.langs == langs
+    words = ["fox", "лиса", "лисиця", "chien", "unmet", "неведомое", "漢字", "ünseen"]
+    assert np.allclose(model.rows(words), [scores(w) for w in words], atol=1e-4)
+    assert np.allclose(model.rows(words), [scores(w) for w in words], atol=1e-4)  # from the cache
+    text = "the fox лиса прыгает le chien"
+    found = [scores(w) for w in text.split()]
+    best = max(np.ndindex(*[len(langs)] * len(found)), key=lambda p: sum(found[t][a] for t, a in enumerate(p)) - op4_language.SWITCH * sum(a != b for a, b in zip(p, p[1:])))
+    lang, score, spans = op4_language.label(text, model)
+    held = collections.Counter(best).most_common(1)[0]
+    own = np.sum([f for f, a in zip(found, best) if a == held[0]], axis=0) + np.log(1 / len(langs) + 1e-9)
+    assert lang == langs[held[0]] and score == pytest.approx(held[1] / len(best) / np.exp(own - own[held[0]]).sum(), abs=1e-3)
+    assert [langs.index(s["lang"]) for s in spans] == [a for i, a in enumerate(best) if not i or best[i - 1] != a]
+
+
+def test_no_language_is_left_out(spark):
+    r = random.Random(6)
+    data = [(i, " ".join(f"{chr(97 + n // 26 % 26)}{chr(97 + n % 26)}q{r.choice('aeiou')}z{n % 7}" for _ in range(12)), f"l{n:03}") for i, n in enumerate(list(range(300)) * 2)]
+    data += [(1000 + i, " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(400)), "large") for i in range(60)]
+    model = op4_language.train(spark.createDataFrame(data, "doc_id bigint, text string, lang string"))
+    assert len(model.langs) == 301
+    said = [op4_language.label(t, model)[0] == x for _, t, x in data[:300]]
+    assert np.mean(said) >= 0.99
+
+
 def test_scripts_narrow(languages):
     assert op4_language.script("лиса") == "cyrillic" and op4_language.script("fox") == "latin" and op4_language.script("ﬁ") == "latin" and op4_language.script("漢") == "han"
     row = languages.rows(["непонятное"])[0]
