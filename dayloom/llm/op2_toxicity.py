@@ -1,41 +1,37 @@
 """Toxicity by compression distance, with separate zstandard dictionaries for toxic and ordinary text.
 
-Both dictionaries are trained by zstandard: one on ordinary documents, one on what sets toxic documents apart (words whose
-beginnings are met in many contexts there and hardly in ordinary ones). A text is cut into windows of ``WINDOW`` words; each is compressed with the
-ordinary dictionary alone and with the toxic one in front of it. What both know cancels out, so the
-difference of the two lengths is the number of bytes that toxic text alone explains. Largest and summed differences
-and the numbers of windows over ``CLEAR`` bytes are turned into a probability by a logistic threshold fitted on
-labelled documents that the dictionaries measuring them have not seen.
+Two dictionaries are trained by zstandard, one on whole texts labelled toxic and one on whole texts labelled ordinary. A text is cut into
+windows of ``WINDOW`` words; each is compressed with either dictionary, and the difference of the two lengths tells which kind of text explains the
+window better. A document's differences (their largest, mean and sum, and how many reach each of some thresholds) become a probability by
+logistic weights, fitted on labelled documents whose differences were measured by dictionaries that had not seen them.
 
 Words are joined by ``GAP`` spaces, which makes a whole known word stand out from a chance match of some letters.
-Documents are read once and scored where they lie; the sample is bounded by ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` rows.
+Documents are read once more and scored where they lie. The labelled sample is bounded by ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` rows and ``SAMPLE_BYTES``
+bytes of text; dictionaries are trained from it on the driver, while its windows are measured by the executors.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import map_arrow, seal, table, unseal
+from dayloom.llm.common import map_arrow, materialize, seal, table, unseal
 
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000  # labelled rows that the model is fitted on
-TOXIC_BYTES, ORDINARY_BYTES = 16 << 10, 100_000  # of the dictionaries
-ORDINARY_PIECES = 20_000  # of 256 bytes, that the ordinary dictionary is trained on
-WINDOW = 10  # words
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 8000, 48 << 20  # labelled rows, and bytes of their texts, that the dictionaries are trained on
+CALIBRATION = 4500  # of these rows, about, that the weights are fitted on
+TOXIC_BYTES, ORDINARY_BYTES = 64_000, 1_000_000  # of the dictionaries, at most
+PIECE = 4096  # bytes of a training sample
+WINDOW = 5  # words
 GAP = b"   "
-CLEAR = (1, 2, 3, 4)  # bytes: windows with at least such differences are counted
-FEATURES = 4 + len(CLEAR)
-LEAST = 4  # contexts and documents of what tells toxic text apart
-STEMS = (0, 4, 5, 6, 7)  # bytes of a word's beginning that may tell it apart; 0 is the whole word
-RATIO = 12  # times as common in toxic text as in ordinary text
+REACHED = range(-2, 11)  # bytes of difference whose windows are counted
+FEATURES = 12 + len(REACHED)
 WORDS = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -43,89 +39,30 @@ def words_of(text: str | None) -> list[bytes]:
     return WORDS.findall((text or "").lower().encode("utf-8", "surrogatepass"))
 
 
+def spaced(words: list[bytes]) -> bytes:
+    return GAP + GAP.join(words) + GAP
+
+
 @dataclass
 class Model:
     toxic: bytes
     ordinary: bytes
-    weights: list[float]  # of ``features``
-
-
-class Corpus:
-    """Training documents of one label as arrays: a row for each word, with its document and the hashes of its stems."""
-
-    def __init__(self, docs: list[list[bytes]]) -> None:
-        digest = xxhash.xxh64_intdigest
-        self.words = [w for d in docs for w in d]
-        self.doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        array = lambda hashes: np.fromiter(hashes, np.uint64, len(self.words))
-        self.stems = {n: array(digest(w[:n], 2) if len(w) >= n else 0 for w in self.words) for n in STEMS if n}
-        self.stems[0] = array(digest(w, 1) for w in self.words)
-        self.before = np.where(np.diff(self.doc, prepend=-1) != 0, np.uint64(0), np.roll(self.stems[0], 1))
-
-    def rows(self, picked: np.ndarray | None) -> np.ndarray:
-        """Rows of the words of the picked documents, of all for None."""
-        return np.arange(len(self.doc)) if picked is None else np.flatnonzero(np.isin(self.doc, picked))
-
-    def support(self, length: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stems of a length, sorted, and in how many contexts and documents each is met, whichever is less.
-
-        Contexts are words before it. So neither copies of a document nor one document's habits count for much.
-        """
-        stems = self.stems[length][rows]
-        counts = []
-        for other in (self.before[rows], self.doc[rows].astype(np.uint64)):
-            _, first = np.unique(stems * np.uint64(0x9E3779B97F4A7C15) ^ other * np.uint64(0xD6E8FEB86659FD93), return_index=True)
-            counts.append(np.unique(stems[first], return_counts=True))
-        return counts[0][0], np.minimum(counts[0][1], counts[1][1])
-
-    def texts(self, rows: np.ndarray, keep: np.ndarray) -> list[bytes]:
-        """The kept words of each document, joined."""
-        kept = rows[keep]
-        cuts = np.flatnonzero(np.diff(self.doc[kept])) + 1
-        return [GAP.join([b"", *(self.words[i] for i in part), b""]) for part in np.split(kept, cuts) if len(part)]
-
-
-def apart(toxic: Corpus, here: np.ndarray, ordinary: Corpus, there: np.ndarray) -> dict[int, np.ndarray]:
-    """Of each length, the stems that are ``RATIO`` times as common in the toxic rows as in the ordinary ones."""
-    share = max(1, len(here)) / max(1, len(there))
-    least = max(LEAST, len(np.unique(toxic.doc[here])) // 100)
-    found = {}
-    for length in STEMS:
-        (stems, counts), (others, held) = toxic.support(length, here), ordinary.support(length, there)
-        at = np.minimum(np.searchsorted(others, stems), max(0, len(others) - 1))
-        known = np.where(others[at] == stems, held[at], 0) if len(others) else np.zeros(len(stems))
-        found[length] = stems[(counts >= least) & (counts >= RATIO * share * (known + 0.5)) & (stems != 0)]
-    return found
-
-
-def marked(corpus: Corpus, rows: np.ndarray, found: dict[int, np.ndarray]) -> np.ndarray:
-    marks = np.zeros(len(rows), bool)
-    for length, stems in found.items():
-        marks |= np.isin(corpus.stems[length][rows], stems)
-    return marks
-
-
-def train_dictionary(size: int, samples: list[bytes], k: int) -> bytes:
-    """A dictionary trained on the samples; with too few of them, the samples' own end."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    weights: list[float] = field(default_factory=list)  # of ``features``
 
 
-def pieces(texts: list[bytes], size: int) -> list[bytes]:
-    return [t[i : i + size] for t in texts for i in range(0, len(t), size) if len(t) - i >= 8]
+def train_dictionary(size: int, texts: list[list[bytes]]) -> bytes:
+    """A dictionary trained on texts (as words); with too few of them, the texts' own end."""
+    joined = [spaced(t) for t in texts if t]
+    pieces = [t[i : i + PIECE] for t in joined for i in range(0, len(t), PIECE) if len(t) - i >= 8]
+    try:
+        return zstandard.train_dictionary(size, pieces, k=40, d=8, f=24, accel=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[-size:]
 
 
-def dictionaries(toxic: Corpus, ordinary: Corpus, half: int | None = None) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionary bytes from all training documents, or those in even (0) or odd (1) places."""
-    pick = lambda c: None if half is None else np.arange(half, c.doc.max(initial=-1) + 1, 2)
-    here, there = toxic.rows(pick(toxic)), ordinary.rows(pick(ordinary))
-    found = apart(toxic, here, ordinary, there)
-    told = toxic.texts(here, marked(toxic, here, found))
-    plain = pieces(ordinary.texts(there, ~marked(ordinary, there, found)), 256)
-    order = np.random.default_rng(0).permutation(len(plain))[:ORDINARY_PIECES]
-    return train_dictionary(TOXIC_BYTES, pieces(told, 64), 64), train_dictionary(ORDINARY_BYTES, [plain[i] for i in order], 48)
+def dictionaries(rows: list[tuple[list[bytes], int]]) -> Model:
+    """Both dictionaries from labelled texts, without weights yet."""
+    return Model(train_dictionary(TOXIC_BYTES, [w for w, y in rows if y == 1]), train_dictionary(ORDINARY_BYTES, [w for w, y in rows if y == 0]))
 
 
 class Compressors:
@@ -133,33 +70,33 @@ class Compressors:
 
     def __init__(self, model: Model) -> None:
         parameters = zstandard.ZstdCompressionParameters.from_level(
-            12, min_match=5, strategy=zstandard.STRATEGY_BTLAZY2, target_length=32, search_log=6, window_log=18, hash_log=17, chain_log=18,
+            19, strategy=zstandard.STRATEGY_BTOPT, search_log=4, target_length=16, min_match=5,
             write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         )
 
         def compressor(content: bytes) -> zstandard.ZstdCompressor:
             if len(content) < 8:
                 return zstandard.ZstdCompressor(compression_params=parameters)
-            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known = zstandard.ZstdCompressionDict(content)  # a trained one with its tables; other bytes count as content
             known.precompute_compress(compression_params=parameters)
             return zstandard.ZstdCompressor(dict_data=known, compression_params=parameters)
 
-        self.with_toxic, self.without = compressor(model.toxic + model.ordinary), compressor(model.ordinary)
+        self.toxic, self.ordinary = compressor(model.toxic), compressor(model.ordinary)
 
     def differences(self, words: list[bytes]) -> list[int]:
-        """For each window of a text, the bytes that the toxic dictionary saves."""
-        a, b = self.without.compress, self.with_toxic.compress
-        out = []
-        for i in range(0, len(words), WINDOW):
-            window = GAP + GAP.join(words[i : i + WINDOW]) + GAP
-            out.append(len(a(window)) - len(b(window)))
-        return out
+        """For each window of a text, the bytes by which it is shorter with the toxic dictionary than with the ordinary one."""
+        a, b = self.ordinary.compress, self.toxic.compress
+        windows = [spaced(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+        return [len(a(w)) - len(b(w)) for w in windows]
 
 
 def features(differences: list[int]) -> list[float]:
-    """1, the largest difference and logarithms: of the sum of differences, of counts of windows, of all windows."""
+    """1, the largest difference, the mean of the three largest and of all, logarithms (of the sum of gains, of windows that gain 1 to 6
+    bytes, of all windows), and the numbers of windows that reach each of ``REACHED``, in tens."""
     d = np.array(differences or [0])
-    return [1.0, float(d.max()), *np.log1p([np.maximum(d, 0).sum(), *((d >= n).sum() for n in CLEAR), len(differences)]).tolist()]
+    largest = np.sort(d)[::-1]
+    logs = np.log1p([np.maximum(d, 0).sum(), *((d >= n).sum() for n in range(1, 7)), len(differences)])
+    return [1.0, float(largest[0]), float(largest[:3].mean()), float(d.mean()), *logs.tolist(), *((d >= n).sum() / 10 for n in REACHED)]
 
 
 def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -182,35 +119,63 @@ def fit_threshold(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, steps: in
     return w
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """A model from labelled texts, in the order of their hashes.
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(k, y, half, h, t): the labelled rows that a model is fitted on, those with the least hashes of their keys.
 
-    Dictionaries of even and odd places measure each other's documents, which sets the threshold; those of the
-    model are trained on all.
+    A key that is labelled both ways teaches nothing; one that repeats in ``docs`` gives its shortest text (of several, that of the least MD5). Texts
+    that do not fit in what is left of ``SAMPLE_BYTES`` are passed over. Null keys and labels other than 0 and 1 do not count.
     """
-    docs: dict[int, list[list[bytes]]] = {0: [], 1: []}
-    for text, label in rows:
-        docs[label].append(words_of(text))
-    toxic, ordinary = Corpus(docs[1]), Corpus(docs[0])
-    x, y = [], []
-    for half in (0, 1):
-        own = Compressors(Model(*dictionaries(toxic, ordinary, half), []))
-        for label in (0, 1):
-            for words in docs[label][1 - half :: 2]:
-                x.append(features(own.differences(words)))
-                y.append(label)
-    weights = fit_threshold(np.array(x).reshape(-1, FEATURES), np.array(y, float))
-    return Model(*dictionaries(toxic, ordinary), weights.tolist())
+    spark = docs.sparkSession
+    order = F.xxhash64(F.lit(9), "k")
+    marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
+    marks = marks.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y", order.alias("h"))
+    chosen = marks.where("y = 1").orderBy("h", "k").limit(SAMPLE_TOXIC).unionByName(marks.where("y = 0").orderBy("h", "k").limit(SAMPLE_ORDINARY))
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    size = F.struct(F.octet_length("t").alias("n"), F.md5("t").alias("digest"))
+    sizes = texts.join(F.broadcast(chosen), "k").groupBy("k", "y", "h").agg(F.min(size).alias("s")).select("k", "y", "h", "s.n", "s.digest")
+    left, taken = SAMPLE_BYTES, []
+    for r in sorted(sizes.collect(), key=lambda r: (-r["y"], r["h"], r["k"])):  # a row of the bounded sample each, without its text
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append((r["k"], r["y"], r["h"], r["digest"]))
+    wanted = spark.createDataFrame(taken, sizes.select("k", "y", "h", "digest").schema)
+    found = texts.join(F.broadcast(wanted), "k").where(F.md5("t") == F.col("digest")).dropDuplicates(["k"])
+    return materialize(found.select("k", "y", F.pmod(F.xxhash64(F.lit(10), "k"), F.lit(2)).alias("half"), "h", "t"), SAMPLE_TOXIC + SAMPLE_ORDINARY)
+
+
+def measured(sample: DataFrame, models: list[Model]) -> DataFrame:
+    """(y, h, x): the features of sample rows, by the model of the half that they are not in."""
+    sent = sample.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [Compressors(m) for m in sent.value]
+        for batch in batches:
+            x = [features(own[1 - half].differences(words_of(t))) for half, t in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "h", "x"])
+
+    return map_arrow(sample.select("y", "half", "h", "t"), run, "y int, h long, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most ``SAMPLE_TOXIC`` + ``SAMPLE_ORDINARY`` labelled rows, those with the least hashes of their keys."""
-    order = F.xxhash64(F.lit(9), "k")
-    marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").distinct()
-    chosen = marks.where("y = 1").orderBy(order, "k").limit(SAMPLE_TOXIC).unionByName(marks.where("y = 0").orderBy(order, "k").limit(SAMPLE_ORDINARY))
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    rows = found.select("t", "y", order.alias("h"), "k").collect()
-    return fit([(r["t"], r["y"]) for r in sorted(rows, key=lambda r: (r["h"], r["k"], r["t"] or ""))])
+    """A model fitted on ``labelled_sample``.
+
+    Dictionaries of either half measure the other half's documents, which sets the weights; those of the
+    model are trained on all. Without labelled rows every text gets a score of 0.5.
+    """
+    sample = labelled_sample(docs, labels, key, text, label)
+    rows = sorted((r["h"], r["half"], r["y"], r["t"]) for r in sample.collect())  # at most SAMPLE_BYTES of text
+    texts = [(half, words_of(t), y) for _, half, y, t in rows]
+    halves = [dictionaries([(w, y) for h, w, y in texts if h == half]) for half in (0, 1)]
+    share = min(1.0, CALIBRATION / max(1, len(rows)))
+    some = sample.where((F.col("y") == 1) | (F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(1000)) < int(1000 * share)))
+    found = sorted((r["h"], r["y"], r["x"]) for r in measured(some.repartition(16), halves).collect())  # features of the bounded sample
+    weights = fit_threshold(np.array([x for _, _, x in found]).reshape(-1, FEATURES), np.array([y for _, y, _ in found], float))
+    kept = share * sum(y == 0 for _, _, y in texts)
+    if kept and share < 1:  # ordinary rows were thinned for the fit: their true number sets the base rate
+        weights[0] += np.log(share)
+    model = dictionaries([(w, y) for _, w, y in texts])
+    model.weights = weights.tolist()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -222,7 +187,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     held, at = seal(docs)
     names = held.columns
-    sent = held.sparkSession.sparkContext.broadcast(model)
+    sent = held.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights = Compressors(sent.value), np.array(sent.value.weights)
