@@ -11,6 +11,7 @@ from dayloom.sources.scratch import shared_dir
 #: Words in the corpus contracts: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 FILE_ROWS = 50_000  # of an intermediate table whose size is known
+HOT_KEYS = 10_000  # keys that can each hold more than a 10,000th of a table's rows
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,6 +60,19 @@ def unseal(df: DataFrame, columns: list[str], **extra: F.Column) -> DataFrame:
     return df.select(*out)
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key`` and in ``count`` how many of the ``total`` rows of ``left`` have it.
+
+    Keys with more than a 10,000th of all rows, of which there are fewer than ``HOT_KEYS`` whatever the size, are broadcast, so
+    their rows stay where they are; the rest, none of them hot, meet in a merge join. Neither side may have null keys; ``count`` is left out.
+    """
+    hot = F.col(count) * HOT_KEYS > total
+    many = right.where(hot).drop(count)
+    met = left.join(F.broadcast(many), key)
+    rest = left.join(F.broadcast(many.select(key)), key, "left_anti").join(right.where(~hot).drop(count).hint("merge"), key)
+    return met.unionByName(rest)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package shipped to the executors first."""
     ship(df.sparkSession)

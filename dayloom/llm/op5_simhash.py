@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayloom.llm import near_copies
-from dayloom.llm.common import map_arrow, materialize, table, unseal
+from dayloom.llm.common import hot_join, map_arrow, materialize, table, unseal
 from dayloom.llm.components import components
 
 SHINGLE = 3
@@ -79,15 +79,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     prints = materialize(fingerprints(docs, key, text))
     total = prints.count()
-    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")), total)
+    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")), total)
     linked = components(ball_links(nodes.select("fp")), total).withColumnRenamed("node", "fp")
-    rooted = nodes.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # a component can be large, but a minimum is aggregated before the shuffle; rows that are their own root need no join
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    moved = linked.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
-    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    linked = materialize(linked.join(nodes.hint("merge"), "fp"), total)  # fingerprints that are distinct, so no key is hot
+    # a component or a fingerprint can be large: minima are aggregated before the shuffle, and what is hot is joined by broadcast
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    moved = hot_join(linked.select("fp", "root", "copies"), smallest, "root", "n", total).select("fp", "root", "component_id", "copies")
+    alone = nodes.join(linked.select("fp").hint("merge"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"), "copies")
     classes = materialize(moved.unionByName(alone), total)
-    return prints.join(classes.hint("merge"), "fp").select("key", "fp", "text_hash", "component_id", "root")
+    return hot_join(prints, classes, "fp", "copies", total).select("key", "fp", "text_hash", "component_id", "root")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
