@@ -28,7 +28,8 @@ from dayloom.llm.common import materialize, ship, table
 TOP = 10
 SCALE = 1024.0
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
-FINEST = 6  # the first stretch of a list is 2^-FINEST of it, as is the last but one
+CHUNK = 128  # queries that read a block side by side
+FINEST = 4  # the first stretch of a list is 2^-FINEST of it, as is the last
 FEW = 4  # times k vectors that are scored rather than read on for
 EXACT = float(1 << 53)  # sums of integers below this are exact in doubles
 
@@ -48,7 +49,7 @@ def usable(vector: Column) -> Column:
 
 def depths(n: int) -> list[int]:
     """How far lists of ``n`` entries are read, stretch by stretch; the last is the end."""
-    rising = [n >> s for s in range(FINEST, 0, -1)]
+    rising = [n >> s for s in range(FINEST, 0, -2)] + [n >> 1]
     falling = [n - (n >> s) for s in range(2, FINEST + 1)]
     return sorted({d for d in rising + falling if d > 0} | {n})
 
@@ -68,52 +69,74 @@ class SortedLists:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
         self.times = np.ones(len(ids), np.int64) if times is None else times[order]
-        self.rising = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T)  # (dimensions, entries)
-        self.values = np.take_along_axis(self.vectors.T, self.rising, axis=1)
-
-    def search(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, entries read) of the rows among the best k, all of at least ``floor``; one row equal to the query in id and vector is left out."""
-        n, dims = self.vectors.shape
-        query = query.astype(np.float64)
-        times = self.times.copy()
-        mine = np.flatnonzero((self.ids == own) & (self.vectors == query).all(axis=1))
-        times[mine[:1]] -= 1
-        alive = np.flatnonzero(times > 0)
-        slack = 1e-12 * float(np.abs(query) @ np.abs(self.vectors).max(axis=0))  # of sums in doubles
-        live = np.flatnonzero(query)  # lists that a query of 0 there never needs
-        down = query[live] < 0
-        order = np.where(down[:, None], self.rising[live], self.rising[live][:, ::-1])
-        gains = np.where(down[:, None], self.values[live], self.values[live][:, ::-1]) * query[live][:, None]  # falling
-        least = gains[:, -1]
-        known, seen = np.zeros(n), np.zeros((n, len(live)), np.float32)
-        read = done = 0
+        rising = np.argsort(self.vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.vectors, rising, axis=0)  # the lists, a column for each dimension
+        self.place = np.empty_like(rising)  # of each vector in each list
+        np.put_along_axis(self.place, rising, np.arange(len(ids))[:, None], axis=0)
+
+    def between(self, done: int, depth: int) -> np.ndarray:
+        """Which entries are read on the way from ``done`` to ``depth``: (vectors, from lists' ends | from lists' starts)."""
+        n = len(self.ids)
+        return np.concatenate([(self.place >= n - depth) & (self.place < n - done), (self.place < depth) & (self.place >= done)], axis=1)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(ids, scores, entries read) for each query: the rows among the best k that can reach its floor; one row equal to it in id and vector is left out.
+
+        Lists are read from their end where the query's component is positive, so that large contributions come
+        first, and from their start where it is negative. The queries of a call read side by side, each until it is decided.
+        """
+        n = len(self.ids)
+        queries = queries.astype(np.float64)
+        floor = np.full(len(queries), -np.inf) if floors is None else floors.copy()
+        times = np.repeat(self.times[:, None], len(queries), axis=1)
+        for q in np.flatnonzero(np.isin(own, self.ids)):
+            mine = np.flatnonzero((self.ids == own[q]) & (self.vectors == queries[q]).all(axis=1))
+            times[mine[:1], q] -= 1
+        slack = 1e-12 * (np.abs(queries) @ np.abs(self.vectors).max(axis=0))  # of sums in doubles
+        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).T  # what a list's end, and its start, is multiplied with
+        both = np.concatenate([self.vectors, self.vectors], axis=1)
+        known = np.zeros((n, len(queries)))
+        alive = times > 0
+        read, done = np.zeros(len(queries), np.int64), 0
         for depth in depths(n):
-            if len(alive) <= FEW * k or not len(live):
+            open_ = np.flatnonzero((alive.sum(axis=0) > FEW * k) & (queries != 0).any(axis=1))
+            if not len(open_):
                 break
-            new = order[:, done:depth]
-            known += np.bincount(new.ravel(), weights=gains[:, done:depth].ravel(), minlength=n)
-            seen[new, np.arange(len(live))[:, None]] = 1
-            read, done = read + new.size, depth
-            following = gains[:, depth] if depth < n else np.zeros(len(live))
-            missing = 1 - seen[alive]
-            lower, upper = known[alive] + missing @ least, known[alive] + missing @ following
-            best = np.argpartition(-lower, k)[:k] if len(lower) > k else np.arange(len(lower))
-            best = best[np.argsort(-lower[best], kind="stable")]
-            reached = best[np.searchsorted(np.cumsum(times[alive][best]), k)] if times[alive][best].sum() >= k else None
-            if reached is not None:
-                floor = max(floor, float(lower[reached]) - slack)
-            alive = alive[upper >= floor - slack]
-        scores = exact_scores(self.vectors[alive], query)
-        ids = self.ids[alive]
+            known[:, open_] += (both * self.between(done, depth)) @ signed[:, open_]
+            read[open_] += (depth - done) * (queries[open_] != 0).sum(axis=1)
+            done = depth
+            unread = self.between(depth, n).astype(np.float64)
+            following = np.concatenate([self.values[n - depth - 1], self.values[depth]]) if depth < n else np.zeros(len(signed))
+            upper = known[:, open_] + unread @ (following[:, None] * signed[:, open_])
+            blind = open_[np.isinf(floor[open_]) | (depth == n)]  # no floor was handed on: the k-th best lower bound is one
+            if len(blind):
+                least = np.concatenate([self.values[0], self.values[-1]])
+                lower = known[:, blind] + unread @ (least[:, None] * signed[:, blind])
+                for c, q in enumerate(blind):
+                    best = np.argsort(-np.where(times[:, q] > 0, lower[:, c], -np.inf), kind="stable")[:k]
+                    reached = np.cumsum(times[best, q])
+                    if reached[-1] >= k:
+                        bound = lower[best[np.searchsorted(reached, k)], c] - slack[q]
+                        floor[q] = bound if depth < n else max(floor[q], bound)
+            alive[:, open_] &= upper >= (floor - slack)[open_]
+            floor[blind] = np.where(depth < n, -np.inf, floor[blind])  # and grows with the next stretch
+        return [(*self.resolve(np.flatnonzero(alive[:, q]), queries[q], times[:, q], k), int(read[q])) for q in range(len(queries))]
+
+    def resolve(self, rows: np.ndarray, query: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best k of the rows that are left."""
+        ids, scores = self.ids[rows], exact_scores(self.vectors[rows], query)
         best = np.lexsort((ids, -scores))[:k] if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], int)
-        rows = np.repeat(best, np.minimum(times[alive][best], k))[:k]
-        return ids[rows], scores[rows].astype(np.int64), read
+        best = np.repeat(best, np.minimum(times[rows][best], k))[:k]
+        return ids[best], scores[best].astype(np.int64)
 
 
 def search_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     lists = SortedLists(vectors["id"].to_numpy(np.int64), np.stack(vectors["v"].to_numpy()), vectors["times"].to_numpy(np.int64))
-    for own, mark, v, floor in zip(queries["own"], queries["mark"], queries["query"], queries["floor"], strict=True):
-        yield own, mark, *lists.search(np.asarray(v), own, k, floor)
+    for at in range(0, len(queries), CHUNK):
+        part = queries.iloc[at : at + CHUNK]
+        found = lists.search(np.stack(part["query"].to_numpy()), part["own"].to_numpy(np.int64), k, part["floor"].to_numpy(np.float64))
+        for own, mark, answer in zip(part["own"], part["mark"], found, strict=True):
+            yield own, mark, *answer
 
 
 def _met(left: DataFrame, right: DataFrame, k: int) -> DataFrame:

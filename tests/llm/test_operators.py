@@ -534,7 +534,7 @@ def test_lists_stop_only_when_sure(seed, n, d, k):
         q = v[0] if own >= 0 else r.integers(-5, 6, d)
         wanted = sorted((-int(x @ q), int(i)) for x, i, t in zip(v, ids, times) for _ in range(t - (i == own)))[:k]
         for floor in (-np.inf, -wanted[-1][0] if len(wanted) == k else -np.inf):
-            got, scores, _ = lists.search(q, own, k, floor)
+            ((got, scores, _),) = lists.search(np.array([q]), np.array([own]), k, np.array([floor]))
             assert [(-int(s), int(i)) for s, i in zip(scores, got)] == wanted
 
 
@@ -544,7 +544,7 @@ def test_reading_stops_early_where_components_decay_and_goes_on_where_they_do_no
     read = {}
     for name, scale in (("decaying", 1000 * 0.5 ** np.arange(d)), ("alike", np.full(d, 100.0))):
         v, q = np.floor(r.normal(0, 1, (n, d)) * scale), np.floor(r.normal(0, 1, d) * scale)
-        got, scores, read[name] = op7_topk.SortedLists(np.arange(n), v).search(q, -1, k)
+        ((got, scores, read[name]),) = op7_topk.SortedLists(np.arange(n), v).search(np.array([q]), np.array([-1]), k)
         wanted = sorted((-int(x @ q), i) for i, x in enumerate(v))[:k]
         assert [(-int(s), int(i)) for s, i in zip(scores, got)] == wanted
     assert read["decaying"] <= 0.3 * n * d and read["alike"] > 0.6 * n * d
