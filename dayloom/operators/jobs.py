@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.operators import dedup, listening, visits, watching, worklog
-from dayloom.operators.cursors import CursorFile, run_all, since
+from dayloom.operators.cursors import Cursor, run_all
 from dayloom.sources import files, sinks
 from dayloom.sources.catalog import Lake, conform
+from dayloom.sources.paged import by_window, in_batches, lookup
+
+Fetch = Callable[[list[str]], list[dict | None]]
 
 
 def ingest_visits(raw: DataFrame, lake: Lake, ingested_at: Column, per_payload: bool = True) -> DataFrame:
@@ -29,18 +36,61 @@ def derive_watch_events(lake: Lake, sync_id: str) -> bool:
     return True
 
 
-def ingest_plays(items: DataFrame, lake: Lake, cursor: CursorFile) -> int:
-    """Land plays after the cursor; the cursor moves only once all are written. Returns the number of new plays."""
-    rows = listening.plays(items)
-    last = cursor.read()
-    fresh = rows if last is None else rows.where(F.col("played_at_utc") > last)
-    found = fresh.agg(F.max("played_at_utc").alias("m"), F.count(F.lit(1)).alias("n")).first()
-    if found["n"]:
-        sinks.append_events(fresh, lake, "spotify/plays")
-        cursor.advance(found["m"])
+@contextmanager
+def staged(rows: DataFrame, lake: Lake) -> Iterator[DataFrame]:
+    """Rows written to the lake and read back, so that a live source is read once: what is landed is what moves the cursor. Deleted at the end."""
+    path = f"{lake.root}/_staging/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    try:
+        yield lake.spark.read.parquet(path)
+    finally:
+        files.delete(lake.spark, path)
+
+
+def _land(rows: DataFrame, lake: Lake, name: str, time: str, cursor: Cursor, last: str | None) -> int:
+    """Land staged rows whose instant is after ``last``; the cursor moves to the latest of them once all are written. Returns their number."""
+    at = F.try_to_timestamp(F.col(time).cast("string"))
+    with staged(rows, lake) as held:
+        fresh = held if last is None else held.where(at > F.to_timestamp(F.lit(last)))
+        found = fresh.agg(F.max_by(F.col(time).cast("string"), at).alias("m"), F.count(F.lit(1)).alias("n")).first()
+        if found["n"]:
+            sinks.append_events(fresh, lake, name)
+            if found["m"] is not None:
+                cursor.advance(found["m"])
     return found["n"]
 
 
+def ingest_plays(items: DataFrame, lake: Lake, cursor: Cursor) -> int:
+    """Land plays after the cursor, by instant; the cursor moves only once all are written. Returns the number of new plays."""
+    return _land(listening.plays(items), lake, "spotify/plays", "played_at_utc", cursor, cursor.read())
+
+
+def enrich_masters(lake: Lake, fetch_tracks: Fetch, fetch_artists: Fetch, now: Column) -> dict[str, int]:
+    """Look up the tracks and artists that plays mention and the masters lack, and land them under the current month; a failed request fails the job.
+
+    Returns how many rows were landed of each.
+    """
+    plays, tracks, artists = (lake.scan(f"spotify/{n}", layer="raw") for n in ("plays", "tracks", "artists"))
+    landed = {}
+    track_ids, artist_ids = listening.missing_master_ids(plays, tracks, artists)
+    for name, ids, column, fetch, schema, shape in (
+        ("spotify/tracks", track_ids, "track_id", fetch_tracks, listening.TRACK, listening.tracks),
+        ("spotify/artists", artist_ids, "artist_id", fetch_artists, listening.ARTIST_ITEM, listening.artists),
+    ):
+        found = lookup(ids, column, fetch).select(F.from_json("json", schema).alias("i")).select("i.*")
+        with staged(shape(found, now), lake) as held:
+            landed[name] = held.count()
+            sinks.append_events(held, lake, name)
+    return landed
+
+
+def push_visits(fetch: Callable[[str | None, str, int], list[dict]], send: Callable[[list[dict]], object], cursor: Cursor, until: str, page: int = 10_000, wait: float = 5.0) -> int:
+    """Read a browser's visits after the cursor up to ``until`` and send them in batches; the cursor moves to ``until`` after the last. Returns their number."""
+    sent = in_batches(by_window(fetch, cursor.read(), until, page), send, wait=wait)
+    cursor.advance(until)
+    return sent
+
+
 def ingest_worklog(pulls: DataFrame, commits: DataFrame, repos: DataFrame, lake: Lake, login: str, now: Column) -> dict[str, dict[str, int]]:
     """Land pull requests and commits that are not stored yet and merge the repositories; counts for each dataset."""
     counts = {}
@@ -71,23 +121,25 @@ def enrich_watch_events(lake: Lake, videos: DataFrame, channels: DataFrame) -> D
     return watching.enrich(events, lake.scan("youtube/videos"))
 
 
-def ingest_watch_history(items: DataFrame, account: str, lake: Lake, cursor: CursorFile, not_before: str | None = None) -> int:
+def ingest_watch_history(items: DataFrame, account: str, lake: Lake, cursor: Cursor, not_before: str | None = None) -> int:
     """Land an account's watch history after its cursor (and not before a given time); the cursor moves last. Returns the number of rows."""
-    last = max(filter(None, (cursor.read(), not_before)), default=None)
-    fresh = since(watching.watch_history(items, account), "watched_at_utc", last)
-    found = fresh.agg(F.max("watched_at_utc").cast("string").alias("m"), F.count(F.lit(1)).alias("n")).first()
-    if found["n"]:
-        sinks.append_events(fresh, lake, "youtube/watch_history")
-        cursor.advance(found["m"])
-    return found["n"]
+    rows = watching.watch_history(items, account)
+    if not_before is not None:
+        rows = rows.where(F.col("watched_at_utc") > F.lit(not_before).cast("timestamp"))
+    return _land(rows, lake, "youtube/watch_history", "watched_at_utc", cursor, cursor.read())
 
 
 def import_export(pages: DataFrame, lake: Lake, ingested_at: Column, after: str | None = None, before: str | None = None) -> DataFrame:
-    """Land the watch events of an export, from ``after`` on and before ``before``; one row of counts comes back."""
+    """Land the watch events of an export that are not stored yet, from ``after`` on and before ``before``; one row of counts of the export comes back.
+
+    A rerun lands nothing more.
+    """
     events = watching.exported_events(pages, ingested_at)
     if after:
         events = events.where(F.col("watched_at_utc") >= F.lit(after).cast("timestamp"))
     if before:
         events = events.where(F.col("watched_at_utc") < F.lit(before).cast("timestamp"))
-    sinks.append_events(events, lake, "youtube/watch_events")
+    once = events.dropDuplicates(["watch_event_id"])
+    with staged(dedup.only_new(once, lake.scan("youtube/watch_events", layer="raw"), "watch_event_id"), lake) as fresh:
+        sinks.append_events(fresh, lake, "youtube/watch_events")
     return events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("video_id").alias("videos"), F.min("watched_at_utc").alias("first"), F.max("watched_at_utc").alias("last"), F.count_if(F.col("channel_id").isNull()).alias("without_channel"))

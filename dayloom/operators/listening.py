@@ -14,9 +14,9 @@ ARTIST_ITEM = "id string, name string, genres array<string>, popularity bigint,
 
 
 def plays(items: DataFrame) -> DataFrame:
-    """Play rows of recently played items (``PLAY_ITEM``); items without a track go. Ids that cannot be formed are random."""
+    """Play rows of recently played items (``PLAY_ITEM``); items without a track go. Where an id cannot be formed a hash of the whole item serves, so that a rerun gives the same."""
     t, at = F.col("track"), F.col("played_at")
-    key = F.when((at != "") & (t["id"] != ""), F.concat_ws("_", at, t["id"])).otherwise(F.uuid())
+    key = F.when((at != "") & (t["id"] != ""), F.concat_ws("_", at, t["id"])).otherwise(F.concat(F.lit("item_"), F.sha2(F.to_json(F.struct("track", "played_at", "context")), 256)))
     return items.where(t.isNotNull()).select(
         key.alias("play_id"), at.alias("played_at_utc"), t["id"].alias("track_id"), F.coalesce(t["name"], F.lit("Unknown")).alias("track_name"),
         fields_of(t["artists"], "id").alias("artist_ids"), fields_of(t["artists"], "name").alias("artist_names"), t["album"]["id"].alias("album_id"),

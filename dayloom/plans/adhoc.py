@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROWS = 1000
-#: Plan nodes that only read. The analyzed plan of a query in a subselect holds no others, whatever the text looks like.
-COMMANDS = ("Command", "CreateTable", "InsertInto", "DropTable", "AppendData", "OverwriteByExpression", "ReplaceTable")
+#: Interfaces of plan nodes that do more than read.
+COMMANDS = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+
+
+def _nodes(plan: Any) -> Iterator[Any]:
+    """A plan's nodes, those of its subqueries included."""
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        yield node
+        for found in (node.children(), node.subqueries(), node.innerChildren()):
+            waiting += [found.apply(i) for i in range(found.size())]
 
 
 def data_query(spark: SparkSession, sql: str, params: list[Any] | None = None) -> DataFrame:
@@ -17,8 +28,8 @@ def data_query(spark: SparkSession, sql: str, params: list[Any] | None = None) -
     if not text.upper().startswith("SELECT"):
         raise ValueError("only SELECT is allowed")
     df = spark.sql(f"SELECT * FROM ({text}) AS _sub LIMIT {MAX_ROWS + 1}", args=params or None)
-    plan = df._jdf.queryExecution().analyzed().toString()
-    if any(word in plan for word in COMMANDS):
+    kinds = [spark._jvm.java.lang.Class.forName(name) for name in COMMANDS]
+    if any(kind.isInstance(node) for node in _nodes(df._jdf.queryExecution().analyzed()) for kind in kinds):
         raise ValueError("only SELECT is allowed")
     return df
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date
 from typing import Any
 
@@ -14,31 +14,41 @@ from dayloom.plans import adhoc, code, music, video, web
 from dayloom.sources.catalog import Lake
 
 
-def check_dates(start: str | date, end: str | date) -> tuple[str, str]:
-    """Both as ISO dates, start not after end; else a ValueError that begins with invalid_start_date, invalid_end_date or invalid_date_range."""
-    out = []
-    for name, value in (("start_date", start), ("end_date", end)):
+@dataclass(frozen=True)
+class Rule:
+    """What a parameter may be: ``read`` gives the value to use or raises; the error then begins with ``code``."""
+
+    code: str
+    says: str
+    read: Callable[[Any], Any]
+
+    def apply(self, value: Any) -> Any:
         try:
-            out.append((value if isinstance(value, date) else date.fromisoformat(value)).isoformat()[:10])
+            return self.read(value)
         except (TypeError, ValueError) as e:
-            raise ValueError(f"invalid_{name}: {e}") from e
-    if out[0] > out[1]:
-        raise ValueError("invalid_date_range: start_date must be on or before end_date")
-    return out[0], out[1]
+            raise ValueError(f"{self.code}: {self.says}") from e
+
+
+def _one_of(values: tuple[str, ...]) -> Callable[[Any], str]:
+    return lambda v: values[values.index(v)]
+
+
+def limit_rule(most: int) -> Rule:
+    return Rule("invalid_limit", f"a whole number from 1 to {most} is expected", lambda v: range(1, most + 1)[range(1, most + 1).index(v)] if type(v) is int else _fail())
 
 
-def check_limit(limit: Any, least: int = 1, most: int = 100) -> int:
-    if not isinstance(limit, int) or isinstance(limit, bool):
-        raise ValueError("invalid_limit: must be a positive integer")
-    if not least <= limit <= most:
-        raise ValueError(f"invalid_limit: must be between {least} and {most}")
-    return limit
+def _fail() -> None:
+    raise ValueError
 
 
-def check_granularity(value: str) -> str:
-    if value not in GRANULARITIES:
-        raise ValueError(f"invalid_granularity: must be one of: {', '.join(sorted(GRANULARITIES))}")
-    return value
+_day = lambda v: (v if isinstance(v, date) else date.fromisoformat(v)).isoformat()[:10]
+#: The codes that errors begin with.
+RULES = {
+    "start_date": Rule("invalid_start_date", "a date such as 2024-01-31 is expected", _day),
+    "end_date": Rule("invalid_end_date", "a date such as 2024-01-31 is expected", _day),
+    "granularity": Rule("invalid_granularity", f"one of {', '.join(GRANULARITIES)} is expected", _one_of(GRANULARITIES)),
+    "limit": limit_rule(100),
+}
 
 
 @dataclass(frozen=True)
@@ -47,6 +57,7 @@ class Tool:
     description: str
     parameters: dict[str, Any]  # name to default; REQUIRED for those without
     run: Callable[..., DataFrame]
+    rules: dict[str, Rule] = field(default_factory=dict)  # where they differ from ``RULES``
 
     def schema(self) -> dict[str, Any]:
         """JSON schema of the parameters."""
@@ -85,12 +96,11 @@ class ToolRegistry:
         values = {**tool.parameters, **given}
         if missing := [p for p, v in values.items() if v is REQUIRED]:
             raise ValueError(f"missing parameters: {', '.join(missing)}")
-        if "start_date" in values:
-            values["start_date"], values["end_date"] = check_dates(values["start_date"], values["end_date"])
-        if values.get("limit") is not None:
-            values["limit"] = check_limit(values["limit"])
-        if "granularity" in values:
-            values["granularity"] = check_granularity(values["granularity"])
+        for name, rule in {**RULES, **tool.rules}.items():
+            if values.get(name) is not None:
+                values[name] = rule.apply(values[name])
+        if values.get("start_date", "") > values.get("end_date", ""):
+            raise ValueError("invalid_date_range: the first day comes after the last")
         return tool.run(**values)
 
 
@@ -112,7 +122,7 @@ def build_registry(lake: Lake, layer: str = "compacted") -> ToolRegistry:
         Tool("get_top_domains", "Most viewed domains", {**DATES, "browser": None, "profile": None, "limit": 20}, lambda start_date, end_date, browser, profile, limit: web.top_domains(scan(views, start_date, end_date), start_date, end_date, browser, profile, limit)),
         Tool("get_pull_requests", "Latest pull request events", {**DATES, "owner": None, "repo": None, "state": None, "limit": 100}, lambda start_date, end_date, owner, repo, state, limit: code.pull_requests(scan(pulls, start_date, end_date), start_date, end_date, owner, repo, state, limit)),
         Tool("get_commits", "Latest commits", {**DATES, "owner": None, "repo": None, "limit": 100}, lambda start_date, end_date, owner, repo, limit: code.commits(scan(commits, start_date, end_date), start_date, end_date, owner, repo, limit)),
-        Tool("get_repositories", "Repositories", {"owner": None, "repo": None, "limit": 10}, lambda owner, repo, limit: code.repositories(scan("github/repositories"), owner, repo, limit)),
+        Tool("get_repositories", "Repositories", {"owner": None, "repo": None, "limit": 10}, lambda owner, repo, limit: code.repositories(scan("github/repositories"), owner, repo, limit), {"limit": limit_rule(1000)}),
         Tool("get_activity_stats", "Coding activity by period", {**DATES, "granularity": "day"}, lambda start_date, end_date, granularity: code.activity_stats(scan(pulls, start_date, end_date), scan(commits, start_date, end_date), start_date, end_date, granularity)),
         Tool("get_repo_summary_stats", "Totals of each repository", {**DATES, "owner": None, "repo": None}, lambda start_date, end_date, owner, repo: code.repo_summary(scan(pulls, start_date, end_date), scan(commits, start_date, end_date), start_date, end_date, owner, repo)),
         Tool("data_query", "A SELECT over the views", {"sql": REQUIRED, "params": None}, lambda sql, params: adhoc.data_query(lake.spark, sql, params)),

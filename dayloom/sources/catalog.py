@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dayloom.functions.times import within_days
-from dayloom.sources import files, schemas
+from dayloom.sources import files, schemas, snapshots
 
 
 @dataclass(frozen=True)
@@ -27,14 +27,15 @@ class Dataset:
     order: str | None
     time: str | None = None  # event time, for events
     domain: str = "events"
+    filed_by: str | None = None  # of masters that land by month: the time that tells the month
 
 
 DATASETS = {
     d.name: d
     for d in (
         Dataset("spotify/plays", schemas.PLAYS, "play_id", "played_at_utc", "played_at_utc"),
-        Dataset("spotify/tracks", schemas.TRACKS, "track_id", "updated_at", domain="master"),
-        Dataset("spotify/artists", schemas.ARTISTS, "artist_id", "updated_at", domain="master"),
+        Dataset("spotify/tracks", schemas.TRACKS, "track_id", "updated_at", domain="master", filed_by="updated_at"),
+        Dataset("spotify/artists", schemas.ARTISTS, "artist_id", "updated_at", domain="master", filed_by="updated_at"),
         Dataset("github/pull_requests", schemas.PULL_REQUESTS, "pr_event_id", "updated_at_utc", "updated_at_utc"),
         Dataset("github/commits", schemas.COMMITS, "commit_event_id", "committed_at_utc", "committed_at_utc"),
         Dataset("github/repositories", schemas.REPOSITORIES, "repo_id", "updated_at_utc", domain="master"),
@@ -60,44 +61,69 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 class Lake:
-    """The datasets under one root; ``local`` is a mirror that is preferred where it has the dataset."""
+    """The datasets under one root; ``local`` is a mirror that is preferred month by month, for what it has."""
 
     def __init__(self, spark: SparkSession, root: str, local: str | None = None) -> None:
         self.spark, self.root, self.local = spark, root.rstrip("/"), local.rstrip("/") if local else None
 
-    def folder(self, name: str, layer: str = "compacted") -> str:
+    def folder(self, name: str, layer: str = "compacted", root: str | None = None) -> str:
         """Folder of a dataset in the ``raw`` layer (as landed, with repeats) or the ``compacted`` one."""
-        sub = f"{'compacted/' if layer == 'compacted' else ''}{DATASETS[name].domain}/{name}"
-        return files.local_first(self.spark, f"{self.local}/{sub}" if self.local else None, f"{self.root}/{sub}")
+        return f"{root or self.root}/{'compacted/' if layer == 'compacted' else ''}{DATASETS[name].domain}/{name}"
+
+    def _parts(self, name: str, layer: str) -> list[tuple[str, list[str]]]:
+        """(folder, paths in it) that make up a dataset: months that the mirror has from there, all others from the root.
+
+        A snapshot, or a dataset that is not filed by month, comes whole, from the mirror if it is there.
+        """
+        roots = [r for r in (self.local, self.root) if r]
+        folders = [self.folder(name, layer, r) for r in roots]
+        for f in folders:
+            if snapshot := snapshots.current(self.spark, f):
+                return [(snapshot, [snapshot])]
+        taken: set[str] = set()
+        parts = []
+        for f in folders:
+            months = {m[len(m.split("/year=")[0]) :]: m for m in files.matches(self.spark, f"{f}/year=*/month=*")}
+            mine = [path for place, path in sorted(months.items()) if place not in taken]
+            taken |= set(months)
+            if mine:
+                parts.append((f, mine))
+        if parts:
+            return parts
+        return next(([(f, [f])] for f in folders if files.matches(self.spark, f"{f}/*")), [])
 
     def read(self, name: str, layer: str) -> DataFrame | None:
         """All files of a dataset with their partition columns, missing columns null; None if there are none."""
-        folder = self.folder(name, layer)
-        if not files.matches(self.spark, folder):
-            return None
+        frames = [x for x in (self._load(name, folder, paths) for folder, paths in self._parts(name, layer)) if x is not None]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+
+    def _load(self, name: str, folder: str, paths: list[str]) -> DataFrame | None:
         reader = self.spark.read.option("mergeSchema", "true")
-        if DATASETS[name].domain == "master":  # one file for each entity or month: folders below say nothing
+        if "/year=" not in paths[0] and DATASETS[name].domain == "master":  # one file for each entity: folders below say nothing
             reader = reader.option("recursiveFileLookup", "true")
         try:
-            return reader.parquet(folder)
+            return reader.option("basePath", folder).parquet(*paths) if paths != [folder] else reader.parquet(folder)
         except Exception as e:
             if "UNABLE_TO_INFER_SCHEMA" in str(e):  # a folder without any Parquet file is an empty dataset
                 return None
             if "CANNOT_MERGE_SCHEMAS" in str(e):
-                return self._read_apart(name, folder)
+                return self._read_apart(name, folder, paths)
             raise
 
-    def _read_apart(self, name: str, folder: str) -> DataFrame:
-        """A dataset whose files disagree on types (such as whole numbers written as doubles): each kind of file is read alone and cast."""
-        leaves = files.matches(self.spark, f"{folder}/*.parquet") + files.matches(self.spark, f"{folder}/*/*.parquet") + files.matches(self.spark, f"{folder}/*/*/*.parquet")
-        kinds: dict[str, list[str]] = {}
-        for f in leaves:
-            kinds.setdefault(self.spark.read.parquet(f).schema.json(), []).append(f)
+    def _read_apart(self, name: str, folder: str, paths: list[str]) -> DataFrame:
+        """A dataset whose files disagree on types (such as whole numbers written as doubles): each month, and in one that disagrees with itself each file, is read alone and cast."""
         parts = []
-        for paths in kinds.values():
-            df = self.spark.read.option("basePath", folder).parquet(*paths)
-            place = [c for c in ("year", "month") if c in df.columns]
-            parts.append(conform(df, StructType([*DATASETS[name].schema.fields, *(df.schema[c] for c in place)])))
+        for path in paths:
+            for piece in [path], files.matches(self.spark, f"{path}/*.parquet"):
+                try:
+                    found = [self.spark.read.option("basePath", folder).option("mergeSchema", "true").parquet(p) for p in piece]
+                    break
+                except Exception as e:
+                    if "CANNOT_MERGE_SCHEMAS" not in str(e):
+                        raise
+            for df in found:
+                place = [c for c in ("year", "month") if c in df.columns]
+                parts.append(conform(df, StructType([*DATASETS[name].schema.fields, *(df.schema[c] for c in place)])))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def scan(self, name: str, start: str | None = None, end: str | None = None, layer: str = "compacted") -> DataFrame:
@@ -116,8 +142,8 @@ class Lake:
 
     def months(self, name: str, layer: str = "raw") -> list[tuple[int, int]]:
         """(year, month) partitions of a dataset, sorted, from folder names alone."""
-        found = files.matches(self.spark, f"{self.folder(name, layer)}/year=*/month=*")
-        parts = [dict(p.split("=", 1) for p in f.split("/") if "=" in p) for f in found]
+        paths = [p for _, found in self._parts(name, layer) for p in found if "/year=" in p]
+        parts = [dict(x.split("=", 1) for x in p.split("/") if "=" in x) for p in paths]
         return sorted({(int(p["year"]), int(p["month"])) for p in parts})
 
     def available(self, name: str, layer: str = "compacted") -> bool:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import shutil
+import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -25,38 +27,54 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def replace_folder(spark: SparkSession, staged: str, target: str) -> None:
-    """Put a finished folder in the place of another: the old one is moved aside first and deleted last."""
-    fs, new = _at(spark, staged)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    old, aside = path(target), path(f"{target}.replaced")
-    fs.delete(aside, True)
-    if fs.exists(old):
-        fs.rename(old, aside)
-    fs.mkdirs(old.getParent())
-    if not fs.rename(new, old):
-        raise OSError(f"cannot rename {staged} to {target}")
-    fs.delete(aside, True)
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small ASCII file; False if there is one of that name."""
     fs, p = _at(spark, path)
-    fs.delete(p, True)
+    try:
+        stream = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    stream.writeBytes(text)
+    stream.close()
+    return True
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small ASCII file in the place of another in one step: written under another name, then renamed over it."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    create_text(spark, part, text)
+    jvm = spark._jvm
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    old, new = jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
+    fs, _ = _at(spark, path)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(old), fs.makeQualified(new), over)
 
 
-def local_first(spark: SparkSession, local: str | None, remote: str) -> str:
-    """The local mirror of a folder if it is there, else the remote one."""
-    return local if local and exists(spark, local) else remote
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
 
 
 def mirror(source: Path, target: Path) -> dict[str, int | list[str]]:
     """Copy files under ``source`` that are missing in ``target`` or differ in size; each by a temporary name and a rename.
 
-    A file that fails is listed and the rest go on.
+    A file that fails is listed and the rest go on. Pointers to snapshots come after what they point to.
     """
     copied = skipped = 0
     failed: list[str] = []
-    for f in sorted(p for p in Path(source).rglob("*") if p.is_file()):
+    for f in sorted((p for p in Path(source).rglob("*") if p.is_file()), key=lambda p: ("_pointers" in p.parts, p)):
         name = f.relative_to(source)
         to = Path(target) / name
         try:

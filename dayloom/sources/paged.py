@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from datetime import UTC, datetime
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -20,6 +22,7 @@ from dayloom.session import ship
 
 ATTEMPTS = 3
 BATCH = 50
+UPLOAD = 1000
 
 
 class ServiceError(Exception):
@@ -54,16 +57,51 @@ def by_offset(fetch: Callable[[int, int], dict[str, Any] | None], size: int, mos
             return
 
 
+def _instant(text: str | None) -> datetime | None:
+    """ISO-8601 text as an instant; without a zone it is taken as UTC."""
+    at = datetime.fromisoformat(text) if text else None
+    return at if at is None or at.tzinfo else at.replace(tzinfo=UTC)
+
+
+def by_window(fetch: Callable[[str | None, str, int], list[dict[str, Any]]], since: str | None, until: str, size: int, time_of: str = "visit_time", id_of: str = "visit_id") -> Iterator[dict[str, Any]]:
+    """Items after ``since`` up to ``until``, the latest first, of a source that gives at most ``size`` of them to (since, until, size).
+
+    The end of the window moves to the oldest item of each page, which is asked for again, since others may share its time; items
+    that came before are left out by their id. Where a whole page has one time, more are asked for.
+    """
+    end, asked, edge = until, size, set()
+    while page := retrying(lambda: fetch(since, end, asked)):
+        yield from (x for x in page if x[id_of] not in edge)
+        if len(page) < asked:
+            return
+        oldest = page[-1][time_of]
+        if _instant(oldest) == _instant(end) and len({_instant(x[time_of]) for x in page}) == 1:
+            edge |= {x[id_of] for x in page}
+            asked *= 2
+            continue
+        edge = {x[id_of] for x in page if _instant(x[time_of]) == _instant(oldest)}
+        end, asked = oldest, size
+
+
+def in_batches(items: Iterable[dict[str, Any]], send: Callable[[list[dict[str, Any]]], object], size: int = UPLOAD, attempts: int = ATTEMPTS, wait: float = 5.0) -> int:
+    """Send items ``size`` at a time, each batch tried again if it fails; the number sent. A batch that fails for good ends it with its error."""
+    sent, rest = 0, iter(items)
+    while batch := list(islice(rest, size)):
+        retrying(lambda batch=batch: send(batch), attempts, wait)
+        sent += len(batch)
+    return sent
+
+
 def by_page(fetch: Callable[[int], list[dict[str, Any]]], size: int, since: str | None = None, time_of: str = "updated_at") -> Iterator[dict[str, Any]]:
     """Items of pages 1, 2, ... that come newest first; with ``since``, older ones are left out and end the reading.
 
-    Items without a time are kept. ISO-8601 times in UTC are compared as text.
+    Items without a time are kept. ISO-8601 times are compared as instants.
     """
-    number = 1
+    number, first = 1, _instant(since)
+    old = lambda x: first is not None and bool(x.get(time_of)) and _instant(x[time_of]) < first
     while page := retrying(lambda: fetch(number)):
-        yield from (x for x in page if since is None or not x.get(time_of) or x[time_of] >= since)
-        oldest = page[-1].get(time_of)
-        if len(page) < size or since is not None and oldest and oldest < since:
+        yield from (x for x in page if not old(x))
+        if len(page) < size or old(page[-1]):
             return
         number += 1
 
@@ -91,14 +129,18 @@ def lookup(ids: DataFrame, column: str, fetch: Callable[[list[str]], list[dict[s
     """
     ship(ids.sparkSession)
 
+    def answers(part: list[str]) -> Iterator[pd.DataFrame]:
+        if found := [json.dumps(x) for x in retrying(lambda: fetch(part)) if x]:
+            yield pd.DataFrame({"json": found})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[str] = []
         for batch in batches:
             waiting += batch[column].tolist()
             while len(waiting) >= size:
                 part, waiting = waiting[:size], waiting[size:]
-                yield pd.DataFrame({"json": [json.dumps(x) for x in retrying(lambda part=part: fetch(part)) if x]})
+                yield from answers(part)
         if waiting:
-            yield pd.DataFrame({"json": [json.dumps(x) for x in retrying(lambda: fetch(waiting)) if x]})
+            yield from answers(waiting)
 
     return ids.select(F.col(column).cast("string").alias(column)).where(F.col(column) != "").distinct().mapInPandas(run, "json string")

@@ -9,13 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) under a local one."""
+    """A new folder under ``spark.checkpoint.dir``; under a local one only where that is unset and all runs on this machine; unset on a cluster it is an error."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
         found = context._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
-    if not root:
+    if not root and context.master.startswith("local"):
         root = tempfile.mkdtemp(prefix="dayloom-")
         context.setCheckpointDir(root)
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/dayloom-{uuid.uuid4().hex}"

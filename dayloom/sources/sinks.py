@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.functions.times import month_columns
 from dayloom.operators.dedup import keep_last, upsert
-from dayloom.sources import files
+from dayloom.sources import snapshots
 from dayloom.sources.catalog import DATASETS, Lake, conform
 
 
@@ -19,8 +17,12 @@ def with_months(df: DataFrame, time: str) -> DataFrame:
 
 
 def append_events(df: DataFrame, lake: Lake, name: str) -> None:
-    """Add files to the raw months that the rows belong to."""
-    with_months(df, DATASETS[name].time).write.mode("append").partitionBy("year", "month").parquet(lake.folder(name, "raw"))
+    """Add files to the raw months that the rows belong to; masters that land by month go to that of their update."""
+    dataset = DATASETS[name]
+    time = dataset.time or dataset.filed_by
+    if time is None:
+        raise ValueError(f"{name} is a snapshot and does not land by month")
+    with_months(df, time).write.mode("append").partitionBy("year", "month").parquet(lake.folder(name, "raw"))
 
 
 def overwrite_sync(df: DataFrame, lake: Lake, name: str, sync: str) -> None:
@@ -34,18 +36,16 @@ def write_raw_json(df: DataFrame, folder: str, day: str) -> None:
     df.withColumn("day", F.to_date(F.col(day))).write.mode("append").partitionBy("day").json(folder)
 
 
-def swap_in(df: DataFrame, target: str) -> None:
-    """Replace a folder by the rows of ``df``, which may read that very folder: staged first, then renamed."""
-    spark = df.sparkSession
-    staged = f"{target}.staged-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    files.replace_folder(spark, staged, target)
-
-
 def upsert_master(incoming: DataFrame, lake: Lake, name: str) -> None:
-    """Merge rows into a master dataset; one writer at a time, since plain Parquet has no compare-and-swap."""
+    """Merge rows into a master dataset, published as its next snapshot; the merge is repeated if another writer was faster."""
     dataset = DATASETS[name]
-    swap_in(upsert(lake.scan(name), conform(incoming, dataset.schema), dataset.key), lake.folder(name, "compacted"))
+    folder = lake.folder(name)
+
+    def merge(current: str | None) -> DataFrame:
+        stored = lake.spark.read.parquet(current) if current else lake.scan(name)
+        return upsert(conform(stored, dataset.schema), conform(incoming, dataset.schema), dataset.key)
+
+    snapshots.update(lake.spark, folder, merge)
 
 
 def compact(lake: Lake, name: str, months: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
@@ -58,8 +58,8 @@ def compact(lake: Lake, name: str, months: list[tuple[int, int]] | None = None)
     the months that are there. Months without rows are left as they are.
     """
     dataset = DATASETS[name]
-    if not files.matches(lake.spark, lake.folder(name, "raw")):
-        return []
+    if dataset.key is None or not (dataset.time or dataset.filed_by):
+        raise ValueError(f"{name} is not compacted: it has {'no key' if dataset.key is None else 'no months'}")
     raw = lake.read(name, "raw")
     if raw is None:
         return []

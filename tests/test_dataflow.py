@@ -94,10 +94,11 @@ def test_months_and_cursors(spark, tmp_path):
     rows = spark.createDataFrame([(T("2024-01-01"),), (T("2024-01-02"),), (T("2024-01-03"),)], "t timestamp")
     assert cursors.since(rows, "t", "2024-01-01", "2024-01-02").count() == 1
     assert cursors.since(rows, "t", None).count() == 3
-    c = cursors.CursorFile(tmp_path / "state" / "c.json")
-    assert c.read() is None
-    c.advance("x")
-    assert c.read() == "x"
+    c = cursors.Cursor.of(Lake(spark, str(tmp_path)), "browser_history", "my pc", "edge", "Profile 1/a")
+    assert c.read() is None and c.path.endswith("/state/browser_history/my%20pc/edge/Profile%201%2Fa/cursor.json")
+    for x in ("x", "y"):
+        c.advance(x)
+        assert c.read() == x
     ran = []
     with pytest.raises(RuntimeError, match="b: no"):
         cursors.run_all({"a": lambda: ran.append("a"), "b": lambda: (_ for _ in ()).throw(ValueError("no")), "c": lambda: ran.append("c")})
@@ -170,7 +171,7 @@ def test_plays_ingest_moves_the_cursor_last(spark, lake, tmp_path):
     item = {"track": {"id": "t1", "name": "N", "artists": [{"id": "a1", "name": "X"}, {"id": None, "name": "Y"}], "album": {"id": "al", "name": "AL"}, "duration_ms": 5}, "played_at": "2024-01-05T00:00:00Z"}
     text = [json.dumps(item), json.dumps({**item, "played_at": "2024-01-06T00:00:00Z"}), json.dumps({"played_at": "2024-01-07T00:00:00Z"})]
     items = spark.createDataFrame([(t,) for t in text], "v string").select(F.from_json("v", listening.PLAY_ITEM).alias("i")).select("i.*")
-    c = cursors.CursorFile(tmp_path / "c.json")
+    c = cursors.Cursor.of(lake, "test")
     assert jobs.ingest_plays(items, lake, c) == 2 and c.read() == "2024-01-06T00:00:00Z"
     assert jobs.ingest_plays(items, lake, c) == 0
     rows = lake.scan("spotify/plays", layer="raw")
@@ -180,6 +181,93 @@ def test_plays_ingest_moves_the_cursor_last(spark, lake, tmp_path):
     assert ([r[0] for r in tracks.collect()], [r[0] for r in artists.collect()]) == (["t1"], ["a1"])
 
 
+def play_items(spark, times):
+    item = {"track": {"id": "t1", "name": "N", "artists": [{"id": "a1"}, {"id": "a2"}], "duration_ms": 5}}
+    return spark.createDataFrame([(json.dumps({**item, "played_at": t}),) for t in times], "v string").select(F.from_json("v", listening.PLAY_ITEM).alias("i")).select("i.*")
+
+
+def test_cursor_compares_instants(spark, lake):
+    c = cursors.Cursor.of(lake, "spotify")
+    assert jobs.ingest_plays(play_items(spark, ["2024-01-01T00:00:00Z"]), lake, c) == 1
+    assert jobs.ingest_plays(play_items(spark, ["2024-01-01T00:00:00.500Z", "2024-01-01T00:00:00Z"]), lake, c) == 1 and c.read() == "2024-01-01T00:00:00.500Z"
+    assert jobs.ingest_plays(play_items(spark, ["2024-01-01T01:00:00.400+01:00"]), lake, c) == 0
+    assert jobs.ingest_plays(play_items(spark, [None]), lake, c) == 0  # no instant, so neither before nor after
+    assert not files.matches(spark, f"{lake.root}/_staging/*")
+
+
+def test_play_ids_agree_on_reruns(spark):
+    items = play_items(spark, ["", "2024-01-01T00:00:00Z"])
+    ids = [sorted(r["play_id"] for r in listening.plays(items).collect()) for _ in range(2)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 2
+
+
+def test_masters_are_looked_up_landed_and_compacted(spark, lake):
+    jobs.ingest_plays(play_items(spark, ["2024-01-01T00:00:00Z"]), lake, cursors.Cursor.of(lake, "spotify"))
+    tracks = lambda ids: [{"id": i, "name": "T" + i, "artists": [{"id": "a1", "name": "A"}]} for i in ids]
+    artists = lambda ids: [{"id": i, "name": "N" + i, "genres": ["g"], "followers": {"total": 3}} if i != "a2" else None for i in ids]
+    assert jobs.enrich_masters(lake, tracks, artists, NOW()) == {"spotify/tracks": 1, "spotify/artists": 1}
+    assert jobs.enrich_masters(lake, tracks, artists, NOW()) == {"spotify/tracks": 0, "spotify/artists": 0}
+    assert lake.months("spotify/tracks") == [(2026, 3)]
+    again = listening.tracks(spark.createDataFrame([(json.dumps({"id": "t1", "name": "new"}),)], "v string").select(F.from_json("v", listening.TRACK).alias("i")).select("i.*"), F.lit("2026-03-21").cast("timestamp"))
+    sinks.append_events(again, lake, "spotify/tracks")
+    assert jobs.compact_all(lake, ["spotify/plays", "spotify/tracks", "spotify/artists"]) == {"spotify/plays": [(2024, 1)], "spotify/tracks": [(2026, 3)], "spotify/artists": [(2026, 3)]}
+    assert [r["name"] for r in lake.scan("spotify/tracks").collect()] == ["new"] and lake.scan("spotify/artists").first()["followers_total"] == 3
+    with pytest.raises(RuntimeError, match="youtube/watch_history is not compacted: it has no key"):
+        jobs.compact_all(lake, ["youtube/watch_history", "spotify/plays"])
+    with pytest.raises(ValueError, match="snapshot"):
+        sinks.append_events(lake.scan("youtube/videos"), lake, "youtube/videos")
+
+
+def videos_frame(spark, ids):
+    return spark.createDataFrame([(i, f"T{i}") for i in ids], "video_id string, title string")
+
+
+@pytest.mark.parametrize("step", ["write", "claim", "text", "clean"])
+def test_a_crash_at_any_step_of_an_upsert_loses_nothing(spark, lake, monkeypatch, step):
+    from dayloom.sources import snapshots
+
+    ids = lambda: sorted(r["video_id"] for r in lake.scan("youtube/videos").collect())
+    sinks.upsert_master(videos_frame(spark, "a"), lake, "youtube/videos")
+    sinks.upsert_master(videos_frame(spark, "b"), lake, "youtube/videos")
+    boom = lambda *a, **k: (_ for _ in ()).throw(OSError("crash"))
+    real = files.create_text
+    with monkeypatch.context() as m:
+        if step == "write":
+            m.setattr(sinks, "upsert", boom)
+        elif step == "claim":
+            m.setattr(snapshots.files, "create_text", boom)
+        elif step == "text":  # the pointer is there, but empty
+            m.setattr(snapshots.files, "create_text", lambda s, p, t: (real(s, p, ""), boom()))
+        else:
+            m.setattr(snapshots.files, "delete", boom)
+        with pytest.raises(OSError, match="crash"):
+            sinks.upsert_master(videos_frame(spark, "c"), lake, "youtube/videos")
+    assert ids() == (["a", "b", "c"] if step == "clean" else ["a", "b"])
+    sinks.upsert_master(videos_frame(spark, "cd"), lake, "youtube/videos")
+    assert ids() == ["a", "b", "c", "d"]
+
+
+def test_a_faster_writer_is_not_overwritten(spark, lake, monkeypatch):
+    from dayloom.sources import snapshots
+
+    sinks.upsert_master(videos_frame(spark, "a"), lake, "youtube/videos")
+    real, late = files.create_text, []
+
+    def create(s, path, text):
+        if not late:
+            late.append(1)
+            sinks.upsert_master(videos_frame(spark, "b"), lake, "youtube/videos")
+        return real(s, path, text)
+
+    monkeypatch.setattr(snapshots.files, "create_text", create)
+    monkeypatch.setattr(snapshots.time, "sleep", lambda s: None)
+    sinks.upsert_master(videos_frame(spark, "c"), lake, "youtube/videos")
+    assert sorted(r["video_id"] for r in lake.scan("youtube/videos").collect()) == ["a", "b", "c"]
+    monkeypatch.setattr(snapshots.files, "create_text", lambda *a: False)
+    with pytest.raises(snapshots.ConflictError):
+        sinks.upsert_master(videos_frame(spark, "d"), lake, "youtube/videos")
+
+
 def github_frames(spark):
     repo = {"id": 1, "name": "r", "full_name": "me/r", "owner": {"login": "me"}, "description": "d", "topics": list("abcdefg"), "updated_at": "2024-01-01T00:00:00Z"}
     pull = {"id": 9, "number": 3, "title": "t", "state": "closed", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-02T00:00:00Z", "merged_at": "2024-01-02T00:00:00Z", "labels": [{"name": "x"}, {"name": ""}], "head": {"ref": "h", "repo": repo}, "base": {"ref": "main"}, "additions": 5}
@@ -252,8 +340,14 @@ def test_local_mirror_is_preferred(spark, tmp_path):
     for lake, n in ((remote, "far"), (local, "near")):
         sinks.append_events(plays_frame(spark, [("p", "2024-01-05T00:00:00Z", n, 1)]), lake, "spotify/plays")
         sinks.compact(lake, "spotify/plays")
+    sinks.append_events(plays_frame(spark, [("q", "2024-02-05T00:00:00Z", "far", 1)]), remote, "spotify/plays")
+    sinks.compact(remote, "spotify/plays")
     both = Lake(spark, str(tmp_path / "r"), str(tmp_path / "l"))
-    assert both.scan("spotify/plays").first()["track_id"] == "near"
+    assert {r["play_id"]: r["track_id"] for r in both.scan("spotify/plays").collect()} == {"p": "near", "q": "far"}  # each month from where it is
+    assert both.months("spotify/plays", "compacted") == [(2024, 1), (2024, 2)]
+    sinks.upsert_master(videos_frame(spark, "a"), remote, "youtube/videos")
+    files.mirror(tmp_path / "r" / "compacted", tmp_path / "l" / "compacted")
+    assert Lake(spark, str(tmp_path / "none"), str(tmp_path / "l")).scan("youtube/videos").count() == 1
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -292,7 +386,7 @@ def test_masters_enrich_stored_events(spark, lake):
 
 def test_watch_history_cursor(spark, lake, tmp_path):
     items = spark.createDataFrame([("v", "T", "C", "2024-01-01T00:00:00Z", "u"), ("w", "T", "C", "2024-01-03T00:00:00Z", "u")], "video_id string, title string, channel_name string, watched_at string, video_url string")
-    c = cursors.CursorFile(tmp_path / "c.json")
+    c = cursors.Cursor.of(lake, "test")
     assert jobs.ingest_watch_history(items, "a", lake, c, "2024-01-02") == 1
     assert jobs.ingest_watch_history(items, "a", lake, c) == 0 and c.read() == "2024-01-03 00:00:00"
     assert lake.scan("youtube/watch_history", layer="raw").count() == 1
@@ -301,8 +395,9 @@ def test_watch_history_cursor(spark, lake, tmp_path):
 def test_export_import(spark, lake):
     cell = '<div class="outer-cell"><p class="mdl-typography--title">YouTube</p><div class="mdl-typography--body-1"><a href="https://youtu.be/abcdefghijk">F</a>{}<br></div></div>'
     pages = spark.createDataFrame([(cell.format("2024/05/06 07:08:09 JST") + cell.format("2025/05/06 07:08:09 JST"),)], "html string")
-    row = jobs.import_export(pages, lake, NOW(), after="2024-01-01", before="2025-01-01").first()
-    assert (row["events"], row["videos"], row["without_channel"]) == (1, 1, 1) and lake.scan("youtube/watch_events", layer="raw").count() == 1
+    for _ in range(2):  # a rerun lands nothing more
+        row = jobs.import_export(pages, lake, NOW(), after="2024-01-01", before="2025-01-01").first()
+        assert (row["events"], row["videos"], row["without_channel"]) == (1, 1, 1) and lake.scan("youtube/watch_events", layer="raw").count() == 1
 
 
 def test_window_pages(spark):

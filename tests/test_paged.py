@@ -35,6 +35,45 @@ def test_pages_end_when_they_are_old_or_short():
     assert [x["updated_at"] for x in paged.by_page(fetch, 2, since="2024-01-06")] == ["2024-01-09", "2024-01-08", "2024-01-07"] and asked == [1, 2]
 
 
+def test_pages_compare_instants():
+    pages = [[{"updated_at": "2024-01-01T00:00:00.500Z"}, {"updated_at": "2024-01-01T00:00:00Z"}, {"updated_at": "2024-01-01T00:30:00+01:00"}]]
+    found = paged.by_page(lambda n: pages[n - 1] if n <= 1 else [], 3, since="2024-01-01T00:00:00Z")
+    assert len(list(found)) == 2
+
+
+def test_windows_move_their_end_and_lose_no_ties(monkeypatch):
+    times = ["00:09", "00:07", "00:07", "00:07", "00:07", "00:07", "00:05", "00:03", "00:03", "00:01"]
+    visits = [{"visit_id": i, "visit_time": f"2024-01-01T00:{t}Z"} for i, t in enumerate(times)]
+
+    def fetch(since, until, size):
+        return [v for v in visits if (since is None or v["visit_time"] > since) and v["visit_time"] <= until][:size]
+
+    for size in (1, 2, 3, 4, 100):
+        got = [v["visit_id"] for v in paged.by_window(fetch, "2024-01-01T00:00:01Z", "2024-01-01T01:00:00Z", size)]
+        assert got == list(range(9))
+    assert list(paged.by_window(fetch, None, "2023-01-01T00:00:00Z", 3)) == []
+
+
+def test_batches_are_tried_again_and_the_cursor_moves_last(spark, tmp_path):
+    from dayloom.operators import cursors, jobs
+
+    visits = [{"visit_id": i, "visit_time": f"2024-01-01T00:{i // 60:02}:{i % 60:02}Z"} for i in reversed(range(2500))]
+    fetch = lambda since, until, size: [v for v in visits if (since is None or v["visit_time"] > since) and v["visit_time"] <= until][:size]
+    sent, fails = [], [True, False, True, True, False, False]
+
+    def send(batch):
+        if fails and fails.pop(0):
+            raise paged.ServiceError(503)
+        sent.append(len(batch))
+
+    c = cursors.Cursor(spark, str(tmp_path / "cursor.json"))
+    assert jobs.push_visits(fetch, send, c, "2024-01-01T00:59:59Z", page=700, wait=0) == 2500
+    assert sent == [1000, 1000, 500] and c.read() == "2024-01-01T00:59:59Z"
+    with pytest.raises(paged.ServiceError):
+        jobs.push_visits(lambda *a: visits[:1], lambda b: (_ for _ in ()).throw(paged.ServiceError(503)), c, "2025-01-01T00:00:00Z", wait=0)
+    assert c.read() == "2024-01-01T00:59:59Z"
+
+
 def test_retries():
     tries = []
 

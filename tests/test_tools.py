@@ -53,12 +53,36 @@ def test_granularity_and_names(registry):
         registry.get("no_such_tool")
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE x", "INSERT INTO x VALUES (1)", "DELETE FROM x", "UPDATE x SET a = 1", "ALTER TABLE x", "CREATE TABLE x (a int)", "WITH a AS (SELECT 1) SELECT * FROM a", "", "SHOW TABLES"])
-def test_only_select(spark, sql):
+@pytest.mark.parametrize("sql", ["", ";", "-- SELECT\nSHOW VIEWS", "/* SELECT */ REFRESH TABLE spotify_plays", "WITH s AS (SELECT 1 AS a) SELECT a FROM s", "(SELECT 1)", "VALUES (1)", "FROM spotify_plays SELECT 1", "EXPLAIN SELECT 1", "CACHE TABLE c AS SELECT 1", "TRUNCATE TABLE spotify_plays"])
+def test_text_must_begin_with_select(spark, sql):
     with pytest.raises(ValueError, match="only SELECT"):
         adhoc.data_query(spark, sql)
 
 
+@pytest.mark.parametrize("sql", ["SELECT 1 AS CommandCount", "SELECT 'InsertInto' AS x", "select (SELECT 'DropTable') AS x", "SELECT x FROM (WITH c AS (SELECT 1 AS x) SELECT * FROM c)"])
+def test_words_that_look_like_commands_are_text(spark, sql):
+    assert len(adhoc.rows(adhoc.data_query(spark, sql))) == 1
+
+
+@pytest.mark.parametrize("inner", ["SHOW TABLES", "CREATE VIEW v AS SELECT 1", "SET x = 1"])
+def test_commands_do_not_hide_in_a_subselect(spark, inner):
+    with pytest.raises(Exception):  # noqa: B017  a command does not parse there
+        adhoc.data_query(spark, f"SELECT * FROM ({inner})")
+
+
+def test_nodes_of_commands_are_found(spark):
+    plan = spark.sql("SHOW TABLES")._jdf.queryExecution().analyzed()
+    kind = spark._jvm.java.lang.Class.forName(adhoc.COMMANDS[0])
+    assert any(kind.isInstance(n) for n in adhoc._nodes(plan))
+
+
+def test_repositories_may_be_a_thousand(registry):
+    assert registry.execute("get_repositories", limit=1000).count() == 0
+    for limit in (1001, True, 0):
+        with pytest.raises(ValueError, match="invalid_limit"):
+            registry.execute("get_repositories", limit=limit)
+
+
 def test_data_query(spark, registry):
     assert adhoc.rows(registry.execute("data_query", sql="select count(*) as n from spotify_plays where track_name = ?", params=["N"])) == [{"n": 1}]
     assert adhoc.rows(adhoc.data_query(spark, "SELECT 1 AS a WHERE 1 = 0")) == []
