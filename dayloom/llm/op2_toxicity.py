@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from dayloom.llm.common import map_arrow, materialize, seal, table, unseal
 
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 8000, 48 << 20  # labelled rows, and bytes of their texts, that the dictionaries are trained on
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 8000, 24 << 20  # labelled rows, and bytes of their texts, that the dictionaries are trained on
 CALIBRATION = 4500  # of these rows, about, that the weights are fitted on
 TOXIC_BYTES, ORDINARY_BYTES = 64_000, 1_000_000  # of the dictionaries, at most
 PIECE = 4096  # bytes of a training sample
@@ -50,19 +50,18 @@ class Model:
     weights: list[float] = field(default_factory=list)  # of ``features``
 
 
-def train_dictionary(size: int, texts: list[list[bytes]]) -> bytes:
-    """A dictionary trained on texts (as words); with too few of them, the texts' own end."""
-    joined = [spaced(t) for t in texts if t]
-    pieces = [t[i : i + PIECE] for t in joined for i in range(0, len(t), PIECE) if len(t) - i >= 8]
+def train_dictionary(size: int, texts: list[bytes]) -> bytes:
+    """A dictionary trained on texts (``spaced``); with too few of them, the texts' own end."""
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE) if len(t) - i >= 8]
     try:
-        return zstandard.train_dictionary(size, pieces, k=40, d=8, f=24, accel=1).as_bytes()
+        return zstandard.train_dictionary(size, pieces, k=40, d=8, f=22, accel=1).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[-size:]
 
 
-def dictionaries(rows: list[tuple[list[bytes], int]]) -> Model:
-    """Both dictionaries from labelled texts, without weights yet."""
-    return Model(train_dictionary(TOXIC_BYTES, [w for w, y in rows if y == 1]), train_dictionary(ORDINARY_BYTES, [w for w, y in rows if y == 0]))
+def dictionaries(rows: list[tuple[bytes, int]]) -> Model:
+    """Both dictionaries from labelled texts (``spaced``), without weights yet."""
+    return Model(train_dictionary(TOXIC_BYTES, [t for t, y in rows if y == 1]), train_dictionary(ORDINARY_BYTES, [t for t, y in rows if y == 0]))
 
 
 class Compressors:
@@ -163,17 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     model are trained on all. Without labelled rows every text gets a score of 0.5.
     """
     sample = labelled_sample(docs, labels, key, text, label)
-    rows = sorted((r["h"], r["half"], r["y"], r["t"]) for r in sample.collect())  # at most SAMPLE_BYTES of text
-    texts = [(half, words_of(t), y) for _, half, y, t in rows]
-    halves = [dictionaries([(w, y) for h, w, y in texts if h == half]) for half in (0, 1)]
-    share = min(1.0, CALIBRATION / max(1, len(rows)))
+    texts = sorted((r["h"], r["half"], r["y"], spaced(words_of(r["t"]))) for r in sample.toLocalIterator())  # at most SAMPLE_BYTES of text
+    halves = [dictionaries([(t, y) for _, h, y, t in texts if h == half]) for half in (0, 1)]
+    share = min(1.0, CALIBRATION / max(1, len(texts)))
     some = sample.where((F.col("y") == 1) | (F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(1000)) < int(1000 * share)))
     found = sorted((r["h"], r["y"], r["x"]) for r in measured(some.repartition(16), halves).collect())  # features of the bounded sample
     weights = fit_threshold(np.array([x for _, _, x in found]).reshape(-1, FEATURES), np.array([y for _, y, _ in found], float))
-    kept = share * sum(y == 0 for _, _, y in texts)
-    if kept and share < 1:  # ordinary rows were thinned for the fit: their true number sets the base rate
+    if share < 1:  # ordinary rows were thinned for the fit: their true number sets the base rate
         weights[0] += np.log(share)
-    model = dictionaries([(w, y) for _, w, y in texts])
+    model = dictionaries([(t, y) for _, _, y, t in texts])
     model.weights = weights.tolist()
     return model
 

@@ -147,7 +147,7 @@ def test_scores_are_those_of_a_plain_loop_over_windows(spark, toxic_sample, toxi
 
 
 def test_dictionaries_are_trained_on_whole_texts_and_tell_their_own(toxic_sample):
-    rows_ = [(op2_toxicity.words_of(t), y) for t, y in toxic_sample]
+    rows_ = [(op2_toxicity.spaced(op2_toxicity.words_of(t)), y) for t, y in toxic_sample]
     model = op2_toxicity.dictionaries(rows_)
     magic = b"\x37\xa4\x30\xec"
     assert model.toxic.startswith(magic) and model.ordinary.startswith(magic)  # trained, with tables
