@@ -60,16 +60,17 @@ def unseal(df: DataFrame, columns: list[str], **extra: F.Column) -> DataFrame:
     return df.select(*out)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``left`` joined with ``right``, which has one row for each ``key`` and in ``count`` how many of the ``total`` rows of ``left`` have it.
+def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], count: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each of ``keys`` and in ``count`` how many of the ``total`` rows of ``left`` have it.
 
     Keys with more than a 10,000th of all rows, of which there are fewer than ``HOT_KEYS`` whatever the size, are broadcast, so
     their rows stay where they are; the rest, none of them hot, meet in a merge join. Neither side may have null keys; ``count`` is left out.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     hot = F.col(count) * HOT_KEYS > total
     many = right.where(hot).drop(count)
-    met = left.join(F.broadcast(many), key)
-    rest = left.join(F.broadcast(many.select(key)), key, "left_anti").join(right.where(~hot).drop(count).hint("merge"), key)
+    met = left.join(F.broadcast(many), keys)
+    rest = left.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(right.where(~hot).drop(count).hint("merge"), keys)
     return met.unionByName(rest)
 
 

@@ -2,19 +2,18 @@
 
 Two equal runs of ``WINDOW`` words, wherever they start in their documents, have a pair of aligned positions that both
 lie in ``COVER`` modulo ``PERIOD``. So anchors, runs of ``ANCHOR`` words, are hashed at cover positions only (6 of 31), and any
-equal windows share an aligned anchor. Anchors met in one document alone are dropped after one shuffle; the rest
-are extended to all windows around them, and these are compared whole (128 bits of hash) in a second shuffle.
-
-Exact copies are folded first: only the smallest doc_id of equal texts is anchored, since a longer copy of it goes
-entirely. Groups are never gathered: within an anchor or a window rows are sorted and read in a stream against the
-row before, the row after or the first one, so memory does not grow with a group. A document sends an anchor or a window
-once, however often it repeats it, so what a third of all documents hold is a small part of the rows. Documents' texts are
-shuffled by doc_id once and that exchange serves all three passes over them.
+equal windows share an aligned anchor. Anchors met in one text alone are dropped after one shuffle; the rest are extended, in two steps. First by
+``PERIOD - 1`` words on either side: where such a block also starts in a row with a smaller key, all windows that hold the anchor do. Only the windows of
+anchors that are not settled so (ends of a match, and its first document) are compared one by one. Both are compared by 128 bits of hash.
+
+Exact copies are folded first: only the row of smallest key of equal texts is anchored, since a longer copy of it goes
+entirely. Groups are never gathered. Anchors that a 10,000th of all anchors are equal to, as a sample of texts tells, are known to be shared and not
+shuffled; the smallest key of a block or window is aggregated before its shuffle, and what is hot is handed back by broadcast. A text sends an anchor, a block or a window
+once, however often it repeats it. Texts are shuffled once, by a hash of key and text, and that exchange serves all passes over them; those too short for a window stay where they are.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,14 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import map_arrow, seal, table, unseal
+from dayloom.llm.common import HOT_KEYS, hot_join, map_arrow, seal, table, unseal
 
 WINDOW = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # a perfect difference set modulo 31: every difference occurs
 ANCHOR = WINDOW - PERIOD + 1
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so they have inverses modulo 2^64
-LAST = (1 << 63) - 1  # stands for a null doc_id: larger than any other
+BLOCK = WINDOW + PERIOD - 1  # words of an anchor with as many on either side as any window around it has
+LAST = (1 << 63) - 1  # stands for a null key: larger than any other
+SHORT = 2 * WINDOW - 1  # bytes under which a text has no window
+SAMPLED, OFTEN = 16, 8  # every 16th text is looked through for hot anchors, which are met there 8 times at least
 
 
 class Powers:
@@ -83,17 +85,46 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, run_hashes(hashes, ANCHOR, 0)[at], hashes
 
 
-def candidate_windows(words: list[bytes], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, first hash, second hash) of the windows that hold an anchor in ``shared``; equal ones once, at the first."""
+def once(*hashes: np.ndarray) -> np.ndarray:
+    """Places of the first of each distinct tuple of hashes."""
+    if len(np.unique(hashes[0])) == len(hashes[0]):
+        return np.arange(len(hashes[0]))
+    return np.sort(np.unique(np.stack(hashes), axis=1, return_index=True)[1])
+
+
+def candidate_blocks(words: list[bytes], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor positions, first hash, second hash) of the blocks around anchors in ``shared``; equal ones once, at the first."""
     at, own, hashes = anchors(words)
+    side = PERIOD - 1
     hit = at[np.isin(own, shared)]
-    change = np.zeros(len(words) + 2, np.int64)
-    np.add.at(change, np.maximum(0, hit + ANCHOR - WINDOW), 1)
-    np.add.at(change, hit + 1, -1)
-    starts = np.flatnonzero(np.cumsum(change)[: len(words) - WINDOW + 1] > 0)
+    hit = hit[(hit >= side) & (hit + ANCHOR + side <= len(words))]
+    if not len(hit):
+        return hit, hit, hit
+    b1, b2 = (run_hashes(hashes, BLOCK, which)[hit - side] for which in (0, 1))
+    first = once(b1, b2)
+    return hit[first], b1[first], b2[first]
+
+
+def candidate_windows(words: list[bytes], shared: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, first hash, second hash) of the windows that hold an anchor in ``shared`` and lie in no block equal to one around a position
+    in ``settled``; equal ones once, at the first."""
+    at, own, hashes = anchors(words)
+    hit, side = at[np.isin(own, shared)], PERIOD - 1
+    marks = np.zeros((2, len(words) + 2), np.int64)
+    np.add.at(marks[0], np.maximum(0, hit + ANCHOR - WINDOW), 1)
+    np.add.at(marks[0], hit + 1, -1)
+    if len(settled):
+        b1, b2 = run_hashes(hashes, BLOCK, 0), run_hashes(hashes, BLOCK, 1)
+        equal = np.flatnonzero(np.isin(b1, b1[settled - side]) & np.isin(b2, b2[settled - side]))
+        np.add.at(marks[1], equal, 1)
+        np.add.at(marks[1], equal + PERIOD, -1)
+    held, covered = np.cumsum(marks, axis=1)[:, : len(words) - WINDOW + 1] > 0
+    starts = np.flatnonzero(held & ~covered)
+    if not len(starts):
+        return starts, starts, starts
     w1, w2 = run_hashes(hashes, WINDOW, 0)[starts], run_hashes(hashes, WINDOW, 1)[starts]
-    _, once = np.unique(np.stack([w1, w2]), axis=1, return_index=True) if len(np.unique(w1)) < len(w1) else (None, slice(None))
-    return starts[once], w1[once], w2[once]
+    first = once(w1, w2)
+    return starts[first], w1[first], w2[first]
 
 
 def everywhere(words: list[bytes], starts: np.ndarray) -> np.ndarray:
@@ -115,55 +146,64 @@ def _raw(column: pa.Array) -> Iterator[bytes]:
     return (x.as_py() or b"" for x in pc.cast(column, pa.binary()))
 
 
-def _emit_anchors(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to (anchor, doc), each anchor once for a document."""
+def _emit_anchors(text: str, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (anchor, row, hot), each anchor once for a row; for all hot ones there is one entry, under the row's own number."""
     for batch in batches:
-        docs = batch.column("doc").to_numpy()
-        found, owner = [], []
-        for doc, raw in zip(docs, _raw(batch.column(text))):
+        found, owner, marks = [], [], []
+        for row, raw in zip(batch.column("row").to_numpy(), _raw(batch.column(text))):
             words = raw.split()
             if len(words) >= WINDOW:
                 own = np.unique(anchors(words)[1])
-                found.append(own)
-                owner.append(np.full(len(own), doc))
+                cold = own[~np.isin(own, hot)]
+                if len(cold) < len(own):
+                    cold = np.append(cold, row)
+                found.append(cold)
+                owner.append(np.full(len(cold), row))
+                marks.append(np.arange(len(cold)) == (len(cold) - 1 if len(np.intersect1d(own, hot)) else -1))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(owner))], names=["anchor", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, owner, marks)], names=["anchor", "row", "hot"])
 
 
-def _emit_windows(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, shared) to (w1, w2, doc, place); place is the text's crc32 and the window's position."""
+def _emit_runs(text: str, hot: np.ndarray, of_blocks: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc, text, shared[, settled]) to (h1, h2, row, doc, place) of candidate blocks or windows."""
+    names = ["h1", "h2", "row", "doc", "place"]
     for batch in batches:
         parts: list[list[np.ndarray]] = []
         held = 0
-        shared = batch.column("shared")
-        for i, (doc, raw) in enumerate(zip(batch.column("doc").to_numpy(), _raw(batch.column(text)))):
+        shared, settled = batch.column("shared"), None if of_blocks else batch.column("settled")
+        for i, (row, doc, raw) in enumerate(zip(batch.column("row").to_numpy(), batch.column("doc").to_numpy(), _raw(batch.column(text)))):
             words = raw.split()
             if len(words) < WINDOW:
                 continue
-            at, w1, w2 = candidate_windows(words, np.array(shared[i].values, np.int64))
-            parts.append([w1, w2, np.full(len(at), doc), (np.int64(zlib.crc32(raw)) << np.int64(31)) | at])
+            met = np.concatenate([np.array(shared[i].values, np.int64), hot])
+            if of_blocks:
+                at, h1, h2 = candidate_blocks(words, met)
+            else:
+                at, h1, h2 = candidate_windows(words, met, np.array(settled[i].values, np.int64) if settled[i].is_valid else np.empty(0, np.int64))
+            parts.append([h1, h2, np.full(len(at), row), np.full(len(at), doc), at])
             held += len(at)
             if held > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["w1", "w2", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], names=names)
                 parts, held = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["w1", "w2", "doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], names=names)
 
 
 def _cut(text: str, batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
-    """(words, removed words, kept text) of each row of (text, firsts, covered)."""
+    """(words, removed words, kept text) of each row of (text, keeper, settled, covered)."""
     n_words, n_removed, kept = [], [], []
-    firsts, covered = batch.column("firsts"), batch.column("covered")
+    side = np.arange(PERIOD)
+    places = lambda column, i: np.array(column[i].values, np.int64) if column[i].is_valid else np.empty(0, np.int64)
     for i, raw in enumerate(_raw(batch.column(text))):
         words = raw.split()
-        n, tag = len(words), zlib.crc32(raw)
+        n = len(words)
         if n < WINDOW:
             gone = np.zeros(n, bool)
-        elif not firsts[i].is_valid or tag not in firsts[i].as_py():
-            gone = np.ones(n, bool)  # a copy of a text with a smaller doc_id
+        elif not batch.column("keeper")[i].is_valid:
+            gone = np.ones(n, bool)  # a copy of a text with a smaller key
         else:
-            places = np.array(covered[i].values, np.int64) if covered[i].is_valid else np.empty(0, np.int64)
-            starts = places[places >> np.int64(31) == tag] & np.int64((1 << 31) - 1)
+            settled, covered = places(batch.column("settled"), i), places(batch.column("covered"), i)
+            starts = np.concatenate([(settled[:, None] - side).ravel(), covered])
             gone = removed_words(n, everywhere(words, starts)) if len(starts) else np.zeros(n, bool)
         n_words.append(n)
         n_removed.append(int(gone.sum()))
@@ -171,39 +211,57 @@ def _cut(text: str, batch: pa.RecordBatch) -> tuple[list[int], list[int], list[b
     return n_words, n_removed, kept
 
 
+def _earlier(runs: DataFrame, total: int) -> DataFrame:
+    """(row, places) of the runs (h1, h2, row, doc, place) that a row with a smaller key has too."""
+    first = runs.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return hot_join(runs, first, ["h1", "h2"], "n", total).where("first < doc").groupBy("row").agg(F.collect_list("place").alias("places"))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (kept words joined by one space).
 
     A word goes if a window of ``WINDOW`` words that covers it also starts in a row with a smaller key; windows are judged
     on the input. Null texts have no words. Null keys are larger than any other and equal to each other; rows with
     equal keys never take from each other. All columns and rows pass through; a new name that is taken gets an
-    underscore; an empty table gives none. Keys are integers.
+    underscore; an empty table gives none. Keys are integers; others are a TypeError.
     """
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{key} is no integer column")
     held, at = seal(docs)
     names, body = held.columns, at[text]
-    doc = F.coalesce(F.col(at[key]).cast("long"), F.lit(LAST)).alias("doc")
     plain = F.col(body)
-    whole = held.select(doc, *names)  # dealt by doc once: all three passes join this very relation, so that the exchange is reused
-    # the smallest key of each text, and which of a key's texts those are
-    tag = F.crc32(plain.cast("binary")).alias("tag")
-    firsts = held.where(plain.isNotNull()).select(doc, F.md5(plain).alias("digest"), tag).groupBy("digest").agg(F.min("doc").alias("doc"), F.first("tag").alias("tag"))
-    firsts = firsts.groupBy("doc").agg(F.collect_set("tag").alias("firsts"))
-
-    found = map_arrow(whole.join(firsts.select("doc"), "doc"), partial(_emit_anchors, body), "anchor long, doc long")
-    meet = Window.partitionBy("anchor").orderBy("doc")
-    shared = found.select("anchor", "doc", F.lag("doc").over(meet).alias("before"), F.lead("doc").over(meet).alias("after"))
-    shared = shared.where("before IS NOT NULL OR after IS NOT NULL").groupBy("doc").agg(F.collect_list("anchor").alias("shared"))
-
-    windows = map_arrow(whole.join(shared, "doc"), partial(_emit_windows, body), "w1 long, w2 long, doc long, place long")
-    equal = Window.partitionBy("w1", "w2").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    covered = windows.withColumn("first", F.first("doc").over(equal)).where("first < doc").groupBy("doc").agg(F.collect_list("place").alias("covered"))
-    joined = whole.join(firsts, "doc", "left").join(covered, "doc", "left").select(*names, "firsts", "covered")
+    doc = F.coalesce(F.col(at[key]).cast("long"), F.lit(LAST)).alias("doc")
+    row = lambda of: F.xxhash64(of, "digest").alias("row")  # noqa: E731  rows that are equal in key and text share it, and their fate
+    long_ = F.coalesce(F.octet_length(plain), F.lit(0)) >= SHORT
+    bytes_ = held.agg(F.sum(F.octet_length(plain).cast("long"))).first()[0] or 0
+    total = bytes_ // 10 + 1  # no more than five times as many words, so as many runs
+    whole = held.where(long_).select(doc, F.unhex(F.md5(plain)).alias("digest"), *names).select(row("doc"), "doc", *names)  # all passes join this very relation, so that the exchange is reused
+    keepers = held.where(long_).select(doc, F.unhex(F.md5(plain)).alias("digest")).groupBy("digest").agg(F.min("doc").alias("doc")).select(row("doc"), F.lit(True).alias("keeper"))
+
+    kept = whole.join(keepers, "row")
+    some = map_arrow(whole.where(F.pmod("row", F.lit(SAMPLED)) == 0).select("row", body), partial(_emit_anchors, body, np.empty(0, np.int64)), "anchor long, row long, hot boolean")
+    often = some.distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    hot = np.array([r["anchor"] for r in often.where(F.col("n") * HOT_KEYS * SAMPLED > total).collect()], np.int64)  # fewer than 5 * HOT_KEYS
+
+    found = map_arrow(kept.select("row", body), partial(_emit_anchors, body, hot), "anchor long, row long, hot boolean")
+    meet = Window.partitionBy("anchor").orderBy("row")
+    shared = found.withColumns({"before": F.lag("row").over(meet), "after": F.lead("row").over(meet)})
+    shared = shared.where("hot OR before <> row OR after <> row").groupBy("row").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("shared"))
+
+    anchored = whole.join(shared, "row")
+    runs = "h1 long, h2 long, row long, doc long, place long"
+    settled = _earlier(map_arrow(anchored.select("row", "doc", body, "shared"), partial(_emit_runs, body, hot, True), runs), total).withColumnRenamed("places", "settled")
+    open_ = anchored.join(settled, "row", "left").select("row", "doc", body, "shared", "settled")
+    covered = _earlier(map_arrow(open_, partial(_emit_runs, body, hot, False), runs), total).withColumnRenamed("places", "covered")
+    joined = whole.join(keepers, "row", "left").join(settled, "row", "left").join(covered, "row", "left").select(*names, "keeper", "settled", "covered")
+    none = F.lit(None).cast("array<bigint>")
+    joined = joined.unionByName(held.where(~long_).select(*names, F.lit(True).alias("keeper"), none.alias("settled"), none.alias("covered")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept = _cut(body, batch)
+            n_words, n_removed, kept_texts = _cut(body, batch)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pc.cast(pa.array(kept, pa.binary()), pa.string())],
+                [*(batch.column(n) for n in names), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pc.cast(pa.array(kept_texts, pa.binary()), pa.string())],
                 names=[*names, "n_words", "n_removed", "kept_text"],
             )
 
