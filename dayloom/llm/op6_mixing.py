@@ -5,6 +5,10 @@ copies is rank times rate, and a document is emitted once for each integer bound
 random offset per source. Documents are ranked by (size class, hash block, size, hash): neighbours have like sizes,
 so the words taken come close to the target.
 
+Documents of over a ``LARGE``-th of their source, of which there are fewer than ``LARGE``, are dealt with first, the largest first: each is emitted as often as brings the words
+taken nearest to those due so far (the same boundary crossing, in words). What is then due from the rest sets their rate, and of ``OFFSETS`` random offsets
+a source takes the one that comes closest, which one more pass of sums tells.
+
 The rank needs no sort of a whole source: documents fall into cells (source, size class, block of hashes), cells are
 counted with partial aggregation, and two prefix sums over the counts (blocks within a class, classes within a
 source) give each cell's first rank. Only a cell, about ``CELL_ROWS`` rows at most, is sorted in one task, so a source that
@@ -20,6 +24,8 @@ from dayloom.llm.common import materialize, seal, table, unseal, word_count
 
 CELL_ROWS = 4_000
 SEED = 42
+OFFSETS = 16  # random offsets that a source can choose from
+LARGE = 100
 MAX_RATE = 3.0
 
 
@@ -57,6 +63,26 @@ def size_class(size: Column) -> Column:
     return F.coalesce(F.when(size < 16, size).otherwise(bits * 8 + leading).cast("int"), F.lit(0))
 
 
+def least_of(size_class_: Column) -> Column:
+    """The least size of a class."""
+    wide = (F.lit(8) + size_class_ % 8) * F.pow(F.lit(2.0), F.floor(size_class_ / 8) - 4)
+    return F.when(size_class_ < 16, size_class_).otherwise(wide).cast("long")
+
+
+def greedy(large: Column, rate: Column, most: int) -> Column:
+    """Walk documents (size, class, block, in_cell), the largest first: (seen, taken, picks with copies); copies bring the words taken nearest to rate * words seen."""
+    pick = "struct<class:int,block:int,in_cell:int,copies:bigint>"
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("taken"), F.array().cast(f"array<{pick}>").alias("picks"))
+
+    def step(state: Column, x: Column) -> Column:
+        due = (rate * (state["seen"] + x["size"]).cast("double") - state["taken"].cast("double")) / x["size"].cast("double")
+        copies = F.least(F.lit(most).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor(due + F.lit(0.5)).cast("long")))
+        this = F.struct(x["class"].alias("class"), x["block"].alias("block"), x["in_cell"].alias("in_cell"), copies.alias("copies"))
+        return F.struct((state["seen"] + x["size"]).alias("seen"), (state["taken"] + copies * x["size"]).alias("taken"), F.concat(state["picks"], F.array(this)).alias("picks"))
+
+    return F.aggregate(large, start, step)
+
+
 def hashed(text: Column) -> Column:
     """60 bits of a text's MD5 as bigint; other engines can repeat it. Never null for texts that are not."""
     return F.coalesce(F.conv(F.substr(F.md5(text), F.lit(1), F.lit(15)), 16, 10).cast("long"), F.lit(0))
@@ -77,28 +103,52 @@ def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float,
         w = Window.partitionBy(*over).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(n).over(w), F.lit(0))
 
-    per_class = counts.groupBy(F.col("source").alias("s1"), F.col("class").alias("k1")).agg(F.sum("n").alias("n1"))
-    per_class = per_class.select("s1", "k1", before("n1", ["s1"], "k1").alias("class_first"))
     targets = source_targets(counts, "source", "words", max_rate).withColumnRenamed("source", "s2")
+    per_class = counts.groupBy(F.col("source").alias("s1"), F.col("class").alias("k1")).agg(F.sum("n").alias("n1"), F.sum("words").alias("w1"))
+    per_class = per_class.withColumn("class_first", before("n1", ["s1"], "k1")).join(targets, F.col("s1") == F.col("s2"))
+    per_class = per_class.withColumn("large", least_of(F.col("k1")) * LARGE > F.col("source_size"))
+    rest = F.sum(F.when(~F.col("large"), F.col("w1")).otherwise(F.lit(0))).over(Window.partitionBy("s1"))
+    per_class = per_class.withColumn("rest", rest).select("s1", "k1", "class_first", "large", "rest", "source_size", "target")
     first = counts.select(F.col("source").alias("s"), F.col("class").alias("k"), F.col("block").alias("b"), before("n", ["source", "class"], "block").alias("block_first"))
     first = first.join(per_class, (F.col("s") == F.col("s1")) & (F.col("k") == F.col("k1")))
-    first = first.join(targets, F.col("s") == F.col("s2"))
-    first = first.select("s", "k", "b", (F.col("class_first") + F.col("block_first")).alias("first"), "source_size", "target")
+    first = materialize(first.select("s", "k", "b", (F.col("class_first") + F.col("block_first")).alias("first"), "large", "rest", "source_size", "target"), total)
 
     within = Window.partitionBy("source", "class", "block").orderBy("size", "hash", F.asc_nulls_last(at[key]))
     ranked = sized.withColumn("in_cell", F.row_number().over(within))
-    out = ranked.join(first, (F.col("source") == F.col("s")) & (F.col("class") == F.col("k")) & (F.col("block") == F.col("b")))
+    placed = (F.col("source") == F.col("s")) & (F.col("class") == F.col("k")) & (F.col("block") == F.col("b"))
+    slim = ranked.join(first, placed).where("size > 0")
+    slim = materialize(slim.select("source", "class", "block", "in_cell", "size", "hash", (F.col("first") + F.col("in_cell")).alias("rank"), "large", "rest", "source_size", "target"), total)
+
+    # fewer than LARGE large documents of a source come together
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "hash", "class", "block", "in_cell", "size")))
+    large = slim.where("large").groupBy("source", "source_size", "target").agg(listed.alias("docs"))
+    large = large.select("source", greedy(F.col("docs"), F.col("target") / F.col("source_size"), int(max_rate)).alias("g"))
+    large = materialize(large.select("source", "g.taken", "g.picks"), total)
+    small = slim.where("NOT large").groupBy("source", "rest", "target").agg(F.count(F.lit(1)).alias("n"))
+    due = small.join(large.select(F.col("source").alias("ls"), "taken"), F.col("source") == F.col("ls"), "left").withColumn("due", F.col("target") - F.coalesce("taken", F.lit(0)))
+    rate = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), F.col("due") / F.col("rest")))
+    draws = due.select(F.col("source").alias("ds"), "due", rate.alias("rate"), F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("draw"))
+    draws = draws.withColumn("offset", F.pmod(hashed(F.concat_ws(":", F.lit(seed), F.lit("offset"), F.col("ds"), F.col("draw").cast("string"))), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+    choices = materialize(draws.groupBy("ds", "due", "rate").agg(F.sort_array(F.collect_list(F.struct("draw", "offset"))).alias("offsets")), total)
+    copies = (F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))).cast("long")
+    cells = materialize(first.join(choices, F.col("s") == F.col("ds"), "left"), total)  # a row for each cell
+    tried = slim.where("NOT large").join(cells.select("s", "k", "b", "due", "rate", "offsets"), placed).select("source", "size", "rank", "rate", "due", F.inline("offsets"))
+    sums = tried.groupBy("source", "draw", "offset", "due").agg(F.sum(copies * F.col("size")).alias("taken"))
+    best = sums.groupBy("source").agg(F.min(F.struct(F.abs(F.col("taken") - F.col("due")), "draw", "offset")).alias("best"))
+    best = materialize(best.select(F.col("source").alias("bs"), F.col("best.offset").alias("offset")), total)
+    cells = cells.join(best, F.col("s") == F.col("bs"), "left").select("s", "k", "b", "first", "large", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce("offset", F.lit(0.0)).alias("offset"))
+    picks = large.select(F.col("source").alias("ps"), F.inline("picks")).select("ps", F.col("class").alias("pk"), F.col("block").alias("pb"), F.col("in_cell").alias("pi"), F.col("copies").alias("picked"))
+
+    out = ranked.join(cells, placed)
+    out = out.join(picks, (F.col("source") == F.col("ps")) & (F.col("class") == F.col("pk")) & (F.col("block") == F.col("pb")) & (F.col("in_cell") == F.col("pi")), "left")
     out = out.withColumn("rank", F.col("first") + F.col("in_cell"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(hashed(F.concat_ws(":", F.lit(seed), F.lit("offset"), F.col("source"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = F.floor(F.col("rank") * rate + offset) - F.floor((F.col("rank") - 1) * rate + offset)
-    return out.withColumn("copies", copies.cast("long"))
+    return out.withColumn("copies", F.when(F.col("large"), F.coalesce("picked", F.lit(0))).otherwise(copies).cast("long"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", max_rate: float = MAX_RATE, seed: int = SEED) -> DataFrame:
     """``docs`` with size (words), source_size, target, rank (in its source, from 1) and copies (0 or more).
 
-    The sum of copies * size over a source comes near its target. Reruns agree: rank and offset depend on values
+    The sum of copies * size over a source comes near its target: large documents are balanced one by one, and the rest take the closest of ``OFFSETS`` random offsets. Reruns agree: rank and offset depend on values
     alone. Null texts have size 0; a null source is a source of its own; null or repeated keys and repeated rows
     each count and are told apart by rank; an empty table gives none. All columns of ``docs`` pass through; a new
     column whose name is taken gets an underscore.
@@ -132,10 +182,24 @@ ORACLE_SQL = {
         l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level FROM w
               WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT source, source_size, coalesce(least(cap, (SELECT min(struct_pack(a := cap / weight, b := level)).b FROM l WHERE level * weight <= cap) * weight), cap) AS target FROM l),
-        c AS (SELECT r.doc_id, r.size, t.source_size, t.target, r.rank, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-                     CAST(CAST('0x' || substr(md5('42:offset:' || coalesce('0' || r.source, '1')), 1, 15) AS BIGINT) % 1048576 AS DOUBLE) / 1048576 AS u
+        c AS (SELECT r.*, t.source_size, t.target,
+                     CASE WHEN r.class < 16 THEN r.class ELSE CAST((8 + r.class % 8) * pow(2, r.class // 8 - 4) AS BIGINT) END * 100 > t.source_size AS large
               FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
-        e AS (SELECT *, CAST(floor(rank * rate + u) - floor((rank - 1) * rate + u) AS BIGINT) AS copies FROM c)
+        g AS (SELECT source, list_reduce(list_transform(list(struct_pack(size := size, id := rank) ORDER BY size DESC, h, class, block, rank), lambda x: struct_pack(size := x.size, id := x.id, rate := rate, seen := CAST(0 AS BIGINT), taken := CAST(0 AS BIGINT), picks := CAST([] AS STRUCT(id BIGINT, n BIGINT)[]))),
+                     lambda a, x: struct_pack(size := x.size, id := x.id, rate := x.rate, seen := a.seen + x.size,
+                         taken := a.taken + x.size * least(3, greatest(0, CAST(floor((x.rate * CAST(a.seen + x.size AS DOUBLE) - CAST(a.taken AS DOUBLE)) / CAST(x.size AS DOUBLE) + 0.5) AS BIGINT))),
+                         picks := list_append(a.picks, struct_pack(id := x.id, n := least(3, greatest(0, CAST(floor((x.rate * CAST(a.seen + x.size AS DOUBLE) - CAST(a.taken AS DOUBLE)) / CAST(x.size AS DOUBLE) + 0.5) AS BIGINT)))))),
+                     struct_pack(size := CAST(0 AS BIGINT), id := CAST(0 AS BIGINT), rate := rate, seen := CAST(0 AS BIGINT), taken := CAST(0 AS BIGINT), picks := CAST([] AS STRUCT(id BIGINT, n BIGINT)[]))) AS state
+              FROM (SELECT *, target / source_size AS rate FROM c WHERE large AND size > 0) GROUP BY source, rate),
+        p AS (SELECT source, unnest(state.picks) AS pick FROM g),
+        q AS (SELECT c.source, target - coalesce(any_value(g.state.taken), 0) AS due, least(3.0::DOUBLE, greatest(0.0::DOUBLE, (target - coalesce(any_value(g.state.taken), 0)) / sum(c.size))) AS rate
+              FROM c LEFT JOIN g ON c.source IS NOT DISTINCT FROM g.source WHERE NOT c.large AND c.size > 0 GROUP BY c.source, target),
+        o AS (SELECT q.*, draw, CAST(CAST('0x' || substr(md5('42:offset:' || coalesce('0' || source, '1') || ':' || draw), 1, 15) AS BIGINT) % 1048576 AS DOUBLE) / 1048576 AS u FROM q, range(16) AS d(draw)),
+        x AS (SELECT c.source, o.draw, o.u, o.due, sum(c.size * CAST(floor(c.rank * o.rate + o.u) - floor((c.rank - 1) * o.rate + o.u) AS BIGINT)) AS taken
+              FROM c JOIN o ON c.source IS NOT DISTINCT FROM o.source WHERE c.size > 0 AND NOT c.large GROUP BY ALL),
+        b AS (SELECT source, min(struct_pack(a := abs(taken - due), d := draw, u := u)).u AS u FROM x GROUP BY source),
+        e AS (SELECT c.*, CASE WHEN c.large THEN coalesce(p.pick.n, 0) ELSE CAST(floor(c.rank * coalesce(q.rate, 0) + coalesce(b.u, 0)) - floor((c.rank - 1) * coalesce(q.rate, 0) + coalesce(b.u, 0)) AS BIGINT) END AS copies
+              FROM c LEFT JOIN q ON c.source IS NOT DISTINCT FROM q.source LEFT JOIN b ON c.source IS NOT DISTINCT FROM b.source LEFT JOIN p ON c.source IS NOT DISTINCT FROM p.source AND c.rank = p.pick.id)
         SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM e
     """
 }

@@ -450,7 +450,7 @@ def test_targets_and_taken(spark, seed):
         assert x["size"] == len(WORD.findall(x["text"])) and x["source_size"] == sizes[x["source"]]
         assert x["target"] == pytest.approx(targets[x["source"]]) and 0 <= x["copies"] <= 3
         taken[x["source"]] += x["copies"] * x["size"]
-    assert all(abs(taken[s] - t) <= max(180, 0.05 * t) for s, t in targets.items())
+    assert all(abs(taken[s] - t) <= max(30, 0.01 * t) for s, t in targets.items())
     ranks = collections.defaultdict(list)
     for x in got:
         ranks[x["source"]].append(x["rank"])
