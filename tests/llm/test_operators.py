@@ -582,14 +582,48 @@ def test_revisits(spark, tmp_path, least):
 def test_archives_are_warc(spark, tmp_path):
     import gzip
 
-    df = spark.createDataFrame([(1, "http://h/", "<b>ü</b>")], "page_id bigint, url string, html string")
-    op8_warc.write_warc(df, str(tmp_path / "w"))
-    data = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
-    assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith("<b>ü</b>\r\n\r\n".encode())
+    df = spark.createDataFrame([(1, "http://h/", "<b>ü</b>"), (2, "http://h/2", "x")], "page_id bigint, url string, html string")
+    op8_warc.write_warc(df.coalesce(1), str(tmp_path / "w"))
+    (raw,) = [f.read_bytes() for f in (tmp_path / "w").glob("*.txt")]
+    data = gzip.decompress(raw)
+    assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and "<b>ü</b>\r\n\r\nWARC/1.1\r\nWARC-Type: response".encode() in data and data.endswith(b"x\r\n\r\n")
+    assert len(list(op8_warc.members(raw))) == 3 and all(m.startswith(b"WARC/1.1") for m in op8_warc.members(raw))  # a member for each record
     empty_source = op8_warc.write_warc(df.limit(0), str(tmp_path / "e"))
     assert op8_warc.read_headers(spark, op8_warc.resolve_revisits(spark, empty_source, str(tmp_path / "f"))).count() == 0
 
 
+def test_members_of_any_size_end_in_a_zero_byte_and_come_back():
+    for data in (b"", b"x", bytes(1 << 24), bytes(5 << 24) + b"y"):
+        packed = op8_warc.member(data)
+        assert packed[-1] == 0 and list(op8_warc.members(packed + packed)) == ([data, data] if data else [])
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op8_warc, "ARCHIVE_BYTES", 100_000)
+    monkeypatch.setattr(op8_warc.archives, "__defaults__", (100_000,))
+    r = random.Random(8)
+    sizes = [1] * 300 + [40_000] * 12 + [300_000]  # one record is larger than an archive
+    parts = list(op8_warc.archives((r.randbytes(n) for n in sizes), "d", "g", 100_000))
+    assert [len(p) > 100_000 for p in parts].count(True) == 1 and sum(len(list(op8_warc.members(p))) - 1 for p in parts) == len(sizes)
+
+
+def test_revisits_that_are_there_already_are_resolved(spark, tmp_path, monkeypatch):
+    page = lambda k, h: spark.createDataFrame([(k, f"http://h/{k}", h)], "page_id bigint, url string, html string")
+    source = op8_warc.write_warc(page(1, "same").union(page(9, "same")).union(page(3, "other")), str(tmp_path / "a"))
+    once = op8_warc.resolve_revisits(spark, source, str(tmp_path / "b"))
+    headers = op8_warc.read_headers(spark, once)
+    again = {r["key"]: r for r in op8_warc.read_headers(spark, op8_warc.resolve_revisits(spark, once, str(tmp_path / "c"))).collect()}
+    assert {k: (r["kind"], r["refers_key"], r["payload_bytes"]) for k, r in again.items()} == {"1": ("revisit", "9", 4), "9": ("response", None, 4), "3": ("response", None, 5)}
+    assert all(r["seen_digest"] == r["payload_digest"] for r in again.values() if r["kind"] == "response")
+    # a revisit with the largest key is no response, and one whose original is missing stays as it is
+    rows_ = [("x", 0, "revisit", "99", "u", "D1", 4, None), ("x", 1, "response", "5", "u", "D1", 4, None), ("x", 2, "response", "4", "u", "D1", 4, None), ("x", 3, "revisit", "7", "u", "D2", 4, "8")]
+    found = op8_warc.decisions(spark.createDataFrame(rows_, headers.drop("seen_digest").schema), 4).collect()
+    assert sorted((r["place"], r["refers_key"]) for r in found) == [(0, "5"), (2, "5")]
+    monkeypatch.setattr(op8_warc, "BROADCAST_ROWS", 0)
+    shuffled = op8_warc.read_headers(spark, op8_warc.resolve_revisits(spark, source, str(tmp_path / "d")))
+    assert rows(shuffled.drop("archive", "place")) == rows(headers.drop("archive", "place"))
+
+
 # ---- 9 ---------------------------------------------------------------------------------------------------------
 
 
