@@ -2,8 +2,8 @@
 
 ``audio_features`` reads stored 8-bit mono WAV clips, resamples them with a polyphase filter, computes overlapped
 log-mel frames and segments them by energy with two thresholds. All of it is a narrow map: no shuffle, no state
-between rows, so a lost executor costs the rows of its own tasks. A clip is worked on in blocks of ``BLOCK_FRAMES``
-frames, so memory does not grow with its length.
+between rows, so a lost executor costs the rows of its own tasks. Samples, frames and spectra are worked on in blocks of ``BLOCK_FRAMES``
+frames; what is held of a whole clip is its log-mel frames (160 bytes for each 240 bytes of samples) and its stored tensors, which repeat each frame at half the width.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dayloom.llm.common import map_arrow, table
 
@@ -124,10 +125,10 @@ def ms(frame: int) -> int:
 def tensors(mels: np.ndarray) -> tuple[pa.Table, np.ndarray]:
     """Overlapping ``TENSOR_FRAMES`` by ``MELS`` tensors (the last one padded with silence) and their time spans."""
     count = max(1, 1 + -(-(len(mels) - TENSOR_FRAMES) // TENSOR_HOP)) if len(mels) > TENSOR_FRAMES else 1
-    padded = np.full(((count - 1) * TENSOR_HOP + TENSOR_FRAMES, MELS), np.log(1e-6), np.float32)
+    padded = np.full(((count - 1) * TENSOR_HOP + TENSOR_FRAMES, MELS), np.log(1e-6), np.float16)
     padded[: len(mels)] = mels
     cut = np.lib.stride_tricks.sliding_window_view(padded, TENSOR_FRAMES, axis=0)[::TENSOR_HOP].transpose(0, 2, 1)
-    stored = np.ascontiguousarray(cut, np.float16)
+    stored = np.ascontiguousarray(cut)
     starts = [i * TENSOR_HOP for i in range(count)]
     return (
         pa.table(
@@ -224,10 +225,21 @@ def audio_features(df: DataFrame, key: str, media: str, of_text: bool = False, k
     return map_arrow(picked, run, f"`{key}` {kind}, n_bytes long, " + ", ".join(f"{k} {s}" for k, (s, _) in KINDS.items()))
 
 
+def store_features(df: DataFrame, path: str, key: str, media: str, of_text: bool = False) -> DataFrame:
+    """Write ``audio_features`` with tensors as Parquet to ``path``, a folder that all executors share, and read it back with its tensors' shape and digest.
+
+    Columns besides those stored: ``tensor_count``, and ``tensor_sha256`` of the Arrow stream as read back. Nulls, repeats and empty tables as in ``audio_features``.
+    """
+    audio_features(df, key, media, of_text, keep_tensors=True).write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    count = F.regexp_extract("feature", r"tensors=(\d+)x", 1).try_cast("int")
+    return stored.withColumns({"tensor_count": count, "tensor_sha256": F.sha2("tensors", 256)})
+
+
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text as a stored clip, with its digests and features."""
+    """Every document's text as a stored clip, with its digests, its features and its tensors: an Arrow stream of fixed-shape tensors with time spans."""
     out = audio_features(table(spark, sf_dir, "documents"), "doc_id", "text", of_text=True)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_ms", "segments")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_ms", "segments", "tensors")
 
 
 QUERIES = {"op1_audio_features": op1_audio_features}

@@ -58,6 +58,23 @@ def test_tensors_keep_shape_and_spans(spark):
     assert spans[0] == (0, 960) and all(b[0] - a[0] == 480 for a, b in zip(spans, spans[1:]))
 
 
+def test_tensors_hold_the_frames_at_their_times(spark, tmp_path):
+    docs = spark.createDataFrame([(1, prose(1, 9000)), (2, "short"), (3, None), (1, prose(1, 9000))], "doc_id bigint, text string")
+    got = op1_media.store_features(docs, str(tmp_path / "stored"), "doc_id", "text", of_text=True).collect()
+    assert len(got) == 4 and all(hashlib.sha256(r["tensors"]).hexdigest() == r["tensor_sha256"] for r in got)
+    assert len({r["tensor_sha256"] for r in got if r["doc_id"] == 1}) == 1
+    texts = dict((r["doc_id"], r["text"]) for r in docs.collect())
+    for r in got:
+        mels, _ = op1_media.log_mel(np.frombuffer(op1_media.decode_wav(op1_media.text_to_media((texts[r["doc_id"]] or "").encode())), np.uint8))
+        t = op1_media.from_ipc(bytes(r["tensors"]))
+        cube = t["logmel"].combine_chunks().to_numpy_ndarray()
+        assert len(cube) == r["tensor_count"] == t.num_rows
+        for tensor, start, end in zip(cube, t["start_ms"].to_pylist(), t["end_ms"].to_pylist(), strict=True):
+            a, n = start // 10, (end - start) // 10
+            assert np.allclose(tensor[:n], mels[a : a + n], atol=0.02) and np.allclose(tensor[n:], np.log(1e-6), atol=0.01)
+        assert t["end_ms"][-1].as_py() == len(mels) * 10 if len(mels) > 96 else True
+
+
 def test_resampler_blocks_join_and_keep_a_tone():
     n = np.arange(24_000)
     x = np.round(128 + 100 * np.sin(2 * np.pi * 500 * n / 24_000)).astype(np.uint8)
