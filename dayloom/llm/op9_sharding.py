@@ -2,24 +2,27 @@
 
 Documents with equal texts are linked; a cut edge is a link between shards. Every document starts in the shard of its
 hash. In each round a group's documents move to the shard that holds most of the group, as far as quotas allow: a shard
-admits no more linked documents than its capacity. Groups larger than a fraction of a shard are dealt to pieces that
+admits no more linked documents than its capacity. Rounds of two kinds take turns: in one, documents move to shards that have room; in the other, two
+shards swap what wishes to move from one to the other, as much either way, which needs no room. Groups larger than a fraction of a shard are dealt to pieces that
 move one by one, so a group with a third of all rows fills shard after shard rather than overflow one.
 
 Rounds work on counts per (group, piece, first shard), never on documents, and at most 40 rows a group come together. The
 admission of moves compares running sums over (target, class of sizes, bucket of hashes): at most shards * SIZES * BUCKETS
-rows, which bounds what is broadcast. Last, unlinked documents level the counts: each shard keeps as many rows as it is due and the rest
+rows (times shards for swaps), which bounds what is broadcast. Last, unlinked documents level the counts: each shard keeps as many rows as it is due and the rest
 fill up the others, so counts differ by one at most.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayloom.llm.common import materialize, seal, table
 
 SHARDS = 40
-ROUNDS = 24
+ROUNDS = 24  # at most; a warning tells if they end before propagation has come to rest
 PIECES = 8  # of a shard's capacity: larger groups are dealt to pieces of that size
 SIZES, BUCKETS = 16, 64  # classes of group sizes, and buckets of hashes in each
 SALTS = 16
@@ -39,7 +42,8 @@ def _linked(rows: DataFrame, piece_rows: int) -> DataFrame:
 
 
 def _round(cells: DataFrame, capacity: list[int], piece_rows: int, turn: int) -> DataFrame:
-    """One round of propagation over cells (g, piece, home, label, n); a moved cell has another label."""
+    """One round of propagation over cells (g, piece, home, label, n); a moved cell has another label. Rounds of odd ``turn`` swap."""
+    swap = turn % 2 == 1
     shards = len(capacity)
     used = {r["label"]: r["n"] for r in cells.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
     room = [capacity[s] - used.get(s, 0) for s in range(shards)]
@@ -47,7 +51,7 @@ def _round(cells: DataFrame, capacity: list[int], piece_rows: int, turn: int) ->
 
     per = cells.groupBy("g", "label").agg(F.sum("n").alias("held"), F.max("members").alias("members"))
     coming = F.when(F.col("members") <= piece_rows, F.col("members") - F.col("held")).otherwise(F.lit(piece_rows))  # a large group comes by pieces
-    open_ = at(room, "label") >= coming
+    open_ = F.lit(True) if swap else at(room, "label") >= coming
     tie = F.xxhash64("g", "label")  # spreads groups that two shards hold alike
     best = per.groupBy("g").agg(F.max(F.when(open_, F.struct("held", tie.alias("tie"), "label"))).alias("best")).where("best IS NOT NULL")
     targets = per.join(best, "g").where(F.struct("best.held", "best.tie") > F.struct("held", tie))
@@ -57,11 +61,23 @@ def _round(cells: DataFrame, capacity: list[int], piece_rows: int, turn: int) ->
     size = F.least(F.floor(F.log2(F.col("members").cast("double"))), F.lit(SIZES - 1)).cast("long")
     wish = wish.withColumn("bucket", size * BUCKETS + F.pmod(F.xxhash64(F.lit(turn), "g", "piece"), F.lit(BUCKETS)))
 
-    sums = wish.where("target IS NOT NULL").groupBy("target", "bucket").agg(F.sum("n").alias("n"))
-    running = F.sum("n").over(Window.partitionBy("target").orderBy("bucket"))
-    admitted = sums.withColumn("sum", running).where(F.col("sum") <= at(room, "target")).select(F.col("target").alias("at"), F.col("bucket").alias("ab"))
-    moved = wish.join(F.broadcast(admitted), (F.col("target") == F.col("at")) & (F.col("bucket") == F.col("ab")), "left")
-    return moved.select("g", "piece", "home", F.coalesce("at", "label").alias("label"), "n", "members", F.col("at").isNotNull().alias("moved"))
+    keys = ["label", "target", "bucket"] if swap else ["target", "bucket"]
+    sums = wish.where("target IS NOT NULL").groupBy(*keys).agg(F.sum("n").alias("n"))
+    if swap:
+        flows = sums.groupBy("label", "target").agg(F.sum("n").alias("flow"))
+        back = flows.select(F.col("target").alias("label"), F.col("label").alias("target"), F.col("flow").alias("back"))
+        sums = sums.join(F.broadcast(flows.join(F.broadcast(back), ["label", "target"])), ["label", "target"])  # a row for each pair of shards
+        running = F.sum("n").over(Window.partitionBy("label", "target").orderBy("bucket"))
+        admitted = sums.withColumn("sum", running).where(F.col("sum") <= F.least("flow", "back"))
+    else:
+        running = F.sum("n").over(Window.partitionBy("target").orderBy("bucket"))
+        admitted = sums.withColumn("sum", running).where(F.col("sum") <= at(room, "target"))
+    admitted = F.broadcast(admitted.select(*[F.col(k).alias(f"a_{k}") for k in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"a_{k}"))
+    moved = wish.join(admitted, same, "left")
+    return moved.select("g", "piece", "home", F.coalesce("a_target", "label").alias("label"), "n", "members", F.col("a_target").isNotNull().alias("moved"))
 
 
 def propagate(rows: DataFrame, shards: int, total: int, rounds: int) -> DataFrame:
@@ -74,10 +90,14 @@ def propagate(rows: DataFrame, shards: int, total: int, rounds: int) -> DataFram
     dealt = materialize(dealt.withColumn("piece", F.pmod(F.shiftright("h", 13), F.col("pieces")).cast("int")).drop("pieces"), total)
     cells = dealt.where("piece IS NOT NULL").groupBy("g", "piece", "home").agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("members"))
     cells = materialize(cells.withColumn("label", F.col("home")), total)
+    still = 0
     for turn in range(rounds):
         cells = materialize(_round(cells, capacity, piece_rows, turn), total)
-        if cells.where("moved").limit(1).isEmpty():
+        still = still + 1 if cells.where("moved").limit(1).isEmpty() else 0
+        if still == 2:  # neither kind of round moves anything
             break
+    else:
+        warnings.warn(f"labels still changed after {rounds} rounds", stacklevel=2)
     last = cells.select(F.col("g").alias("cg"), F.col("piece").alias("cp"), F.col("home").alias("ch"), "label")
     out = dealt.join(last, (F.col("g") == F.col("cg")) & (F.col("piece") == F.col("cp")) & (F.col("home") == F.col("ch")), "left")
     return out.withColumns({"linked": F.col("piece").isNotNull(), "label": F.coalesce("label", "home")}).drop("cg", "cp", "ch", "piece")
@@ -135,6 +155,17 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     return level(labelled, shards, total).select("key", "size", "text_crc32", "shard", "label", "linked", "slot")
 
 
+def quality(sharded: DataFrame, shards: int) -> DataFrame:
+    """One row about ``shard``'s outcome, or any frame with text_crc32, size and shard: links between equal texts (pairs), the share of them that shards cut,
+    and the share that hashing would cut. Texts are told apart by CRC and size, which suffices for a figure.
+    """
+    per = sharded.groupBy("text_crc32", "size", "shard").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda n: n.cast("double") * (n - 1) / 2
+    groups = per.groupBy("text_crc32", "size").agg(F.sum("n").alias("all"), F.sum(pairs(F.col("n"))).alias("kept"))
+    total = groups.agg(F.sum(pairs(F.col("all"))).alias("links"), F.sum("kept").alias("kept"))
+    return total.select("links", (1 - F.col("kept") / F.col("links")).alias("cut"), F.lit(1 - 1 / shards).alias("cut_by_hashing"))
+
+
 def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, by the law of equal row counts."""
     out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -676,6 +676,40 @@ def test_linked_documents_meet_and_a_hot_group_is_spread(spark):
     assert len(where["hot"]) < 8 or max(collections.Counter(r["shard"] for r in got if texts[r["key"]] == "hot").values()) >= 120
 
 
+def plain_propagation(texts, homes, shards, rounds=24):
+    """Label propagation document by document: each moves to the shard that holds most of its group if that has room; returns the share of cut links."""
+    label, held = dict(homes), collections.Counter(homes.values())
+    groups = collections.defaultdict(list)
+    for d, t in texts.items():
+        groups[t].append(d)
+    capacity = len(texts) / shards + 1
+    for _ in range(rounds):
+        for t, members in groups.items():
+            for d in members:
+                best = max(collections.Counter(label[m] for m in members).items(), key=lambda x: (x[1], zlib.crc32(f"{t}:{x[0]}".encode())))[0]
+                if best != label[d] and held[best] < capacity:
+                    held[label[d]] -= 1
+                    held[best] += 1
+                    label[d] = best
+    links = [(a, b) for m in groups.values() for i, a in enumerate(m) for b in m[i + 1 :]]
+    return np.mean([label[a] != label[b] for a, b in links])
+
+
+@pytest.mark.parametrize("linked", [0.5, 0.9, 1.0])
+def test_few_links_are_cut_however_many_rows_are_linked(spark, linked):
+    n = 4000
+    texts = {i: f"pair {i // 2}" if i < linked * n else f"single {i}" for i in range(n)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = op9_sharding.shard(df, shards=8)
+    check_shards(got.collect(), 8)
+    found = op9_sharding.quality(got, 8).first()
+    shard = {r["key"]: r["shard"] for r in got.collect()}
+    assert found["cut"] == pytest.approx(np.mean([shard[i] != shard[i + 1] for i in range(0, int(linked * n), 2)]))
+    r = random.Random(1)
+    plain = plain_propagation(texts, {d: r.randrange(8) for d in texts}, 8)
+    assert found["cut"] <= max(plain, 0.05) + 0.05 and found["cut_by_hashing"] == 7 / 8
+
+
 # ---- 10 --------------------------------------------------------------------------------------------------------
 
 
