@@ -8,7 +8,8 @@ anchors that are not settled so (ends of a match, and its first document) are co
 
 Exact copies are folded first: only the row of smallest key of equal texts is anchored, since a longer copy of it goes
 entirely. Groups are never gathered. Anchors that a 10,000th of all anchors are equal to, as a sample of texts tells, are known to be shared and not
-shuffled; the smallest key of a block or window is aggregated before its shuffle, and what is hot is handed back by broadcast. A text sends an anchor, a block or a window
+shuffled. A block or window that many texts have holds such an anchor (of n texts with a window, n / 6 at least share one of the anchors in it), and only such are salted: rows
+with a smaller key in their own salt are settled there, and of the rest, a few a salt, the smallest keys are aggregated. A text sends an anchor, a block or a window
 once, however often it repeats it. Texts are shuffled once, by a hash of key and text, and that exchange serves all passes over them; those too short for a window stay where they are.
 """
 
@@ -34,6 +35,7 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so they have inverses m
 BLOCK = WINDOW + PERIOD - 1  # words of an anchor with as many on either side as any window around it has
 LAST = (1 << 63) - 1  # stands for a null key: larger than any other
 SHORT = 2 * WINDOW - 1  # bytes under which a text has no window
+SALTS = 64
 SAMPLED, OFTEN = 16, 8  # every 16th text is looked through for hot anchors, which are met there 8 times at least
 
 
@@ -92,39 +94,43 @@ def once(*hashes: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(np.stack(hashes), axis=1, return_index=True)[1])
 
 
-def candidate_blocks(words: list[bytes], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor positions, first hash, second hash) of the blocks around anchors in ``shared``; equal ones once, at the first."""
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def candidate_blocks(words: list[bytes], shared: np.ndarray, hot: np.ndarray) -> Runs:
+    """(anchor positions, first hash, second hash, whether the anchor is hot) of the blocks around anchors in ``shared`` or ``hot``; equal ones once, at the first."""
     at, own, hashes = anchors(words)
-    side = PERIOD - 1
-    hit = at[np.isin(own, shared)]
-    hit = hit[(hit >= side) & (hit + ANCHOR + side <= len(words))]
+    side, warm = PERIOD - 1, np.isin(own, hot)
+    whole = (np.isin(own, shared) | warm) & (at >= side) & (at + ANCHOR + side <= len(words))
+    hit, warm = at[whole], warm[whole]
     if not len(hit):
-        return hit, hit, hit
+        return hit, hit, hit, warm
     b1, b2 = (run_hashes(hashes, BLOCK, which)[hit - side] for which in (0, 1))
     first = once(b1, b2)
-    return hit[first], b1[first], b2[first]
+    return hit[first], b1[first], b2[first], warm[first]
 
 
-def candidate_windows(words: list[bytes], shared: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, first hash, second hash) of the windows that hold an anchor in ``shared`` and lie in no block equal to one around a position
-    in ``settled``; equal ones once, at the first."""
+def candidate_windows(words: list[bytes], shared: np.ndarray, hot: np.ndarray, settled: np.ndarray) -> Runs:
+    """(positions, first hash, second hash, whether they hold a hot anchor) of the windows that hold an anchor in ``shared`` or ``hot`` and lie in no
+    block equal to one around a position in ``settled``; equal ones once, at the first."""
     at, own, hashes = anchors(words)
-    hit, side = at[np.isin(own, shared)], PERIOD - 1
-    marks = np.zeros((2, len(words) + 2), np.int64)
-    np.add.at(marks[0], np.maximum(0, hit + ANCHOR - WINDOW), 1)
-    np.add.at(marks[0], hit + 1, -1)
+    side, warm = PERIOD - 1, np.isin(own, hot)
+    marks = np.zeros((3, len(words) + 2), np.int64)
+    for i, hit in ((0, at[np.isin(own, shared) | warm]), (2, at[warm])):
+        np.add.at(marks[i], np.maximum(0, hit + ANCHOR - WINDOW), 1)
+        np.add.at(marks[i], hit + 1, -1)
     if len(settled):
         b1, b2 = run_hashes(hashes, BLOCK, 0), run_hashes(hashes, BLOCK, 1)
         equal = np.flatnonzero(np.isin(b1, b1[settled - side]) & np.isin(b2, b2[settled - side]))
         np.add.at(marks[1], equal, 1)
         np.add.at(marks[1], equal + PERIOD, -1)
-    held, covered = np.cumsum(marks, axis=1)[:, : len(words) - WINDOW + 1] > 0
+    held, covered, warm = np.cumsum(marks, axis=1)[:, : len(words) - WINDOW + 1] > 0
     starts = np.flatnonzero(held & ~covered)
     if not len(starts):
-        return starts, starts, starts
+        return starts, starts, starts, warm[starts]
     w1, w2 = run_hashes(hashes, WINDOW, 0)[starts], run_hashes(hashes, WINDOW, 1)[starts]
     first = once(w1, w2)
-    return starts[first], w1[first], w2[first]
+    return starts[first], w1[first], w2[first], warm[starts][first]
 
 
 def everywhere(words: list[bytes], starts: np.ndarray) -> np.ndarray:
@@ -165,8 +171,9 @@ def _emit_anchors(text: str, hot: np.ndarray, batches: Iterator[pa.RecordBatch])
 
 
 def _emit_runs(text: str, hot: np.ndarray, of_blocks: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc, text, shared[, settled]) to (h1, h2, row, doc, place) of candidate blocks or windows."""
-    names = ["h1", "h2", "row", "doc", "place"]
+    """(row, doc, text, shared[, settled]) to (h1, h2, row, doc, place, warm) of candidate blocks or windows."""
+    names = ["h1", "h2", "row", "doc", "place", "warm"]
+    batch_of = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.bool_() if n == "warm" else pa.int64()) for n, c in zip(names, zip(*parts))], names=names)
     for batch in batches:
         parts: list[list[np.ndarray]] = []
         held = 0
@@ -175,18 +182,18 @@ def _emit_runs(text: str, hot: np.ndarray, of_blocks: bool, batches: Iterator[pa
             words = raw.split()
             if len(words) < WINDOW:
                 continue
-            met = np.concatenate([np.array(shared[i].values, np.int64), hot])
+            met = np.array(shared[i].values, np.int64)
             if of_blocks:
-                at, h1, h2 = candidate_blocks(words, met)
+                at, h1, h2, warm = candidate_blocks(words, met, hot)
             else:
-                at, h1, h2 = candidate_windows(words, met, np.array(settled[i].values, np.int64) if settled[i].is_valid else np.empty(0, np.int64))
-            parts.append([h1, h2, np.full(len(at), row), np.full(len(at), doc), at])
+                at, h1, h2, warm = candidate_windows(words, met, hot, np.array(settled[i].values, np.int64) if settled[i].is_valid else np.empty(0, np.int64))
+            parts.append([h1, h2, np.full(len(at), row), np.full(len(at), doc), at, warm])
             held += len(at)
             if held > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], names=names)
+                yield batch_of(parts)
                 parts, held = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], names=names)
+            yield batch_of(parts)
 
 
 def _cut(text: str, batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
@@ -212,9 +219,16 @@ def _cut(text: str, batch: pa.RecordBatch) -> tuple[list[int], list[int], list[b
 
 
 def _earlier(runs: DataFrame, total: int) -> DataFrame:
-    """(row, places) of the runs (h1, h2, row, doc, place) that a row with a smaller key has too."""
-    first = runs.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return hot_join(runs, first, ["h1", "h2"], "n", total).where("first < doc").groupBy("row").agg(F.collect_list("place").alias("places"))
+    """(row, places) of the runs (h1, h2, row, doc, place, warm) that a row with a smaller key has too."""
+    salt = F.when(F.col("warm"), F.pmod("row", F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
+    order = Window.partitionBy("h1", "h2", "salt").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # all three branches read the same columns, so that they share one exchange
+    met = runs.select("h1", "h2", salt.alias("salt"), "row", "doc", "place").withColumn("first", F.first("doc").over(order))
+    here = met.where("first < doc").select("row", "place")
+    left = met.where("salt >= 0 AND first = doc").select("h1", "h2", "row", "doc", "place")
+    least = left.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"), F.max("row").alias("r"), F.max("place").alias("p")).where("n > 1 AND r IS NOT NULL AND p >= 0").drop("r", "p")
+    there = hot_join(left, least, ["h1", "h2"], "n", total).where("least < doc").select("row", "place")
+    return here.unionByName(there).groupBy("row").agg(F.collect_list("place").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,27 +249,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     long_ = F.coalesce(F.octet_length(plain), F.lit(0)) >= SHORT
     bytes_ = held.agg(F.sum(F.octet_length(plain).cast("long"))).first()[0] or 0
     total = bytes_ // 10 + 1  # no more than five times as many words, so as many runs
-    whole = held.where(long_).select(doc, F.unhex(F.md5(plain)).alias("digest"), *names).select(row("doc"), "doc", *names)  # all passes join this very relation, so that the exchange is reused
-    keepers = held.where(long_).select(doc, F.unhex(F.md5(plain)).alias("digest")).groupBy("digest").agg(F.min("doc").alias("doc")).select(row("doc"), F.lit(True).alias("keeper"))
+    whole = held.where(long_).select(doc, F.unhex(F.md5(plain)).alias("digest"), *names).select(row("doc"), "doc", *names)  # all passes join this very relation, with all its columns, so that the exchange is reused
+    keepers = held.where(long_).select(doc, F.unhex(F.md5(plain)).alias("digest")).groupBy("digest").agg(F.min("doc").alias("doc")).select(row("doc"), F.lit(True).alias("keeper")).hint("merge")  # merge joins throughout: a broadcast would spare one pass the exchange, and cost the others theirs
 
     kept = whole.join(keepers, "row")
     some = map_arrow(whole.where(F.pmod("row", F.lit(SAMPLED)) == 0).select("row", body), partial(_emit_anchors, body, np.empty(0, np.int64)), "anchor long, row long, hot boolean")
     often = some.distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
     hot = np.array([r["anchor"] for r in often.where(F.col("n") * HOT_KEYS * SAMPLED > total).collect()], np.int64)  # fewer than 5 * HOT_KEYS
 
-    found = map_arrow(kept.select("row", body), partial(_emit_anchors, body, hot), "anchor long, row long, hot boolean")
+    found = map_arrow(kept, partial(_emit_anchors, body, hot), "anchor long, row long, hot boolean")
     meet = Window.partitionBy("anchor").orderBy("row")
     shared = found.withColumns({"before": F.lag("row").over(meet), "after": F.lead("row").over(meet)})
-    shared = shared.where("hot OR before <> row OR after <> row").groupBy("row").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("shared"))
+    shared = shared.where("hot OR before <> row OR after <> row").groupBy("row").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("shared")).hint("merge")
 
     anchored = whole.join(shared, "row")
-    runs = "h1 long, h2 long, row long, doc long, place long"
-    settled = _earlier(map_arrow(anchored.select("row", "doc", body, "shared"), partial(_emit_runs, body, hot, True), runs), total).withColumnRenamed("places", "settled")
-    open_ = anchored.join(settled, "row", "left").select("row", "doc", body, "shared", "settled")
-    covered = _earlier(map_arrow(open_, partial(_emit_runs, body, hot, False), runs), total).withColumnRenamed("places", "covered")
-    joined = whole.join(keepers, "row", "left").join(settled, "row", "left").join(covered, "row", "left").select(*names, "keeper", "settled", "covered")
+    runs = "h1 long, h2 long, row long, doc long, place long, warm boolean"
+    settled = _earlier(map_arrow(anchored, partial(_emit_runs, body, hot, True), runs), total).withColumnRenamed("places", "settled").hint("merge")
+    open_ = anchored.join(settled, "row", "left")
+    covered = _earlier(map_arrow(open_, partial(_emit_runs, body, hot, False), runs), total).withColumnRenamed("places", "covered").hint("merge")
+    joined = whole.join(keepers, "row", "left").join(settled, "row", "left").join(covered, "row", "left").select("row", "doc", *names, "keeper", "settled", "covered")
     none = F.lit(None).cast("array<bigint>")
-    joined = joined.unionByName(held.where(~long_).select(*names, F.lit(True).alias("keeper"), none.alias("settled"), none.alias("covered")))
+    joined = joined.unionByName(held.where(~long_).select(F.lit(0).cast("long").alias("row"), doc, *names, F.lit(True).alias("keeper"), none.alias("settled"), none.alias("covered")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

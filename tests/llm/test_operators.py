@@ -757,6 +757,7 @@ def test_substrings(spark, seed):
 
 def test_substrings_of_a_hot_passage_and_hot_copies(spark, monkeypatch):
     monkeypatch.setattr(op10_substrings, "SAMPLED", 2)
+    monkeypatch.setattr(op10_substrings, "SALTS", 3)
     passage, other = prose(50, 150, 5000), prose(51, 90, 5000)
     docs = [(d, f"{prose(d, 20 + d % 7, 5000)} {passage} {prose(1000 + d, 15, 5000)}") for d in range(60)]
     docs += [(100 + d, f"{prose(2000 + d, d % 40, 5000)} {other} {passage[: 400 + d]}") for d in range(30)] + [(None, prose(52, 70, 5000))] * 40 + [(500, prose(52, 70, 5000))]
@@ -767,9 +768,9 @@ def test_substrings_of_a_hot_passage_and_hot_copies(spark, monkeypatch):
 def test_blocks_settle_what_windows_would(spark):
     words = [w.encode() for w in prose(3, 400, 5000).split()]
     at, own, _ = op10_substrings.anchors(words)
-    blocks = op10_substrings.candidate_blocks(words, own)[0]
     none = np.empty(0, np.int64)
-    every, left = op10_substrings.candidate_windows(words, own, none)[0], op10_substrings.candidate_windows(words, own, blocks[5:10])[0]
+    blocks = op10_substrings.candidate_blocks(words, own, none)[0]
+    every, left = op10_substrings.candidate_windows(words, own, none, none)[0], op10_substrings.candidate_windows(words, own, none, blocks[5:10])[0]
     gone = {p - i for p in blocks[5:10] for i in range(31)}
     assert set(every) == set(range(351)) and set(left) == set(range(351)) - gone
 
