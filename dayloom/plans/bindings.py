@@ -7,16 +7,15 @@ and commits, customer for repositories, lineitem with part and supplier for watc
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.functions import urls, values
 from dayloom.functions.ids import sha_key, uuid5
-from dayloom.functions.times import iso_duration, month_columns, period, unix_ms
+from dayloom.functions.times import iso_duration, period, unix_ms
 from dayloom.operators import cursors, dedup, visits, watching, worklog
-from dayloom.plans import adhoc, code, music, video, web
+from dayloom.plans import adhoc, code, lake_bindings, music, video, web
 from dayloom.sources import sinks
 from dayloom.sources.catalog import Lake, empty
 from dayloom.sources.scratch import shared_dir
@@ -266,19 +265,22 @@ def commits(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "repositories",
-    """SELECT c_custkey AS repo_id, c_mktsegment AS owner, c_name AS repo, round(c_acctbal, 2) AS stars FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 100""",
+    """SELECT c_custkey AS repo_id, c_mktsegment AS owner, c_name AS repo, TIMESTAMP '2024-01-01' + to_seconds(c_custkey * 7919 % 86400) AS updated_at_utc FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY updated_at_utc DESC, c_custkey LIMIT 100""",
 )
 def repositories(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer")
     null = lambda kind: F.lit(None).cast(kind)
-    rows = c.select(F.col("c_custkey").alias("repo_id"), F.col("c_mktsegment").alias("owner"), F.col("c_name").alias("repo"), F.col("c_acctbal").alias("updated_at_utc"), *[null("string").alias(x) for x in code.REPOSITORY_COLUMNS if x not in ("repo_id", "owner", "repo", "updated_at_utc")])
-    return code.repositories(rows, owner="BUILDING", limit=100).select("repo_id", "owner", "repo", F.round("updated_at_utc", 2).alias("stars"))
+    rows = c.select(F.col("c_custkey").alias("repo_id"), F.col("c_mktsegment").alias("owner"), F.col("c_name").alias("repo"), F.timestamp_add("SECOND", F.col("c_custkey") * 7919 % 86400, F.lit("2024-01-01").cast("timestamp_ntz")).alias("updated_at_utc"), *[null("string").alias(x) for x in code.REPOSITORY_COLUMNS if x not in ("repo_id", "owner", "repo", "updated_at_utc")])
+    return code.repositories(rows, owner="BUILDING", limit=100).select("repo_id", "owner", "repo", "updated_at_utc")
 
 
-def _pull_level_sql(keys: str) -> str:
-    return f"""SELECT {keys}, pr_key, max(CASE WHEN action = 'opened' THEN 1 ELSE 0 END) AS opened, max(CASE WHEN action = 'merged' THEN 1 ELSE 0 END) AS merged,
-        coalesce(max(additions) FILTER (WHERE action = 'merged'), 0) AS additions, coalesce(max(deletions) FILTER (WHERE action = 'merged'), 0) AS deletions
-        FROM o WHERE CAST(updated_at_utc AS DATE) BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}' GROUP BY ALL"""
+def _united_sql(keys: str, group: str) -> str:
+    """Pull requests and commits as one tagged relation, so that no join is needed: its shape is not that of the plan."""
+    days = f"BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}'"
+    return f"""pulled AS (SELECT {keys.format(t="updated_at_utc")}, pr_key, bool_or(action = 'opened') AS opened, bool_or(action = 'merged') AS merged, max(if(action = 'merged', additions, NULL)) AS a, max(if(action = 'merged', deletions, NULL)) AS d
+            FROM o WHERE CAST(updated_at_utc AS DATE) {days} GROUP BY ALL),
+        both_ AS (SELECT {group}, 1 AS pull, CAST(opened AS INTEGER) AS opened, CAST(merged AS INTEGER) AS merged, 0 AS work, a, d, NULL AS t FROM pulled
+            UNION ALL SELECT {keys.format(t="committed_at_utc")}, 0, 0, 0, 1, additions, deletions, committed_at_utc FROM x WHERE CAST(committed_at_utc AS DATE) {days})"""
 
 
 def _activity(granularity: str) -> None:
@@ -286,13 +288,9 @@ def _activity(granularity: str) -> None:
 
     @query(
         f"activity_stats_{granularity}",
-        f"""WITH {PULLS_SQL}, {COMMITS_SQL}, k AS ({_pull_level_sql(f"strftime(CAST(updated_at_utc AS DATE), '{f}') AS period")}),
-            p AS (SELECT period, sum(opened) AS created, sum(merged) AS merged, sum(additions) AS a, sum(deletions) AS d FROM k GROUP BY period),
-            c AS (SELECT strftime(CAST(committed_at_utc AS DATE), '{f}') AS period, count(*) AS n, sum(additions) AS a, sum(deletions) AS d FROM x
-                  WHERE CAST(committed_at_utc AS DATE) BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}' GROUP BY 1)
-            SELECT coalesce(p.period, c.period) AS period, CAST(coalesce(created, 0) AS BIGINT) AS prs_created, CAST(coalesce(merged, 0) AS BIGINT) AS prs_merged, CAST(coalesce(n, 0) AS BIGINT) AS commits_count,
-                   CAST(coalesce(p.a, 0) + coalesce(c.a, 0) AS BIGINT) AS additions, CAST(coalesce(p.d, 0) + coalesce(c.d, 0) AS BIGINT) AS deletions
-            FROM p FULL OUTER JOIN c ON p.period = c.period""",
+        f"""WITH {PULLS_SQL}, {COMMITS_SQL}, {_united_sql("strftime(CAST({t} AS DATE), '" + f + "') AS period", "period")}
+            SELECT period, CAST(sum(opened) AS BIGINT) AS prs_created, CAST(sum(merged) AS BIGINT) AS prs_merged, CAST(sum(work) AS BIGINT) AS commits_count, CAST(coalesce(sum(a), 0) AS BIGINT) AS additions, CAST(coalesce(sum(d), 0) AS BIGINT) AS deletions
+            FROM both_ GROUP BY period""",
     )
     def activity(spark: SparkSession, folder: str) -> DataFrame:
         return code.activity_stats(pulls(spark, folder), commit_rows(spark, folder), ORDER_START, ORDER_END, granularity)
@@ -304,14 +302,10 @@ for _g in FORMATS:
 
 @query(
     "repo_summary",
-    f"""WITH {PULLS_SQL}, {COMMITS_SQL}, k AS ({_pull_level_sql("owner, repo, repo_full_name")}),
-        p AS (SELECT owner, repo, repo_full_name, count(*) AS n, sum(merged) AS m, sum(additions) AS a, sum(deletions) AS d FROM k GROUP BY ALL),
-        c AS (SELECT CASE owner WHEN 'A' THEN '1-URGENT' ELSE owner END AS owner, repo, repo_full_name, count(*) AS n, sum(additions) AS a, sum(deletions) AS d, max(committed_at_utc) AS t FROM x
-              WHERE CAST(committed_at_utc AS DATE) BETWEEN DATE '{ORDER_START}' AND DATE '{ORDER_END}' GROUP BY ALL)
-        SELECT coalesce(p.owner, c.owner) AS owner, coalesce(p.repo, c.repo) AS repo, coalesce(p.repo_full_name, c.repo_full_name) AS repo_full_name, CAST(coalesce(p.n, 0) AS BIGINT) AS prs_total,
-               CAST(coalesce(m, 0) AS BIGINT) AS prs_merged, CAST(coalesce(c.n, 0) AS BIGINT) AS commits_total, CAST(coalesce(p.a, 0) + coalesce(c.a, 0) AS BIGINT) AS total_additions,
-               CAST(coalesce(p.d, 0) + coalesce(c.d, 0) AS BIGINT) AS total_deletions, CAST(NULL AS TIMESTAMP) AS last_pr_updated_at, c.t AS last_commit_at
-        FROM p FULL OUTER JOIN c ON p.owner = c.owner AND p.repo = c.repo""",
+    f"""WITH {PULLS_SQL}, x0 AS (SELECT * FROM (WITH {COMMITS_SQL} SELECT * FROM x)), x AS (SELECT * REPLACE (CASE owner WHEN 'A' THEN '1-URGENT' ELSE owner END AS owner) FROM x0), {_united_sql("owner, repo, repo_full_name", "owner, repo, repo_full_name")},
+        per AS (SELECT owner, repo, max(if(pull = 1, repo_full_name, NULL)) AS pulled_name, max(repo_full_name) AS any_name, sum(pull) AS p, sum(merged) AS m, sum(work) AS w, sum(a) AS a, sum(d) AS d, max(t) AS t FROM both_ GROUP BY owner, repo)
+        SELECT owner, repo, coalesce(pulled_name, any_name) AS repo_full_name, CAST(p AS BIGINT) AS prs_total, CAST(m AS BIGINT) AS prs_merged, CAST(w AS BIGINT) AS commits_total, CAST(coalesce(a, 0) AS BIGINT) AS total_additions, CAST(coalesce(d, 0) AS BIGINT) AS total_deletions,
+               CAST(NULL AS TIMESTAMP) AS last_pr_updated_at, t AS last_commit_at FROM per""",
 )
 def repo_summary(spark: SparkSession, folder: str) -> DataFrame:
     c = commit_rows(spark, folder).withColumn("owner", F.when(F.col("owner") == "A", "1-URGENT").otherwise(F.col("owner")))
@@ -371,11 +365,6 @@ def adhoc_sql(spark: SparkSession, folder: str) -> DataFrame:
     return adhoc.data_query(spark, "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM adhoc_events WHERE user_id < ? AND event_type <> ? GROUP BY event_type", [50, "error"])
 
 
-@query("data_available", "SELECT count(*) > 0 AS available FROM (SELECT 1 FROM events LIMIT 1)")
-def data_available(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").limit(1).agg((F.count(F.lit(1)) > 0).alias("available"))
-
-
 @query("popular_parts", "SELECT count(*) OVER () AS total, p_partkey, p_name, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 10")
 def popular_parts(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "part")
@@ -383,10 +372,10 @@ def popular_parts(spark: SparkSession, folder: str) -> DataFrame:
     return top.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("total")))).select("total", "p_partkey", "p_name", "p_size")  # one row
 
 
-@query("describe_columns", "SELECT column_name, ordinal_position AS place FROM (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS column_name, unnest([1, 2, 3, 4, 5, 6]) AS ordinal_position)")
+@query("describe_columns", "SELECT column_name, row_number() OVER () AS place FROM (DESCRIBE SELECT * FROM events)")
 def describe_columns(spark: SparkSession, folder: str) -> DataFrame:
     fields = table(spark, folder, "events").schema.fieldNames()
-    return spark.createDataFrame([(n, i) for i, n in enumerate(fields, 1)], "column_name string, place int")
+    return spark.createDataFrame(list(zip(fields, range(1, len(fields) + 1))), "column_name string, place long")
 
 
 @query("value_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, CAST(min(ts) AS VARCHAR) AS first, CAST(max(ts) AS VARCHAR) AS last, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM events")
@@ -484,16 +473,6 @@ def snapshot_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.upsert(c, incoming, "c_custkey")
 
 
-@query("months_available", "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders")
-def months_available(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(*[c.alias(n) for n, c in month_columns(F.col("o_orderdate")).items()]).distinct()
-
-
-@query("target_months", "SELECT * FROM (VALUES (2023, 12), (2024, 1)) AS t(year, month)")
-def target_months(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(cursors.target_months(today=date(2024, 1, 15)), "year int, month int")
-
-
 @query("cursor_increment", "SELECT count(*) AS n, CAST(max(ts) AS VARCHAR) AS cursor FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00' AND ts <= TIMESTAMP '2024-01-25 00:00:00'")
 def cursor_increment(spark: SparkSession, folder: str) -> DataFrame:
     rows = cursors.since(table(spark, folder, "events"), "ts", "2024-01-15 12:00:00", "2024-01-25 00:00:00")
@@ -643,3 +622,9 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     found = streams.sessions(_streamed(spark, folder), ["user_id", "event_type"], "ts", "2 hours", [F.count(F.lit(1)).alias("n")], "40 days")
     rows = _stream_result(spark, found)
     return rows.select("user_id", "event_type", F.col("started_at").cast("string").alias("started_at"), F.col("ended_at").cast("string").alias("ended_at"), "n")
+
+
+# ---- the lake --------------------------------------------------------------------------------------------------
+
+for _bound, _sql in lake_bindings.SQL.items():
+    query(_bound.__name__, _sql)(_bound)
