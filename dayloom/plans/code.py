@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.functions.times import period, within_days
+from dayloom.functions.times import in_order, period, within_days
 
+#: The columns that listings return.
 PULL_COLUMNS = [
     "pr_event_id", "pr_key", "owner", "repo", "repo_full_name", "pr_number", "action", "state", "is_merged", "title", "labels", "created_at_utc", "updated_at_utc",
     "merged_at_utc", "comments_count", "review_comments_count", "reviews_count", "additions", "deletions", "changed_files_count",
@@ -55,15 +56,17 @@ def _or_zero(column: str) -> Column:
 
 def activity_stats(pulls: DataFrame, commits: DataFrame, start: str, end: str, granularity: str) -> DataFrame:
     """Pull requests created and merged, commits and changed lines of each period. A pull request counts in every period it has events in."""
-    p = _pull_level(pulls.where(within_days(F.col("updated_at_utc"), start, end)), [period(F.col("updated_at_utc"), granularity).alias("p_period")])
-    p = p.groupBy("p_period").agg(F.sum("opened").alias("prs_created"), F.sum("merged").alias("prs_merged"), F.sum("additions").alias("p_add"), F.sum("deletions").alias("p_del"))
-    c = commits.where(within_days(F.col("committed_at_utc"), start, end)).groupBy(period(F.col("committed_at_utc"), granularity).alias("c_period"))
-    c = c.agg(F.count(F.lit(1)).alias("commits_count"), F.sum("additions").alias("c_add"), F.sum("deletions").alias("c_del"))
-    found = p.join(c, F.col("p_period") == F.col("c_period"), "full_outer").select(
-        F.coalesce("p_period", "c_period").alias("period"), *[_or_zero(x).alias(x) for x in ("prs_created", "prs_merged", "commits_count")],
-        (_or_zero("p_add") + _or_zero("c_add")).alias("additions"), (_or_zero("p_del") + _or_zero("c_del")).alias("deletions"),
+    p = _pull_level(pulls.where(within_days(F.col("updated_at_utc"), start, end)), [period(F.col("updated_at_utc"), granularity).alias("period")])
+    c = commits.where(within_days(F.col("committed_at_utc"), start, end))
+    # one relation of both, so that a single aggregate takes the place of a full join; no period is null
+    zero = F.lit(0)
+    p = p.select("period", "opened", "merged", zero.alias("commits"), F.col("additions").cast("long"), F.col("deletions").cast("long"))
+    c = c.select(period(F.col("committed_at_utc"), granularity).alias("period"), zero.alias("opened"), zero.alias("merged"), F.lit(1).alias("commits"), F.col("additions").cast("long"), F.col("deletions").cast("long"))
+    found = p.unionByName(c).groupBy("period").agg(
+        *[F.sum(x).alias(n) for x, n in (("opened", "prs_created"), ("merged", "prs_merged"), ("commits", "commits_count"))],
+        *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("additions", "deletions")],
     )
-    return found.orderBy(F.asc_nulls_last("period"))
+    return in_order(found)
 
 
 def repo_summary(pulls: DataFrame, commits: DataFrame, start: str, end: str, owner: str | None = None, repo: str | None = None) -> DataFrame:

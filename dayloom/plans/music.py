@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.functions.times import period, within_days
+from dayloom.functions.times import in_order, period, within_days
 from dayloom.functions.values import first_element, holds
 
 MS_PER_MINUTE = 60_000.0
@@ -25,7 +25,7 @@ def listening_stats(plays: DataFrame, start: str, end: str, granularity: str) ->
     found = rows.groupBy(period(F.col("played_at_utc"), granularity).alias("period")).agg(
         F.sum("ms_played").alias("total_ms"), F.count(F.lit(1)).alias("track_count"), F.count_distinct("track_id").alias("unique_tracks")
     )
-    return found.orderBy(F.asc_nulls_last("period"))
+    return in_order(found)
 
 
 def search_tracks(plays: DataFrame, text: str, limit: int = 20) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.functions.times import period, within_days
+from dayloom.functions.times import in_order, period, within_days
 
 DEFAULT_LIMIT = 100_000
 
@@ -33,7 +33,7 @@ def watching_stats(rows: DataFrame, granularity: str) -> DataFrame:
     found = rows.groupBy(period(F.col("watched_at_utc"), granularity).alias("period")).agg(
         F.count(F.lit(1)).alias("watch_event_count"), F.count_distinct("video_id").alias("unique_video_count"), F.count_distinct("channel_id").alias("unique_channel_count")
     )
-    return found.orderBy(F.asc_nulls_last("period"))
+    return in_order(found)
 
 
 def top_videos(rows: DataFrame, limit: int = 10) -> DataFrame:

@@ -144,3 +144,12 @@ def test_date_filters_reach_the_scan(spark, plays, tmp_path):
     plays.write.parquet(str(tmp_path / "p"))
     plan = music.top_tracks(spark.read.parquet(str(tmp_path / "p")), "2024-01-01", "2024-01-02")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(played_at_utc" in plan and "album_id" not in plan.split("ReadSchema")[-1]
+
+
+def test_intermediate_folders_are_cleared(spark):
+    from dayloom.sources import files, scratch
+
+    with scratch.cleared(spark):
+        path = scratch.shared_dir(spark)
+        spark.range(3).write.parquet(path)
+    assert not files.exists(spark, path)
