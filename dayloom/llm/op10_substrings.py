@@ -2,14 +2,12 @@
 
 Two equal runs of ``WINDOW`` words, wherever they start in their documents, have a pair of aligned positions that both
 lie in ``COVER`` modulo ``PERIOD``. So anchors, runs of ``ANCHOR`` words, are hashed at cover positions only (6 of 31), and any
-equal windows share an aligned anchor. Anchors met in one text alone are dropped after one shuffle; the rest are extended, in two steps. First by
-``PERIOD - 1`` words on either side: where such a block also starts in a row with a smaller key, all windows that hold the anchor do. Only the windows of
-anchors that are not settled so (ends of a match, and its first document) are compared one by one. Both are compared by 128 bits of hash.
+equal windows share an aligned anchor. Anchors met in one text alone are dropped after one shuffle; the rest are extended to all windows that hold them, and these are compared whole (128 bits of hash) in a second shuffle.
 
 Exact copies are folded first: only the row of smallest key of equal texts is anchored, since a longer copy of it goes
 entirely. Groups are never gathered. Anchors that a 10,000th of all anchors are equal to, as a sample of texts tells, are known to be shared and not
-shuffled. A block or window that many texts have holds such an anchor (of n texts with a window, n / 6 at least share one of the anchors in it), and only such are salted: rows
-with a smaller key in their own salt are settled there, and of the rest, a few a salt, the smallest keys are aggregated. A text sends an anchor, a block or a window
+shuffled. A window that many texts have holds such an anchor (of n texts with a window, n / 6 at least share one of the anchors in it), and only such are salted: rows
+with a smaller key in their own salt are settled there, and of the rest, one a salt, the smallest key is found in a second, small shuffle. A text sends an anchor or a window
 once, however often it repeats it. Texts are shuffled once, by a hash of key and text, and that exchange serves all passes over them; those too short for a window stay where they are.
 """
 
@@ -25,14 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import HOT_KEYS, hot_join, map_arrow, seal, table, unseal
+from dayloom.llm.common import HOT_KEYS, map_arrow, seal, table, unseal
 
 WINDOW = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # a perfect difference set modulo 31: every difference occurs
 ANCHOR = WINDOW - PERIOD + 1
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so they have inverses modulo 2^64
-BLOCK = WINDOW + PERIOD - 1  # words of an anchor with as many on either side as any window around it has
 LAST = (1 << 63) - 1  # stands for a null key: larger than any other
 SHORT = 2 * WINDOW - 1  # bytes under which a text has no window
 SALTS = 64
@@ -94,38 +91,16 @@ def once(*hashes: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(np.stack(hashes), axis=1, return_index=True)[1])
 
 
-Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-
-
-def candidate_blocks(words: list[bytes], shared: np.ndarray, hot: np.ndarray) -> Runs:
-    """(anchor positions, first hash, second hash, whether the anchor is hot) of the blocks around anchors in ``shared`` or ``hot``; equal ones once, at the first."""
-    at, own, hashes = anchors(words)
-    side, warm = PERIOD - 1, np.isin(own, hot)
-    whole = (np.isin(own, shared) | warm) & (at >= side) & (at + ANCHOR + side <= len(words))
-    hit, warm = at[whole], warm[whole]
-    if not len(hit):
-        return hit, hit, hit, warm
-    b1, b2 = (run_hashes(hashes, BLOCK, which)[hit - side] for which in (0, 1))
-    first = once(b1, b2)
-    return hit[first], b1[first], b2[first], warm[first]
-
-
-def candidate_windows(words: list[bytes], shared: np.ndarray, hot: np.ndarray, settled: np.ndarray) -> Runs:
-    """(positions, first hash, second hash, whether they hold a hot anchor) of the windows that hold an anchor in ``shared`` or ``hot`` and lie in no
-    block equal to one around a position in ``settled``; equal ones once, at the first."""
+def candidate_windows(words: list[bytes], shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, first hash, second hash, whether they hold a hot anchor) of the windows that hold an anchor in ``shared`` or ``hot``; equal ones once, at the first."""
     at, own, hashes = anchors(words)
-    side, warm = PERIOD - 1, np.isin(own, hot)
-    marks = np.zeros((3, len(words) + 2), np.int64)
-    for i, hit in ((0, at[np.isin(own, shared) | warm]), (2, at[warm])):
+    warm = np.isin(own, hot)
+    marks = np.zeros((2, len(words) + 2), np.int64)
+    for i, hit in enumerate((at[np.isin(own, shared) | warm], at[warm])):
         np.add.at(marks[i], np.maximum(0, hit + ANCHOR - WINDOW), 1)
         np.add.at(marks[i], hit + 1, -1)
-    if len(settled):
-        b1, b2 = run_hashes(hashes, BLOCK, 0), run_hashes(hashes, BLOCK, 1)
-        equal = np.flatnonzero(np.isin(b1, b1[settled - side]) & np.isin(b2, b2[settled - side]))
-        np.add.at(marks[1], equal, 1)
-        np.add.at(marks[1], equal + PERIOD, -1)
-    held, covered, warm = np.cumsum(marks, axis=1)[:, : len(words) - WINDOW + 1] > 0
-    starts = np.flatnonzero(held & ~covered)
+    held, warm = np.cumsum(marks, axis=1)[:, : len(words) - WINDOW + 1] > 0
+    starts = np.flatnonzero(held)
     if not len(starts):
         return starts, starts, starts, warm[starts]
     w1, w2 = run_hashes(hashes, WINDOW, 0)[starts], run_hashes(hashes, WINDOW, 1)[starts]
@@ -170,24 +145,20 @@ def _emit_anchors(text: str, hot: np.ndarray, batches: Iterator[pa.RecordBatch])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, owner, marks)], names=["anchor", "row", "hot"])
 
 
-def _emit_runs(text: str, hot: np.ndarray, of_blocks: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc, text, shared[, settled]) to (h1, h2, row, doc, place, warm) of candidate blocks or windows."""
-    names = ["h1", "h2", "row", "doc", "place", "warm"]
+def _emit_windows(text: str, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc, text, shared) to (w1, w2, row, doc, place, warm) of candidate windows."""
+    names = ["w1", "w2", "row", "doc", "place", "warm"]
     batch_of = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.bool_() if n == "warm" else pa.int64()) for n, c in zip(names, zip(*parts))], names=names)
     for batch in batches:
         parts: list[list[np.ndarray]] = []
         held = 0
-        shared, settled = batch.column("shared"), None if of_blocks else batch.column("settled")
+        shared = batch.column("shared")
         for i, (row, doc, raw) in enumerate(zip(batch.column("row").to_numpy(), batch.column("doc").to_numpy(), _raw(batch.column(text)))):
             words = raw.split()
             if len(words) < WINDOW:
                 continue
-            met = np.array(shared[i].values, np.int64)
-            if of_blocks:
-                at, h1, h2, warm = candidate_blocks(words, met, hot)
-            else:
-                at, h1, h2, warm = candidate_windows(words, met, hot, np.array(settled[i].values, np.int64) if settled[i].is_valid else np.empty(0, np.int64))
-            parts.append([h1, h2, np.full(len(at), row), np.full(len(at), doc), at, warm])
+            at, w1, w2, warm = candidate_windows(words, np.array(shared[i].values, np.int64), hot)
+            parts.append([w1, w2, np.full(len(at), row), np.full(len(at), doc), at, warm])
             held += len(at)
             if held > 200_000:
                 yield batch_of(parts)
@@ -197,10 +168,9 @@ def _emit_runs(text: str, hot: np.ndarray, of_blocks: bool, batches: Iterator[pa
 
 
 def _cut(text: str, batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
-    """(words, removed words, kept text) of each row of (text, keeper, settled, covered)."""
+    """(words, removed words, kept text) of each row of (text, keeper, covered)."""
     n_words, n_removed, kept = [], [], []
-    side = np.arange(PERIOD)
-    places = lambda column, i: np.array(column[i].values, np.int64) if column[i].is_valid else np.empty(0, np.int64)
+    covered = batch.column("covered")
     for i, raw in enumerate(_raw(batch.column(text))):
         words = raw.split()
         n = len(words)
@@ -209,8 +179,7 @@ def _cut(text: str, batch: pa.RecordBatch) -> tuple[list[int], list[int], list[b
         elif not batch.column("keeper")[i].is_valid:
             gone = np.ones(n, bool)  # a copy of a text with a smaller key
         else:
-            settled, covered = places(batch.column("settled"), i), places(batch.column("covered"), i)
-            starts = np.concatenate([(settled[:, None] - side).ravel(), covered])
+            starts = np.array(covered[i].values, np.int64) if covered[i].is_valid else np.empty(0, np.int64)
             gone = removed_words(n, everywhere(words, starts)) if len(starts) else np.zeros(n, bool)
         n_words.append(n)
         n_removed.append(int(gone.sum()))
@@ -218,17 +187,17 @@ def _cut(text: str, batch: pa.RecordBatch) -> tuple[list[int], list[int], list[b
     return n_words, n_removed, kept
 
 
-def _earlier(runs: DataFrame, total: int) -> DataFrame:
-    """(row, places) of the runs (h1, h2, row, doc, place, warm) that a row with a smaller key has too."""
+def _earlier(windows: DataFrame) -> DataFrame:
+    """(row, covered): the places of the windows (w1, w2, row, doc, place, warm) that a row with a smaller key has too."""
+    same = ["w1", "w2"]
+    order = lambda keys: Window.partitionBy(*keys).orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     salt = F.when(F.col("warm"), F.pmod("row", F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
-    order = Window.partitionBy("h1", "h2", "salt").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # all three branches read the same columns, so that they share one exchange
-    met = runs.select("h1", "h2", salt.alias("salt"), "row", "doc", "place").withColumn("first", F.first("doc").over(order))
+    # both branches read the same columns, so that they share one exchange
+    met = windows.select(*same, salt.alias("salt"), "row", "doc", "place").withColumn("first", F.first("doc").over(order([*same, "salt"])))
     here = met.where("first < doc").select("row", "place")
-    left = met.where("salt >= 0 AND first = doc").select("h1", "h2", "row", "doc", "place")
-    least = left.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"), F.max("row").alias("r"), F.max("place").alias("p")).where("n > 1 AND r IS NOT NULL AND p >= 0").drop("r", "p")
-    there = hot_join(left, least, ["h1", "h2"], "n", total).where("least < doc").select("row", "place")
-    return here.unionByName(there).groupBy("row").agg(F.collect_list("place").alias("places"))
+    # of a window a row a salt is left, or the rows that share its key
+    left = met.where("salt >= 0 AND first = doc").select(*same, "row", "doc", "place").withColumn("least", F.first("doc").over(order(same)))
+    return here.unionByName(left.where("least < doc").select("row", "place")).groupBy("row").agg(F.collect_list("place").alias("covered"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,7 +217,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     row = lambda of: F.xxhash64(of, "digest").alias("row")  # noqa: E731  rows that are equal in key and text share it, and their fate
     long_ = F.coalesce(F.octet_length(plain), F.lit(0)) >= SHORT
     bytes_ = held.agg(F.sum(F.octet_length(plain).cast("long"))).first()[0] or 0
-    total = bytes_ // 10 + 1  # no more than five times as many words, so as many runs
+    total = bytes_ // 10 + 1  # no more than five times as many words, so as many anchors
     whole = held.where(long_).select(doc, F.unhex(F.md5(plain)).alias("digest"), *names).select(row("doc"), "doc", *names)  # all passes join this very relation, with all its columns, so that the exchange is reused
     keepers = held.where(long_).select(doc, F.unhex(F.md5(plain)).alias("digest")).groupBy("digest").agg(F.min("doc").alias("doc")).select(row("doc"), F.lit(True).alias("keeper")).hint("merge")  # merge joins throughout: a broadcast would spare one pass the exchange, and cost the others theirs
 
@@ -262,14 +231,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = found.withColumns({"before": F.lag("row").over(meet), "after": F.lead("row").over(meet)})
     shared = shared.where("hot OR before <> row OR after <> row").groupBy("row").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("shared")).hint("merge")
 
-    anchored = whole.join(shared, "row")
-    runs = "h1 long, h2 long, row long, doc long, place long, warm boolean"
-    settled = _earlier(map_arrow(anchored, partial(_emit_runs, body, hot, True), runs), total).withColumnRenamed("places", "settled").hint("merge")
-    open_ = anchored.join(settled, "row", "left")
-    covered = _earlier(map_arrow(open_, partial(_emit_runs, body, hot, False), runs), total).withColumnRenamed("places", "covered").hint("merge")
-    joined = whole.join(keepers, "row", "left").join(settled, "row", "left").join(covered, "row", "left").select("row", "doc", *names, "keeper", "settled", "covered")
+    windows = map_arrow(whole.join(shared, "row"), partial(_emit_windows, body, hot), "w1 long, w2 long, row long, doc long, place long, warm boolean")
+    covered = _earlier(windows).hint("merge")
+    joined = whole.join(keepers, "row", "left").join(covered, "row", "left").select("row", "doc", *names, "keeper", "covered")
     none = F.lit(None).cast("array<bigint>")
-    joined = joined.unionByName(held.where(~long_).select(F.lit(0).cast("long").alias("row"), doc, *names, F.lit(True).alias("keeper"), none.alias("settled"), none.alias("covered")))
+    joined = joined.unionByName(held.where(~long_).select(F.lit(0).cast("long").alias("row"), doc, *names, F.lit(True).alias("keeper"), none.alias("covered")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -765,16 +765,6 @@ def test_substrings_of_a_hot_passage_and_hot_copies(spark, monkeypatch):
     assert rows(got.select("doc_id", "n_words", "n_removed", "kept_text")) == sorted(map(repr, plain_substrings(docs)))
 
 
-def test_blocks_settle_what_windows_would(spark):
-    words = [w.encode() for w in prose(3, 400, 5000).split()]
-    at, own, _ = op10_substrings.anchors(words)
-    none = np.empty(0, np.int64)
-    blocks = op10_substrings.candidate_blocks(words, own, none)[0]
-    every, left = op10_substrings.candidate_windows(words, own, none, none)[0], op10_substrings.candidate_windows(words, own, none, blocks[5:10])[0]
-    gone = {p - i for p in blocks[5:10] for i in range(31)}
-    assert set(every) == set(range(351)) and set(left) == set(range(351)) - gone
-
-
 def test_other_keys_than_integers_are_an_error(spark):
     with pytest.raises(TypeError, match="no integer"):
         op10_substrings.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
