@@ -116,7 +116,7 @@ def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float,
     within = Window.partitionBy("source", "class", "block").orderBy("size", "hash", F.asc_nulls_last(at[key]))
     ranked = sized.withColumn("in_cell", F.row_number().over(within))
     placed = (F.col("source") == F.col("s")) & (F.col("class") == F.col("k")) & (F.col("block") == F.col("b"))
-    slim = ranked.join(first, placed).where("size > 0")
+    slim = ranked.join(first.hint("merge"), placed)  # cells grow with the input, if slowly, so they are not broadcast.where("size > 0")
     slim = materialize(slim.select("source", "class", "block", "in_cell", "size", "hash", (F.col("first") + F.col("in_cell")).alias("rank"), "large", "rest", "source_size", "target"), total)
 
     # fewer than LARGE large documents of a source come together
@@ -132,14 +132,14 @@ def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float,
     choices = materialize(draws.groupBy("ds", "due", "rate").agg(F.sort_array(F.collect_list(F.struct("draw", "offset"))).alias("offsets")), total)
     copies = (F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))).cast("long")
     cells = materialize(first.join(choices, F.col("s") == F.col("ds"), "left"), total)  # a row for each cell
-    tried = slim.where("NOT large").join(cells.select("s", "k", "b", "due", "rate", "offsets"), placed).select("source", "size", "rank", "rate", "due", F.inline("offsets"))
+    tried = slim.where("NOT large").join(cells.select("s", "k", "b", "due", "rate", "offsets").hint("merge"), placed).select("source", "size", "rank", "rate", "due", F.inline("offsets"))
     sums = tried.groupBy("source", "draw", "offset", "due").agg(F.sum(copies * F.col("size")).alias("taken"))
     best = sums.groupBy("source").agg(F.min(F.struct(F.abs(F.col("taken") - F.col("due")), "draw", "offset")).alias("best"))
     best = materialize(best.select(F.col("source").alias("bs"), F.col("best.offset").alias("offset")), total)
     cells = cells.join(best, F.col("s") == F.col("bs"), "left").select("s", "k", "b", "first", "large", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce("offset", F.lit(0.0)).alias("offset"))
     picks = large.select(F.col("source").alias("ps"), F.inline("picks")).select("ps", F.col("class").alias("pk"), F.col("block").alias("pb"), F.col("in_cell").alias("pi"), F.col("copies").alias("picked"))
 
-    out = ranked.join(cells, placed)
+    out = ranked.join(cells.hint("merge"), placed)
     out = out.join(picks, (F.col("source") == F.col("ps")) & (F.col("class") == F.col("pk")) & (F.col("block") == F.col("pb")) & (F.col("in_cell") == F.col("pi")), "left")
     out = out.withColumn("rank", F.col("first") + F.col("in_cell"))
     return out.withColumn("copies", F.when(F.col("large"), F.coalesce("picked", F.lit(0))).otherwise(copies).cast("long"))
