@@ -245,6 +245,25 @@ def test_packing(spark):
     assert op3_packing.pack(empty(spark)).count() == 0
 
 
+def test_equal_rows_and_long_texts_spread_over_blocks(spark):
+    docs = [(7, "some words that repeat", "a")] * 900 + [(None, "", "b")] * 300 + [(1, prose(1, 30_000), "c")] + [(100 + i, prose(i, i % 60), f"s{i % 9}") for i in range(900)]
+    got = op3_packing.pack(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), capacity=64, block_rows=200).collect()
+    assert collections.Counter(r["key"] for r in got)[7] == 900 and sum(r["size"] for r in got) == sum(len(WORD.findall(t)) for _, t, _ in docs)
+    assert max(collections.Counter(r["block"] for r in got).values()) <= 2 * 200
+    copies = collections.Counter((r["block"], r["bin"]) for r in got if r["key"] == 7)
+    assert max(copies.values()) == 1
+
+
+def test_one_block_is_best_fit_over_the_table(spark):
+    docs = [(i, prose(i, 1 + i * 7 % 50), f"s{i % 5}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    got = op3_packing.pack(df, capacity=64, block_rows=1000).collect()
+    assert {r["block"] for r in got} == {0}
+    orders = {r["key"]: r["order"] for r in op3_packing._pieces(df, "doc_id", "text", "source", None, 64).collect()}
+    rows_ = sorted(got, key=lambda r: (-r["size"], orders[r["key"]]))
+    assert [r["bin"] for r in rows_] == list(plain_best_fit([(r["size"], r["source"], r["key"]) for r in rows_], 64, op3_packing.SOURCE_LIMIT))
+
+
 # ---- 4 ---------------------------------------------------------------------------------------------------------
 
 SENTENCES = {
@@ -428,6 +447,18 @@ def test_ball_links_connect_all_within_radius(spark):
     assert classes(fps, lambda a, b: frozenset((a, b)) in linked) == classes(fps, near)
 
 
+@pytest.mark.parametrize("hot_keys", [3, 10_000])
+def test_hot_joins_lose_no_row(spark, monkeypatch, hot_keys):
+    from dayloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    left = [(k, i) for i, k in enumerate([1] * 60 + [2] * 30 + list(range(3, 13)))]
+    counts = collections.Counter(k for k, _ in left)
+    right = [(k, f"v{k}", n) for k, n in counts.items() if k != 5]
+    got = common.hot_join(spark.createDataFrame(left, "k int, i int"), spark.createDataFrame(right, "k int, v string, n int"), "k", "n", len(left))
+    assert rows(got) == sorted(repr((k, i, f"v{k}")) for k, i in left if k != 5)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 60)], [(1, 2), (2, 1), (5, 4), (4, -7)]])
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
