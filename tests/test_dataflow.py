@@ -1,4 +1,7 @@
-"""Visits, merging, masters, compaction and jobs on small inputs and edge cases."""
+"""Visits, merging, masters, compaction and jobs on small inputs and edge cases.
+
+Fixed values: the texts and results of the visit, compaction and duration cases are those that the behaviour to be matched is known by.
+"""
 
 from __future__ import annotations
 
