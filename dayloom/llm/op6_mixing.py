@@ -116,7 +116,8 @@ def _ranked(docs: DataFrame, text: str, source: str, key: str, max_rate: float,
     within = Window.partitionBy("source", "class", "block").orderBy("size", "hash", F.asc_nulls_last(at[key]))
     ranked = sized.withColumn("in_cell", F.row_number().over(within))
     placed = (F.col("source") == F.col("s")) & (F.col("class") == F.col("k")) & (F.col("block") == F.col("b"))
-    slim = ranked.join(first.hint("merge"), placed)  # cells grow with the input, if slowly, so they are not broadcast.where("size > 0")
+    # cells grow with the input, if slowly, so they are not broadcast
+    slim = ranked.join(first.hint("merge"), placed).where("size > 0")
     slim = materialize(slim.select("source", "class", "block", "in_cell", "size", "hash", (F.col("first") + F.col("in_cell")).alias("rank"), "large", "rest", "source_size", "target"), total)
 
     # fewer than LARGE large documents of a source come together

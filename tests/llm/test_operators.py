@@ -517,6 +517,23 @@ def test_mixing_takes_anything_and_agrees(spark):
     assert [x["copies"] for x in op6_mixing.mix(zero).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("texts", [[None], ["", " \t"], [prose(3, 4000), ""], [None, "", "one"]])
+def test_mixing_takes_a_source_with_few_or_no_words(spark, texts):
+    ordinary = [(i, prose(i, 20 + i % 30), "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(ordinary + [(100 + i, t, "c") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    got = op6_mixing.mix(docs).collect()
+    assert len(got) == 60 + len(texts) and all(r["size"] == len(WORD.findall(r["text"] or "")) for r in got)
+    words = collections.Counter()
+    for r in got:
+        words[r["source"]] += r["copies"] * r["size"]
+    if not sum(r["size"] for r in got if r["source"] == "c"):
+        assert all(r["target"] == 0 for r in got if r["source"] == "c")
+    for r in got:
+        largest = max(x["size"] for x in got if x["source"] == r["source"])
+        assert abs(words[r["source"]] - r["target"]) <= max(largest / 2, 30)
+    assert op6_mixing.emit(docs).count() == sum(r["copies"] for r in got)
+
+
 # ---- 7 ---------------------------------------------------------------------------------------------------------
 
 
