@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_media", "op2_toxicity", "op3_packing", "op4_language", "op5_simhash", "op6_mixing", "op7_topk", "op8_warc", "op9_sharding", "op10_substrings", "op11_whitening", "op12_alignment", "pipeline")
+MODULES = ("op1_media", "op2_toxicity", "op3_packing", "op4_language", "op5_simhash", "op6_mixing", "op7_topk", "op8_warc", "op9_sharding", "op10_substrings", "op11_whitening", "op12_alignment", "op13_html", "pipeline")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
