@@ -101,6 +101,7 @@ class Transducer:
         self.states = [(False, b"")]  # whether A leads, and what of it is not matched
         self.number = {(False, b""): 0, (True, b""): 0}
         self.step: dict[int, int] = {}
+        self.single: dict[int, str] = {}  # the steps from state 0 and back by one token of each side, with the group's text
 
     def learn(self, state: int, token: int) -> int:
         """The next state, worked out from the bytes and kept."""
@@ -118,28 +119,43 @@ class Transducer:
         self.step[state << SHIFT | token] = found
         return found
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """How many tokens of each side each group ends at; None if the bytes differ."""
-        if len(self.step) > self.memo:
+    def groups(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]] | None:
+        """Each group as ``a1,a2|b1`` and its link, the pair of its last tokens; None if the bytes differ."""
+        if len(self.step) + len(self.single) > self.memo:
             self.forget()
-        step, states, learn = self.step.get, self.states, self.learn
-        ends, i, j, state = [], 0, 0, 0
+        step, single, states = self.step.get, self.single.get, self.states
+        texts, links, i, j = [], [], 0, 0
         size_a, size_b = len(a), len(b)
-        while True:
-            if states[state][0]:
-                if j == size_b:
+        while i < size_a and j < size_b:
+            pair = a[i] << SHIFT | b[j]
+            text = single(pair)
+            if text is None:
+                first_a, first_b, state = i, j, 0
+                while True:
+                    if states[state][0]:
+                        if j == size_b:
+                            return None
+                        token, j = b[j], j + 1
+                    else:
+                        if i == size_a:
+                            return None
+                        token, i = a[i], i + 1
+                    found = step(state << SHIFT | token)
+                    state = self.learn(state, token) if found is None else found
+                    if state <= 0:
+                        break
+                if state < 0:
                     return None
-                token, j = b[j], j + 1
+                pair = a[i - 1] << SHIFT | b[j - 1]
+                text = f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}"
+                if i == first_a + 1 and j == first_b + 1:
+                    self.single[pair] = text
             else:
-                if i == size_a:
-                    return ends if not state and j == size_b else None
-                token, i = a[i], i + 1
-            found = step(state << SHIFT | token)
-            state = learn(state, token) if found is None else found
-            if not state:
-                ends.append((i, j))
-            elif state < 0:
-                return None
+                i += 1
+                j += 1
+            texts.append(text)
+            links.append(pair)
+        return (texts, links) if i == size_a and j == size_b else None
 
 
 class Aligner:
@@ -149,16 +165,16 @@ class Aligner:
         self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
         self.walk = Transducer(self.a.known, self.b.known)
 
-    def align(self, raw: bytes | None) -> tuple[list[int], list[int], list[tuple[int, int]]]:
-        """Ids of A, ids of B and the groups' ends; all empty where the text is or the bytes do not agree with it."""
+    def align(self, raw: bytes | None) -> tuple[int, int, list[str], list[int]]:
+        """Numbers of A's and B's tokens, the groups and their links; none where the text is empty or the bytes do not agree with it."""
         if not raw:
-            return [], [], []
+            return 0, 0, [], []
         text = raw.decode("utf-8", "replace")
         a, b = self.a.encode(" " + text), self.b.encode(text)
-        ends = self.walk.groups(a, b)
-        if ends is None or b"".join(map(self.a.known.__getitem__, a)) != b" " + raw:
-            return [], [], []
-        return a, b, ends
+        found = self.walk.groups(a, b)
+        if found is None or b"".join(map(self.a.known.__getitem__, a)) != b" " + raw:
+            return 0, 0, [], []
+        return len(a), len(b), *found
 
 
 @lru_cache(maxsize=2)
@@ -166,14 +182,9 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)  # once for each Python worker
 
 
-def spelt(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
-    x, y = list(map(str, a)), list(map(str, b))
-    parts, i, j = [], 0, 0
-    for k, m in ends:
-        parts.append(f"{x[i]}|{y[j]}" if k == i + 1 and m == j + 1 else f"{','.join(x[i:k])}|{','.join(y[j:m])}")
-        i, j = k, m
-    return ";".join(parts)
+def ids_of(group: str) -> dict[str, list[int]]:
+    a, b = group.split("|")
+    return {"a": list(map(int, a.split(","))), "b": list(map(int, b.split(",")))}
 
 
 FIELDS = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "groups_sha256": pa.string(), "pairs": pa.list_(pa.int64()), "times": pa.list_(pa.int32())}
@@ -197,16 +208,16 @@ def alignments(df: DataFrame, key: str, text: str, path_a: str = BYTE_BPE, path_
             columns: dict[str, list] = {k: [] for k in kinds}
             first, tokens = 0, 0
             for at in range(batch.num_rows):
-                a, b, ends = both.align(texts[at].as_py())
-                linked = Counter([a[i - 1] << SHIFT | b[j - 1] for i, j in ends])
+                n_a, n_b, groups, links = both.align(texts[at].as_py())
+                linked = Counter(links)
                 order = sorted(linked)
-                digest = hashlib.sha256(spelt(a, b, ends).encode()).hexdigest() if ends else ""
-                values = [len(a), len(b), len(ends), digest, order, [linked[p] for p in order]]
+                digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+                values = [n_a, n_b, len(groups), digest, order, [linked[p] for p in order]]
                 if keep_groups:
-                    values.append([{"a": a[i:k], "b": b[j:m]} for (i, j), (k, m) in zip([(0, 0), *ends], ends)])
+                    values.append(list(map(ids_of, groups)))
                 for column, value in zip(columns.values(), values, strict=True):
                     column.append(value)
-                tokens += len(a)
+                tokens += n_a
                 if tokens > BATCH or at == batch.num_rows - 1:
                     arrays = [pa.array(v, kind) for v, kind in zip(columns.values(), kinds.values(), strict=True)]
                     yield pa.RecordBatch.from_arrays([keys.slice(first, at + 1 - first), *arrays], names=[key, *kinds])

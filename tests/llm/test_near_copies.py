@@ -69,3 +69,43 @@ def test_one_repeated_line_does_not_make_copies(spark):
     assert op5_simhash.near_duplicates(docs).select("component_id").distinct().count() == 1
     for dedup in (op5_simhash.dedup, near_copies.dedup):
         assert sorted(r["doc_id"] for r in dedup(docs).collect()) == list(range(12))
+
+
+def tables_written(monkeypatch):
+    written = []
+    plain = near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", lambda *a, **k: written.append(1) or plain(*a, **k))
+    return written
+
+
+def test_a_long_chain_takes_few_tables(spark, monkeypatch):
+    words = prose(7, 2300, vocabulary=10**6).split()
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 2200, 1)]  # each like the next few: 5-word similarity (56 - d) / (56 + d)
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    written = tables_written(monkeypatch)
+    got = sorted(r["doc_id"] for r in near_copies.dedup(docs).collect())
+    assert got == list(range(0, 2200, 7)) and len(written) < 20  # 6 steps on: 50 / 62 of the shingles are shared; 7 on: 49 / 63
+
+
+def test_a_bucket_of_unlike_rows_makes_no_pairs_of_all(spark, monkeypatch):
+    template = prose(8, 300)
+    texts = [f"{prose(3000 + i, 32, 10**6)} {template} {prose(9000 + i, 32, 10**6)}" for i in range(600)]  # about 0.7 alike
+    texts += [changed(i, texts[i], 2) for i in range(0, 600, 60)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    compared = []
+    plain = near_copies._confirmed
+    monkeypatch.setattr(near_copies, "_confirmed", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a))
+    got = sorted(r["doc_id"] for r in near_copies.dedup(docs).collect())
+    assert got == list(range(600)) and sum(compared) < 600 * 599 / 2 / 3
+    assert compared[-1] <= 40  # the prefixes of unlike rows share nothing
+
+
+def test_settling_in_rounds_is_settling_in_order(spark):
+    r = random.Random(4)
+    pairs = sorted({tuple(sorted(r.sample(range(80), 2))) for _ in range(150)})
+    gone = set()
+    for a, b in pairs:
+        gone |= {b} if a not in gone else set()
+    edges = spark.createDataFrame([((a,), (b,)) for a, b in pairs], "a struct<key: int>, b struct<key: int>")
+    for limit in (0, 10, 1000):
+        assert {x["p"]["key"] for x in near_copies.settle(edges, limit).collect()} == gone
