@@ -73,13 +73,14 @@ class Lake:
     def _parts(self, name: str, layer: str) -> list[tuple[str, list[str]]]:
         """(folder, paths in it) that make up a dataset: months that the mirror has from there, all others from the root.
 
-        A snapshot, or a dataset that is not filed by month, comes whole, from the mirror if it is there.
+        A dataset that is not filed by month comes whole, from the mirror if it is there; of snapshots the newest counts, wherever it is.
         """
         roots = [r for r in (self.local, self.root) if r]
         folders = [self.folder(name, layer, r) for r in roots]
-        for f in folders:
-            if snapshot := snapshots.current(self.spark, f):
-                return [(snapshot, [snapshot])]
+        found = [x for x in (snapshots.newest(self.spark, f) for f in folders) if x]
+        if found:  # the newest, the mirror's if both are as new
+            snapshot = max(found, key=lambda x: x[0])[1]
+            return [(snapshot, [snapshot])]
         taken: set[str] = set()
         parts = []
         for f in folders:

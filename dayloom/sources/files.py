@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import uuid
 from pathlib import Path
@@ -10,6 +11,14 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+CONDITIONAL = "fs.option.create.conditional.overwrite"  # fixed value: Hadoop's name of the option and of the capability
+REFUSING = frozenset(("hdfs", "abfs", "abfss", "gs"))  # fixed values: schemes whose create without overwriting is one step
+
+
+class UnsafeStoreError(RuntimeError):
+    """The store cannot tell two writers of one file apart."""
+
+
 def _at(spark: SparkSession, path: str):  # noqa: ANN202
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
@@ -36,24 +45,79 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def create_text(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small ASCII file; False if there is one of that name."""
+def scheme(spark: SparkSession, path: str) -> str:
+    fs, _ = _at(spark, path)
+    return fs.getUri().getScheme() or "file"
+
+
+def way_to_create(spark: SparkSession, path: str) -> str:
+    """How a file can be created here only if there is none of its name: ``link`` (local), ``refuse`` (the store's plain create does) or ``condition``.
+
+    Stores whose plain create looks first and writes later, as S3 clients do, must offer the conditional option. One that offers
+    nothing is an error: two writers could both believe to be first. ``dayloom.stores.refusing`` names further schemes that refuse.
+    """
     fs, p = _at(spark, path)
+    kind = fs.getUri().getScheme() or "file"
+    if kind == "file":
+        return "link"
+    if fs.hasPathCapability(p, CONDITIONAL):
+        return "condition"
+    if kind in REFUSING or kind in (spark.conf.get("dayloom.stores.refusing", None) or "").split(","):
+        return "refuse"
+    raise UnsafeStoreError(f"{kind}: neither refuses to create a file that is there nor offers {CONDITIONAL}")
+
+
+def _link(path: str, text: str) -> bool:
+    """Write under another name and give the file its own by a hard link, which the system refuses if the name is taken."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(f".{target.name}.{uuid.uuid4().hex}.part")
+    part.write_text(text, encoding="ascii")
     try:
-        stream = fs.create(p, False)
+        os.link(part, target)
+    except FileExistsError:
+        return False
+    finally:
+        part.unlink()
+    return True
+
+
+def _taken(error: Py4JJavaError) -> bool:
+    """Whether a store says that the file is there: by its own exception or by the answer of a failed condition."""
+    raised = error.java_exception
+    return any(x in raised.getClass().getName() for x in ("AlreadyExists", "RemoteFileChanged", "PreconditionFailed")) or "412" in str(raised.getMessage())
+
+
+def _create(fs, p, text: str, conditional: bool) -> bool:  # noqa: ANN001
+    """Create by the store's own means; a condition is checked when the file is closed."""
+    try:
+        stream = fs.createFile(p).must(CONDITIONAL, "true").create().build() if conditional else fs.create(p, False)
+        stream.writeBytes(text)
+        stream.close()
     except Py4JJavaError as e:
-        if "AlreadyExists" in e.java_exception.getClass().getName():
+        if _taken(e):
             return False
         raise
-    stream.writeBytes(text)
-    stream.close()
     return True
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small ASCII file; False if there is one of that name. Of several writers one gets True, on any store that this accepts."""
+    way = way_to_create(spark, path)
+    fs, p = _at(spark, path)
+    return _link(p.toUri().getPath(), text) if way == "link" else _create(fs, p, text, way == "condition")
+
+
+def modified(spark: SparkSession, path: str) -> float:
+    """When a file or folder was last changed, in seconds since 1970."""
+    fs, p = _at(spark, path)
+    return fs.getFileStatus(p).getModificationTime() / 1000
+
+
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
     """Put a small ASCII file in the place of another in one step: written under another name, then renamed over it."""
     part = f"{path}.{uuid.uuid4().hex}.part"
-    create_text(spark, part, text)
+    _create(*_at(spark, part), text, False)
     jvm = spark._jvm
     over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
