@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,6 +36,8 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 # fixed value: how the byte-level vocabulary's texts are cut before merging
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 500_000  # characters from which the JSON's own library encodes a text; the rank encoder fails on runs of a million spaces
+WORDS = re.compile(r" *[^ ]+(?: +\Z)?")  # a word with the spaces before it, the last one with those behind it too
+REMEMBERED, SHORT = 200_000, 64  # words that a task remembers, and characters of the longest
 MEMO = 1_000_000  # steps kept by a transducer
 BATCH = 1 << 20  # tokens to a batch that leaves a task
 SHIFT = 20  # bits of an id in a pair
@@ -76,14 +79,34 @@ class ByteTokens:
 
 
 class PieceTokens:
-    """A piece model. ``known`` has each id's bytes."""
+    """A piece model. ``known`` has each id's bytes.
+
+    Where no piece has a space behind another character, no merge crosses the start of a run of spaces, so a text is encoded word by
+    word and words are remembered. The model puts a space in front of what it encodes, which stands for the first of a word's own.
+    """
 
     def __init__(self, path: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known = {i: piece_bytes(self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())}
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.known = {i: piece_bytes(p) for i, p in enumerate(pieces)}
+        self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.words: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
+        words = WORDS.findall(text) if self.by_word and "▁" not in text else []
+        if len(words) < 2:
+            return self.model.encode(text, num_threads=1)
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        ids = self.model.encode(words[0], num_threads=1)
+        for word in words[1:]:
+            found = self.words.get(word)
+            if found is None:
+                found = self.model.encode(word[1:], num_threads=1)
+                if len(word) <= SHORT:
+                    self.words[word] = found
+            ids += found
+        return ids
 
 
 class Transducer:

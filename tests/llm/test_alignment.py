@@ -110,3 +110,13 @@ def test_long_texts_are_encoded_alike():
     assert len(text) > op12.LONG and both.a.encode(text) == both.a.ranks.encode_ordinary(text)
     n_a, n_b, groups, links = both.align((" " * 1_200_000 + "end").encode())
     assert n_a and n_b and len(groups) == len(links) and sum(len(g.split("|")[0].split(",")) for g in groups) == n_a
+
+
+def test_word_by_word_is_the_whole_text():
+    pieces = op12.PieceTokens(op12.PIECES)
+    r = random.Random(1)
+    texts = ["".join(r.choice("  abß▁.,\n\t中e") for _ in range(r.randrange(40))) for _ in range(3000)]
+    texts += [t for t in AWKWARD if t] + ["a  ", "  a", " a b ", "a b  c   ", " " * 5, "x" * 200 + " y"]
+    assert pieces.by_word
+    for t in texts:
+        assert pieces.encode(t) == pieces.model.encode(t), t
