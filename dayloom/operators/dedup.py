@@ -49,7 +49,7 @@ def existing_ids(df: DataFrame, key: str) -> DataFrame:
 
 def only_new(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Incoming rows whose key is not stored yet; repeats within the batch stay."""
-    return incoming.join(stored.select(key).distinct(), key, "left_anti")
+    return incoming.join(stored.select(key), key, "left_anti")
 
 
 def ingest_counts(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:

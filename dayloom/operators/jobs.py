@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dayloom.operators import dedup, listening, visits, watching, worklog
 from dayloom.operators.cursors import Cursor, run_all
-from dayloom.sources import files, sinks
-from dayloom.sources.catalog import Lake, conform
+from dayloom.sources import files, key_filters, sinks
+from dayloom.sources.catalog import DATASETS, Lake, conform
 from dayloom.sources.paged import by_window, in_batches, lookup
 
 Fetch = Callable[[list[str]], list[dict | None]]
@@ -47,20 +47,34 @@ def staged(rows: DataFrame, lake: Lake) -> Iterator[DataFrame]:
         files.delete(lake.spark, path)
 
 
-def _land(rows: DataFrame, lake: Lake, name: str, time: str, cursor: Cursor, last: str | None) -> int:
-    """Land staged rows whose instant is after ``last``; the cursor moves to the latest of them once all are written. Returns their number."""
+class Landed(int):
+    """How many rows were landed; ``unreadable`` of those fetched have a time that cannot be read and were left out."""
+
+    unreadable = 0
+
+    @classmethod
+    def of(cls, rows: int, unreadable: int) -> Landed:
+        made = cls(rows)
+        made.unreadable = unreadable
+        return made
+
+
+def _land(rows: DataFrame, lake: Lake, name: str, time: str, cursor: Cursor, last: str | None) -> Landed:
+    """Land staged rows whose instant is after ``last``; the cursor moves to the latest of them once all are written.
+
+    Rows without a readable instant belong to no month and are left out, on the first run as on later ones, and counted.
+    """
     at = F.try_to_timestamp(F.col(time).cast("string"))
     with staged(rows, lake) as held:
-        fresh = held if last is None else held.where(at > F.to_timestamp(F.lit(last)))
-        found = fresh.agg(F.max_by(F.col(time).cast("string"), at).alias("m"), F.count(F.lit(1)).alias("n")).first()
+        after = at.isNotNull() if last is None else at > F.to_timestamp(F.lit(last))
+        found = held.agg(F.max_by(F.col(time).cast("string"), at).alias("m"), F.count_if(after).alias("n"), F.count_if(at.isNull()).alias("unreadable")).first()
         if found["n"]:
-            sinks.append_events(fresh, lake, name)
-            if found["m"] is not None:
-                cursor.advance(found["m"])
-    return found["n"]
+            sinks.append_events(held.where(after), lake, name)
+            cursor.advance(found["m"])
+    return Landed.of(found["n"], found["unreadable"])
 
 
-def ingest_plays(items: DataFrame, lake: Lake, cursor: Cursor) -> int:
+def ingest_plays(items: DataFrame, lake: Lake, cursor: Cursor) -> Landed:
     """Land plays after the cursor, by instant; the cursor moves only once all are written. Returns the number of new plays."""
     return _land(listening.plays(items), lake, "spotify/plays", "played_at_utc", cursor, cursor.read())
 
@@ -91,14 +105,28 @@ def push_visits(fetch: Callable[[str | None, str, int], list[dict]], send: Calla
     return sent
 
 
+def land_new(rows: DataFrame, lake: Lake, name: str) -> dict[str, int]:
+    """Land the rows whose key is not stored yet; how many were fetched, landed, known already, and left out since their time cannot be read.
+
+    The source is evaluated once, into a staging folder, and counted on the way; of what is stored only files are read that can hold one of the keys.
+    Counts of what is landed come from the write itself.
+    """
+    dataset = DATASETS[name]
+    fetched, landed = Observation(), Observation()
+    with staged(rows.observe(fetched, F.count(F.lit(1)).alias("n")), lake) as held:
+        fresh = key_filters.only_new(lake, name, held)
+        readable = F.try_to_timestamp(F.col(dataset.time).cast("string")).isNotNull()
+        fresh = fresh.observe(landed, F.count_if(readable).alias("n"), F.count_if(~readable).alias("unreadable"))
+        sinks.append_events(fresh, lake, name)
+        total, new, unreadable = fetched.get["n"], landed.get["n"], landed.get["unreadable"]
+    key_filters.index(lake, name)
+    return {"fetched": total, "new": new, "duplicates": total - new - unreadable, "unreadable": unreadable}
+
+
 def ingest_worklog(pulls: DataFrame, commits: DataFrame, repos: DataFrame, lake: Lake, login: str, now: Column) -> dict[str, dict[str, int]]:
-    """Land pull requests and commits that are not stored yet and merge the repositories; counts for each dataset."""
-    counts = {}
-    parts = {"github/pull_requests": (worklog.pull_requests(pulls, login, now), "pr_event_id"), "github/commits": (worklog.commits(commits, now), "commit_event_id")}
-    for name, (rows, key) in parts.items():
-        stored = lake.scan(name, layer="raw")
-        counts[name] = dedup.ingest_counts(rows, stored, key).first().asDict()
-        sinks.append_events(dedup.only_new(rows, stored, key), lake, name)
+    """Land pull requests and commits that are not stored yet and merge the repositories; counts for each dataset, unreadable times among them if there are any."""
+    parts = {"github/pull_requests": worklog.pull_requests(pulls, login, now), "github/commits": worklog.commits(commits, now)}
+    counts = {name: {k: n for k, n in land_new(rows, lake, name).items() if n or k != "unreadable"} for name, rows in parts.items()}
     sinks.upsert_master(conform(worklog.repositories(repos, login, now), lake.scan("github/repositories").schema), lake, "github/repositories")
     return counts
 
@@ -121,7 +149,7 @@ def enrich_watch_events(lake: Lake, videos: DataFrame, channels: DataFrame) -> D
     return watching.enrich(events, lake.scan("youtube/videos"))
 
 
-def ingest_watch_history(items: DataFrame, account: str, lake: Lake, cursor: Cursor, not_before: str | None = None) -> int:
+def ingest_watch_history(items: DataFrame, account: str, lake: Lake, cursor: Cursor, not_before: str | None = None) -> Landed:
     """Land an account's watch history after its cursor (and not before a given time); the cursor moves last. Returns the number of rows."""
     rows = watching.watch_history(items, account)
     if not_before is not None:

@@ -12,7 +12,7 @@ from dayloom.functions.urls import quoted
 from dayloom.operators import cursors, jobs, listening, watching, worklog
 from dayloom.plans import music
 from dayloom.plans.tools import build_registry
-from dayloom.sources import files, sinks
+from dayloom.sources import files, key_filters, sinks
 from dayloom.sources.catalog import Lake
 from dayloom.sources.scratch import shared_dir
 from dayloom.sources.tables import table
@@ -286,7 +286,7 @@ def exported_rows(spark: SparkSession, folder: str) -> DataFrame:
 def worklog_ingested(spark: SparkSession, folder: str) -> DataFrame:
     """Commits landed in two goes: how many were fetched, new and known the second time."""
     lake = _lake(spark)
-    x = table(spark, folder, "lineitem").where("l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01'")
+    x = table(spark, folder, "lineitem")
     sha = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey")
     items = x.select(F.lit("me/r").alias("repo_full_name"), sha.alias("sha"), F.struct(F.lit("m").alias("message"), F.struct(_day("l_shipdate").alias("date")).alias("author")).alias("commit"), F.struct(F.lit(1).cast("long").alias("additions"), F.lit(2).cast("long").alias("deletions")).alias("stats"), F.lit(None).cast("array<struct<filename:string>>").alias("files"))
     pulls, repos = spark.createDataFrame([], worklog.PULL_ITEM), spark.createDataFrame([], worklog.REPO.removeprefix("struct<").removesuffix(">"))
@@ -297,6 +297,19 @@ def worklog_ingested(spark: SparkSession, folder: str) -> DataFrame:
     return landed.select(*[F.lit(counts[c]).cast("long").alias(c) for c in ("fetched", "new", "duplicates")], "landed")
 
 
+def only_new_by_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line as a commit: half are stored in two goes, the second not indexed, and the rest is found to be new."""
+    lake = _lake(spark)
+    x = table(spark, folder, "lineitem")
+    rows = x.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("commit_event_id"), _day("l_shipdate").alias("committed_at_utc"), "l_orderkey")
+    for part in (0, 1):
+        sinks.append_events(rows.where(F.col("l_orderkey") % 4 == part).drop("l_orderkey"), lake, "github/commits")
+        if not part:
+            key_filters.index(lake, "github/commits")
+    found = key_filters.only_new(lake, "github/commits", rows)
+    return found.groupBy((F.col("l_orderkey") % 4).alias("part")).agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("l_orderkey").alias("orders"))
+
+
 def time_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of times in several forms as instants, and headings of days."""
     o = table(spark, folder, "orders")
@@ -374,7 +387,8 @@ SQL = {
     history_ingested: "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS videos, CAST(max(o_orderdate) AS VARCHAR) AS cursor FROM orders WHERE o_orderdate > TIMESTAMP '1996-02-01' AND o_orderdate < TIMESTAMP '1997-01-01'",
     exported_rows: """WITH v AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS id FROM part)
         SELECT id AS video_id, p_name AS video_title, 'UC' || p_size AS channel_id, p_brand AS channel_name, CASE WHEN p_size % 2 = 0 THEN 'video' ELSE 'short' END AS content_type, 'https://www.youtube.com/watch?v=' || id AS video_url, '2024-05-05 22:08:09' AS watched_at FROM v""",
-    worklog_ingested: "SELECT count(*) AS fetched, count(*) FILTER (WHERE l_linenumber <> 1) AS new, count(*) FILTER (WHERE l_linenumber = 1) AS duplicates, count(DISTINCT concat_ws(':', l_orderkey, l_linenumber, l_partkey)) AS landed FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01'",
+    worklog_ingested: "SELECT count(*) AS fetched, count(*) FILTER (WHERE l_linenumber <> 1) AS new, count(*) FILTER (WHERE l_linenumber = 1) AS duplicates, count(DISTINCT concat_ws(':', l_orderkey, l_linenumber, l_partkey)) AS landed FROM lineitem",
+    only_new_by_filters: "SELECT l_orderkey % 4 AS part, count(*) AS lines, count(DISTINCT l_orderkey) AS orders FROM lineitem WHERE l_orderkey % 4 > 1 GROUP BY 1",
     time_texts: """SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS iso, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS VARCHAR) WHEN 1 THEN CAST(date_trunc('minute', o_orderdate) AS VARCHAR) END AS several, CAST(o_orderdate - INTERVAL 9 HOURS AS VARCHAR) AS exported,
         CASE o_orderkey % 3 WHEN 0 THEN '2024-03-01' WHEN 1 THEN '2024-02-29' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders""",
     quoted_names: "SELECT p_partkey, url_encode(concat_ws('/', p_name, p_type, 'é')) AS quoted FROM part",

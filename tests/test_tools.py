@@ -70,6 +70,30 @@ def test_commands_do_not_hide_in_a_subselect(spark, inner):
         adhoc.data_query(spark, f"SELECT * FROM ({inner})")
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT count(*) FROM text.`/etc/passwd`",
+        "SELECT (SELECT max(value) FROM text.`/etc/passwd`)",
+        "SELECT * FROM (WITH t AS (SELECT * FROM text.`/etc/passwd`) SELECT * FROM t)",
+        "SELECT * FROM guarded g WHERE EXISTS (SELECT 1 FROM text.`/etc/passwd` p WHERE p.value = g.id)",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT id FROM guarded WHERE java_method('java.lang.System', 'getProperty', 'user.home') = 'x'",
+        "SELECT * FROM (WITH t AS (SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') AS x) SELECT * FROM t)",
+    ],
+)
+def test_files_and_foreign_code_are_refused(spark, sql):
+    spark.range(3).createOrReplaceTempView("guarded")
+    with pytest.raises(ValueError, match="only SELECT"):
+        adhoc.data_query(spark, sql)
+
+
+@pytest.mark.parametrize("sql", ["SELECT * FROM guarded", "SELECT a.id FROM guarded a JOIN guarded b USING (id)", "SELECT (SELECT max(id) FROM guarded) FROM range(3)", "SELECT * FROM guarded WHERE id IN (SELECT id FROM guarded)"])
+def test_views_are_read_wherever_they_stand(spark, sql):
+    spark.range(3).createOrReplaceTempView("guarded")
+    assert len(adhoc.rows(adhoc.data_query(spark, sql))) == 3
+
+
 def test_nodes_of_commands_are_found(spark):
     plan = spark.sql("SHOW TABLES")._jdf.queryExecution().analyzed()
     kind = spark._jvm.java.lang.Class.forName(adhoc.COMMANDS[0])
