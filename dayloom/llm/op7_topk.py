@@ -1,12 +1,13 @@
 """Exact top-k by inner product without random access.
 
 Vectors of integers are dealt to blocks; each block keeps one list per dimension, sorted by component. A query reads the lists
-side by side, best contributions first, in stretches: geometrically longer ones up to the middle, geometrically shorter ones from there, each
-adding only the entries that are new. What has been read gives each vector a lower and an upper bound of its score, since unread components are worth at
-least the list's last contribution and at most its next one. Vectors whose upper bound falls under the floor, the k-th best score known so far,
-are out; reading stops when no more than a few are left, and these are scored in full, ties going to the smaller id.
+side by side, best contributions first, in stretches: geometrically longer ones up to the middle, geometrically shorter ones from there. A stretch's entries
+are gathered from the lists and added to the sums of the vectors they name. What has been read gives each vector a lower and an upper bound of its score, since
+unread components are worth at least the list's last contribution and at most its next one. Vectors whose upper bound falls under the floor, the k-th best lower
+bound known so far, are out, and once those left are fewer than a stretch is long only their entries are read; reading stops when no more than a few are left, and
+these are scored in full, ties going to the smaller id.
 
-The floor is handed on: a first pass over one block of vectors gives each query a k-th best score to begin all blocks with. Blocks' winners meet by
+One floor is handed on: a first pass over one block of vectors gives each query a k-th best score to begin all blocks with. Blocks' winners meet by
 query, and the best k of those stay. How many entries were read comes out with the result.
 
 Blocks are formed by hash and pairs (query block, vector block) are worked on in one task each, so a task holds
@@ -28,7 +29,6 @@ from dayloom.llm.common import materialize, ship, table
 TOP = 10
 SCALE = 1024.0
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
-CHUNK = 128  # queries that read a block side by side
 FINEST = 4  # the first stretch of a list is 2^-FINEST of it, as is the last
 FEW = 4  # times k vectors that are scored rather than read on for
 EXACT = float(1 << 53)  # sums of integers below this are exact in doubles
@@ -63,64 +63,75 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class SortedLists:
-    """One block of vectors as a sorted list of each dimension. ``times`` says how many equal rows a vector stands for."""
+    """One block of vectors as a sorted list of each dimension, to be read from either end. ``times`` says how many equal rows a vector stands for."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, times: np.ndarray | None = None) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
         self.times = np.ones(len(ids), np.int64) if times is None else times[order]
         rising = np.argsort(self.vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.vectors, rising, axis=0)  # the lists, a column for each dimension
-        self.place = np.empty_like(rising)  # of each vector in each list
+        values = np.take_along_axis(self.vectors, rising, axis=0)
+        # a list for each dimension from its end, then one for each from its start: which vector comes at each depth, and its component
+        self.order = np.ascontiguousarray(np.concatenate([rising[::-1], rising], axis=1).T)
+        self.values = np.ascontiguousarray(np.concatenate([values[::-1], values], axis=1).T)
+        self.place = np.empty_like(rising)  # of each vector in each list, from the start
         np.put_along_axis(self.place, rising, np.arange(len(ids))[:, None], axis=0)
 
-    def between(self, done: int, depth: int) -> np.ndarray:
-        """Which entries are read on the way from ``done`` to ``depth``: (vectors, from lists' ends | from lists' starts)."""
-        n = len(self.ids)
-        return np.concatenate([(self.place >= n - depth) & (self.place < n - done), (self.place < depth) & (self.place >= done)], axis=1)
+    def _depths_of(self, rows: np.ndarray, dims: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """How deep each row lies in each list, counted from the end that is read."""
+        place = self.place[np.ix_(rows, dims)]
+        return np.where(up, len(self.ids) - 1 - place, place)
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """(ids, scores, entries read) for each query: the rows among the best k that can reach its floor; one row equal to it in id and vector is left out.
+    def read(self, query: np.ndarray, times: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, int]:
+        """(rows that can be among the best k and reach the floor, entries read).
 
-        Lists are read from their end where the query's component is positive, so that large contributions come
-        first, and from their start where it is negative. The queries of a call read side by side, each until it is decided.
+        Lists are read side by side, from their end where the query's component is positive and from their start where it is negative, so that large
+        contributions come first. Each stretch adds the contributions of its own entries alone; once fewer rows are left than the stretch is long, only
+        their entries. ``low`` is what the entries read add above each list's least, so that low + the sum of leasts is a lower bound of the score.
         """
-        n = len(self.ids)
-        queries = queries.astype(np.float64)
-        floor = np.full(len(queries), -np.inf) if floors is None else floors.copy()
-        times = np.repeat(self.times[:, None], len(queries), axis=1)
-        for q in np.flatnonzero(np.isin(own, self.ids)):
-            mine = np.flatnonzero((self.ids == own[q]) & (self.vectors == queries[q]).all(axis=1))
-            times[mine[:1], q] -= 1
-        slack = 1e-12 * (np.abs(queries) @ np.abs(self.vectors).max(axis=0))  # of sums in doubles
-        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).T  # what a list's end, and its start, is multiplied with
-        both = np.concatenate([self.vectors, self.vectors], axis=1)
-        known = np.zeros((n, len(queries)))
-        alive = times > 0
-        read, done = np.zeros(len(queries), np.int64), 0
-        for depth in depths(n):
-            open_ = np.flatnonzero((alive.sum(axis=0) > FEW * k) & (queries != 0).any(axis=1))
-            if not len(open_):
+        n, dims = len(self.ids), np.flatnonzero(query)
+        weight, up = query[dims], query[dims] > 0
+        lists = np.where(up, dims, dims + len(query))
+        least = self.values[lists, -1] * weight if n else weight
+        slack = 1e-12 * float(np.abs(query) @ np.abs(self.vectors).max(axis=0)) if n else 0.0  # of sums in doubles
+        low, rows, seen, done = np.zeros(n), np.flatnonzero(times > 0), 0, 0
+        for depth in depths(n) if len(dims) else []:
+            if times[rows].sum() <= FEW * k:
                 break
-            known[:, open_] += (both * self.between(done, depth)) @ signed[:, open_]
-            read[open_] += (depth - done) * (queries[open_] != 0).sum(axis=1)
+            if len(rows) > depth - done:
+                who = self.order[lists, done:depth]
+                low += np.bincount(who.ravel(), (self.values[lists, done:depth] * weight[:, None] - least[:, None]).ravel(), n)
+                seen += who.size
+            else:
+                at = self._depths_of(rows, dims, up)
+                row, column = np.nonzero((at >= done) & (at < depth))
+                worth = self.vectors[rows[row], dims[column]] * weight[column] - least[column]
+                low[rows] += np.bincount(row, worth, len(rows))
+                seen += len(row)
             done = depth
-            unread = self.between(depth, n).astype(np.float64)
-            following = np.concatenate([self.values[n - depth - 1], self.values[depth]]) if depth < n else np.zeros(len(signed))
-            upper = known[:, open_] + unread @ (following[:, None] * signed[:, open_])
-            blind = open_[np.isinf(floor[open_]) | (depth == n)]  # no floor was handed on: the k-th best lower bound is one
-            if len(blind):
-                least = np.concatenate([self.values[0], self.values[-1]])
-                lower = known[:, blind] + unread @ (least[:, None] * signed[:, blind])
-                for c, q in enumerate(blind):
-                    best = np.argsort(-np.where(times[:, q] > 0, lower[:, c], -np.inf), kind="stable")[:k]
-                    reached = np.cumsum(times[best, q])
-                    if reached[-1] >= k:
-                        bound = lower[best[np.searchsorted(reached, k)], c] - slack[q]
-                        floor[q] = bound if depth < n else max(floor[q], bound)
-            alive[:, open_] &= upper >= (floor - slack)[open_]
-            floor[blind] = np.where(depth < n, -np.inf, floor[blind])  # and grows with the next stretch
-        return [(*self.resolve(np.flatnonzero(alive[:, q]), queries[q], times[:, q], k), int(read[q])) for q in range(len(queries))]
+            following = self.values[lists, depth] * weight if depth < n else least
+            if len(rows) > depth:  # what a list could still give is not to come for those that were read in it
+                met = np.bincount(self.order[lists, :depth].ravel(), np.repeat(following - least, depth), n)[rows]
+            else:
+                met = (self._depths_of(rows, dims, up) < depth) @ (following - least)
+            lower = low[rows] + least.sum()
+            if len(rows) >= k:
+                best = np.argpartition(-lower, k - 1)[:k]
+                best = best[np.argsort(-lower[best], kind="stable")]
+                floor = max(floor, lower[best[np.searchsorted(np.cumsum(times[rows[best]]), k)]] - slack)
+            rows = rows[low[rows] + following.sum() - met >= floor - slack]
+        return rows, seen
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(ids, scores, entries read) for each query: the rows among the best k that can reach its floor; one row equal to it in id and vector is left out."""
+        found = []
+        for q, query in enumerate(queries.astype(np.float64)):
+            times = self.times.copy()
+            mine = np.flatnonzero(self.ids == own[q])
+            times[mine[(self.vectors[mine] == query).all(axis=1)][:1]] -= 1
+            rows, seen = self.read(query, times, k, -np.inf if floors is None else floors[q])
+            found.append((*self.resolve(rows, query, times, k), seen))
+        return found
 
     def resolve(self, rows: np.ndarray, query: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k of the rows that are left."""
@@ -132,11 +143,9 @@ class SortedLists:
 
 def search_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     lists = SortedLists(vectors["id"].to_numpy(np.int64), np.stack(vectors["v"].to_numpy()), vectors["times"].to_numpy(np.int64))
-    for at in range(0, len(queries), CHUNK):
-        part = queries.iloc[at : at + CHUNK]
-        found = lists.search(np.stack(part["query"].to_numpy()), part["own"].to_numpy(np.int64), k, part["floor"].to_numpy(np.float64))
-        for own, mark, answer in zip(part["own"], part["mark"], found, strict=True):
-            yield own, mark, *answer
+    found = lists.search(np.stack(queries["query"].to_numpy()), queries["own"].to_numpy(np.int64), k, queries["floor"].to_numpy(np.float64))
+    for own, mark, answer in zip(queries["own"], queries["mark"], found, strict=True):
+        yield own, mark, *answer
 
 
 def _met(left: DataFrame, right: DataFrame, k: int) -> DataFrame:

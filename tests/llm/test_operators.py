@@ -615,6 +615,19 @@ def test_reading_stops_early_where_components_decay_and_goes_on_where_they_do_no
     assert read["decaying"] <= 0.3 * n * d and read["alike"] > 0.6 * n * d
 
 
+def test_entries_read_are_the_work_done(monkeypatch):
+    r = np.random.default_rng(5)
+    n, d, k = 4096, 32, 10
+    scale = 1000 * 0.4 ** np.arange(d)
+    v, q = np.floor(r.normal(0, 1, (n, d)) * scale), np.floor(np.full(d, 2.0) * scale)
+    lists, added = op7_topk.SortedLists(np.arange(n), v), []
+    plain = np.bincount
+    monkeypatch.setattr(op7_topk.np, "bincount", lambda x, w=None, m=0: added.append(len(x)) or plain(x, w, m))
+    ((got, scores, seen),) = lists.search(np.array([q]), np.array([-1]), k)
+    assert [(-int(s), int(i)) for s, i in zip(scores, got)] == sorted((-int(x @ q), i) for i, x in enumerate(v))[:k]
+    assert seen <= 0.1 * n * d and seen <= sum(added) <= 0.25 * n * d  # entries added to scores, and to bounds besides
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------
 
 
