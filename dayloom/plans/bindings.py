@@ -15,7 +15,7 @@ from dayloom.functions import urls, values
 from dayloom.functions.ids import sha_key, uuid5
 from dayloom.functions.times import iso_duration, period, unix_ms
 from dayloom.operators import cursors, dedup, visits, watching, worklog
-from dayloom.plans import adhoc, code, lake_bindings, music, video, web
+from dayloom.plans import adhoc, code, lake_bindings, music, tool_bindings, video, web
 from dayloom.sources import sinks
 from dayloom.sources.catalog import Lake, empty
 from dayloom.sources.scratch import shared_dir
@@ -119,19 +119,25 @@ WATCH_SQL = """
 """
 
 
-def watched(spark: SparkSession, folder: str, masters: bool = True) -> DataFrame:
-    """lineitem as watch events, part as videos, half of supplier as channels; or no masters."""
+def watch_frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """lineitem as watch events, part as videos, half of supplier as channels."""
     x, s = table(spark, folder, "lineitem"), lambda c: F.col(c).cast("string")
     events = x.select(
         F.concat_ws(":", s("l_orderkey"), s("l_linenumber"), s("l_partkey"), s("l_suppkey")).alias("watch_event_id"), F.col("l_shipdate").alias("watched_at_utc"), s("l_partkey").alias("video_id"),
         F.concat(F.lit("u"), s("l_partkey")).alias("video_url"), F.col("l_returnflag").alias("video_title"), s("l_suppkey").alias("channel_id"), F.col("l_linestatus").alias("channel_name"),
         F.when(F.col("l_linenumber") == 1, "short").otherwise("video").alias("content_type"),
     )
-    if masters:
-        p = table(spark, folder, "part")
-        v = p.select(s("p_partkey").alias("video_id"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 25, (F.col("p_size") * 4).cast("string")).alias("channel_id"), F.when(F.col("p_size") > 40, F.col("p_brand")).alias("channel_name"))
-        c = table(spark, folder, "supplier").where("s_suppkey % 2 = 0").select(s("s_suppkey").alias("channel_id"), F.col("s_name").alias("channel_name"))
-    else:
+    p = table(spark, folder, "part")
+    own_channel, own_name = F.when(F.col("p_size") > 25, (F.col("p_size") * 4).cast("string")), F.when(F.col("p_size") > 40, F.col("p_brand"))
+    v = p.select(s("p_partkey").alias("video_id"), F.col("p_name").alias("title"), own_channel.alias("channel_id"), own_name.alias("channel_name"))
+    c = table(spark, folder, "supplier").where("s_suppkey % 2 = 0").select(s("s_suppkey").alias("channel_id"), F.col("s_name").alias("channel_name"))
+    return events, v, c
+
+
+def watched(spark: SparkSession, folder: str, masters: bool = True) -> DataFrame:
+    """Watch events with their masters, or where there are none."""
+    events, v, c = watch_frames(spark, folder)
+    if not masters:
         v, c = empty(spark, VIDEOS), empty(spark, CHANNELS)
     return video.enriched(events, v, c, "1996-01-01", "1996-12-31")
 
@@ -268,10 +274,16 @@ def commits(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT c_custkey AS repo_id, c_mktsegment AS owner, c_name AS repo, TIMESTAMP '2024-01-01' + to_seconds(c_custkey * 7919 % 86400) AS updated_at_utc FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY updated_at_utc DESC, c_custkey LIMIT 100""",
 )
 def repositories(spark: SparkSession, folder: str) -> DataFrame:
+    return code.repositories(repository_frame(spark, folder), owner="BUILDING", limit=100).select("repo_id", "owner", "repo", "updated_at_utc")
+
+
+def repository_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """customer as repositories."""
     c = table(spark, folder, "customer")
     null = lambda kind: F.lit(None).cast(kind)
-    rows = c.select(F.col("c_custkey").alias("repo_id"), F.col("c_mktsegment").alias("owner"), F.col("c_name").alias("repo"), F.timestamp_add("SECOND", F.col("c_custkey") * 7919 % 86400, F.lit("2024-01-01").cast("timestamp_ntz")).alias("updated_at_utc"), *[null("string").alias(x) for x in code.REPOSITORY_COLUMNS if x not in ("repo_id", "owner", "repo", "updated_at_utc")])
-    return code.repositories(rows, owner="BUILDING", limit=100).select("repo_id", "owner", "repo", "updated_at_utc")
+    at = F.timestamp_add("SECOND", F.col("c_custkey") * 7919 % 86400, F.lit("2024-01-01").cast("timestamp_ntz"))
+    known = {"repo_id": F.col("c_custkey"), "owner": F.col("c_mktsegment"), "repo": F.col("c_name"), "updated_at_utc": at}
+    return c.select(*[known.get(x, null("string")).alias(x) for x in code.REPOSITORY_COLUMNS])
 
 
 def _united_sql(keys: str, group: str) -> str:
@@ -626,5 +638,59 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- the lake --------------------------------------------------------------------------------------------------
 
-for _bound, _sql in lake_bindings.SQL.items():
+for _bound, _sql in {**lake_bindings.SQL, **tool_bindings.SQL}.items():
     query(_bound.__name__, _sql)(_bound)
+
+
+# ---- the tools -------------------------------------------------------------------------------------------------
+
+
+def _urls(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("page_view_id"), "url", F.lit(START).cast("timestamp_ntz").alias("started_at_utc"))
+
+
+def _summed_commits(spark: SparkSession, folder: str) -> DataFrame:
+    return commit_rows(spark, folder).withColumn("owner", F.when(F.col("owner") == "A", "1-URGENT").otherwise(F.col("owner")))
+
+
+def _watch(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return dict(zip(("youtube/watch_events", "youtube/videos", "youtube/channels"), watch_frames(spark, folder), strict=True))
+
+
+def _code(spark: SparkSession, folder: str, commits_of: Query = commit_rows) -> dict[str, DataFrame]:
+    return {"github/pull_requests": pulls(spark, folder), "github/commits": commits_of(spark, folder)}
+
+
+_days = {"start_date": START, "end_date": END}
+_order_days = {"start_date": ORDER_START, "end_date": ORDER_END}
+_year = {"start_date": "1996-01-01", "end_date": "1996-12-31"}
+_plain = tool_bindings.plain
+_case = tool_bindings.ToolCase
+TOOLS = {
+    "tool_page_views": _case("get_page_views", lambda s, f: {"browser_history/page_views": page_views(s, f)}, "page_views_filtered", {**_days, "browser": "click", "profile": "1"}, lambda: {"started_at_utc": _plain("started_at_utc")}),
+    "tool_top_domains": _case("get_top_domains", lambda s, f: {"browser_history/page_views": _urls(s, f)}, "top_domains", _days),
+    "tool_pull_requests": _case(
+        "get_pull_requests", lambda s, f: {"github/pull_requests": pulls(s, f)}, "pull_requests", {**_order_days, "owner": "1-URGENT", "repo": "3", "state": "O"},
+        lambda: {"updated_at_utc": _plain("updated_at_utc"), "labels": F.array_join("labels", ",")},
+    ),
+    "tool_commits": _case("get_commits", lambda s, f: {"github/commits": commit_rows(s, f)}, "commits", {**_order_days, "owner": "R"}, lambda: {"committed_at_utc": _plain("committed_at_utc")}),
+    "tool_repositories": _case("get_repositories", lambda s, f: {"github/repositories": repository_frame(s, f).select("repo_id", "owner", "repo", "updated_at_utc")}, "repositories", {"owner": "BUILDING", "limit": 100}, lambda: {"updated_at_utc": _plain("updated_at_utc")}),
+    "tool_activity_stats": _case("get_activity_stats", _code, "activity_stats_month", {**_order_days, "granularity": "month"}),
+    "tool_repo_summary_stats": _case(
+        "get_repo_summary_stats", lambda s, f: _code(s, f, _summed_commits), "repo_summary", _order_days, lambda: {c: _plain(c) for c in ("last_pr_updated_at", "last_commit_at")},
+    ),
+    "tool_watch_events": _case("get_youtube_watch_events", _watch, "watch_events_limited", {**_year, "limit": 25}, lambda: {"watched_at_utc": _plain("watched_at_utc")}),
+    "tool_watching_stats": _case("get_youtube_watching_stats", _watch, "watching_stats_week", {**_year, "granularity": "week"}),
+    "tool_top_videos": _case("get_youtube_top_videos", _watch, "top_videos", _year),
+    "tool_top_channels": _case("get_youtube_top_channels", _watch, "top_channels", _year),
+}
+
+
+def _bind_tool(name: str, case: tool_bindings.ToolCase) -> None:
+    @query(name, ORACLE_SQL[case.like])
+    def tool(spark: SparkSession, folder: str) -> DataFrame:
+        return tool_bindings.run(case, spark, folder, QUERIES[case.like](spark, folder).columns)
+
+
+for _name, _tool in TOOLS.items():
+    _bind_tool(_name, _tool)

@@ -94,7 +94,13 @@ class Lake:
         return next(([(f, [f])] for f in folders if files.matches(self.spark, f"{f}/*")), [])
 
     def read(self, name: str, layer: str) -> DataFrame | None:
-        """All files of a dataset with their partition columns, missing columns null; None if there are none."""
+        """All files of a dataset with their partition columns, missing columns null; None if there are none.
+
+        Snapshots are published in one place, so a layer that has none of a master gives those of the other.
+        """
+        dataset = DATASETS[name]
+        if layer != "compacted" and not (dataset.time or dataset.filed_by) and not self._parts(name, layer):
+            layer = "compacted"
         frames = [x for x in (self._load(name, folder, paths) for folder, paths in self._parts(name, layer)) if x is not None]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
