@@ -384,10 +384,16 @@ def popular_parts(spark: SparkSession, folder: str) -> DataFrame:
     return top.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("total")))).select("total", "p_partkey", "p_name", "p_size")  # one row
 
 
-@query("describe_columns", "SELECT column_name, row_number() OVER () AS place FROM (DESCRIBE SELECT * FROM events)")
+_EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@query("describe_columns", " UNION ALL ".join(f"SELECT '{c}' AS column_name, {n} AS place, count({c}) AS filled, count(DISTINCT {c}) AS different FROM events" for n, c in enumerate(_EVENT_COLUMNS, 1)))
 def describe_columns(spark: SparkSession, folder: str) -> DataFrame:
-    fields = table(spark, folder, "events").schema.fieldNames()
-    return spark.createDataFrame(list(zip(fields, range(1, len(fields) + 1))), "column_name string, place long")
+    """Every column by name and place, with how many values it holds and how many of them differ."""
+    rows = table(spark, folder, "events")
+    each = [F.struct(F.lit(c).alias("column_name"), F.lit(n).alias("place"), F.col(c).cast("string").alias("value")) for n, c in enumerate(rows.columns, 1)]
+    counted = rows.select(F.inline(F.array(*each))).groupBy("column_name", "place", "value").agg(F.count("value").alias("n"))
+    return counted.groupBy("column_name", "place").agg(F.sum("n").alias("filled"), F.count("value").alias("different"))
 
 
 @query("value_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, CAST(min(ts) AS VARCHAR) AS first, CAST(max(ts) AS VARCHAR) AS last, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM events")

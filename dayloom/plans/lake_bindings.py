@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,11 @@ from dayloom.operators import cursors, jobs, listening, watching, worklog
 from dayloom.plans import music
 from dayloom.plans.tools import build_registry
 from dayloom.sources import files, key_filters, sinks
-from dayloom.sources.catalog import Lake
+from dayloom.sources.catalog import DATASETS, Lake
 from dayloom.sources.scratch import shared_dir
 from dayloom.sources.tables import table
 
 YEAR = "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'"
-LATE = "o_orderdate >= TIMESTAMP '1996-11-01' AND o_orderdate < TIMESTAMP '1997-03-01'"
 
 
 def _plays(spark: SparkSession, folder: str, where: str = YEAR) -> DataFrame:
@@ -31,6 +31,12 @@ def _plays(spark: SparkSession, folder: str, where: str = YEAR) -> DataFrame:
     )
 
 
+def _plays_of_one_year(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders as plays, moved to one year, so that the whole table lands in twelve months."""
+    rows = _plays(spark, folder, "true")
+    return rows.withColumn("played_at_utc", F.timestamp_add("MONTH", (1996 - F.year("played_at_utc")) * 12, F.col("played_at_utc")))
+
+
 def _lake(spark: SparkSession) -> Lake:
     return Lake(spark, shared_dir(spark))
 
@@ -44,7 +50,7 @@ def scan_with_missing_months(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_of_mixed_schemas(spark: SparkSession, folder: str) -> DataFrame:
     """A third of the rows without a column, a third with it as doubles."""
-    lake, rows = _lake(spark), _plays(spark, folder)
+    lake, rows = _lake(spark), _plays_of_one_year(spark, folder)
     part = F.col("play_id").cast("long") % 3
     sinks.append_events(rows.where(part == 0).drop("ms_played"), lake, "spotify/plays")
     sinks.append_events(rows.where(part == 1).withColumn("ms_played", F.col("ms_played").cast("double")), lake, "spotify/plays")
@@ -55,7 +61,7 @@ def scan_of_mixed_schemas(spark: SparkSession, folder: str) -> DataFrame:
 def scan_of_a_mirror(spark: SparkSession, folder: str) -> DataFrame:
     """The mirror has two months, with other names, and the rest comes from the root."""
     far, near = _lake(spark), _lake(spark)
-    rows = _plays(spark, folder)
+    rows = _plays_of_one_year(spark, folder)
     sinks.append_events(rows, far, "spotify/plays")
     sinks.append_events(rows.where("month(played_at_utc) <= 2").withColumn("track_name", F.lit("mirror")), near, "spotify/plays")
     for lake in (far, near):
@@ -72,7 +78,7 @@ def months_listed(spark: SparkSession, folder: str) -> DataFrame:
 
 def data_available(spark: SparkSession, folder: str) -> DataFrame:
     lake = _lake(spark)
-    sinks.append_events(_plays(spark, folder), lake, "spotify/plays")
+    sinks.append_events(_plays_of_one_year(spark, folder), lake, "spotify/plays")
     return spark.createDataFrame([(n, lake.available(n, "raw")) for n in ("spotify/plays", "github/commits")], "dataset string, available boolean")
 
 
@@ -82,7 +88,7 @@ def recompacted_months(spark: SparkSession, folder: str) -> DataFrame:
 
     lake = _lake(spark)
     for _ in range(2):
-        sinks.append_events(_plays(spark, folder, LATE), lake, "spotify/plays")
+        sinks.append_events(_plays(spark, folder, "true"), lake, "spotify/plays")
     jobs.compact_all(lake, ["spotify/plays"], cursors.target_months(today=date(1997, 1, 15)))
     found = lake.scan("spotify/plays")
     return found.groupBy(F.year("played_at_utc").alias("year"), F.month("played_at_utc").alias("month")).agg(F.count(F.lit(1)).alias("plays"))
@@ -111,9 +117,21 @@ def master_upserts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def views_of_the_lake(spark: SparkSession, folder: str) -> DataFrame:
-    """Every dataset's view counted; those that nothing was landed in are empty."""
+    """Every dataset's view counted, each with rows of another table landed in it."""
     lake = _lake(spark)
-    sinks.append_events(_plays(spark, folder), lake, "spotify/plays")
+    key = lambda c: F.col(c).cast("string")
+    day = lambda c: F.timestamp_add("DAY", F.pmod(c, F.lit(60)).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    load = lambda name, c, dataset, time: sinks.append_events(table(spark, folder, name).select(key(c).alias(DATASETS[dataset].key or "watch_id"), day(F.col(c)).alias(time)), lake, dataset)
+    load("orders", "o_orderkey", "spotify/plays", "played_at_utc")
+    load("part", "p_partkey", "spotify/tracks", "updated_at")
+    load("supplier", "s_suppkey", "spotify/artists", "updated_at")
+    load("customer", "c_custkey", "github/pull_requests", "updated_at_utc")
+    load("lineitem", "l_orderkey", "github/commits", "committed_at_utc")
+    load("pages", "page_id", "browser_history/page_views", "started_at_utc")
+    load("events", "event_id", "youtube/watch_events", "watched_at_utc")
+    load("documents", "doc_id", "youtube/watch_history", "watched_at_utc")
+    for name, c, dataset in (("nation", "n_nationkey", "youtube/videos"), ("region", "r_regionkey", "youtube/channels"), ("supplier", "s_suppkey", "github/repositories")):
+        sinks.upsert_master(table(spark, folder, name).select(key(c).alias(DATASETS[dataset].key)), lake, dataset)
     names = lake.register_views("raw")
     return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS n FROM {n}" for n in names))
 
@@ -264,7 +282,7 @@ def watch_history_rows(spark: SparkSession, folder: str) -> DataFrame:
 def history_ingested(spark: SparkSession, folder: str) -> DataFrame:
     """Watch history landed up to a cursor, then the rest: every row once."""
     lake = _lake(spark)
-    o = table(spark, folder, "orders").where(YEAR)
+    o = table(spark, folder, "orders")
     items = o.select(F.col("o_orderkey").cast("string").alias("video_id"), F.lit("t").alias("title"), F.lit("c").alias("channel_name"), _day("o_orderdate").alias("watched_at"), F.lit("u").alias("video_url"))
     cursor = cursors.Cursor.of(lake, "google", "me")
     for part in (items.where("watched_at < '1996-05-01'"), items, items):
@@ -338,27 +356,35 @@ def raw_json_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def files_listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Which tables have a file, by pattern and by name."""
-    found = {Path(p).name for p in files.matches(spark, f"{folder}/p*.parquet")}
-    return spark.createDataFrame([(n, f"{n}.parquet" in found, files.exists(spark, f"{folder}/{n}.parquet")) for n in ("part", "pages", "orders", "nothing")], "name string, listed boolean, present boolean")
+    """Which tables have a file, by pattern and by name, and how many rows those hold that the pattern finds."""
+    found = {Path(p).name: p for p in files.matches(spark, f"{folder}/p*.parquet")}
+    rows = [(n, f"{n}.parquet" in found, files.exists(spark, f"{folder}/{n}.parquet")) for n in ("part", "pages", "orders", "nothing")]
+    counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n.removesuffix(".parquet")).alias("name"), "rows") for n, p in found.items()]
+    return spark.createDataFrame(rows, "name string, listed boolean, present boolean").join(reduce(DataFrame.unionByName, counts), "name", "left")
 
 
 _PLAYS = f"SELECT *, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders WHERE {YEAR}"
+_ALL_PLAYS = "SELECT *, month(o_orderdate) AS m FROM orders"
 _THUMB = "CASE WHEN p_size > 30 THEN 'h' || p_brand WHEN p_size > 20 AND p_size % 2 = 0 THEN 'm' || p_brand WHEN p_size > 5 THEN 'd' || p_brand END"
 _TOOL = "o_orderdate >= TIMESTAMP '1996-02-01' AND o_orderdate < TIMESTAMP '1996-05-16'"
 _ISO = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')"
 #: Each query with SQL of another shape that gives the same rows.
 SQL = {
     scan_with_missing_months: f"SELECT CAST(m AS INTEGER) AS month, count(*) AS plays FROM ({_PLAYS}) WHERE m % 2 = 1 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-10' AND DATE '1996-07-20' GROUP BY m",
-    scan_of_mixed_schemas: f"SELECT o_orderkey AS play_id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS ms_played FROM ({_PLAYS})",
-    scan_of_a_mirror: f"SELECT CAST(m AS INTEGER) AS month, m <= 2 AS from_mirror, count(*) AS plays FROM ({_PLAYS}) GROUP BY m",
+    scan_of_mixed_schemas: f"SELECT o_orderkey AS play_id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS ms_played FROM ({_ALL_PLAYS})",
+    scan_of_a_mirror: f"SELECT CAST(m AS INTEGER) AS month, m <= 2 AS from_mirror, count(*) AS plays FROM ({_ALL_PLAYS}) GROUP BY m",
     months_listed: "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders WHERE month(o_orderdate) = 3 OR year(o_orderdate) = 1998",
-    data_available: f"SELECT 'spotify/plays' AS dataset, count(*) > 0 AS available FROM ({_PLAYS}) UNION ALL SELECT 'github/commits', false",
+    data_available: f"SELECT 'spotify/plays' AS dataset, count(*) > 0 AS available FROM ({_ALL_PLAYS}) UNION ALL SELECT 'github/commits', false",
     recompacted_months: "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS plays FROM orders WHERE o_orderdate >= TIMESTAMP '1996-12-01' AND o_orderdate < TIMESTAMP '1997-02-01' GROUP BY ALL",
     master_landed_and_compacted: "SELECT CAST(p_partkey AS VARCHAR) AS track_id, CASE WHEN p_size % 4 = 0 THEN p_name || '+' ELSE p_name END AS name, CAST(p_size AS BIGINT) AS popularity, p_name AS artists FROM part",
     master_upserts: "SELECT CAST(s_suppkey AS VARCHAR) AS channel_id, CASE WHEN s_nationkey % 3 = 0 THEN 'new' ELSE s_name END AS channel_name, CAST(s_nationkey AS BIGINT) AS video_count FROM supplier",
-    views_of_the_lake: f"""SELECT unnest(['spotify_plays', 'spotify_tracks', 'spotify_artists', 'github_pull_requests', 'github_commits', 'github_repositories', 'browser_history_page_views', 'youtube_watch_events', 'youtube_watch_history', 'youtube_videos', 'youtube_channels']) AS dataset,
-        unnest(list_concat([(SELECT count(*) FROM ({_PLAYS}))], [0, 0, 0, 0, 0, 0, 0, 0, 0, 0])) AS n""",
+    views_of_the_lake: "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{view}' AS dataset, count(*) AS n FROM {name}"
+        for view, name in (
+            ("spotify_plays", "orders"), ("spotify_tracks", "part"), ("spotify_artists", "supplier"), ("github_pull_requests", "customer"), ("github_commits", "lineitem"), ("github_repositories", "supplier"),
+            ("browser_history_page_views", "pages"), ("youtube_watch_events", "events"), ("youtube_watch_history", "documents"), ("youtube_videos", "nation"), ("youtube_channels", "region"),
+        )
+    ) + ")",
     plays_view: """WITH n AS (SELECT *, string_split(p_name, ' ')[1] AS a FROM part) SELECT CAST(p_partkey AS VARCHAR) AS play_id, TIMESTAMP '2024-01-01' + to_days(CAST(p_size AS INTEGER)) AS played_at_utc, CAST(p_partkey AS VARCHAR) AS track_id, p_name AS track_name,
         replace(p_name, ' ', '|') AS artist_ids, replace(p_name, ' ', '|') AS artist_names, p_brand AS album_id, p_type AS album_name, CAST(p_size AS BIGINT) AS ms_played, 'album' AS context_type, p_partkey % 7 AS play_popularity,
         CASE WHEN p_size > 10 THEN CAST(p_size * 2 AS BIGINT) END AS duration_ms, CASE WHEN p_size > 10 THEN p_partkey % 5 END AS track_popularity, CASE WHEN p_size > 10 THEN p_size > 20 END AS explicit, CASE WHEN p_size > 10 THEN p_brand END AS preview_url,
@@ -384,7 +410,7 @@ SQL = {
         CAST(NULL AS BIGINT) AS comment_count, '2024-01-02 03:04:05' AS published_at, {_THUMB} AS thumbnail_url, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS tags FROM part""",
     channel_rows: f"SELECT CAST(p_partkey AS VARCHAR) AS channel_id, p_name AS channel_name, CAST(p_size AS BIGINT) AS subscriber_count, CAST(NULL AS BIGINT) AS video_count, CAST(9 AS BIGINT) AS view_count, CAST(NULL AS TIMESTAMP) AS published_at, {_THUMB} AS thumbnail_url, 'JP' AS country FROM part",
     watch_history_rows: "SELECT substr(sha256(concat('me_v', o_custkey, '_', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '+00:00')), 1, 16) AS watch_id, CAST(o_orderdate AS VARCHAR) AS watched_at, 'v' || o_custkey AS video_id, o_orderpriority AS video_title, o_orderstatus AS channel_name FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0",
-    history_ingested: "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS videos, CAST(max(o_orderdate) AS VARCHAR) AS cursor FROM orders WHERE o_orderdate > TIMESTAMP '1996-02-01' AND o_orderdate < TIMESTAMP '1997-01-01'",
+    history_ingested: "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS videos, CAST(max(o_orderdate) AS VARCHAR) AS cursor FROM orders WHERE o_orderdate > TIMESTAMP '1996-02-01'",
     exported_rows: """WITH v AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS id FROM part)
         SELECT id AS video_id, p_name AS video_title, 'UC' || p_size AS channel_id, p_brand AS channel_name, CASE WHEN p_size % 2 = 0 THEN 'video' ELSE 'short' END AS content_type, 'https://www.youtube.com/watch?v=' || id AS video_url, '2024-05-05 22:08:09' AS watched_at FROM v""",
     worklog_ingested: "SELECT count(*) AS fetched, count(*) FILTER (WHERE l_linenumber <> 1) AS new, count(*) FILTER (WHERE l_linenumber = 1) AS duplicates, count(DISTINCT concat_ws(':', l_orderkey, l_linenumber, l_partkey)) AS landed FROM lineitem",
@@ -393,5 +419,5 @@ SQL = {
         CASE o_orderkey % 3 WHEN 0 THEN '2024-03-01' WHEN 1 THEN '2024-02-29' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders""",
     quoted_names: "SELECT p_partkey, url_encode(concat_ws('/', p_name, p_type, 'é')) AS quoted FROM part",
     raw_json_kept: "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1",
-    files_listed: "SELECT * FROM (VALUES ('part', (SELECT count(*) >= 0 FROM part), true), ('pages', (SELECT count(*) >= 0 FROM pages), true), ('orders', false, (SELECT count(*) >= 0 FROM orders)), ('nothing', false, false)) AS t(name, listed, present)",
+    files_listed: "SELECT * FROM (VALUES ('part', true, true, (SELECT count(*) FROM part)), ('pages', true, true, (SELECT count(*) FROM pages)), ('orders', false, true, NULL), ('nothing', false, false, NULL)) AS t(name, listed, present, rows)",
 }
