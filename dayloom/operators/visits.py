@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,27 @@ def cluster(df: DataFrame, keys: list[str], ts: str, gap: str = f"INTERVAL {GAP_
     return df.withColumn("_starts", starts).withColumn("cluster_no", F.sum("_starts").over(w)).drop("_starts")
 
 
+def cluster_ranges(df: DataFrame, keys: list[str], ts: str, gap: str = f"INTERVAL {GAP_SECONDS} SECONDS", width: str = "INTERVAL 1 HOUR") -> DataFrame:
+    """As ``cluster``, for keys that can hold a large share of all rows: each range of ``width`` of a key's time is clustered on its own, so a hot key is many tasks.
+
+    The ranges' edges, a row for each range that has rows, tell which first cluster goes on from the range before and how many clusters came before it. Where
+    both ranges and rows are few this costs one more shuffle of edges than ``cluster``.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    ranged = df.withColumn("_range", F.floor(micros / F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(width))))
+    local = cluster(ranged, [*keys, "_range"], ts, gap)
+    edges = local.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_range").alias("_at"))
+    edges = edges.agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.max("cluster_no").alias("_clusters"))
+    order = Window.partitionBy(*names).orderBy("_at")
+    goes_on = F.coalesce(F.col("_first") <= F.lag("_last").over(order) + F.expr(gap), F.lit(False)).cast("long")
+    edges = edges.withColumn("_on", goes_on)
+    before = F.sum(F.col("_clusters") - F.col("_on")).over(order) - F.col("_clusters")
+    edges = edges.select(*names, "_at", before.alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, "_range"], [*names, "_at"], strict=True)])
+    return local.join(edges, same).withColumn("cluster_no", F.col("cluster_no") + F.col("_before")).drop("_range", *names, "_at", "_before")
+
+
 def rank_of(transition: Column) -> Column:
     ranks = F.create_map(*[F.lit(x) for pair in TRANSITION_RANKS.items() for x in pair])
     return F.coalesce(F.try_element_at(ranks, transition), F.lit(OTHER_RANK))
@@ -71,7 +94,7 @@ def visits(payloads: DataFrame) -> DataFrame:
 def page_views(rows: DataFrame, ingested_at: Column, per_payload: bool = True) -> DataFrame:
     """Page views of visits. With ``per_payload`` clusters end at a payload's end; without, they run on across payloads."""
     keys = ["source_device", "browser", "profile", "url", *(["sync_id"] if per_payload else [])]
-    found = cluster(rows, keys, "visit_time").groupBy(*keys, "cluster_no")
+    found = (cluster if per_payload else cluster_ranges)(rows, keys, "visit_time").groupBy(*keys, "cluster_no")
     views = found.agg(
         *([] if per_payload else [F.min("sync_id").alias("sync_id")]),
         F.min("visit_time").alias("started_at_utc"),
@@ -81,9 +104,14 @@ def page_views(rows: DataFrame, ingested_at: Column, per_payload: bool = True) -
         F.count(F.lit(1)).alias("visit_span_count"),
         F.max("synced_at_utc").alias("synced_at_utc"),
     )
+    return view_columns(views, ingested_at)
+
+
+def view_columns(views: DataFrame, ingested_at: Column, *more: str) -> DataFrame:
+    """Rows of clusters as page views: with their key and in the dataset's columns, then ``more``."""
     parts = [F.col(c) for c in ("source_device", "browser", "profile", "url")]
     key = sha_key(*parts, iso_micros(F.col("started_at_utc")), iso_micros(F.col("ended_at_utc")), F.col("transition"), sep=UNIT_SEPARATOR)
     return views.select(
         "sync_id", F.concat(F.lit("browser_history_page_view_"), key).alias("page_view_id"), "started_at_utc", "ended_at_utc", "url", "title", "browser", "profile",
-        "source_device", "transition", "visit_span_count", "synced_at_utc", ingested_at.alias("ingested_at_utc"),
+        "source_device", "transition", "visit_span_count", "synced_at_utc", ingested_at.alias("ingested_at_utc"), *more,
     )

@@ -412,9 +412,23 @@ def _clusters(spark: SparkSession, folder: str) -> DataFrame:
     return visits.cluster(table(spark, folder, "events"), ["user_id", "event_type"], "ts", "INTERVAL 2 HOURS")
 
 
-@query("page_view_clusters", f"WITH {CLUSTER_SQL} SELECT user_id, event_type, CAST(cluster_no AS BIGINT) AS cluster_no, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS visit_span_count FROM n GROUP BY ALL")
+_PAGE_VIEW_CLUSTERS = f"WITH {CLUSTER_SQL} SELECT user_id, event_type, CAST(cluster_no AS BIGINT) AS cluster_no, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS visit_span_count FROM n GROUP BY ALL"
+
+
+@query("page_view_clusters", _PAGE_VIEW_CLUSTERS)
 def page_view_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    found = _clusters(spark, folder).groupBy("user_id", "event_type", "cluster_no")
+    return _spans(_clusters(spark, folder))
+
+
+@query("page_view_clusters_by_ranges", _PAGE_VIEW_CLUSTERS)
+def page_view_clusters_by_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, with each key's time cut into days that are clustered on their own."""
+    rows = table(spark, folder, "events")
+    return _spans(visits.cluster_ranges(rows, ["user_id", "event_type"], "ts", "INTERVAL 2 HOURS", "INTERVAL 1 DAY"))
+
+
+def _spans(clustered: DataFrame) -> DataFrame:
+    found = clustered.groupBy("user_id", "event_type", "cluster_no")
     return found.agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("visit_span_count"))
 
 

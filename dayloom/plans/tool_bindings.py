@@ -18,7 +18,7 @@ from dayloom.sources import service, sinks
 from dayloom.sources.catalog import DATASETS, Lake, conform
 from dayloom.sources.scratch import shared_dir
 from dayloom.sources.tables import table
-from dayloom.streaming import streams
+from dayloom.streaming import page_views, streams
 
 Frames = Callable[[SparkSession, str], dict[str, DataFrame]]
 
@@ -91,6 +91,17 @@ def page_views_transformed(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("source_device", "url", plain("started_at_utc").alias("started_at"), plain("ended_at_utc").alias("ended_at"), "visit_span_count", "title", "transition")
 
 
+def page_views_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads in three micro-batches, dealt at random: views are corrected where they were landed, and come out as if all had come at once."""
+    base = shared_dir(spark)
+    lake = Lake(spark, f"{base}/lake")
+    payloads(spark, folder).repartition(3, "value").write.text(f"{base}/in")
+    stream, work = page_views.page_view_stream(page_views.payload_files(spark, f"{base}/in", 1), lake, F.lit("2024-03-01").cast("timestamp"), "60 days")
+    streams.run_available(stream, f"{base}/checkpoint", work, "update")
+    found = lake.scan("browser_history/page_views")
+    return found.select("source_device", "url", plain("started_at_utc").alias("started_at"), plain("ended_at_utc").alias("ended_at"), "visit_span_count", "title", "transition")
+
+
 def syncs_overwritten(spark: SparkSession, folder: str) -> DataFrame:
     """Every event lands with its sync, and the syncs of some users once more with less: what an earlier try wrote is replaced, the others stay."""
     lake = Lake(spark, shared_dir(spark))
@@ -158,12 +169,14 @@ def service_streamed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _VISITS = """v AS (SELECT user_id, event_type, date_trunc('minute', ts) AS t, CAST(ts AS DATE) AS day FROM events)"""
+_TRANSFORMED = f"""WITH {_VISITS} SELECT 'd' || user_id AS source_device, 'https://h.example/' || event_type AS url, t AS started_at, t AS ended_at, count(*) AS visit_span_count, event_type AS title, 'link' AS transition
+        FROM v WHERE user_id % 7 > 0 GROUP BY user_id, event_type, t"""
 SQL = {
     page_views_ingested: f"""WITH {_VISITS}, g AS (SELECT user_id, event_type, day, t, count(*) AS n FROM v WHERE user_id % 7 > 0 GROUP BY ALL)
         SELECT 'https://h.example/' || event_type AS url, count(*) AS views, CAST(sum(n) AS BIGINT) AS visits, count(*) AS ids, count(DISTINCT (user_id, day)) AS syncs FROM g GROUP BY 1
         UNION ALL SELECT 'rejected', count(DISTINCT (user_id, day)), 0, 0, 0 FROM v WHERE user_id % 7 = 0""",
-    page_views_transformed: f"""WITH {_VISITS} SELECT 'd' || user_id AS source_device, 'https://h.example/' || event_type AS url, t AS started_at, t AS ended_at, count(*) AS visit_span_count, event_type AS title, 'link' AS transition
-        FROM v WHERE user_id % 7 > 0 GROUP BY user_id, event_type, t""",
+    page_views_transformed: _TRANSFORMED,
+    page_views_streamed: _TRANSFORMED,
     syncs_overwritten: """SELECT CAST(user_id % 5 AS VARCHAR) AS sync, event_type AS video_id, count(*) AS n FROM events e
         WHERE user_id % 5 NOT IN (1, 3) OR event_type = 'click' OR NOT EXISTS (SELECT 1 FROM events f WHERE f.event_type = 'click' AND f.user_id % 5 = e.user_id % 5 AND date_trunc('month', f.ts) = date_trunc('month', e.ts)) GROUP BY ALL""",
     masters_looked_up: """SELECT 'track' AS kind, CAST(p_partkey AS VARCHAR) AS id, 'T' || p_partkey AS name, p_partkey * 2 AS length FROM part

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions.times import month_columns
 from dayloom.operators.dedup import keep_last, upsert
-from dayloom.sources import snapshots
+from dayloom.sources import files, snapshots
 from dayloom.sources.catalog import DATASETS, Lake, conform
 
 
@@ -25,6 +25,17 @@ def append_events(df: DataFrame, lake: Lake, name: str) -> None:
     with_months(df, time).write.mode("append").partitionBy("year", "month").parquet(lake.folder(name, "raw"))
 
 
+def replace_months(rows: DataFrame, lake: Lake, name: str, months: set[tuple[int, int]]) -> None:
+    """Put rows in the place of what the compacted layer has of these months; a month that gets none is emptied. ``rows`` must not be read from there."""
+    filed = with_months(rows, DATASETS[name].time)
+    folder = lake.folder(name, "compacted")
+    filed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(folder)
+    left = {(r["year"], r["month"]) for r in filed.select("year", "month").distinct().collect()}
+    for year, month in months - left:
+        for path in files.matches(lake.spark, f"{folder}/year={year}/month={month}"):
+            files.delete(lake.spark, path)
+
+
 def overwrite_sync(df: DataFrame, lake: Lake, name: str, sync: str) -> None:
     """Write the rows of each sync in place of what an earlier try of it wrote; other syncs stay."""
     rows = with_months(df, DATASETS[name].time).withColumn("sync", F.col(sync))
