@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,7 @@ from dayloom.sources.scratch import shared_dir
 #: Words in the corpus contracts: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 FILE_ROWS = 50_000  # of an intermediate table whose size is known
+SLICE_BYTES = 8 << 20  # of texts that a task works on together
 HOT_KEYS = 10_000  # keys that can each hold more than a 10,000th of a table's rows
 
 
@@ -74,6 +80,16 @@ def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], count: st
     return met.unionByName(rest)
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes of a text or binary column each, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(pc.cast(batch.column(column), pa.binary())), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package shipped to the executors first."""
     ship(df.sparkSession)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import map_arrow, table
+from dayloom.llm.common import byte_slices, map_arrow, table
 
 SOURCE_HZ, TARGET_HZ = 24_000, 16_000
 UP, DOWN, TAPS = 2, 3, 16  # taps of each phase
@@ -30,6 +30,7 @@ FRAME, HOP, FFT, MELS = 400, 160, 512, 40
 TENSOR_FRAMES, TENSOR_HOP = 96, 48  # frames of one stored tensor, and between the starts of two
 BLOCK_FRAMES = 8192
 ON_DB, OFF_DB = 0.5, -0.5  # against the clip's mean frame energy
+SLICE = 2 << 20  # bytes of clips or texts whose media, frames and tensors a task holds together
 UNIT = 576  # bytes that a payload is padded to
 
 
@@ -206,8 +207,7 @@ def audio_features(df: DataFrame, key: str, media: str, of_text: bool = False, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in byte_slices(batch, 1, SLICE):
                 raw = pc.cast(part.column(1), pa.binary()).to_pylist()
                 rows = []
                 for x in raw:

@@ -121,8 +121,8 @@ def fit_threshold(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, steps: in
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(k, y, half, h, t): the labelled rows that a model is fitted on, those with the least hashes of their keys.
 
-    A key that is labelled both ways teaches nothing; one that repeats in ``docs`` gives its shortest text (of several, that of the least MD5). Texts
-    that do not fit in what is left of ``SAMPLE_BYTES`` are passed over. Null keys and labels other than 0 and 1 do not count.
+    A key that is labelled both ways teaches nothing; one that repeats in ``docs`` gives its shortest text (of several, that of the least MD5). Each
+    label has half of ``SAMPLE_BYTES``, and what the other leaves; texts that do not fit are passed over. Null keys and labels other than 0 and 1 do not count.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.lit(9), "k")
@@ -132,11 +132,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = F.struct(F.octet_length("t").alias("n"), F.md5("t").alias("digest"))
     sizes = texts.join(F.broadcast(chosen), "k").groupBy("k", "y", "h").agg(F.min(size).alias("s")).select("k", "y", "h", "s.n", "s.digest")
-    left, taken = SAMPLE_BYTES, []
-    for r in sorted(sizes.collect(), key=lambda r: (-r["y"], r["h"], r["k"])):  # a row of the bounded sample each, without its text
-        if r["n"] <= left:
-            left -= r["n"]
-            taken.append((r["k"], r["y"], r["h"], r["digest"]))
+    # a row of the bounded sample each, without its text
+    waiting = sorted(sizes.collect(), key=lambda r: (-r["y"], r["h"], r["k"]))
+    taken, spent = [], {0: 0, 1: 0}
+    for most in (SAMPLE_BYTES // 2, SAMPLE_BYTES):  # half the bytes are for each label; what one leaves the other may take
+        passed = []
+        for r in waiting:
+            if spent[r["y"]] + r["n"] <= most and sum(spent.values()) + r["n"] <= SAMPLE_BYTES:
+                spent[r["y"]] += r["n"]
+                taken.append((r["k"], r["y"], r["h"], r["digest"]))
+            else:
+                passed.append(r)
+        waiting = passed
     wanted = spark.createDataFrame(taken, sizes.select("k", "y", "h", "digest").schema)
     found = texts.join(F.broadcast(wanted), "k").where(F.md5("t") == F.col("digest")).dropDuplicates(["k"])
     return materialize(found.select("k", "y", F.pmod(F.xxhash64(F.lit(10), "k"), F.lit(2)).alias("half"), "h", "t"), SAMPLE_TOXIC + SAMPLE_ORDINARY)

@@ -24,6 +24,7 @@ from dayloom.llm.common import materialize, seal, ship, table, word_count
 
 CAPACITY = 2048
 SOURCE_LIMIT = 2
+RUN = 10_000  # equal rows that one task numbers
 BLOCK_ROWS = 2500
 TIGHT = 0.97  # bins at least so full are left as a block packed them
 WORTH = 0.8  # another round of packing is worth while if it has to take up at most this share of the last one's pieces
@@ -72,6 +73,16 @@ def pack_block(rows: pd.DataFrame, capacity: int, source_limit: int) -> pd.DataF
     return rows.assign(fill=rows.groupby("bin")["size"].transform("sum"))
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """A row for each of the ``times`` that a row was met, numbered in ``copy``; a row met often is first cut into runs of ``RUN`` that are dealt to tasks."""
+    numbered = lambda df, first, last: df.withColumn("copy", F.explode(F.sequence(first, last)))
+    few = numbered(rows.where(F.col("times") <= RUN), F.lit(1).cast("long"), F.col("times"))
+    runs = rows.where(F.col("times") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN))))
+    runs = runs.repartition("hash", "run")
+    many = numbered(runs, F.col("run") * RUN + 1, F.least(F.col("times"), (F.col("run") + 1) * RUN)).drop("run")
+    return few.unionByName(many)
+
+
 def _pieces(docs: DataFrame, key: str, text: str, source: str, cluster: Column | None, capacity: int) -> DataFrame:
     """(key, part, size, source, cluster, order) of every piece of every row; order is a hash that differs among equal rows and among pieces."""
     held, at = seal(docs)
@@ -85,7 +96,7 @@ def _pieces(docs: DataFrame, key: str, text: str, source: str, cluster: Column |
         F.xxhash64(F.lit(3), F.col(at[key]), F.col(at[text])).alias("hash"),
     )
     rows = rows.groupBy("key", "words", "source", "cluster", "hash").agg(F.count(F.lit(1)).alias("times"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    rows = _copies(rows)
     parts = F.greatest(F.lit(1), F.ceil(F.col("words") / F.lit(capacity)))
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
     size = F.least(F.lit(capacity), F.col("words") - F.col("part").cast("long") * capacity)

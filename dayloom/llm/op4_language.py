@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from dayloom.llm.common import map_arrow, seal, table, unseal
 
+SAMPLE_BYTES, LONGEST = 64 << 20, 1 << 20  # bytes of their texts, in expectation, and of the longest of them
 SAMPLE_DOCS = 4000  # labelled documents that the model is fitted on, in expectation: as many of each language, ``LEAST_DOCS`` at least
 LEAST_DOCS = 20
 PRIOR = 2.0  # weight of the letter model, in words
@@ -202,19 +203,23 @@ def fit_model(counts: Iterable[tuple[str, str, int]], docs: dict[str, int]) -> M
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on labelled rows: of each language, documents whose hash falls under its share of ``sample_docs`` / its documents.
+    """Fit on labelled rows: of each language, documents whose hash of key and text falls under its share of ``sample_docs`` and of ``SAMPLE_BYTES``.
 
     Every language that labels a row with letters is learned, from ``LEAST_DOCS`` documents at least (all it has, if fewer). Null texts and labels teach
-    nothing, null keys are drawn alike, rows that repeat count each; no labelled rows give a model without languages.
+    nothing, null and repeated keys are drawn as others are, since their texts differ; texts over ``LONGEST`` bytes are not
+    learned from; rows that repeat count each; no labelled rows give a model without languages.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language that is learned
+    rows = rows.withColumn("bytes", F.octet_length("t"))
+    held = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("bytes", F.lit(LONGEST))).alias("bytes")).collect()  # a row for each language that is learned
+    sizes = {r["l"]: r["n"] for r in held}
     if not sizes:
         return fit_model([], {})
-    each = max(LEAST_DOCS, sample_docs // len(sizes))
-    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, 1.0 if n <= each else each / n)])
-    draw = F.pmod(F.xxhash64(F.lit(7), "k"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    some = rows.where(draw < F.element_at(share, F.col("l")))
+    docs_each, bytes_each = max(LEAST_DOCS, sample_docs // len(sizes)), SAMPLE_BYTES // len(sizes)
+    parts = {r["l"]: min(1.0, docs_each / r["n"], bytes_each / max(1, r["bytes"])) for r in held}
+    share = F.create_map(*[F.lit(x) for pair in sorted(parts.items()) for x in pair])
+    draw = F.pmod(F.xxhash64(F.lit(7), "k", "t"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    some = rows.where(F.col("bytes") <= LONGEST).where(draw < F.element_at(share, F.col("l")))
     word = F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")
     counts = some.select("l", word).where("w <> ''").groupBy("w", "l").agg(F.count(F.lit(1)).alias("n"))
     found = counts.toArrow().sort_by([("w", "ascending"), ("l", "ascending")])

@@ -838,3 +838,46 @@ def test_substrings_take_anything(spark):
     assert rows(got.select("doc_id", "n_words_", "n_removed", "kept_text")) == sorted(map(repr, wanted))
     assert got.columns[: len(docs.columns)] == docs.columns
     assert op10_substrings.remove_repeats(empty(spark)).count() == 0
+
+
+# ---- hot and null keys, long texts -------------------------------------------------------------------------------
+
+
+def test_toxic_texts_leave_room_for_ordinary_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 300 if i % 2 else 30)) for i in range(80)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(op2_toxicity, "SAMPLE_BYTES", 20_000)
+    sizes = collections.Counter()
+    for r in op2_toxicity.labelled_sample(docs, labels).collect():
+        sizes[r["y"]] += len(r["t"])
+    ordinary = sum(len(prose(i, 30)) for i in range(0, 80, 2))
+    assert sizes[0] == min(ordinary, sizes[0]) and sizes[0] > 0.8 * min(ordinary, 10_000) and sizes[1] > 8_000 and sum(sizes.values()) <= 20_000
+
+
+def test_language_samples_take_rows_of_one_or_no_key(spark):
+    texts = [("en", "the house and the garden"), ("de", "das haus und der garten")]
+    rows = [(None if i % 2 else 5, f"{texts[i % 4 // 2][1]} {prose(i, 5)}", texts[i % 4 // 2][0]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = op4_language.train(docs, sample_docs=100)
+    assert set(model.langs) == {"de", "en"} and {"house", "haus"} <= set(model.words)
+    drawn = op4_language.train(spark.createDataFrame([(1, prose(i, 20, 10**9), "en") for i in range(3000)], "doc_id bigint, text string, lang string"), sample_docs=500)
+    assert 200 * 20 < len(drawn.words) < 1000 * 20  # neither all of the one key nor none
+
+
+def test_a_row_repeated_often_is_numbered_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(op3_packing, "RUN", 50)
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 1230 + [(2, "d e", "s")] * 50 + [(3, "f", "t")], "doc_id bigint, text string, source string")
+    got = op3_packing._pieces(docs, "doc_id", "text", "source", None, 100)
+    assert got.groupBy("key").count().orderBy("key").collect() == [(1, 1230), (2, 50), (3, 1)]
+    assert got.select("key", "order").distinct().count() == 1281
+    packed = op3_packing.pack(docs).collect()
+    assert len(packed) == 1281 and len({(r["block"], r["bin"]) for r in packed if r["key"] == 1}) == 1230
+
+
+def test_media_of_very_long_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, prose(1, 400_000)), (2, None), (3, "x" * 3_000_000), (4, "short")], "doc_id bigint, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in op1_media.audio_features(docs, "doc_id", "text", of_text=True, keep_tensors=False).collect()}
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert got[r["doc_id"]]["payload_sha256"] == hashlib.sha256(padded).hexdigest() and got[r["doc_id"]]["n_bytes"] == len(raw)
