@@ -25,6 +25,25 @@ def ingest_visits(raw: DataFrame, lake: Lake, ingested_at: Column, per_payload:
     return bad
 
 
+def ingest_compact_derive(raw: DataFrame, lake: Lake, ingested_at: Column) -> dict[str, object]:
+    """The chain behind a push of visits: land page views, compact the months that they touch, derive the watch events of their syncs.
+
+    Returns the months, how many payloads were rejected, and for each sync whether its events were derived now. Payloads are read once. Syncs are derived one by
+    one and those that fail are named at the end; a repeat lands the views again, which compaction folds, and derives only what is missing.
+    """
+    name = "browser_history/page_views"
+    with staged(raw.select("value"), lake) as held:
+        good, bad = visits.parse_payloads(held)
+        rejected = bad.count()
+        with staged(sinks.with_months(visits.page_views(visits.visits(good), ingested_at), "started_at_utc"), lake) as views:
+            months = sorted({(r["year"], r["month"]) for r in views.select("year", "month").distinct().collect()})
+            syncs = sorted(r["sync_id"] for r in views.select("sync_id").distinct().collect())  # one for each payload of a push
+            sinks.append_events(views.drop("year", "month"), lake, name)
+    sinks.compact(lake, name, months)
+    derived = run_all({sync: (lambda sync=sync: derive_watch_events(lake, sync)) for sync in syncs})
+    return {"months": months, "rejected": rejected, "derived": derived}
+
+
 def derive_watch_events(lake: Lake, sync_id: str) -> bool:
     """Write the watch events of one sync from compacted page views; False if that has been done before."""
     marker = f"{lake.root}/state/youtube/browser_history_syncs/{sync_id}"
@@ -131,6 +150,15 @@ def ingest_worklog(pulls: DataFrame, commits: DataFrame, repos: DataFrame, lake:
     return counts
 
 
+def compact_providers(lake: Lake, providers: list[str] | None = None, months: list[tuple[int, int]] | None = None) -> dict[str, object]:
+    """Compact all datasets of some providers (``spotify``, ``github``, ``browser_history`` ...), of all by default, over all months by default; one that is unknown is a ValueError."""
+    compacted = [d.name for d in DATASETS.values() if d.key and (d.time or d.filed_by)]
+    known = sorted({n.split("/")[0] for n in compacted})
+    if unknown := set(providers or ()) - set(known):
+        raise ValueError(f"unknown providers: {', '.join(sorted(unknown))}; known are {', '.join(known)}")
+    return compact_all(lake, [n for n in compacted if not providers or n.split("/")[0] in providers], months)
+
+
 def compact_all(lake: Lake, names: list[str], months: list[tuple[int, int]] | None = None) -> dict[str, object]:
     """Compact datasets one by one; errors are gathered and raised at the end. ``months`` None means all there are."""
     return run_all({name: (lambda name=name: sinks.compact(lake, name, months)) for name in names})
@@ -157,6 +185,12 @@ def ingest_watch_history(items: DataFrame, account: str, lake: Lake, cursor: Cur
     return _land(rows, lake, "youtube/watch_history", "watched_at_utc", cursor, cursor.read())
 
 
+def ingest_accounts(items: dict[str, DataFrame], lake: Lake, not_before: str | None = None) -> dict[str, object]:
+    """Land the watch history of several accounts, one after the other, each after its own cursor; accounts that fail are named at the end and the rest are landed."""
+    cursor = lambda account: Cursor.of(lake, "google_activity", account)
+    return run_all({a: (lambda a=a, rows=rows: ingest_watch_history(rows, a, lake, cursor(a), not_before)) for a, rows in items.items()})
+
+
 def import_export(pages: DataFrame, lake: Lake, ingested_at: Column, after: str | None = None, before: str | None = None) -> DataFrame:
     """Land the watch events of an export that are not stored yet, from ``after`` on and before ``before``; one row of counts of the export comes back.
 

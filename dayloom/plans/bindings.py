@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dayloom.functions import urls, values
 from dayloom.functions.ids import sha_key, uuid5
 from dayloom.functions.times import iso_duration, period, unix_ms
-from dayloom.operators import cursors, dedup, visits, watching, worklog
+from dayloom.operators import cursors, dedup, rollups, visits, watching, worklog
 from dayloom.plans import adhoc, code, lake_bindings, music, tool_bindings, video, web
 from dayloom.sources import sinks
 from dayloom.sources.catalog import Lake, empty
@@ -167,6 +167,20 @@ def _listening(granularity: str) -> None:
 for _g in FORMATS:
     _listening(_g)
 
+
+
+@query("rollup_stats_week", ORACLE_SQL["listening_stats_week"])
+def rollup_stats_week(spark: SparkSession, folder: str) -> DataFrame:
+    """Weeks from daily rollups that are kept at compaction: all orders land twice, are compacted, and no event is read for the figures."""
+    lake = Lake(spark, shared_dir(spark))
+    rows = order_plays(spark, folder).withColumn("play_id", F.xxhash64("played_at_utc", "track_id", "ms_played").cast("string"))
+    for _ in range(2):
+        sinks.append_events(rows, lake, "spotify/plays")
+    rollups.compact(lake, rollups.PLAYS)
+    found = rollups.stats(lake, rollups.PLAYS, ORDER_START, ORDER_END, "week")
+    return found.select("period", F.col("ms_played").alias("total_ms"), F.col("n").alias("track_count"), F.col("unique_track_id").alias("unique_tracks"))
+
+
 PART_PLAYS_SQL = "SELECT p_type AS track_name, CASE WHEN p_size <= 5 THEN NULL ELSE string_split(p_name, ' ')[1] END AS artist, TIMESTAMP '2024-01-01' + to_days(CAST(p_size AS INTEGER)) AS t FROM part"
 
 

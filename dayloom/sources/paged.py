@@ -122,10 +122,10 @@ def read_resources(resources: DataFrame, read: Callable[[dict[str, Any]], Iterat
     return resources.mapInPandas(run, f"{schema}, json string")
 
 
-def lookup(ids: DataFrame, column: str, fetch: Callable[[list[str]], list[dict[str, Any] | None]], size: int = BATCH) -> DataFrame:
+def lookup(ids: DataFrame, column: str, fetch: Callable[[list[str]], list[dict[str, Any] | None]], size: int = BATCH, quota_ends: bool = False) -> DataFrame:
     """Rows (json) of the items that ``fetch`` gives for distinct ids, ``size`` to a request; missing items are left out.
 
-    A refusal for quota fails the job; callers that can do without the answers go on with what they have.
+    A refusal for quota fails the job; with ``quota_ends`` it ends the asking of that task instead, and what was answered until then is the result.
     """
     ship(ids.sparkSession)
 
@@ -134,6 +134,13 @@ def lookup(ids: DataFrame, column: str, fetch: Callable[[list[str]], list[dict[s
             yield pd.DataFrame({"json": found})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from asked(batches)
+        except ServiceError as e:
+            if not (e.quota and quota_ends):
+                raise
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[str] = []
         for batch in batches:
             waiting += batch[column].tolist()
