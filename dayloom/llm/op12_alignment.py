@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,8 +35,6 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 # fixed value: how the byte-level vocabulary's texts are cut before merging
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 500_000  # characters from which the JSON's own library encodes a text; the rank encoder fails on runs of a million spaces
-WORDS = re.compile(r" *[^ ]+(?: +\Z)?")  # a word with the spaces before it, the last one with those behind it too
-REMEMBERED, SHORT = 200_000, 64  # words that a task remembers, and characters of the longest
 MEMO = 1_000_000  # steps kept by a transducer
 BATCH = 1 << 20  # tokens to a batch that leaves a task
 SHIFT = 20  # bits of an id in a pair
@@ -79,34 +76,14 @@ class ByteTokens:
 
 
 class PieceTokens:
-    """A piece model. ``known`` has each id's bytes.
-
-    Where no piece has a space behind another character, no merge crosses the start of a run of spaces, so a text is encoded word by
-    word and words are remembered. The model puts a space in front of what it encodes, which stands for the first of a word's own.
-    """
+    """A piece model. ``known`` has each id's bytes."""
 
     def __init__(self, path: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.known = {i: piece_bytes(p) for i, p in enumerate(pieces)}
-        self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.words: dict[str, list[int]] = {}
+        self.known = {i: piece_bytes(self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())}
 
     def encode(self, text: str) -> list[int]:
-        words = WORDS.findall(text) if self.by_word and "▁" not in text else []
-        if len(words) < 2:
-            return self.model.encode(text, num_threads=1)
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        ids = self.model.encode(words[0], num_threads=1)
-        for word in words[1:]:
-            found = self.words.get(word)
-            if found is None:
-                found = self.model.encode(word[1:], num_threads=1)
-                if len(word) <= SHORT:
-                    self.words[word] = found
-            ids += found
-        return ids
+        return self.model.encode(text, num_threads=1)
 
 
 class Transducer:
@@ -124,7 +101,7 @@ class Transducer:
         self.states = [(False, b"")]  # whether A leads, and what of it is not matched
         self.number = {(False, b""): 0, (True, b""): 0}
         self.step: dict[int, int] = {}
-        self.single: dict[int, str] = {}  # the steps from state 0 and back by one token of each side, with the group's text
+        self.single: dict[int, str] = {}  # two steps from state 0 and back, by one token of each side: the group's text
 
     def learn(self, state: int, token: int) -> int:
         """The next state, worked out from the bytes and kept."""
@@ -142,43 +119,43 @@ class Transducer:
         self.step[state << SHIFT | token] = found
         return found
 
-    def groups(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]] | None:
-        """Each group as ``a1,a2|b1`` and its link, the pair of its last tokens; None if the bytes differ."""
+    def groups(self, a: list[int], b: list[int]) -> list[str] | None:
+        """Each group as ``a1,a2|b1``; None if the bytes differ."""
         if len(self.step) + len(self.single) > self.memo:
             self.forget()
-        step, single, states = self.step.get, self.single.get, self.states
-        texts, links, i, j = [], [], 0, 0
-        size_a, size_b = len(a), len(b)
-        while i < size_a and j < size_b:
-            pair = a[i] << SHIFT | b[j]
-            text = single(pair)
+        single, texts = self.single.get, []
+        add, ahead_a, ahead_b = texts.append, iter(a), iter(b)
+        for x in ahead_a:
+            y = next(ahead_b, None)
+            if y is None:
+                return None
+            text = single(x << SHIFT | y)
             if text is None:
-                first_a, first_b, state = i, j, 0
-                while True:
-                    if states[state][0]:
-                        if j == size_b:
-                            return None
-                        token, j = b[j], j + 1
-                    else:
-                        if i == size_a:
-                            return None
-                        token, i = a[i], i + 1
-                    found = step(state << SHIFT | token)
-                    state = self.learn(state, token) if found is None else found
-                    if state <= 0:
-                        break
-                if state < 0:
+                group = self.walk(x, y, ahead_a, ahead_b)
+                if group is None:
                     return None
-                pair = a[i - 1] << SHIFT | b[j - 1]
-                text = f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}"
-                if i == first_a + 1 and j == first_b + 1:
-                    self.single[pair] = text
-            else:
-                i += 1
-                j += 1
-            texts.append(text)
-            links.append(pair)
-        return (texts, links) if i == size_a and j == size_b else None
+                text = f"{','.join(map(str, group[0]))}|{','.join(map(str, group[1]))}"
+                if len(group[0]) == len(group[1]) == 1:
+                    self.single[x << SHIFT | y] = text
+            add(text)
+        return texts if next(ahead_b, None) is None else None
+
+    def walk(self, x: int, y: int, ahead_a: Iterator[int], ahead_b: Iterator[int]) -> tuple[list[int], list[int]] | None:
+        """From state 0, with a first token of each side, to state 0 again: the tokens of the group; None if one side ends or bytes differ."""
+        taken = ([x], [y])
+        state = self.next_state(self.next_state(0, x), y)
+        while state > 0:
+            a_leads = self.states[state][0]
+            token = next(ahead_b if a_leads else ahead_a, None)
+            if token is None:
+                return None
+            taken[a_leads].append(token)
+            state = self.next_state(state, token)
+        return taken if state == 0 else None
+
+    def next_state(self, state: int, token: int) -> int:
+        found = self.step.get(state << SHIFT | token)
+        return self.learn(state, token) if found is None else found
 
 
 class Aligner:
@@ -188,16 +165,16 @@ class Aligner:
         self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
         self.walk = Transducer(self.a.known, self.b.known)
 
-    def align(self, raw: bytes | None) -> tuple[int, int, list[str], list[int]]:
-        """Numbers of A's and B's tokens, the groups and their links; none where the text is empty or the bytes do not agree with it."""
+    def align(self, raw: bytes | None) -> tuple[int, int, list[str]]:
+        """Numbers of A's and B's tokens and the groups; none where the text is empty or the bytes do not agree with it."""
         if not raw:
-            return 0, 0, [], []
+            return 0, 0, []
         text = raw.decode("utf-8", "replace")
         a, b = self.a.encode(" " + text), self.b.encode(text)
         found = self.walk.groups(a, b)
         if found is None or b"".join(map(self.a.known.__getitem__, a)) != b" " + raw:
-            return 0, 0, [], []
-        return len(a), len(b), *found
+            return 0, 0, []
+        return len(a), len(b), found
 
 
 @lru_cache(maxsize=2)
@@ -205,6 +182,13 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)  # once for each Python worker
 
 
+@lru_cache(maxsize=1 << 16)
+def link_of(group: str) -> int:
+    """The pair of a group's last tokens, which end together."""
+    a, b = group.split("|")
+    return int(a.rpartition(",")[2]) << SHIFT | int(b.rpartition(",")[2])
+
+
 def ids_of(group: str) -> dict[str, list[int]]:
     a, b = group.split("|")
     return {"a": list(map(int, a.split(","))), "b": list(map(int, b.split(",")))}
@@ -231,8 +215,10 @@ def alignments(df: DataFrame, key: str, text: str, path_a: str = BYTE_BPE, path_
             columns: dict[str, list] = {k: [] for k in kinds}
             first, tokens = 0, 0
             for at in range(batch.num_rows):
-                n_a, n_b, groups, links = both.align(texts[at].as_py())
-                linked = Counter(links)
+                n_a, n_b, groups = both.align(texts[at].as_py())
+                linked: Counter[int] = Counter()
+                for group, times in Counter(groups).items():
+                    linked[link_of(group)] += times
                 order = sorted(linked)
                 digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
                 values = [n_a, n_b, len(groups), digest, order, [linked[p] for p in order]]
