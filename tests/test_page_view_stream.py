@@ -122,3 +122,33 @@ def test_a_hot_key_is_many_tasks(spark):
         assert tasks(visits.cluster_ranges(df, ["url"], "visit_time")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_batches_are_merged_without_a_python_call_for_each_key(spark, tmp_path):
+    made = payloads(7, 12)
+    lake = Lake(spark, str(tmp_path / "lake"))
+    good, _ = visits.parse_payloads(spark.createDataFrame([(json.dumps(p),) for p in made], "value string"))
+    rows = visits.visits(good)
+    none = spark.createDataFrame([], ", ".join([*(f"{k} string" for k in page_views.KEYS), page_views.CLUSTER]))
+    plan = page_views.merge(none, rows.select(*page_views.KEYS, *page_views.single()))._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan
+    now = F.lit("2024-03-01").cast("timestamp")
+    parts = [rows.where(F.crc32("sync_id") % 2 == i) for i in (0, 1)]
+    for n, part in [(0, parts[0]), (1, parts[1]), (1, parts[1])]:  # a batch that is repeated
+        page_views.land_visits(part, n, lake, now, "3650 days")
+    assert sorted(map(repr, lake.scan("browser_history/page_views").select(*COLUMNS).collect())) == whole(spark, made)
+    late = rows.withColumn("visit_time", F.expr("visit_time - INTERVAL 2 DAYS"))
+    page_views.land_visits(late, 2, lake, now, "1 day")
+    assert sorted(map(repr, lake.scan("browser_history/page_views").select(*COLUMNS).collect())) == whole(spark, made)
+
+
+def test_changes_as_a_stream_land_the_same_views(spark, tmp_path):
+    made = payloads(8, 12)
+    lake = Lake(spark, str(tmp_path / "lake"))
+    (tmp_path / "in").mkdir()
+    for n in (0, 1):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(map(json.dumps, made[n::2])))
+    good, _ = visits.parse_payloads(page_views.payload_files(spark, str(tmp_path / "in"), 1))
+    work = lambda batch, _: page_views.land_changes(batch, lake, F.lit("2024-03-01").cast("timestamp"))
+    streams.run_available(page_views.changes(visits.visits(good), "3650 days"), str(tmp_path / "checkpoint"), work, "update")
+    assert sorted(map(repr, lake.scan("browser_history/page_views").select(*COLUMNS).collect())) == whole(spark, made)
