@@ -98,13 +98,18 @@ def watch_history(items: DataFrame, account: str) -> DataFrame:
 
 def exported_events(pages: DataFrame, ingested_at: Column, html: str = "html") -> DataFrame:
     """Watch events of an activity export in HTML (a page a row): one for each cell with a video link and a time."""
-    cell = F.explode(F.slice(F.split(F.col(html), r'<div[^>]*class="[^"]*outer-cell'), 2, 1_000_000_000)).alias("cell")
-    links = F.regexp_extract_all(F.col("body"), F.lit(r'<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'))
-    rows = pages.select(cell).where(F.regexp_extract("cell", r'mdl-typography--title[^>]*>(.*?)</p>', 1).contains("YouTube"))
-    rows = rows.withColumn("body", F.regexp_extract("cell", r'(?s)class="(?![^"]*text-right)[^"]*mdl-typography--body-1[^"]*"[^>]*>(.*?)</div>', 1))
-    rows = rows.withColumns({"hrefs": links, "texts": F.regexp_extract_all(F.col("body"), F.lit(r'<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'), F.lit(2))})
+    link = F.lit(r'<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>')
+    # steps of one expression, so that each pattern is matched once: a filter on what a pattern gives would be pushed below and match it again
+    cells = F.slice(F.split(F.col(html), r'<div[^>]*class="[^"]*outer-cell'), 2, 1_000_000_000)
+    cells = F.filter(cells, lambda c: F.regexp_extract(c, r'mdl-typography--title[^>]*>(.*?)</p>', 1).contains("YouTube"))
+    bodies = F.transform(cells, lambda c: F.regexp_extract(c, r'(?s)class="(?![^"]*text-right)[^"]*mdl-typography--body-1[^"]*"[^>]*>(.*?)</div>', 1))
+    time = lambda b: F.regexp_extract(b, r"(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2}\s+JST)", 1)
+    found = F.transform(bodies, lambda b: F.struct(F.regexp_extract_all(b, link).alias("hrefs"), F.regexp_extract_all(b, link, F.lit(2)).alias("texts"), time(b).alias("time")))
+    # a file of few bytes can hold many pages, so they are dealt to tasks by number
+    tasks = pages.sparkSession.sparkContext.defaultParallelism * 4
+    rows = pages.select(html).repartition(tasks).select(F.inline(found))
     get = lambda c, i: F.nullif(F.trim(F.get(F.col(c), F.lit(i))), F.lit(""))
-    rows = rows.select(get("hrefs", 0).alias("url"), get("texts", 0).alias("title"), get("hrefs", 1).alias("channel_url"), get("texts", 1).alias("channel_name"), exported_time(F.regexp_extract("body", r"(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2}\s+JST)", 1)).alias("at"))
+    rows = rows.select(get("hrefs", 0).alias("url"), get("texts", 0).alias("title"), get("hrefs", 1).alias("channel_url"), get("texts", 1).alias("channel_name"), exported_time(F.col("time")).alias("at"))
     found = lambda p: F.nullif(F.regexp_extract("url", p, 1), F.lit(""))
     token = "([a-zA-Z0-9_-]{11})"
     rows = rows.withColumn("video_id", F.coalesce(found(f"[?&]v={token}"), found(f"/shorts/{token}"), found(rf"youtu\.be/{token}"))).where("video_id IS NOT NULL AND at IS NOT NULL")

@@ -161,3 +161,13 @@ def test_a_group_without_a_transition_is_no_row(spark, tmp_path):
     rows = [(11, 1, "a"), (23, 1, "a"), (1, 2, "a"), (11, 2, "a"), (9, 3, "b"), (10, 3, "b")]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     assert sorted(map(tuple, QUERIES["transition_pick"](spark, str(tmp_path)).collect())) == [(2, "a", "link"), (3, "b", "other_a")]
+
+
+def test_an_export_of_few_bytes_is_read_by_several_tasks(spark, tmp_path):
+    from dayloom.operators import watching
+
+    cell = '<div class="outer-cell"><p class="mdl-typography--title">YouTube</p><div class="mdl-typography--body-1"><a href="https://youtu.be/abcdefghijk">t</a><br>2024/05/06 07:08:09 JST<br></div></div>'
+    spark.createDataFrame([(cell * 2,)] * 400, "html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    found = watching.exported_events(spark.read.parquet(str(tmp_path / "pages")), F.lit("2024-06-01").cast("timestamp"))
+    rows = found.select("video_id", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 800 and len({r["task"] for r in rows}) > 4
