@@ -120,3 +120,27 @@ def test_an_empty_service_streams_nothing(spark, folder):
     seen = []
     read_new(spark, folder, lambda batch, n: seen.append(batch.count()))
     assert sum(seen) == 0
+
+
+def test_pages_of_a_table_come_from_their_row_groups_by_one_reading(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for part in (0, 1):
+        pq.write_table(pa.table({"id": list(range(part * 50, part * 50 + 50))}), tmp_path / f"{part}.parquet", row_group_size=7)
+    table = service.TableService({"path": str(tmp_path)})
+
+    class Whole:  # what a page may ask of the table; ``take`` reads all of it for each page
+        readings = 0
+
+        def __init__(self, data):
+            self.data = data
+
+        def get_fragments(self):
+            self.readings += 1
+            return self.data.get_fragments()
+
+    table.data = Whole(table.data)
+    ids = lambda offset, limit: [x["id"] for x in table.page(offset, limit)]
+    assert ids(40, 8) + ids(48, 8) + ids(56, 0) + ids(56, 8) == list(range(40, 64)) and table.data.readings == 1
+    assert ids(3, 5) == list(range(3, 8)) and ids(98, 9) == [98, 99] and ids(100, 5) == [] and ids(500, 5) == []
