@@ -57,6 +57,23 @@ def test_filters_agree_with_the_plain_anti_join(spark, lake, monkeypatch):
     assert lake.scan(NAME, layer="raw").count() == 7505  # readers do not see the filters
 
 
+def test_what_a_task_holds_does_not_grow_with_the_input(spark, lake):
+    stored = [f"k{i}" for i in range(3000)]
+    for month in (1, 2):
+        sinks.append_events(commits(spark, stored[month - 1 :: 2] + [None], month), lake, NAME)
+    key_filters.index(lake, NAME)
+    incoming = commits(spark, [f"k{i}" for i in range(2800, 3300)] + ["k3200"], 3)
+    fresh = key_filters.only_new(lake, NAME, incoming)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # neither keys of history nor of the batch go to every task
+    assert sorted(r[0] for r in fresh.select("commit_event_id").collect()) == sorted([f"k{i}" for i in range(3000, 3300)] + ["k3200"])
+    # the bitmaps hold the places of their file's keys and no others
+    filters = lake.spark.read.parquet(f"{lake.folder(NAME, 'raw')}/{key_filters.FOLDER}")
+    places = lake.read(NAME, "raw").where("commit_event_id IS NOT NULL").select("month", F.explode(key_filters.positions(F.col("commit_event_id"), F.lit(32_768))).alias("place"))
+    wanted = places.groupBy("month").agg(F.bitmap_construct_agg("place").alias("bitmap")).collect()
+    assert {bytes(r["bitmap"]) for r in filters.collect()} == {bytes(r["bitmap"]) for r in wanted} and filters.count() == 2
+
+
 def test_filters_grow_with_their_file(spark, lake):
     sinks.append_events(spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("commit_event_id"), F.lit("2024-01-01T00:00:00Z").alias("committed_at_utc")).coalesce(1), lake, NAME)
     key_filters.index(lake, NAME)
