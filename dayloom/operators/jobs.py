@@ -15,6 +15,8 @@ from dayloom.sources import files, key_filters, sinks
 from dayloom.sources.catalog import DATASETS, Lake, conform
 from dayloom.sources.paged import by_window, in_batches, lookup
 
+TASK_ROWS = 500_000  # fetched rows for each task that lands them
+
 Fetch = Callable[[list[str]], list[dict | None]]
 
 
@@ -133,11 +135,13 @@ def land_new(rows: DataFrame, lake: Lake, name: str) -> dict[str, int]:
     dataset = DATASETS[name]
     fetched, landed = Observation(), Observation()
     with staged(rows.observe(fetched, F.count(F.lit(1)).alias("n")), lake) as held:
-        fresh = key_filters.only_new(lake, name, held)
+        total = fetched.get["n"]
+        # a task that lands rows sorts them by month: as many tasks as rows ask for, not as few as their compressed bytes do
+        fresh = key_filters.only_new(lake, name, held).repartition(total // TASK_ROWS + 1, dataset.key)
         readable = F.try_to_timestamp(F.col(dataset.time).cast("string")).isNotNull()
         fresh = fresh.observe(landed, F.count_if(readable).alias("n"), F.count_if(~readable).alias("unreadable"))
         sinks.append_events(fresh, lake, name)
-        total, new, unreadable = fetched.get["n"], landed.get["n"], landed.get["unreadable"]
+        new, unreadable = landed.get["n"], landed.get["unreadable"]
     key_filters.index(lake, name)
     return {"fetched": total, "new": new, "duplicates": total - new - unreadable, "unreadable": unreadable}
 

@@ -57,7 +57,7 @@ def test_filters_agree_with_the_plain_anti_join(spark, lake, monkeypatch):
     assert lake.scan(NAME, layer="raw").count() == 7505  # readers do not see the filters
 
 
-def test_what_a_task_holds_does_not_grow_with_the_input(spark, lake):
+def test_what_a_task_holds_does_not_grow_with_the_input(spark, lake, monkeypatch):
     stored = [f"k{i}" for i in range(3000)]
     for month in (1, 2):
         sinks.append_events(commits(spark, stored[month - 1 :: 2] + [None], month), lake, NAME)
@@ -72,6 +72,10 @@ def test_what_a_task_holds_does_not_grow_with_the_input(spark, lake):
     places = lake.read(NAME, "raw").where("commit_event_id IS NOT NULL").select("month", F.explode(key_filters.positions(F.col("commit_event_id"), F.lit(32_768))).alias("place"))
     wanted = places.groupBy("month").agg(F.bitmap_construct_agg("place").alias("bitmap")).collect()
     assert {bytes(r["bitmap"]) for r in filters.collect()} == {bytes(r["bitmap"]) for r in wanted} and filters.count() == 2
+    # landing is dealt to tasks by its number of rows: 501 by 100
+    monkeypatch.setattr(jobs, "TASK_ROWS", 100)
+    assert jobs.land_new(incoming, lake, NAME) == {"fetched": 501, "new": 301, "duplicates": 200, "unreadable": 0}
+    assert len(files.matches(spark, f"{lake.folder(NAME, 'raw')}/year=2024/month=3/*.parquet")) == 6
 
 
 def test_filters_grow_with_their_file(spark, lake):
