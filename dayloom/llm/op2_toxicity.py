@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ CALIBRATION = 4500  # of these rows, about, that the weights are fitted on
 TOXIC_BYTES, ORDINARY_BYTES = 64_000, 1_000_000  # of the dictionaries, at most
 PIECE = 4096  # bytes of a training sample
 WINDOW = 5  # words
+REMEMBERED = 100_000  # windows whose difference a task keeps, about 20 MB
 GAP = b"   "
 REACHED = range(-2, 11)  # bytes of difference whose windows are counted
 FEATURES = 12 + len(REACHED)
@@ -81,21 +83,23 @@ class Compressors:
             return zstandard.ZstdCompressor(dict_data=known, compression_params=parameters)
 
         self.toxic, self.ordinary = compressor(model.toxic), compressor(model.ordinary)
+        a, b = self.ordinary.compress, self.toxic.compress
+        # lines repeat within and across documents, and a window's lengths depend on it alone
+        self.difference = lru_cache(REMEMBERED)(lambda w: len(a(w)) - len(b(w)))
 
     def differences(self, words: list[bytes]) -> list[int]:
         """For each window of a text, the bytes by which it is shorter with the toxic dictionary than with the ordinary one."""
-        a, b = self.ordinary.compress, self.toxic.compress
-        windows = [spaced(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
-        return [len(a(w)) - len(b(w)) for w in windows]
+        return [self.difference(spaced(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)]
+
 
 
 def features(differences: list[int]) -> list[float]:
     """1, the largest difference, the mean of the three largest and of all, logarithms (of the sum of gains, of windows that gain 1 to 6
     bytes, of all windows), and the numbers of windows that reach each of ``REACHED``, in tens."""
-    d = np.array(differences or [0])
-    largest = np.sort(d)[::-1]
-    logs = np.log1p([np.maximum(d, 0).sum(), *((d >= n).sum() for n in range(1, 7)), len(differences)])
-    return [1.0, float(largest[0]), float(largest[:3].mean()), float(d.mean()), *logs.tolist(), *((d >= n).sum() / 10 for n in REACHED)]
+    d = np.sort(np.array(differences or [0]))
+    reach = dict(zip(REACHED, (len(d) - np.searchsorted(d, REACHED)).tolist()))
+    logs = np.log1p([np.maximum(d, 0).sum(), *(reach[n] for n in range(1, 7)), len(differences)])
+    return [1.0, float(d[-1]), float(d[-3:].mean()), float(d.mean()), *logs.tolist(), *(n / 10 for n in reach.values())]
 
 
 def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:

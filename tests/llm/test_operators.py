@@ -172,6 +172,13 @@ def test_dictionaries_are_trained_on_whole_texts_and_tell_their_own(toxic_sample
     assert own.differences([b"stupid", b"worthless", b"moron", b"pathetic"])[0] > 0
 
 
+def test_a_window_that_repeats_is_compressed_once():
+    own = op2_toxicity.Compressors(op2_toxicity.Model(b"you stupid moron " * 20, b"a quiet walk home " * 20))
+    line = [b"you", b"stupid", b"worthless", b"old", b"moron"]
+    assert len(set(own.differences(line * 40))) == 1 and own.difference.cache_info().misses == 1
+    assert own.difference.cache_info().maxsize == op2_toxicity.REMEMBERED
+
+
 def test_toxicity_on_held_out_texts(spark, toxic_sample, toxic_model):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(toxic_sample[240:])], "doc_id bigint, text string")
     got = {r["doc_id"]: r["tox_score"] for r in op2_toxicity.score(docs, toxic_model).collect()}
