@@ -6,16 +6,16 @@ window better. A document's differences (their largest, mean and sum, and how ma
 logistic weights, fitted on labelled documents whose differences were measured by dictionaries that had not seen them.
 
 Words are joined by ``GAP`` spaces, which makes a whole known word stand out from a chance match of some letters.
-Documents are read once more and scored where they lie. The labelled sample is bounded by ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` rows and ``SAMPLE_BYTES``
+Documents are read once more and scored where they lie, the windows of ``TOGETHER`` bytes of texts at a time. The labelled sample is bounded by ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` rows and ``SAMPLE_BYTES``
 bytes of text; dictionaries are trained from it on the driver, while its windows are measured by the executors.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import map_arrow, materialize, seal, table, unseal
+from dayloom.llm.common import byte_slices, map_arrow, materialize, seal, table, unseal
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 8000, 24 << 20  # labelled rows, and bytes of their texts, that the dictionaries are trained on
 CALIBRATION = 4500  # of these rows, about, that the weights are fitted on
@@ -31,20 +31,29 @@ TOXIC_BYTES, ORDINARY_BYTES = 64_000, 1_000_000  # of the dictionaries, at most
 PIECE = 4096  # bytes of a training sample
 WINDOW = 5  # words
 REMEMBERED = 100_000  # windows whose difference a task keeps, about 20 MB
+TOGETHER = 4 << 20  # bytes of texts whose windows are compressed in one call
 GAP = b"   "
 REACHED = range(-2, 11)  # bytes of difference whose windows are counted
 FEATURES = 12 + len(REACHED)
-WORDS = re.compile(rb"[a-z\x80-\xff]+")
+KEPT = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256)).lower()  # of lower-cased UTF-8; what is no letter is a space
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return WORDS.findall((text or "").lower().encode("utf-8", "surrogatepass"))
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(KEPT).split()
 
 
 def spaced(words: list[bytes]) -> bytes:
     return GAP + GAP.join(words) + GAP
 
 
+def windows_of(words: list[bytes]) -> list[bytes]:
+    """The windows of a text, each ``spaced``."""
+    each = iter(words)
+    whole = list(map(GAP.join, zip(repeat(b""), *[each] * WINDOW, repeat(b"")))) if len(words) >= WINDOW else []
+    rest = words[len(whole) * WINDOW :]
+    return [*whole, spaced(rest)] if rest else whole
+
+
 @dataclass
 class Model:
     toxic: bytes
@@ -83,23 +92,52 @@ class Compressors:
             return zstandard.ZstdCompressor(dict_data=known, compression_params=parameters)
 
         self.toxic, self.ordinary = compressor(model.toxic), compressor(model.ordinary)
-        a, b = self.ordinary.compress, self.toxic.compress
         # lines repeat within and across documents, and a window's lengths depend on it alone
-        self.difference = lru_cache(REMEMBERED)(lambda w: len(a(w)) - len(b(w)))
+        self.difference = lru_cache(REMEMBERED)(lambda w: int(self.lengths(self.ordinary, [w])[0] - self.lengths(self.toxic, [w])[0]))
+        self.known: dict[bytes, int] = {}
+
+    @staticmethod
+    def lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
+        """Compressed lengths, each window on its own, in one call of the library."""
+        sizes = np.fromiter(map(len, windows), np.uint64, len(windows))
+        places = np.column_stack([np.cumsum(sizes) - sizes, sizes])
+        found = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(b"".join(windows), places.tobytes()))
+        return np.fromiter(map(len, map(found.__getitem__, range(len(windows)))), np.int64, len(windows))
 
     def differences(self, words: list[bytes]) -> list[int]:
         """For each window of a text, the bytes by which it is shorter with the toxic dictionary than with the ordinary one."""
-        return [self.difference(spaced(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)]
-
-
-
-def features(differences: list[int]) -> list[float]:
-    """1, the largest difference, the mean of the three largest and of all, logarithms (of the sum of gains, of windows that gain 1 to 6
-    bytes, of all windows), and the numbers of windows that reach each of ``REACHED``, in tens."""
-    d = np.sort(np.array(differences or [0]))
-    reach = dict(zip(REACHED, (len(d) - np.searchsorted(d, REACHED)).tolist()))
-    logs = np.log1p([np.maximum(d, 0).sum(), *(reach[n] for n in range(1, 7)), len(differences)])
-    return [1.0, float(d[-1]), float(d[-3:].mean()), float(d.mean()), *logs.tolist(), *(n / 10 for n in reach.values())]
+        return list(map(self.difference, windows_of(words)))
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """``features`` of many texts. Their windows, each once, are compressed with one dictionary and then with the other, so that a dictionary's tables stay at hand."""
+        each = [windows_of(words_of(t)) for t in texts]
+        new = sorted({w for w in chain.from_iterable(each) if w not in self.known})
+        if new:
+            self.known.update(zip(new, (self.lengths(self.ordinary, new) - self.lengths(self.toxic, new)).tolist()))
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        found = features(np.fromiter(map(self.known.__getitem__, chain.from_iterable(each)), np.int64, int(counts.sum())), counts)
+        if len(self.known) > REMEMBERED:  # those known longest go
+            self.known = dict(islice(self.known.items(), len(self.known) - REMEMBERED, None))
+        return found
+
+
+def features(differences: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row for each text, of which ``counts`` says how many of the differences it has: 1, the largest difference, the mean of the three largest and of all,
+    logarithms (of the sum of gains, of windows that gain 1 to 6 bytes, of all windows), and the numbers of windows that reach each of ``REACHED``, in tens."""
+    n = np.maximum(counts, 1)  # no window counts as one of no difference
+    ends = np.cumsum(n)
+    starts = ends - n
+    d = np.zeros(int(n.sum()), np.int64)
+    text = np.repeat(np.arange(len(n)), n)
+    d[np.repeat(counts > 0, n)] = differences
+    d = d[np.lexsort((d, text))]
+    if not len(n):
+        return np.empty((0, FEATURES))
+    total = lambda x: np.add.reduceat(x, starts)
+    top = total(np.where(np.arange(len(d)) >= np.repeat(ends - 3, n), d, 0)) / np.minimum(n, 3)
+    reach = {k: total((d >= k).astype(np.int64)) for k in REACHED}
+    logs = np.log1p([total(np.maximum(d, 0)), *(reach[k] for k in range(1, 7)), counts])
+    return np.column_stack([np.ones(len(n)), d[ends - 1], top, total(d) / n, *logs, *(x / 10 for x in reach.values())])
 
 
 def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -160,8 +198,13 @@ def measured(sample: DataFrame, models: list[Model]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [Compressors(m) for m in sent.value]
         for batch in batches:
-            x = [features(own[1 - half].differences(words_of(t))) for half, t in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "h", "x"])
+            for part in byte_slices(batch, 3, TOGETHER):
+                half = part.column(1).to_numpy(zero_copy_only=False)
+                texts = np.array([*part.column(3).to_pylist(), None], object)[:-1]
+                x = np.empty((len(texts), FEATURES))
+                for h in (0, 1):
+                    x[half == h] = own[1 - h].features(texts[half == h].tolist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "h", "x"])
 
     return map_arrow(sample.select("y", "half", "h", "t"), run, "y int, h long, x array<double>")
 
@@ -200,8 +243,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights = Compressors(sent.value), np.array(sent.value.weights)
         for batch in batches:
-            x = np.array([features(own.differences(words_of(t.as_py()))) for t in batch.column(at[text])]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probability(x, weights)), pa.array(x[:, 1].astype(np.int64))], names=[*names, "tox_score", "tox_bytes"])
+            for part in byte_slices(batch, names.index(at[text]), TOGETHER):
+                x = own.features(part.column(at[text]).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(probability(x, weights)), pa.array(x[:, 1].astype(np.int64))], names=[*names, "tox_score", "tox_bytes"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
     out = map_arrow(held, run, f"{schema}, tox_score double, tox_bytes long")

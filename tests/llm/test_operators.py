@@ -890,3 +890,22 @@ def test_media_of_very_long_texts(spark, monkeypatch):
         raw = (r["text"] or "").encode()
         padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert got[r["doc_id"]]["payload_sha256"] == hashlib.sha256(padded).hexdigest() and got[r["doc_id"]]["n_bytes"] == len(raw)
+
+
+def test_windows_of_many_texts_are_compressed_together_and_once(toxic_sample, monkeypatch):
+    own = op2_toxicity.Compressors(op2_toxicity.dictionaries([(op2_toxicity.spaced(op2_toxicity.words_of(t)), y) for t, y in toxic_sample]))
+    texts = [t for t, _ in toxic_sample[:20]] * 2 + [None, "", "123", "one", "Ünï çødé stupid 漢字", prose(3, 2000)]
+    assert op2_toxicity.words_of("Ünï çødé, it's [2] a_b\x85c d") == ["ünï".encode(), "çødé".encode(), b"it", b"s", b"a", b"b\xc2\x85c\xc2\xa0d"]
+    wanted = []
+    for t in texts:
+        w = op2_toxicity.words_of(t)
+        d = [len(own.ordinary.compress(x)) - len(own.toxic.compress(x)) for x in (op2_toxicity.spaced(w[i : i + 5]) for i in range(0, len(w), 5))]
+        n, d = len(d), sorted(d or [0])
+        logs = [sum(v for v in d if v > 0), *(sum(v >= k for v in d) for k in range(1, 7)), n]
+        wanted.append([1, d[-1], sum(d[-3:]) / len(d[-3:]), sum(d) / len(d), *np.log1p(logs), *(sum(v >= k for v in d) / 10 for k in range(-2, 11))])
+    calls, plain = [], op2_toxicity.Compressors.lengths
+    monkeypatch.setattr(op2_toxicity.Compressors, "lengths", staticmethod(lambda c, w: calls.append(w) or plain(c, w)))
+    monkeypatch.setattr(op2_toxicity, "REMEMBERED", 50)
+    assert np.allclose(own.features(texts), wanted, rtol=1e-12, atol=0)
+    assert len(calls) == 2 and len(calls[0]) == len(set(calls[0])) and len(own.known) == 50
+    assert np.allclose(own.features(texts[::-1]), wanted[::-1], rtol=1e-12, atol=0) and own.features([]).shape == (0, op2_toxicity.FEATURES)
