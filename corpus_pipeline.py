@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import near_copies, op3_packing, op4_language, op6_mixing, op10_substrings
+from dayloom.llm import near_copies, op3_packing, op4_language, op5_simhash, op6_mixing, op10_substrings
 from dayloom.llm.common import shared_dir, table
 from dayloom.sources import files
 from dayloom.sources.scratch import cleared
@@ -34,10 +34,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those of 5-word similarity 0.8 and over to an earlier one that stays.
 
+    Rows are compared within op 5's components of SimHash fingerprints and, since those part most rows as like as that, within MinHash bands.
     Earlier means a smaller key, null keys last, ties by a hash of the text; of rows equal in both one stays. Null and empty texts are copies of
     one another, so one stays. Texts under 5 words are compared as a whole, long ones by all their shingles. An empty table gives none.
     """
-    return near_copies.dedup(docs.select(*COLUMNS), shingle=near_copies.SHINGLE, similarity=near_copies.SIMILARITY)
+    return op5_simhash.dedup(docs.select(*COLUMNS), shingle=near_copies.SHINGLE, similarity=near_copies.SIMILARITY, bands=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

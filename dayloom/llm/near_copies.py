@@ -15,7 +15,7 @@ that a common template makes no pairs. Each pair is compared once; then only edg
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -217,24 +217,27 @@ def dropped(docs: DataFrame, key: str, text: str, buckets: DataFrame, shingle: i
     return gone.unionByName(settle(materialize(_confirmed(prefix_pairs(open_sets, similarity), sets, similarity))))
 
 
-def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(p, n, bands): the first row of each set of shingles, with its size and the values of its bands."""
+def sketches(docs: DataFrame, key: str, text: str, shingle: int, fingerprint: Callable[[bytes | None], int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(p, n, bands): the first row of each set of shingles, with its size and the values of its bands; and (p, n, fp): the fingerprints that rows of its set have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, values = [], [], []
+            names, sizes, values, prints = [], [], [], []
             for x in pc.cast(batch.column(1), pa.binary()):
                 own = shingles(x.as_py(), shingle)
                 names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
                 values.append(bands(own))
-            made = [pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(values, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["key", "text_hash", "name", "n", "bands"])
+                prints.append(fingerprint(x.as_py()) if fingerprint else None)
+            made = [pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(values, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["key", "text_hash", "name", "n", "bands", "fp"])
 
     picked = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_hash"))
-    found = materialize(map_arrow(picked, run, f"key {picked.schema[0].dataType.simpleString()}, text_hash long, name binary, n int, bands array<bigint>"))
+    found = materialize(map_arrow(picked, run, f"key {picked.schema[0].dataType.simpleString()}, text_hash long, name binary, n int, bands array<bigint>, fp long"))
     least = found.groupBy("name").agg(F.min(F.struct(place(F.col("key"), F.col("text_hash")).alias("p"), "n", "bands")).alias("r"))
-    return materialize(least.select("r.p", "r.n", "r.bands"))
+    nodes = materialize(least.select("name", "r.p", "r.n", "r.bands"))
+    prints = found.where("fp IS NOT NULL").select("name", "fp").distinct().join(nodes.select("name", "p", "n").hint("merge"), "name")
+    return nodes.select("p", "n", "bands"), prints.select("p", "n", "fp")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -243,7 +246,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
     Null texts and texts without words are copies of one another. All columns pass through; an empty table gives none.
     """
-    nodes = sketches(docs, key, text, shingle)
+    nodes, _ = sketches(docs, key, text, shingle)
     gone = dropped(docs, key, text, nodes.select(F.explode("bands").alias("bucket"), "p", "n"), shingle, similarity, docs.count())
     kept, _ = pick(docs, key, text, nodes.select("p").join(gone.hint("merge"), "p", "left_anti"))
     return unseal(kept, docs.columns)

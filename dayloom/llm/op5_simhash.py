@@ -90,15 +90,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return hot_join(prints, classes, "fp", "copies", total).select("key", "fp", "text_hash", "component_id", "root")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+def linked_nodes(prints: DataFrame) -> DataFrame:
+    """(bucket, p, n) of the fingerprints ``prints`` (p, n, fp): a bucket for each component."""
+    prints = materialize(prints)
+    total = prints.count()
+    copies = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
+    linked = components(ball_links(copies.select("fp")), total).select(F.col("node").alias("fp"), "root")
+    roots = materialize(copies.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "copies"), total)
+    return materialize(hot_join(prints, roots, "fp", "copies", total).select(F.xxhash64(F.lit("component"), "root").alias("bucket"), "p", "n").distinct(), total)
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY, bands: bool = False) -> DataFrame:
     """Rows in order of key (null last), then text hash, without those like one of their component kept before: of at least
     this Jaccard similarity of their distinct ``shingle``-word shingles. Members of a component that are like none stay.
+
+    With ``bands`` rows are also compared with those of other components that share a MinHash band, since 2 bits part most rows of similarity 0.8.
     """
-    found = near_duplicates(docs, key, text)
     total = docs.count()
-    nodes = materialize(found.select(F.col("root").alias("bucket"), near_copies.place(F.col("key"), F.col("text_hash")).alias("p")).distinct(), total)
-    gone = near_copies.dropped(docs, key, text, nodes, shingle, similarity, total)
-    kept, _ = near_copies.pick(docs, key, text, nodes.select("p").join(gone.hint("merge"), "p", "left_anti"))
+    if bands:
+        sketched, prints = near_copies.sketches(docs, key, text, shingle, fingerprint)
+        buckets = linked_nodes(prints).unionByName(sketched.select(F.explode("bands").alias("bucket"), "p", "n"))
+        nodes = sketched.select("p")
+    else:
+        found = near_duplicates(docs, key, text)
+        buckets = materialize(found.select(F.col("root").alias("bucket"), near_copies.place(F.col("key"), F.col("text_hash")).alias("p")).distinct(), total)
+        nodes = buckets.select("p")
+    gone = near_copies.dropped(docs, key, text, buckets, shingle, similarity, total)
+    kept, _ = near_copies.pick(docs, key, text, nodes.join(gone.hint("merge"), "p", "left_anti"))
     return unseal(kept, docs.columns)
 
 

@@ -109,3 +109,20 @@ def test_settling_in_rounds_is_settling_in_order(spark):
     edges = spark.createDataFrame([((a,), (b,)) for a, b in pairs], "a struct<key: int>, b struct<key: int>")
     for limit in (0, 10, 1000):
         assert {x["p"]["key"] for x in near_copies.settle(edges, limit).collect()} == gone
+
+
+def test_stage_compares_within_components_of_fingerprints(spark, monkeypatch):
+    # without bands what op 5 links is still found, through a row between whose set of shingles is that of another
+    base = prose(11, 1500)
+    near = changed(1, base, 2)
+    prints = [op5_simhash.fingerprint(t.encode()) for t in (base, near)]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    docs = spark.createDataFrame([(1, base, "en", "a", 1), (2, near, "en", "a", 1), (3, near, "en", "a", 1), (4, prose(12, 1500), "en", "a", 1), (5, None, "en", "a", 1), (None, "", "en", "a", 1)], DOCS)
+    monkeypatch.setattr(near_copies, "bands", lambda own: [])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == [1, 4, 5]
+    rows = [(i, 1, fp) for i, fp in enumerate([0, 1, 3, 15, 15, -1])]
+    nodes = spark.createDataFrame([((i,), n, fp) for i, n, fp in rows], "p struct<key: int>, n int, fp long")
+    held = {}
+    for r in op5_simhash.linked_nodes(nodes).collect():
+        held.setdefault(r["bucket"], set()).add(r["p"]["key"])
+    assert sorted(map(sorted, held.values())) == [[0, 1, 2, 3, 4], [5]]
