@@ -135,3 +135,55 @@ def test_extraction_takes_anything(spark):
     assert sorted(map(repr, ((r["page_id"], r["url"], r["text"]) for r in got.collect()))) == sorted(map(repr, wanted))
     assert sum(len(w[2]) > 500_000 for w in wanted) == 2
     assert op13.extract(pages.limit(0)).count() == 0
+
+
+def article(*paragraphs, side="Menu"):
+    return f"<body><nav>{side}</nav><article>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article></body>"
+
+
+def test_a_notice_of_most_articles_of_a_host_goes_and_quotations_stay(spark):
+    notice, quote = prose(900, 15), prose(901, 15)
+    own = {i: [prose(i, 25), prose(500 + i, 25)] for i in range(60)}
+    own[7].append("w1 w2")  # a marked block of its own words only
+    rows, wanted = [], {}
+
+    def add(host, number, paragraphs, kept):
+        rows.append((number, f"https://{host}/{number}", article(*paragraphs, side=f"Menu {number}")))
+        wanted[number] = "\n\n".join(kept)
+
+    for i, two in own.items():
+        quoted = [quote] if i % 3 else []  # on two thirds: no boilerplate
+        with_notice = [notice] if i % 8 else []  # on seven eighths
+        add("One.example.com", i, [two[0], *with_notice, *quoted, *two[1:]], [two[0], *quoted, *two[1:]])
+    for i in range(9):  # too few to tell
+        add("few.example.com", 100 + i, [notice, *own[i]], [notice, *own[i]])
+    for i in range(40):  # near copies are whole, and one article in rows of other menus is one
+        add("near.example.com", 200 + i, [own[0][0], own[1][0], f"number {i}"], [own[0][0], own[1][0], f"number {i}"])
+        add("copies.example.com", 300 + i, [notice, *own[2]], [notice, *own[2]])
+    for i in range(8):
+        add("copies.example.com", 400 + i, own[10 + i], own[10 + i])
+    add("copies.example.com", 410, own[20], own[20])
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for shard in (300, 1 << 19):
+        got = {r["page_id"]: r["text"] for r in op13.extract(pages, shard=shard).collect()}
+        assert got == wanted
+
+
+@pytest.mark.parametrize("shard, book", [(1 << 19, 1 << 19), (300, 1 << 19), (300, 0)])
+def test_windows_of_most_articles_over_shards(spark, monkeypatch, shard, book):
+    monkeypatch.setattr(op13, "BOOK", book)
+    r = random.Random(5)
+    passages = [(prose(700 + k, 12), share) for k, share in enumerate((0.6, 0.7, 0.73, 0.76, 0.8, 0.95))]
+    made = [(h, article(*[p for p, share in passages if r.random() < share], prose(i, 20))) for h, n in (("a.com", 150), ("b.com", 12), ("c.com", 9)) for i in range(n)]
+    made += made[:40]
+    texts = spark.createDataFrame([(h, page) for h, page in made], "host string, html string")
+    sizes = op13.streams(texts.withColumn("url", F.concat(F.lit("http://"), "host")), "html", "url").select("host", "article", "n_article")
+    got = {(x["host"], w["w1"], w["w2"]) for x in op13.shared_by_most(texts, sizes, shard).collect() for w in x["windows"]}
+    on, articles = collections.defaultdict(set), collections.defaultdict(set)
+    for h, page in set(made):
+        s = op13.stream_of(op13.blocks_of(page), True)
+        articles[h].add(page)
+        for w1, w2 in zip(*op13.window_ids(s, np.arange(len(s) - op13.RUN + 1), h)):
+            on[h, int(w1), int(w2)].add(page)
+    wanted = {w for w, p in on.items() if len(articles[w[0]]) >= op13.LEAST and len(p) > op13.MOST * len(articles[w[0]])}
+    assert got == wanted and {w[0] for w in wanted} == {"a.com", "b.com"}
